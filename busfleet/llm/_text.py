@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,6 +40,11 @@ def stored(df, name, *partition_by):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plus(schema, ddl):
+    """A schema with further columns given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def utf8(column):
     """Bytes and offsets (int64) of a string or binary Arrow array; null is empty."""
     if isinstance(column, pa.ChunkedArray):

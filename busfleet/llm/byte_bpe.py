@@ -6,6 +6,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from busfleet.llm._text import plus
+
 #: Texts longer than this many characters are encoded in pieces cut at safe boundaries.
 PIECE_CHARS = 1 << 16
 
@@ -65,9 +67,8 @@ def encode_documents(docs, rank_file, pattern, text="text", id="doc_id", keep=()
     ``keep`` pass through, others are left out, whatever their names.
     """
     docs = docs.select(*dict.fromkeys([id, *keep]), F.col(text).alias("__text"))
-    fields = [f for f in docs.schema.fields if f.name != "__text"]
-    schema = type(docs.schema)(fields).add("n_tokens", "long").add("ids", "array<int>")
-    names = [f.name for f in fields]
+    names = [c for c in docs.columns if c != "__text"]
+    schema = plus(docs.select(*names).schema, "n_tokens long, ids array<int>")
 
     def run(batches):
         enc = encoding(rank_file, pattern)
@@ -86,8 +87,8 @@ def decode_documents(encoded, rank_file, pattern, ids="ids", keep=("doc_id",)):
     The bytes of an id need not be whole characters, so decoding never goes through text.
     """
     encoded = encoded.select(*keep, F.col(ids).alias("__ids"))
-    schema = type(encoded.schema)([f for f in encoded.schema.fields if f.name != "__ids"]).add("data", "binary")
     names = list(keep)
+    schema = plus(encoded.select(*names).schema, "data binary")
 
     def run(batches):
         enc = encoding(rank_file, pattern)
@@ -107,7 +108,7 @@ def encode_digests(docs, rank_file, pattern, text="text", id="doc_id"):
     the task, so the ids of a corpus are not moved to be hashed.
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("__text"))
-    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = plus(docs.select("doc_id").schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
         enc = encoding(rank_file, pattern)
