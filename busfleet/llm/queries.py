@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, quality, toxicity
+from busfleet.llm import byte_bpe, exact_dedup, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,10 +25,23 @@ def op6_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_exact_dedup(spark, sf_dir):
+    return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op7_exact_dedup": r"""
+        with d as (
+            select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h
+            from documents)
+        select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
+            doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256
+        from d""",
+}
