@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, exact_dedup, quality, toxicity
+from busfleet.llm import byte_bpe, exact_dedup, minhash, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -29,11 +29,16 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE = {
