@@ -16,6 +16,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All bytes but letters, digits and those of characters beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd and 5 mod 8: its powers repeat late
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
@@ -98,25 +101,23 @@ def powers(n):
 
 
 class Bytes:
-    """The bytes of some whole texts, their words ``[^\\x20\\x09-\\x0D]+`` and hashes of any stretch.
+    """The bytes of some whole texts, their words and hashes of any stretch.
 
+    Words are the runs of bytes that ``split`` does not mark: ``[^\\x20\\x09-\\x0D]+`` by default.
     starts, ends: byte range of each word; doc: its row. hashed(a, b): 64-bit hashes of the byte ranges.
     """
 
-    def __init__(self, data, offsets, lower=True):
+    def __init__(self, data, offsets, lower=True, split=SPACE):
         self.data = LOWER[data] if lower else data
-        self.offsets, self.n = offsets, len(offsets) - 1
-        size = len(data)
-        self._sum = None
-        if not size:
+        self.offsets, self.n, self._sum = offsets, len(offsets) - 1, None
+        if not len(data):
             self.starts = self.ends = self.doc = np.zeros(0, np.int64)
             return
-        word = ~SPACE[data]
-        edge = np.zeros(size + 1, bool)
+        word = ~split[data]
+        edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
-        first, last = word.copy(), word
+        first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1] | edge[1:-1]
-        last = word.copy()
         last[:-1] &= ~word[1:] | edge[1:-1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1

@@ -233,3 +233,9 @@ def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
     joined = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("doc_id", "n", F.col("component").alias("component_id"))
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs, k=5, percent=80, text="text", id="doc_id"):
+    """The rows of ``docs``, with all columns: of each component the one with the least id stays."""
+    kept = near_duplicates(docs, k, percent, text, id).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(kept, docs[id].cast("long").eqNullSafe(kept["__keep"]), "left_semi")

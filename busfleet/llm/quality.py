@@ -132,3 +132,15 @@ def score(docs, model, text="text", id="doc_id", modulus=5, rest=0, threshold=0.
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs, model, text="text", threshold=0.3):
+    """The rows of ``docs``, with all columns, whose score reaches the threshold. Never shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, text):
+                z = logits(*utf8(part.column(text)), model)
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, exact_dedup, minhash, quality, toxicity
+from busfleet.llm import byte_bpe, decontaminate, exact_dedup, minhash, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,10 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -34,6 +38,7 @@ def op10_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,

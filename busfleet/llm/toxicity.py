@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from busfleet.llm._labels import held_out, labelled_sample
-from busfleet.llm._text import LOWER, Bytes, pieces, plus, utf8
+from busfleet.llm._text import MARKS, Bytes, pieces, plus, utf8
 
 #: Names of groups of people that are swapped for one another.
 IDENTITY_TERMS = (
@@ -23,30 +23,11 @@ IDENTITY_TERMS = (
 )
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
-_SPLIT = np.ones(256, bool)
-_SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-
-
-def _words(data, at):
-    text = Bytes.__new__(Bytes)
-    text.data, text.offsets, text.n, text._sum = LOWER[data], at, len(at) - 1, None
-    if not len(data):
-        text.starts = text.ends = text.doc = np.zeros(0, np.int64)
-        return text
-    word = ~_SPLIT[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1] | edge[1:-1]
-    last[:-1] &= ~word[1:] | edge[1:-1]
-    text.starts, text.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    text.doc = np.searchsorted(at, text.starts, "right") - 1
-    return text
 
 
 def features(data, at):
     """Yields (buckets, words) of whole words, then of their beginnings; and the words themselves."""
-    text = _words(data, at)
+    text = Bytes(data, at, split=MARKS)
     all_words = np.arange(len(text.starts))
     yield (text.hashed(text.starts, text.ends) % np.uint64(BUCKETS)).astype(np.int64), all_words, text
     for n in PREFIXES:
