@@ -2,11 +2,14 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, decontaminate, exact_dedup, minhash, quality, toxicity
+from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, minhash, quality, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+ODD_TEXT = r"\### Assistant: </turn> ok"
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,6 +18,10 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op1_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0).drop("url")
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,16 +44,39 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_chat(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, k, role, ODD_TEXT) for k, role in enumerate(("user", "assistant"))], conversations.schema)
+    return chat.digests(chat.read_back(*chat.formatted(conversations.unionByName(own))))
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_chat": op9_chat,
     "op10_minhash": op10_minhash,
 }
 
 ORACLE = {
+    "op9_chat": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+            union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        a as (
+            select conv_id, count(*) as n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+                coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
+                sum(length(role) + length(text) + 22
+                    + length(regexp_replace(role || text, '[^\\<>"]', '', 'g'))) as formatted_chars
+            from c group by conv_id)
+        select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
+            sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+        from a""",
     "op7_exact_dedup": r"""
         with d as (
             select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h
