@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, minhash, quality, toxicity, warc
+from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, minhash, quality, suffix_dedup, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -26,6 +26,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ def op9_chat(spark, sf_dir):
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
