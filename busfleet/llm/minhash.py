@@ -8,8 +8,9 @@ texts that may be similar; links are confirmed on the full sets.
 
 Components, not pairs, are the aim, so a bucket costs no pairs of its members. Equal sets are one class
 from the start. Each member is first compared with the bucket's least member alone; whatever the links
-found so far have joined needs no further comparison. Only buckets that then still hold members of
-several components are compared in full, in blocks of bounded size within a task.
+found so far have joined needs no further comparison. Buckets that still hold several components compare
+the members outside the main one with another of its members, for a few rounds. What is left outside the
+main component then is compared with the whole bucket, in blocks of bounded size within a task.
 """
 
 import math
@@ -24,8 +25,10 @@ from busfleet.llm._text import Bytes, mix, pieces, stored, utf8
 
 _EMPTY = np.uint64(2**64 - 1)
 _ODD = [np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64)]
-#: Members of a bucket that one task compares in full; larger buckets are compared block by block.
-BLOCK = 128
+#: Members of a bucket on either side of one task's full comparison; larger buckets take several tasks.
+BLOCK = 256
+#: Rounds in which a bucket's members outside its main component meet one member of that, picked anew.
+ROUNDS = 2
 
 
 def shingle_sets(data, at, k):
@@ -159,37 +162,67 @@ def _verified_stars(pairs, k, percent):
     return pairs.select("cid", "z", "leader", "leader_z").mapInArrow(run, "a long, b long")
 
 
-def common_sizes(sets, most_cells=4_000_000):
-    """The matrix of intersection sizes of some sets."""
+def common_sizes(xs, ys, most_cells=4_000_000):
+    """The matrix of intersection sizes of some sets with others."""
+    sets = xs + ys
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = np.bincount(place, minlength=len(values)) > 1
     number = np.cumsum(shared) - 1
     keep = shared[place]
     place, owner = number[place[keep]], owner[keep]
-    total, width = np.zeros((len(sets), len(sets))), max(1, most_cells // len(sets))
+    total, width = np.zeros((len(xs), len(ys))), max(1, most_cells // len(sets))
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     for start in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(place, (start, start + width))
         cells = np.zeros((len(sets), width), np.float32)
         cells[owner[a:b], place[a:b] - start] = 1
-        total += cells @ cells.T
+        total += cells[: len(xs)] @ cells[len(xs) :].T
     return total
 
 
-def _compared_blocks(members, k, percent):
-    """All links between different components within each unit of at most two blocks."""
+def _compared_blocks(units, k, percent):
+    """All links between different components from the x rows to the y rows of each unit."""
 
     def run(table):
-        ids, comps = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+        ids, comps, x = (table.column(c).to_numpy() for c in ("cid", "comp", "x"))
         sets = _sets(table.column("z").to_pylist(), k)
-        size = np.array([len(s) for s in sets])
-        common = common_sizes(sets)
-        a, b = np.nonzero(np.triu(_linked(common, size[:, None], size[None, :], percent) & (comps[:, None] != comps[None, :])))
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+        px, py = np.flatnonzero(x), np.flatnonzero(~x)
+        xs, ys = [sets[i] for i in px], [sets[i] for i in py]
+        nx, ny = (np.array([len(s) for s in side]) for side in (xs, ys))
+        common = common_sizes(xs, ys) if xs and ys else np.zeros((len(xs), len(ys)))
+        a, b = np.nonzero(_linked(common, nx[:, None], ny[None, :], percent) & (comps[px][:, None] != comps[py][None, :]))
+        return pa.table({"a": pa.array(ids[px[a]], pa.int64()), "b": pa.array(ids[py[b]], pa.int64())})
 
-    return members.select("key", "i", "j", "cid", "comp", "z").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return units.select("key", "i", "j", "x", "cid", "comp", "z").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _with_leader(pairs, texts):
+    """(cid, leader) pairs with both texts. The merge join lets AQE split what meets a frequent leader."""
+    theirs = texts.select(F.col("cid").alias("leader"), F.col("z").alias("leader_z"))
+    return pairs.join(texts.hint("merge"), "cid").join(theirs.hint("merge"), "leader")
+
+
+def _mixed(members, label):
+    """Of (key, cid) rows, those of buckets with several components: key, cid, comp, main, m, outside.
+
+    main is the component with most members in the bucket, outside the number of members not in it.
+    """
+    placed = members.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
+    return placed.join(main.select("key", F.col("x.comp").alias("main"), "m", (F.col("m") - F.col("x.c")).alias("outside")), "key")
+
+
+def _units(mixed):
+    """The rows of each unit of comparison: members outside the main component (x) and all members."""
+    count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("cid"), count(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    x = mixed.where("comp <> main").select("key", part("outside").alias("i"), every("m").alias("j"), F.lit(True).alias("x"), "cid", "comp")
+    y = mixed.select("key", every("outside").alias("i"), part("m").alias("j"), F.lit(False).alias("x"), "cid", "comp")
+    return x.unionByName(y)
 
 
 def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
@@ -207,27 +240,26 @@ def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("leader"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("mark")).where("m > 1")
     members = stored(bands.join(buckets, "key"), "members")
     needed = members.select(F.col("cid").alias("__cid")).distinct()
-    found = docs.select(F.col(id).cast("long").alias("__cid"), F.col(text).alias("__text")).join(needed, "__cid")
+    found = docs.select(F.col(id).cast("long").alias("__cid"), F.col(text).alias("__text")).join(needed.hint("merge"), "__cid")
     texts = stored(_packed(found, "__text", "__cid").groupBy("cid").agg(F.min("z").alias("z")), "texts")
 
     stars = members.where("cid <> leader").select("cid", "leader").distinct()
-    pairs = stars.join(texts, "cid").join(texts.select(F.col("cid").alias("leader"), F.col("z").alias("leader_z")), "leader")
-    links = stored(_verified_stars(pairs, k, percent), "links")
-    label = stored(components(links), "label")
-
-    # buckets in which a pair is left that may join two components
-    placed = members.where("m > 2").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("m").alias("m"), F.first("mark").alias("mark"), F.first("leader").alias("leader")).where("low <> high")
-    once = mixed.groupBy("m", "mark", "leader").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    units = (
-        placed.join(once, "key").select("key", "cid", "comp", "parts", block.alias("own"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    more = stored(_compared_blocks(units.join(texts, "cid"), k, percent), "links")
+    label = stored(components(stored(_verified_stars(_with_leader(stars, texts), k, percent), "links")), "label")
+    joined_by = lambda links: stored(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "label")
+
+    # buckets with a pair left that may join two components; of buckets with the same members, one
+    once = members.where("m > 2").groupBy("m", "mark", "leader").agg(F.min("key").alias("key")).select("key")
+    mixed = stored(_mixed(members.where("m > 2").select("key", "cid").join(once, "key"), label), "mixed")
+    for number in range(ROUNDS):
+        if mixed.isEmpty():
+            break
+        pick = mixed.where("comp = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key", F.lit(number)), "cid")).alias("x")).select("key", F.col("x.cid").alias("leader"))
+        again = mixed.where("comp <> main").select("key", "cid").join(pick, "key").select("cid", "leader").distinct()
+        label = joined_by(stored(_verified_stars(_with_leader(again, texts), k, percent), "links"))
+        mixed = stored(_mixed(mixed.select("key", "cid"), label), "mixed")
+    more = stored(_compared_blocks(_units(mixed).join(texts.hint("merge"), "cid"), k, percent), "links")
     if not more.isEmpty():
-        label = stored(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "label")
+        label = joined_by(more)
 
     named = classes.select("s1", "s2", "n", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "n", F.coalesce("component", "cid").alias("component"))
     joined = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("doc_id", "n", F.col("component").alias("component_id"))
