@@ -9,10 +9,14 @@ document's; rows whose bytes differ in spite of an equal digest form groups of t
 
 from pyspark.sql import functions as F
 
-from busfleet.llm._text import shared_dir
+from busfleet.llm._text import shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Many small stores: without preallocation a store takes the disk that its entries need.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text):
@@ -40,8 +44,9 @@ def run_stream(spark, folder, schema, most_files=1000):
     entry of the last batch is a digest's present state. State and offsets lie in ``folder/state``.
     A batch that runs again after a failure writes to its own folder again, so no entry counts twice.
     """
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
 
     def sink(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/entries/run={number:08d}")
@@ -51,7 +56,8 @@ def run_stream(spark, folder, schema, most_files=1000):
         query = keyed_state(source).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if old is None else spark.conf.set(PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def entries(spark, folder):
@@ -85,7 +91,7 @@ def decisions(docs, text="text", id="doc_id", folder=None):
     slim = seen.join(state, "digest")
     # full bytes of the hits: rows whose digest has more than one entry, against the kept row's text
     hits = slim.where("n > 1").select(F.col("doc_id").alias("__id"), "digest", "keep_id")
-    texts = docs.select(F.col(id).alias("__id"), F.sha2(normalised(text), 256).alias("digest"), normalised(text).alias("text")).join(hits, ["__id", "digest"])
+    texts = stored(docs.select(F.col(id).alias("__id"), F.sha2(normalised(text), 256).alias("digest"), normalised(text).alias("text")).join(hits, ["__id", "digest"]), "hits")
     kept = texts.where("__id = keep_id").groupBy("digest").agg(F.first("text").alias("first_text"))
     clash = texts.where("__id <> keep_id").join(kept, "digest").where("text <> first_text")
     own = clash.groupBy("digest", "text").agg(F.min("__id").alias("own_keep"), F.count("*").alias("own_n"))
