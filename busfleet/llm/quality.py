@@ -58,11 +58,11 @@ def fit(rows, prior, epochs=4, rate=0.08, seed=1):
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    rows = [(int(y), np.asarray(b, np.int64), np.asarray(c, np.float32)) for y, b, c in rows]
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             y, b, c = rows[k]
+            c = c.astype(np.float32)
             step += 1
             if not len(b):
                 continue
@@ -93,7 +93,7 @@ def logits(data, at, model):
     return total / np.maximum(square, 1) * model["gain"] + model["bias"] + model["shift"]
 
 
-def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, **names):
+def train(docs, labels, label="quality", modulus=5, rest=0, per_class=1500, **names):
     """The model of ``docs`` and ``labels``; ``per_class`` bounds the labelled rows used of each class."""
     sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, **names)
 
@@ -101,15 +101,14 @@ def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, **na
         for batch in batches:
             for part in pieces(batch):
                 got = list(counts(*utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32) for b, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))], ["doc_id", "y", "b", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b", "c"])
 
-    schema = plus(sample.select("doc_id", "y").schema, "b array<int>, c array<int>")
-    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    flat = [rows.column(k).combine_chunks() for k in ("b", "c")]
+    schema = plus(sample.select("doc_id", "y").schema, "b binary, c binary")
+    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     ys = rows.column("y").to_numpy()
-    cut = flat[0].offsets.to_numpy()
-    b, c = (x.values.to_numpy() for x in flat)
-    each = [(ys[i], b[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]]) for i in range(len(ys))]
+    b, c = (rows.column(k) for k in ("b", "c"))
+    each = [(int(ys[i]), np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.uint16)) for i in order.tolist()]
     model = fit(each, prior)
     # the mean is scaled in training by the spread of its shares; one typical scale serves for scoring
     spread = [c.sum() / np.sqrt(float(c.astype(float) @ c)) for _, _, c in each if len(c)]

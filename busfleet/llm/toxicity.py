@@ -105,14 +105,14 @@ def train(docs, labels, label="toxic", modulus=4, rest=2, per_class=4000, terms=
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 got = [sampled(t or "", terms) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32) for g in got], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "y", "b", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1))], ["doc_id", "y", "b", "c"])
 
-    schema = plus(sample.select("doc_id", "y").schema, "b array<int>, c array<int>")
-    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    flat = [rows.column(x).combine_chunks() for x in ("b", "c")]
-    (b, bc), (c, cc) = ((x.values.to_numpy().astype(np.int64), x.offsets.to_numpy()) for x in flat)
+    schema = plus(sample.select("doc_id", "y").schema, "b binary, c binary")
+    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     ys = rows.column("y").to_numpy()
-    return fit([(ys[j], b[bc[j] : bc[j + 1]], c[cc[j] : cc[j + 1]]) for j in range(len(ys))], prior, penalty)
+    b, c = (rows.column(k) for k in ("b", "c"))
+    return fit([(ys[i], np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.int32)) for i in order.tolist()], prior, penalty)
 
 
 def logits(data, at, weights, bias):
