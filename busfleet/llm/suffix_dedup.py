@@ -88,15 +88,34 @@ def _unpack(blob, *kinds, tail=False):
     return [*out, raw[at:]] if tail else out
 
 
-def _by_document(ids, values):
-    """(distinct ids, binary column of each one's int64 values) from arrays sorted by id."""
-    if not len(ids):
-        return pa.array([], pa.int64()), pa.array([], pa.binary())
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    offsets = (np.r_[first, len(ids)] * width).astype(np.int32)
-    column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
-    return pa.array(ids[first]), column
+def _dealt(rid, values, buckets):
+    """(bucket, blob) rows that bring values (int64, one or more for each entry) to their documents' buckets."""
+    bucket = (mix(rid.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((rid, bucket))
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(b, _pack(rid[i], values[i])) for b in range(buckets) if len(i := order[cut[b] : cut[b + 1]])]
+
+
+def _regrouped(batches, width):
+    """(document, its values in bytes) from the blobs of a partition: one row for each document."""
+    rids, values = [], []
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            flat = _unpack(blob, np.int64)[0]
+            n = len(flat) // (1 + width)
+            rids.append(flat[:n])
+            values.append(flat[n:].reshape(n, width))
+    if rids:
+        rid, value = np.concatenate(rids), np.concatenate(values)
+        order = np.argsort(rid, kind="stable")
+        rid, value = rid[order], value[order]
+        first = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+        for i in range(0, len(first), 5000):
+            part = np.r_[first[i : i + 5000], first[i + 5000] if i + 5000 < len(first) else len(rid)]
+            own = np.ascontiguousarray(value[part[0] : part[-1]])
+            offsets = ((part - part[0]) * 8 * width).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(own.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[part[:-1]]), column], ["rid", "blob"])
 
 
 def _batch(ddl_names, *columns):
@@ -141,19 +160,18 @@ def _anchor_blobs(batches, buckets):
         yield flush()
 
 
-_NAMES = ["kind", "rid", "blob"]
-
-
-def _repeated(batches, hot_from):
-    """Rows (kind 0, document, its anchors whose hash occurs again) and (kind 2, hash of a hot anchor)."""
-    held = []
+def _repeated(batches, buckets, hot_from):
+    """Rows (kind, bucket, blob): 0 anchors whose hash occurs again, dealt by document; 2 hashes of hot anchors."""
+    held, rids, places = [], [], []
     for batch in batches:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
             if kind == 0:
                 held.append(_unpack(blob, np.uint64, np.int64, np.int64, np.int32))
             else:
-                ids, column = _by_document(*_unpack(blob, np.int64, np.int64))
-                yield _batch(_NAMES, pa.array(np.zeros(len(ids), np.int32)), ids, column)
+                rid, a = _unpack(blob, np.int64, np.int64)
+                rids.append(rid)
+                places.append(a)
+    rows = []
     if held:
         h, rid, a, count = (np.concatenate(x) for x in zip(*held))
         held.clear()
@@ -162,11 +180,13 @@ def _repeated(batches, hot_from):
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         total = np.add.reduceat(count[order].astype(np.int64), first)
         again = order[np.repeat(total > 1, np.diff(np.r_[first, len(h)]))]
-        again = again[np.lexsort((a[again], rid[again]))]
-        ids, column = _by_document(rid[again], a[again])
-        yield _batch(_NAMES, pa.array(np.zeros(len(ids), np.int32)), ids, column)
+        rids.append(rid[again])
+        places.append(a[again])
         hot = h[first][total >= hot_from].view(np.int64)
-        yield _batch(_NAMES, pa.array(np.full(len(hot), 2, np.int32)), pa.array(hot), pa.array([b""] * len(hot), pa.binary()))
+        rows += [(2, 0, _pack(hot))] if len(hot) else []
+    if rids:
+        rows += [(0, *r) for r in _dealt(np.concatenate(rids), np.concatenate(places), buckets)]
+    yield _batch(["kind", "bucket", "blob"], *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int32(), pa.binary()))))
 
 
 def _stretches(batches, buckets, hot):
@@ -216,15 +236,15 @@ def _stretches(batches, buckets, hot):
             data, at = utf8(part.column("text"))
             lo, hi, a, h = runs(data, at)
             mark = np.zeros(len(data), bool)
-            for start, lists in zip(at.tolist(), part.column("anchors").to_pylist()):
-                mark[start + np.frombuffer(b"".join(lists), np.int64)] = True
+            for start, places in zip(at.tolist(), part.column("anchors").to_pylist()):
+                mark[start + np.frombuffer(places, np.int64)] = True
             on = mark[a]
             lo, hi, a, h = lo[on], hi[on], a[on], h[on]
             doc = np.searchsorted(at, lo, "right") - 1
             raw = data.tobytes()
             rid = part.column("rid").to_numpy()[doc]
             held += [(x, r, s - f, m - s, raw[s : e + LENGTH]) for x, r, s, e, m, f in zip(h.tolist(), rid.tolist(), lo.tolist(), hi.tolist(), a.tolist(), at[doc].tolist())]
-            if len(held) > 300_000:
+            if len(held) > 200_000:
                 yield flush()
     if held:
         yield flush()
@@ -360,20 +380,19 @@ def covered_windows(h, off, segs):
             yield own[later], np.full(len(later), s)
 
 
-def _covered(batches):
-    """Rows (document, intervals) from the stretches and windows that meet in a partition."""
-    held, windows = [], []
-    names = ["rid", "blob"]
+def _covered(batches, buckets):
+    """Rows (bucket, blob) of covered intervals, dealt by document, from what meets in a partition."""
+    held, windows, rids, spans = [], [], [], []
 
-    def out(rid, spans):
-        order = np.argsort(rid, kind="stable")
-        return _batch(names, *_by_document(rid[order], spans[order]))
+    def out(rid, span):
+        rids.append(rid)
+        spans.append(span)
 
     for batch in batches:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
             if kind == 1:
                 c = _unpack(blob, np.int64)[0].reshape(-1, 3)
-                yield out(c[:, 0], c[:, 1:])
+                out(c[:, 0], c[:, 1:])
             elif kind == 2:
                 windows.append(_unpack(blob, np.uint64, np.uint64, np.int64, np.int64))
             else:
@@ -385,7 +404,7 @@ def _covered(batches):
         order = np.lexsort((p, rid, y, x))
         x, y, rid, p = x[order], y[order], rid[order], p[order]
         again = np.r_[False, (x[1:] == x[:-1]) & (y[1:] == y[:-1])]
-        yield out(rid[again], np.stack([p[again], p[again] + LENGTH], 1))
+        out(rid[again], np.stack([p[again], p[again] + LENGTH], 1))
     held.sort(key=lambda x: (x[1], x[2]))
     seen, count, keep, whole = set(), {}, [], []
     for x in held:
@@ -398,7 +417,7 @@ def _covered(batches):
     del held, seen
     if whole:
         c = np.array(whole, np.int64)
-        yield out(c[:, 0], c[:, 1:])
+        out(c[:, 0], c[:, 1:])
     keep = [x for x in keep if count[x[0]] > 1]
     if keep:
         h, rid, lo, off, segs = zip(*keep)
@@ -412,7 +431,9 @@ def _covered(batches):
             first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(s)] - 1
             m = member[first]
             begin = lo[m] + off[m]
-            yield out(rid[m], np.stack([begin - s[first], begin - s[last] + LENGTH], 1))
+            out(rid[m], np.stack([begin - s[first], begin - s[last] + LENGTH], 1))
+    rows = _dealt(np.concatenate(rids), np.concatenate(spans), buckets) if rids else []
+    yield _batch(["bucket", "blob"], *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 2, (pa.int32(), pa.binary()))))
 
 
 def merged(intervals):
@@ -430,9 +451,9 @@ def _removed(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             rows = []
-            for rid, text, blobs in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "blobs"))):
+            for rid, text, blob in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "blob"))):
                 data = text.encode()
-                spans = merged(np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2))
+                spans = merged(np.frombuffer(blob, np.int64).reshape(-1, 2))
                 rest, at = hashlib.sha256(), 0
                 for a, b in spans.tolist():
                     rest.update(data[at:a])
@@ -480,16 +501,19 @@ def remove_repeats(docs, text="text", id="doc_id"):
 
     blob = "bucket int, kind int, blob binary"
     votes = docs.select("rid", "text").mapInArrow(lambda b: _anchor_blobs(b, buckets), blob)
-    again = stored(votes.repartition(buckets, "bucket").select("kind", "blob").mapInArrow(lambda b: _repeated(b, hot_from), "kind int, rid long, blob binary"), "anchors")
+    again = stored(votes.repartition(buckets, "bucket").select("kind", "blob").mapInArrow(lambda b: _repeated(b, buckets, hot_from), "kind int, bucket int, blob binary"), "anchors")
     # at most 1 / HOT_SHARE hashes, as each stands for that share of all anchors
-    hot = frozenset(r["rid"] % 2**64 for r in again.where("kind = 2").select("rid").collect())
+    hot = frozenset(h for r in again.where("kind = 2").select("blob").collect() for h in _unpack(r["blob"], np.uint64)[0].tolist())
+
+    def regrouped(rows, width, name):
+        return rows.repartition(buckets, "bucket").select("blob").mapInArrow(lambda b: _regrouped(b, width), "rid long, blob binary").withColumnRenamed("blob", name)
 
-    lists = again.where("kind < 2").groupBy("rid").agg(F.collect_list("blob").alias("anchors")).join(later, "rid", "left_anti")
+    lists = regrouped(again.where("kind = 0"), 1, "anchors").join(later, "rid", "left_anti")
     near = docs.select("rid", "text").join(lists, "rid").select("rid", "text", "anchors").mapInArrow(lambda b: _stretches(b, buckets, hot), blob)
-    spans = near.repartition(buckets, "bucket").select("kind", "blob").mapInArrow(_covered, "rid long, blob binary")
-    found = spans.groupBy("rid").agg(F.collect_list("blob").alias("blobs"))
+    spans = near.repartition(buckets, "bucket").select("kind", "blob").mapInArrow(lambda b: _covered(b, buckets), "bucket int, blob binary")
+    found = regrouped(spans, 2, "blob")
     ddl = "rid long, spans array<struct<start:bigint,end:bigint>>, n_removed long, n_spans long, kept_sha256 string"
-    removed = stored(docs.select("rid", "text").join(found, "rid").select("rid", "text", "blobs").mapInArrow(_removed, ddl), "removed")
+    removed = stored(docs.select("rid", "text").join(found, "rid").select("rid", "text", "blob").mapInArrow(_removed, ddl), "removed")
 
     gone = later.withColumn("copy", F.lit(True))
     whole = F.coalesce(F.col("copy") & (F.col("n") >= LENGTH), F.lit(False))
