@@ -18,8 +18,11 @@ def _star(edges, large):
     return out.where("a <> b").distinct()
 
 
-def _mark(edges):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges):
+    """Whether each node points to one least node that points nowhere."""
+    roles = edges.select("a", F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("child")))
+    open_ = roles.groupBy("a").agg(F.sum("child").alias("up"), F.min("child").alias("least")).where("up > 1 or (up = 1 and least = 0)")
+    return open_.isEmpty()
 
 
 def components(edges, most=60):
@@ -28,15 +31,9 @@ def components(edges, most=60):
     Repeated edges, loops and both directions may occur; an empty table gives no rows. The rounds are
     about the logarithm of the longest chain; each is written to the shared folder.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = _mark(edges)
+    edges = edges.select("a", "b").where("a <> b")
     for _ in range(most):
         edges = stored(_star(_star(edges, True), False), "edges")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    label = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
+        if _settled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {most} rounds")

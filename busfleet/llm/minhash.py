@@ -9,7 +9,7 @@ texts that may be similar; links are confirmed on the full sets.
 Components, not pairs, are the aim, so a bucket costs no pairs of its members. Equal sets are one class
 from the start. Each member is first compared with the bucket's least member alone; whatever the links
 found so far have joined needs no further comparison. Buckets that still hold several components compare
-the members outside the main one with another of its members, for a few rounds. What is left outside the
+the members outside the main one with another of its members (ROUNDS times). What is left outside the
 main component then is compared with the whole bucket, in blocks of bounded size within a task.
 """
 
@@ -28,7 +28,7 @@ _ODD = [np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 2**63, 6
 #: Members of a bucket on either side of one task's full comparison; larger buckets take several tasks.
 BLOCK = 256
 #: Rounds in which a bucket's members outside its main component meet one member of that, picked anew.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def shingle_sets(data, at, k):
