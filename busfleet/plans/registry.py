@@ -1,4 +1,6 @@
 """All registered queries of the bus-capture library and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from busfleet.plans.oracle import ORACLE
+from busfleet.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
