@@ -24,14 +24,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd and 5 mod 8: its powers repeat
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {}
+_own = {}  # folders of applications without a shared one
 
 
 def shared_dir(spark, name):
     """A new folder below the cluster's shared checkpoint folder; one in /tmp only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _own[app] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
