@@ -238,7 +238,8 @@ def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
     classes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("s1", "s2", "n", F.col("x.doc_id").alias("cid"), F.col("x.keys").alias("keys"))
     bands = classes.select("cid", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("leader"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("mark")).where("m > 1")
-    members = stored(bands.join(buckets, "key"), "members")
+    # both sides of the join are plain shuffles of tables, so AQE can split a key that many members share
+    members = stored(bands.join(stored(buckets, "buckets"), "key"), "members")
     needed = members.select(F.col("cid").alias("__cid")).distinct()
     found = docs.select(F.col(id).cast("long").alias("__cid"), F.col(text).alias("__text")).join(needed.hint("merge"), "__cid")
     texts = stored(_packed(found, "__text", "__cid").groupBy("cid").agg(F.min("z").alias("z")), "texts")
