@@ -88,11 +88,12 @@ def decisions(docs, text="text", id="doc_id", folder=None):
     else:
         state = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.first("file").alias("file"), F.count("*").alias("n"))
     seen = spark.read.schema(schema).parquet(f"{folder}/arrivals").groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    slim = seen.join(state, "digest")
+    # the state as a table: both sides of the join then are plain shuffles, and AQE can split a hot digest
+    slim = seen.join(stored(state, "state"), "digest")
     # full bytes of the hits: rows whose digest has more than one entry, against the kept row's text
     hits = slim.where("n > 1").select(F.col("doc_id").alias("__id"), "digest", "keep_id")
     texts = stored(docs.select(F.col(id).alias("__id"), F.sha2(normalised(text), 256).alias("digest"), normalised(text).alias("text")).join(hits, ["__id", "digest"]), "hits")
-    kept = texts.where("__id = keep_id").groupBy("digest").agg(F.first("text").alias("first_text"))
+    kept = stored(texts.where("__id = keep_id").groupBy("digest").agg(F.first("text").alias("first_text")), "kept")
     clash = texts.where("__id <> keep_id").join(kept, "digest").where("text <> first_text")
     own = clash.groupBy("digest", "text").agg(F.min("__id").alias("own_keep"), F.count("*").alias("own_n"))
     moved = clash.join(own, ["digest", "text"]).select("digest", F.col("__id").alias("doc_id"), "own_keep", "own_n").distinct()
