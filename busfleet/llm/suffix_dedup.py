@@ -497,7 +497,7 @@ def remove_repeats(docs, text="text", id="doc_id"):
     hot_from = max(HOT_LEAST, int(HOT_SHARE * total / (SPREAD / 2)))
     slim = docs.select("rid", "doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sha"))
     copies = slim.groupBy("sha", "n").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = stored(slim.join(copies, ["sha", "n"]).where("rid <> first").select("rid"), "copies")
+    later = stored(slim.join(stored(copies, "groups"), ["sha", "n"]).where("rid <> first").select("rid"), "copies")
 
     blob = "bucket int, kind int, blob binary"
     votes = docs.select("rid", "text").mapInArrow(lambda b: _anchor_blobs(b, buckets), blob)
