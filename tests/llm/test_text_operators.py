@@ -268,3 +268,12 @@ def test_class_softmax_is_a_distribution():
     loss = lambda w: -language_model.log_softmax(w, rows)[np.arange(50), 3].sum()
     language_model.update(weights, squares, rows, np.full(50, 3))
     assert loss(weights) < loss(before)
+
+
+def test_summed_adds_the_rows_of_each_value():
+    rng = np.random.default_rng(1)
+    for n, most in ((0, 1), (1, 1), (7, 1), (300, 5), (999, 400), (64, 1)):
+        g, r = rng.normal(size=(n, 3)), rng.integers(0, most, n)
+        own, step = language_model.summed(g, r)
+        assert own.tolist() == sorted(set(r.tolist()))
+        assert np.allclose(step, [g[r == k].sum(0) for k in own] or np.zeros((0, 3)))
