@@ -1,11 +1,16 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class is predicted by a softmax over
+P(word | context) = P(class | context) * P(word | class, context). The class is predicted by a softmax over
 weights of hashed features of the two words before: the last word, the last two, and the one before the
 last (a skip). Each of the most frequent words is a class; other words seen at least twice are classed by
 their ending; words seen once share a class with the one unknown word, so its probability follows the
-context as that of rare words does. Within a class a word's share is its share of the training tokens.
-The probabilities of all V known words and the unknown one add up to 1.
+context as that of rare words does.
+
+Within a class a word is found by a binary tree: first among the groups of words whose counts have the same
+power of two, then by halving the group's words in their order. Each node's decision is a logistic model
+of its own bias and the same three features, with hashed weights; its prior is the share of the training
+tokens (groups) or of the words (in a group) on either side. The table of these weights follows the counted
+vocabulary. The probabilities of all V known words and the unknown one add up to 1.
 
 Counts cover all training documents. They reach a document through its block, a split of an input file:
 the distinct words of a block are counted and joined, not its tokens. Training is one pass of gradient
@@ -30,6 +35,8 @@ ROWS = LAST + PAIR + SKIP + 1
 CHUNK_ROWS = 2048
 TOKENS = 2048
 RATE = 0.5
+#: The weights of the tree's nodes: at least so many for each known word, in chunks of so many.
+CELLS_A_WORD, CHUNK_CELLS = 2, 1 << 16
 END = b"\n"  # not a word, as words have no white space
 
 
@@ -70,18 +77,80 @@ def _tail_class():
 
 
 def statistics(vocabulary):
-    """N, V, the words seen once, the head words, and the tokens of each tail class: bounded results."""
-    n, v, once = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    """N, V and the head words: bounded results."""
+    n, v = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     head = [bytes(r["token"]) for r in vocabulary.where("c > 1").orderBy(F.desc("c"), "token").limit(HEAD).collect()]
-    known = vocabulary.where("c > 1").withColumn("class", _tail_class())
-    if head:
-        known = known.where(~F.col("token").isin([bytearray(t) for t in head]))
-    tail = {r["class"]: r["s"] for r in known.groupBy("class").agg(F.sum("c").alias("s")).collect()}
-    return {"n": int(n or 0), "v": int(v or 0), "once": int(once or 0), "head": head, "tail": tail}
+    return {"n": int(n or 0), "v": int(v or 0), "head": head}
+
+
+def numbered(vocabulary, stats, parts):
+    """(token, c, number) of the vocabulary, and its Groups.
+
+    Known words are numbered from 0 by class, group and token; unknown ones have the number V.
+    """
+    of_head = F.coalesce(*(F.when(F.col("token") == F.lit(bytearray(t)), 1 + i) for i, t in enumerate(stats["head"])), F.lit(None).cast("int"))
+    kind = F.when(F.col("c") < 2, 0).otherwise(F.coalesce(of_head, _tail_class()))
+    rows = vocabulary.where("c > 0").withColumn("class", kind.cast("int"))
+    rows = rows.withColumn("power", F.when(F.col("class") > HEAD, F.length(F.bin("c"))).otherwise(0))
+    order = ["class", "power", "token"]
+    rows = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("part", F.shiftright("place", 33))
+    found = rows.groupBy("class", "power", "part").agg(F.min("place").alias("first"), F.count("*").alias("words"), F.sum("c").alias("s")).collect()
+    shifts, sums, at = [], {}, 0
+    for r in sorted(found, key=lambda r: (r["class"], r["power"], r["part"])):
+        shifts.append((r["class"], r["power"], r["part"], at - r["first"]))
+        words, s = sums.get((r["class"], r["power"]), (0, 0))
+        sums[r["class"], r["power"]] = words + r["words"], s + r["s"]
+        at += r["words"]
+    shift = vocabulary.sparkSession.createDataFrame(shifts, "class int, power int, part long, shift long")
+    known = rows.join(F.broadcast(shift), ["class", "power", "part"]).select("token", "c", (F.col("place") + F.col("shift")).alias("number"))
+    unknown = vocabulary.where("c = 0").select("token", "c", F.lit(stats["v"]).cast("long").alias("number"))
+    return known.unionByName(unknown), Groups([(k, *x) for (k, _), x in sums.items()])
+
+
+class Groups:
+    """The groups of numbered words, in order, and last the unknown word; a bounded table.
+
+    rows: (class, words, training tokens) of each group.
+    """
+
+    def __init__(self, rows):
+        kinds, words, mass = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.starts = np.r_[0, np.cumsum(words), words.sum() + 1]
+        self.mass = np.r_[0, np.cumsum(mass), mass.sum()]
+        self.kinds = np.r_[kinds, 0].astype(np.uint8)
+        # the unknown word's group is not of the tree of class 0
+        self.first = np.r_[np.searchsorted(kinds, kinds), len(kinds)]
+        self.last = np.r_[np.searchsorted(kinds, kinds, "right"), len(kinds) + 1]
+        self.v, self.once = int(words.sum()), int(words[kinds == 0].sum())
+        self.bits = max(16, math.ceil(math.log2(max(CELLS_A_WORD * self.v, 1))))
+
+    def classes(self, words):
+        return self.kinds[np.searchsorted(self.starts, words, "right") - 1]
+
+    def decisions(self, words):
+        """(token, node, right, prior) of the decisions that lead to each of some words within its class.
+
+        A node is named by the first word, or V + 1 + the first group, of its right side.
+        """
+        words = words.astype(np.int64)
+        group = np.searchsorted(self.starts, words, "right") - 1
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))]
+        for leaf, lo, hi in ((group, self.first[group], self.last[group]), (words, self.starts[group], self.starts[group + 1])):
+            at = np.flatnonzero(hi - lo > 1)
+            while len(at):
+                a, b = lo[at], hi[at]
+                mid = a + b >> 1
+                right = leaf[at] >= mid
+                sides = (self.mass[b] - self.mass[mid], self.mass[mid] - self.mass[a]) if leaf is group else (b - mid, mid - a)
+                out.append((at, mid + (self.v + 1 if leaf is group else 0), right, np.log(sides[0] / sides[1])))
+                lo[at], hi[at] = np.where(right, mid, a), np.where(right, b, mid)
+                at = at[hi[at] - lo[at] > 1]
+        return [np.concatenate(x) for x in zip(*out)]
 
 
 class Table:
-    """What a block's texts need of each distinct token: count, class, log10 shares and feature number.
+    """What a block's texts need of each distinct token: count, log10 share and number.
 
     A token may come more than once; its rows are equal.
     """
@@ -92,32 +161,23 @@ class Table:
     def add(self, batch):
         n = len(self.place) if not self.parts else sum(len(p[0]) for p in self.parts)
         self.place.update(zip(batch.column("token").to_pylist(), range(n, n + batch.num_rows)))
-        self.parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("c", "tail", "word")])
+        self.parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("c", "number")])
 
     def ready(self):
         if self.arrays is None:
             s = self.stats
-            c, kind, word = (np.concatenate(x) for x in zip(*self.parts))
-            kind = np.where(c < 2, 0, kind).astype(np.uint8)
-            for i, token in enumerate(s["head"]):
-                if token in self.place:
-                    kind[self.place[token]] = 1 + i
+            c, number = (np.concatenate(x) for x in zip(*self.parts))
             base = np.log10((c + 0.1) / (s["n"] + 0.1 * (s["v"] + 1)))
-            share = np.ones(len(c))
-            for k, total in s["tail"].items():
-                share = np.where(kind == k, c / total, share)
-            share[kind == 0] = np.where(c[kind == 0] == 0, 0.5 if s["once"] else 1.0, 0.5 / max(s["once"], 1))
-            self.arrays = base, np.log10(share), c > 0, kind, word.astype(np.uint16)
+            self.arrays = base, c > 0, number.astype(np.uint32)
         return self.arrays
 
 
 def encoded(docs, lookups, stats, parts, modulus, rest):
-    """Per text: doc_id, held_out, n_tokens, n_known, base_score, within (log10 of the shares within
-    classes), classes and words (binary arrays of its tokens)."""
-    a = lookups.select("block", F.lit(0).alias("kind"), "token", "c", _tail_class().alias("tail"), F.crc32("token").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("word"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    b = docs.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("tail"), F.lit(None).cast("int").alias("word"), "doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "text")
+    """Per text: doc_id, held_out, n_tokens, n_known, base_score and words (the numbers of its tokens, binary)."""
+    a = lookups.select("block", F.lit(0).alias("kind"), "token", "c", "number", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    b = docs.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("number"), "doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "text")
     rows = a.unionByName(b).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes", "words"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words"]
 
     def run(batches):
         block, table = None, None
@@ -131,35 +191,74 @@ def encoded(docs, lookups, stats, parts, modulus, rest):
                 if kinds[i] == 0:
                     table.add(part)
                     continue
-                base, within, known, kind, word = table.ready()
+                base, known, number = table.ready()
                 place = table.place.__getitem__
                 for start in range(0, part.num_rows, 500):
                     piece = part.slice(start, 500)
                     out = []
                     for text in piece.column("text").to_pylist():
                         ids = np.fromiter(map(place, tokens(text)), np.int32)
-                        out.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), float(within[ids].sum()), kind[ids].tobytes(), word[ids].tobytes()))
+                        out.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), number[ids].tobytes()))
                     cols = list(zip(*out))
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+                    types = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, types))], names)
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, words binary")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words binary")
 
 
-def feature_rows(words, starts):
-    """The rows of the weights for each token: last word, last two words, word before the last.
+def context(words, starts):
+    """The last word and the one before it for each token, 0 where there is none; other words from 1.
 
-    words: feature numbers of some texts' tokens in a row; starts: true at each text's first token.
+    words: numbers of some texts' tokens in a row; starts: true at each text's first token.
     """
     w = words.astype(np.int64) + 1
     last, skip = np.r_[0, w[:-1]], np.r_[0, 0, w[:-2]][: len(w)]
     last[starts] = 0
     skip[starts] = 0
     skip[np.flatnonzero(starts)[np.flatnonzero(starts) + 1 < len(w)] + 1] = 0
+    return last, skip
+
+
+def feature_rows(words, starts):
+    """The rows of the class weights for each token: last word, last two words, word before the last."""
+    last, skip = context(words, starts)
     mixed = lambda x, k, size: ((x * k & 0xFFFFFFFF) >> 11) % size
     return np.stack([mixed(last, 2654435761, LAST), LAST + mixed(last * 65599 + skip, 2246822519, PAIR), LAST + PAIR + mixed(skip, 3266489917, SKIP)])
 
 
+def node_cells(node, last, skip, bits):
+    """The cells of the tree's weights for each decision: the node alone, with the last word, the last two words, the word before the last."""
+    node, last, skip = (x.astype(np.uint64) for x in (node, last, skip))
+    out = np.empty((4, len(node)), np.int64)
+    for i, seen in enumerate((np.uint64(0), last + np.uint64(1), last * np.uint64(0xC2B2AE3D27D4EB4F) + skip, skip + np.uint64(1))):
+        h = node * np.uint64(0x9E3779B97F4A7C15) + seen * np.uint64(0x165667B19E3779F9) + np.uint64(i * 0x27D4EB2F165667C5)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        out[i] = h >> np.uint64(64 - bits)
+    return out
+
+
+def log_sigmoid(tree, cells, right, prior):
+    """The log probability of each decision."""
+    z = prior + tree[cells].sum(0)
+    return -np.logaddexp(0, np.where(right, -z, z))
+
+
+def update_tree(tree, squares, seen, cells, right, prior):
+    """One AdaGrad step on the log loss of some decisions."""
+    if not len(right):
+        return
+    g = (1 / (1 + np.exp(-(prior + tree[cells].sum(0)))) - right).astype(np.float32)
+    flat = cells.reshape(-1)
+    order = np.argsort(flat.astype(np.int32))
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    own, step = flat[first], np.add.reduceat(np.tile(g, len(cells))[order], first)
+    seen[own] += np.diff(np.r_[first, len(flat)]).astype(np.int32)
+    squares[own] += step * step
+    tree[own] -= RATE * step / np.sqrt(squares[own])
+
+
 def _logits(weights, rows):
     z = weights[rows[0]]
     z += weights[rows[1]]
@@ -211,12 +310,12 @@ def update(weights, squares, rows, classes):
 
 
 def _token_batches(batches, most):
-    """(classes, words, starts, texts) of whole texts, with about ``most`` tokens at a time."""
+    """(words, starts, texts) of whole texts, with about ``most`` tokens at a time."""
     held, size = [], 0
     for batch in batches:
-        for i, (c, w) in enumerate(zip(batch.column("classes"), batch.column("words"))):
-            held.append((np.frombuffer(c.as_buffer(), np.uint8), np.frombuffer(w.as_buffer(), np.uint16)))
-            size += len(held[-1][0])
+        for w in batch.column("words"):
+            held.append(np.frombuffer(w.as_buffer(), np.uint32))
+            size += len(held[-1])
             if size >= most:
                 yield _joined(held)
                 held, size = [], 0
@@ -225,69 +324,84 @@ def _token_batches(batches, most):
 
 
 def _joined(held):
-    n = np.array([len(c) for c, _ in held])
+    n = np.array([len(w) for w in held])
     starts = np.zeros(n.sum(), bool)
     starts[np.cumsum(n) - n] = True
-    return np.concatenate([c for c, _ in held]), np.concatenate([w for _, w in held]), starts, len(held)
+    return np.concatenate(held), starts, len(held)
+
+
+def _steps(words, starts, groups):
+    """Runs of TOKENS tokens: their place, class rows, classes, and the tokens, cells, sides and priors of their decisions."""
+    rows, (last, skip), classes = feature_rows(words, starts), context(words, starts), groups.classes(words)
+    for i in range(0, len(words), TOKENS):
+        part = slice(i, i + TOKENS)
+        token, node, right, prior = groups.decisions(words[part])
+        yield part, rows[:, part], classes[part], token, node_cells(node, last[part][token], skip[part][token], groups.bits), right, prior
 
 
-def train(texts, replicas):
-    """The averaged weights of one replica per task, each trained on its share of all training texts."""
+def train(texts, groups, replicas):
+    """The averaged weights of one replica per task, each trained on its share of all training texts: of the classes, of the tree."""
+    shared = texts.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches):
+        groups = shared.value
         weights, squares, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1e-6, np.float32), np.zeros(ROWS, np.int64)
+        tree, tree_squares, tree_seen = np.zeros(1 << groups.bits, np.float32), np.ones(1 << groups.bits, np.float32), np.zeros(1 << groups.bits, np.int32)
         for got in _token_batches(batches, TOKENS):
             if got is None:
                 continue
-            classes, words, starts, _ = got
-            rows = feature_rows(words, starts)
-            for i in range(0, len(classes), TOKENS):
-                update(weights, squares, rows[:, i : i + TOKENS], classes[i : i + TOKENS])
-            seen += np.bincount(rows.reshape(-1), minlength=ROWS)
-            seen[-1] += len(classes)
-        for start in range(0, ROWS, CHUNK_ROWS):
-            part = slice(start, start + CHUNK_ROWS)
-            if seen[part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), pa.array([weights[part].tobytes()], pa.binary()), pa.array([seen[part].tobytes()], pa.binary())], ["start", "w", "n"])
+            words, starts, _ = got
+            for _, rows, classes, _, cells, right, prior in _steps(words, starts, groups):
+                update(weights, squares, rows, classes)
+                update_tree(tree, tree_squares, tree_seen, cells, right, prior)
+                seen += np.bincount(rows.reshape(-1), minlength=ROWS)
+            seen[-1] += len(words)
+        for kind, w, n, size in ((0, weights, seen, CHUNK_ROWS), (1, tree, tree_seen, CHUNK_CELLS)):
+            for start in range(0, len(w), size):
+                part = slice(start, start + size)
+                if n[part].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([start], pa.int32()), pa.array([w[part].tobytes()], pa.binary()), pa.array([n[part].astype(np.int32).tobytes()], pa.binary())], ["kind", "start", "w", "n"])
 
     def average(table):
         total = weight = 0
         for w, n in zip(table.column("w").to_pylist(), table.column("n").to_pylist()):
-            n = np.frombuffer(n, np.int64)[:, None]
-            total, weight = total + np.frombuffer(w, np.float32).reshape(len(n), CLASSES) * n, weight + n
+            n = np.frombuffer(n, np.int32)[:, None]
+            total, weight = total + np.frombuffer(w, np.float32).reshape(len(n), -1) * n, weight + n.astype(np.int64)
         w = (total / np.maximum(weight, 1)).astype(np.float32)
-        return pa.table({"start": pa.array([table.column("start")[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
+        return pa.table({"kind": table.column("kind")[:1], "start": table.column("start")[:1], "w": pa.array([w.tobytes()], pa.binary())})
 
-    parts = texts.select("classes", "words").coalesce(replicas).mapInArrow(run, "start int, w binary, n binary")
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for r in parts.groupBy("start").applyInArrow(average, "start int, w binary").collect():
-        w = np.frombuffer(r["w"], np.float32).reshape(-1, CLASSES)
-        weights[r["start"] : r["start"] + len(w)] = w
-    return weights
+    parts = texts.select("words").coalesce(replicas).mapInArrow(run, "kind int, start int, w binary, n binary")
+    weights, tree = np.zeros((ROWS, CLASSES), np.float32), np.zeros(1 << groups.bits, np.float32)
+    for r in parts.groupBy("kind", "start").applyInArrow(average, "kind int, start int, w binary").toLocalIterator():
+        w, into = np.frombuffer(r["w"], np.float32), tree if r["kind"] else weights
+        w = w if r["kind"] else w.reshape(-1, CLASSES)
+        into[r["start"] : r["start"] + len(w)] = w
+    return weights, tree
 
 
-def scored(texts, weights):
+def scored(texts, groups, weights, tree):
     """The ``encoded`` rows without arrays, with ``score``: the model's log10 probability of the text."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within"]
+    shared = texts.sparkSession.sparkContext.broadcast((groups, weights, tree))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
+        groups, weights, tree = shared.value
+        half = math.log(0.5) if groups.once else 0.0  # words seen once, and the unknown one
         for batch in batches:
             score, at = np.zeros(batch.num_rows), 0
             for got in _token_batches([batch], TOKENS):
                 if got is None:
                     continue
-                classes, words, starts, n = got
-                rows, text = feature_rows(words, starts), np.cumsum(starts) - 1
-                for i in range(0, len(classes), TOKENS):
-                    part = slice(i, i + TOKENS)
-                    p = log_softmax(shared.value, rows[:, part])[np.arange(len(classes[part])), classes[part]]
+                words, starts, n = got
+                text = np.cumsum(starts) - 1
+                for part, rows, classes, token, cells, right, prior in _steps(words, starts, groups):
+                    p = log_softmax(weights, rows)[np.arange(len(classes)), classes] + np.where(classes == 0, half, 0.0)
+                    p += np.bincount(token, log_sigmoid(tree, cells, right, prior), len(classes))
                     score[at : at + n] += np.bincount(text[part], p, n)
                 at += n
-            total = score / math.log(10) + batch.column("within").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score / math.log(10))], [*names, "score"])
 
-    return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, score double")
+    return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id"):
@@ -307,8 +421,9 @@ def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id"):
     counts = stored(block_counts(docs, modulus, rest), "counts")
     vocabulary = stored(counts.groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
     stats = statistics(vocabulary)
-    lookups = counts.select("block", "token").join(vocabulary, "token")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    words, groups = numbered(vocabulary, stats, parts)
+    lookups = counts.select("block", "token").join(words, "token")
     texts = stored(encoded(docs, lookups, stats, parts, modulus, rest), "encoded")
-    weights = train(texts.where(~F.col("held_out")), max(1, spark.sparkContext.defaultParallelism))
-    return scored(texts, weights).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    weights = train(texts.where(~F.col("held_out")), groups, max(1, spark.sparkContext.defaultParallelism))
+    return scored(texts, groups, *weights).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -277,3 +277,33 @@ def test_summed_adds_the_rows_of_each_value():
         own, step = language_model.summed(g, r)
         assert own.tolist() == sorted(set(r.tolist()))
         assert np.allclose(step, [g[r == k].sum(0) for k in own] or np.zeros((0, 3)))
+
+
+def test_words_of_a_class_are_a_distribution_and_learned():
+    groups = language_model.Groups([(0, 5, 5), (1, 1, 90), (49, 3, 40), (49, 11, 25), (50, 1, 2)])
+    words, bits = np.arange(groups.v + 1, dtype=np.uint32), groups.bits
+    tree = np.random.default_rng(0).normal(size=1 << bits).astype(np.float32)
+    token, node, right, prior = groups.decisions(words)
+    cells = language_model.node_cells(node, np.full(len(node), 7), np.full(len(node), 3), bits)
+    p = np.exp(np.bincount(token, language_model.log_sigmoid(tree, cells, right, prior), len(words)))
+    assert np.allclose(np.bincount(groups.classes(words[:-1]), p[:-1])[[0, 1, 49, 50]], 1) and p[-1] == 1
+    squares, seen, mine = np.ones(1 << bits, np.float32), np.zeros(1 << bits, np.int32), token == 12
+    before = p[12]
+    language_model.update_tree(tree, squares, seen, cells[:, mine], right[mine], prior[mine])
+    assert np.exp(language_model.log_sigmoid(tree, cells[:, mine], right[mine], prior[mine]).sum()) > before
+
+
+def test_words_within_a_class_follow_the_context(spark):
+    """All second words of pairs are of one class, so only the choice within it tells right pairs from wrong ones."""
+    rng = random.Random(6)
+    rows, right, wrong = [], set(), set()
+    for i in range(3000):
+        held = zlib.crc32(str(i).encode()) % 10 == 0
+        shift = 7 if held and rng.random() < 0.5 else 0
+        picks = [rng.randrange(100) for _ in range(30)]
+        rows.append((i, " ".join(f"a{k}q b{(k + shift) % 100}xyz" for k in picks)))
+        if held:
+            (wrong if shift else right).add(i)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mean = lambda ids: sum(got[i] for i in ids) / len(ids)
+    assert mean(right) - mean(wrong) > 30 * 0.3
