@@ -12,6 +12,10 @@ what collides is checked exactly by bit-parallel edit distance.
 
 Windows that provably match nothing are not walked: k edits leave at least n - 2 - 3k of an item's
 trigrams, so a window with fewer trigrams of any item can be left out without loss.
+
+Items of fewer than LEAST_WORDS words have too few trigrams for that and allow one edit at most. One of two
+pieces of such an item, or the whole of one without edits, is in every match; so these pieces are looked
+up as they are, and the words about each hit are checked by the same edit distance, without loss.
 """
 
 import math
@@ -24,7 +28,7 @@ from busfleet.llm._text import MARKS, Bytes, pieces, plus, utf8
 
 #: Share of an item's words that edits may touch.
 EDITS = 0.2
-#: Items of fewer words are not searched: so short a phrase occurs by chance.
+#: Items of fewer words are searched by their pieces, not by walks.
 LEAST_WORDS = 8
 SAMPLES = 2
 TARGET = 0.9995
@@ -119,12 +123,12 @@ def fit(items):
     A class holds the lengths within a quarter of its shortest; its windows have the size of that one.
     """
     rng = np.random.default_rng(5)
-    words_of = {}
+    words_of, short = {}, {}
     for number, (_, text) in enumerate(items):
         data = np.frombuffer((text or "").encode(), np.uint8)
         words = Bytes(data, np.array([0, len(data)]), split=MARKS)
-        if len(words.starts) >= LEAST_WORDS:
-            words_of[number] = words.words()
+        if len(words.starts):
+            (words_of if len(words.starts) >= LEAST_WORDS else short)[number] = words.words()
     classes = []
     for number in sorted(words_of, key=lambda i: (len(words_of[i]), i)):
         if not classes or len(words_of[number]) > 1.25 * len(words_of[classes[-1][0]]):
@@ -149,11 +153,82 @@ def fit(items):
     sieve = np.zeros(1 << 22, bool)
     sieve[(known >> np.uint64(42)).astype(np.int64)] = True
     return {
-        "ids": [i for i, _ in items], "words": {i: w.tolist() for i, w in words_of.items()}, "classes": tables, "grams": known,
+        "ids": [i for i, _ in items], "words": {i: w.tolist() for i, w in (words_of | short).items()}, "short": _short(short), "classes": tables, "grams": known,
         "of": {i: np.searchsorted(known, g).tolist() for i, g in grams.items()}, "sieve": np.packbits(sieve),
     }
 
 
+def _runs(words, n):
+    """A hash of each run of n words."""
+    h = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+    for i in range(n):
+        h = (h ^ words[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _short(items):
+    """By the size of a piece: the sorted hashes of the pieces, and the item and the place in it of each.
+
+    An item that allows k edits has k + 1 pieces, so a match holds one of them unchanged.
+    """
+    found = {}
+    for number, words in items.items():
+        cuts = np.linspace(0, len(words), allowed(len(words)) + 2).astype(int)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            found.setdefault(int(b - a), []).append((int(_runs(words[a:b], b - a)[0]), number, int(a)))
+    out = {}
+    for size, rows in found.items():
+        rows.sort()
+        keys, numbers, places = zip(*rows)
+        out[size] = np.array(keys, np.uint64), np.array(numbers), np.array(places)
+    return out
+
+
+def _best(index, item, words, starts, a, b):
+    """(distance, first word, end) of the item's best match about some starts within words a to b, or None."""
+    pattern = index["words"][item]
+    n, k = len(pattern), allowed(len(pattern))
+    spans, best = [], None
+    for p in starts:
+        lo, hi = max(a, p - k), min(b, p + n + 2 * k)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        distance, end = search(pattern, words[lo:hi].tolist())
+        if distance <= k and (best is None or distance < best[0]):
+            best = (distance, lo, lo + end)
+    if best:
+        distance, lo, end = best
+        _, back = search(pattern[::-1], words[lo:end][::-1].tolist())
+        return distance, end - back, end
+
+
+def _found_short(text, at, index):
+    """As ``_found``, for the short items."""
+    words, doc = text.words(), text.doc
+    rows, items, starts = [], [], []
+    for size, (keys, numbers, places) in index["short"].items():
+        h = _runs(words, size)
+        lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+        hit = np.flatnonzero((hi > lo) & (doc[: len(h)] == doc[size - 1 :]))
+        each = (hi - lo)[hit]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo[hit], each)
+        hit = np.repeat(hit, each)
+        rows.append(doc[hit]), items.append(numbers[place]), starts.append(hit - places[place])
+    rows, items, starts = (np.concatenate(x) for x in (rows, items, starts))
+    order = np.lexsort((starts, items, rows))
+    rows, items, starts = rows[order], items[order], starts[order]
+    cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]), True]) if len(rows) else [0]
+    for i, j in zip(cut[:-1], cut[1:]):
+        row, item = int(rows[i]), int(items[i])
+        a, b = np.searchsorted(doc, [row, row + 1]).tolist()
+        if best := _best(index, item, words, starts[i:j].tolist(), a, b):
+            yield row, item, best[0], int(text.starts[best[1]] - at[row]), int(text.ends[best[2] - 1] - at[row])
+
+
 def search(pattern, text):
     """Least edit distance of the pattern to any stretch of the text, and the first end that has it.
 
@@ -208,6 +283,8 @@ def _pairs(words, doc, last, known, index):
 def _found(data, at, index, sieve):
     """(row, item number, distance, first byte, end byte) of every match in some texts."""
     text = Bytes(data, at, split=MARKS)
+    if index["short"] and len(text.starts):
+        yield from _found_short(text, at, index)
     if len(text.starts) < 3 or not len(index["grams"]):
         return
     words, doc = text.words(), text.doc
@@ -242,21 +319,9 @@ def _found(data, at, index, sieve):
         n = len(pattern)
         if sum(map(present.__contains__, index["of"][item])) < n - 2 - 3 * k:
             continue  # too few of this item's trigrams are anywhere in the text
-        spans, best = [], None
-        for p in starts[i:j].tolist():
-            lo, hi = max(a, p - k), min(b, p + n + 2 * k)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
-            distance, end = search(pattern, words[lo:hi].tolist())
-            if distance <= k and (best is None or distance < best[0]):
-                best = (distance, lo, lo + end)
-        if best:
+        if best := _best(index, item, words, starts[i:j].tolist(), a, b):
             distance, lo, end = best
-            _, back = search(pattern[::-1], words[lo:end][::-1].tolist())
-            yield row, item, distance, int(text.starts[keep[end - back]] - at[row]), int(text.ends[keep[end - 1]] - at[row])
+            yield row, item, distance, int(text.starts[keep[lo]] - at[row]), int(text.ends[keep[end - 1]] - at[row])
 
 
 def blocks(items, id="item_id", text="text"):
@@ -277,8 +342,7 @@ def matches(docs, items, text="text", id="doc_id"):
     """One row per document and item that match: doc_id, item_id, distance, item_words, start, end.
 
     start and end are the byte range of the best match in the text, the first of equally good ones.
-    Documents without a match give no row; null and empty texts and items match nothing, items of fewer
-    than LEAST_WORDS words are not searched. Repeated rows and items match each. Other columns are left
+    Documents without a match give no row; null and empty texts and items match nothing. Repeated rows and items match each. Other columns are left
     out. The documents are only scanned, once for each block of the benchmark.
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))

@@ -307,3 +307,31 @@ def test_words_within_a_class_follow_the_context(spark):
     got = {r["doc_id"]: r["score"] for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     mean = lambda ids: sum(got[i] for i in ids) / len(ids)
     assert mean(right) - mean(wrong) > 30 * 0.3
+
+
+def test_short_benchmark_items_are_searched(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 1 + k % 9, 60)) for k in range(36)]
+    rows = [(i, prose(rng, 40, 60)) for i in range(60)]
+    rows += [(100 + k, f"Some text: {text.upper()}!") for k, text in items]  # whole copies, at the end of a text too
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def least(pattern, text):
+        row = [0] * (len(text) + 1)
+        for a, p in enumerate(pattern, 1):
+            old, row = row, [a]
+            for b, t in enumerate(text, 1):
+                row.append(min(old[b - 1] + (p != t), old[b] + 1, row[b - 1] + 1))
+        return min(row)
+
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    short = {k for k, t in items if len(words(t)) < 8}
+    want = {(i, k): d for i, t in rows for k, item in items if k in short and (d := least(words(item), words(t))) <= decontaminate.allowed(len(words(item)))}
+    found = decontaminate.matches(docs, table).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in found if r["item_id"] in short}
+    assert {key: r["distance"] for key, r in got.items()} == want and {k for _, k in want} == short and any(want.values())
+    texts, item_of = dict(rows), dict(items)
+    for (i, k), r in got.items():
+        part = words(texts[i].encode()[r["start"] : r["end"]].decode())
+        assert r["distance"] == least(words(item_of[k]), part)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, table).collect()} == {i for i, _ in rows} - {r["doc_id"] for r in found}
