@@ -2,8 +2,11 @@
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from busfleet.llm._text import stored
+
 
 def remainder(id, modulus):
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
@@ -15,13 +18,15 @@ def held_out(id, modulus, rest):
     return F.coalesce(remainder(id, modulus) == rest, F.lit(False))
 
 
-def labelled_sample(docs, labels, label, modulus, rest, per_class, text="text", id="doc_id"):
+def labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes, text="text", id="doc_id"):
     """Training rows (doc_id, text, y): at most ``per_class`` of each class, never held-out ones.
 
-    Of the labels, the ids with the smallest hashes are taken, so the choice does not depend on order.
-    Repeated labels of an id count as 1 if any is 1; null labels and ids are left out. Also returns the
-    log odds of class 1 among all training labels, to undo the balance of the sample (0 without labels).
-    The sampled labels are broadcast: 2 * per_class rows at most, whatever the size of the tables.
+    Of the labels, the ids with the smallest hashes are taken, so the choice does not depend on order; of
+    a class's texts in that order, those that end within ``class_bytes``, and the first in any case.
+    Repeated labels of an id count as 1 if any is 1; null labels and ids are left out; of different texts
+    of an id the least is taken. Also returns the log odds of class 1 among all training labels, to undo
+    the balance of the sample (0 without labels). What is broadcast are the sampled ids: 2 * per_class rows
+    at most, whatever the size of the tables.
     """
     known = (
         labels.select(F.col(id).alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -30,8 +35,13 @@ def labelled_sample(docs, labels, label, modulus, rest, per_class, text="text",
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    return sample, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) if counts else 0.0
+    found = rows.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = stored(found, "sample")
+    by = Window.partitionBy("y").orderBy(*order)  # at most per_class ids and lengths a class
+    sizes = sample.select("doc_id", "y", F.octet_length("text").cast("long").alias("size"))
+    placed = sizes.withColumns({"upto": F.sum("size").over(by), "place": F.row_number().over(by)})
+    within = placed.where((F.col("upto") <= class_bytes) | (F.col("place") == 1)).select("doc_id")
+    return sample.join(F.broadcast(within), "doc_id"), math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) if counts else 0.0

@@ -1,15 +1,19 @@
 """Shared helpers: the shared folder, and whole texts as numpy byte arrays.
 
 Texts reach a task as Arrow batches. ``pieces`` cuts a batch into runs of whole rows of a few MB, so
-that a task's memory does not follow the batch size; ``Bytes`` gives the words of such a run without a
-Python object for each word. A null text is an empty text everywhere.
+that a task's memory does not follow the batch size, and gives freed memory back after each batch, as
+workers are reused by later stages; ``Bytes`` gives the words of such a run without a Python object for
+each word. A null text is an empty text everywhere.
 """
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SPACE = np.zeros(256, bool)
@@ -28,9 +32,11 @@ _own = {}  # folders of applications without a shared one
 
 
 def shared_dir(spark, name):
-    """A new folder below the cluster's shared checkpoint folder; one in /tmp only where that is unset."""
+    """A new folder below the cluster's shared checkpoint folder; one in /tmp only for a local master without one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors and the driver share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _own[app] = base
@@ -45,6 +51,15 @@ def stored(df, name, *partition_by):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs, *columns):
+    """``docs`` if its rows have a file of their own; else these columns of it (a joined input, say), stored."""
+    try:
+        docs.select(F.input_file_name())
+        return docs
+    except AnalysisException:
+        return stored(docs.select(*columns), "input")
+
+
 def plus(schema, ddl):
     """A schema with further columns given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
@@ -77,6 +92,16 @@ def pieces(batch, column="text", most=2_000_000, rows=4000):
         end = min(max(end, start + 1), start + rows, n)
         yield batch.slice(start, end - start)
         start = end
+    release()
+
+
+def release():
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def mix(x):
@@ -90,14 +115,14 @@ def mix(x):
 
 
 def powers(n):
-    """The first n powers of the hash step and of its inverse, modulo 2**64."""
+    """The first n powers of the hash step and of its inverse, modulo 2**64; those of long texts are not kept."""
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 16)
         for key, base in (("up", _STEP), ("down", _BACK)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             _powers[key] = np.cumprod(steps)
-        if size > 1 << 23:
+        if size > 1 << 21:
             return _powers.pop("up")[:n], _powers.pop("down")[:n]
     return _powers["up"][:n], _powers["down"][:n]
 

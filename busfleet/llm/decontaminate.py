@@ -6,9 +6,10 @@ item, k being a fifth of n rounded down. Words are runs of letters and digits in
 The CGK random walk reads a word sequence by a pointer: at step j it writes the word under the pointer
 and moves on by a random bit of (step, word), so that n words take about 2n steps. Sequences at a small edit distance so
 become sequences at a small Hamming distance. Each of several independent walks gives one LSH table
-over a few sampled steps; their number follows from the target recall and the agreement of coordinates
-measured on the items with k random edits. Windows of the items' sizes at every word are looked up, and
-what collides is checked exactly by bit-parallel edit distance.
+over a few steps sampled from all of it; their number follows from the target recall and the agreement of
+coordinates measured on the items with k edits, spread out or all at the front. Windows of each size that
+items have, at every word, are looked up among the items of that size, and what collides is checked
+exactly by bit-parallel edit distance.
 
 Windows that provably match nothing are not walked: k edits leave at least n - 2 - 3k of an item's
 trigrams, so a window with fewer trigrams of any item can be left out without loss.
@@ -23,6 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from busfleet.llm._text import MARKS, Bytes, pieces, plus, utf8
 
@@ -31,9 +33,13 @@ EDITS = 0.2
 #: Items of fewer words are searched by their pieces, not by walks.
 LEAST_WORDS = 8
 SAMPLES = 2
+#: Tables of each size from one walk.
+TABLES = 4
 TARGET = 0.9995
 #: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes several.
 BLOCK_BYTES = 4 << 20
+#: Bytes of documents that a task works on at a time; a longer text is taken whole.
+PIECE = 2_000_000
 
 
 def allowed(n):
@@ -48,29 +54,25 @@ def _bit(walk, step, words):
     return (x >> np.uint64(63)).astype(np.int64)
 
 
-def embedded(words, starts, n, walk, steps):
-    """The words that the walk writes at the given (sorted) steps, for windows of n words at ``starts``.
-
-    words needs n further entries of padding behind the last window; beyond a window the pad is 0.
-    """
-    at = np.array(starts)
-    end = at + n
-    out = np.zeros((len(starts), len(steps)), np.uint64)
-    for j in range(steps[-1] + 1):
-        seen = words[at]
-        if j >= n:
-            seen[at >= end] = 0
-        if j in steps:
-            out[:, steps.index(j)] = seen
-        at += _bit(walk, j, seen)
-        if j >= n:
-            np.minimum(at, end, out=at)
+def walked(words, starts, walk, steps):
+    """How far the walk's pointer has moved at each of its first steps, from each start: (steps, starts)."""
+    at, most = np.array(starts), len(words) - 1
+    out = np.empty((steps, len(at)), np.int16)
+    for j in range(steps):
+        out[j] = at - starts
+        at += _bit(walk, j, words[at])
+        np.minimum(at, most, out=at)
     return out
 
 
+def written(words, starts, moved, n):
+    """The words that a walk writes in windows of n words, at the steps of ``moved``; beyond a window 0."""
+    return np.where(moved < n, words[np.minimum(starts + moved, len(words) - 1)], np.uint64(0))
+
+
 def _key(coordinates):
-    h = np.zeros(len(coordinates), np.uint64)
-    for c in coordinates.T:
+    h = np.zeros(coordinates.shape[1], np.uint64)
+    for c in coordinates:
         h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return h
@@ -79,36 +81,51 @@ def _key(coordinates):
 def _edited(words, k, rng):
     out = list(words)
     for _ in range(k):
-        kind, place = rng.integers(3), int(rng.integers(len(out)))
+        kind, place = rng.integers(3), int(rng.integers(max(len(out), 1)))
         new = np.uint64(rng.integers(1, 2**63))
-        if kind == 0:
-            out[place] = new
-        elif kind == 1:
+        if kind == 1 or not out:
             out.insert(place, new)
+        elif kind == 0:
+            out[place] = new
         else:
             del out[place]
     return out
 
 
-def walks_needed(items, rng, most_items=60):
-    """Walks for the target recall, from the chance that a walk's sample agrees after k random edits."""
-    hits = total = 0
-    n = min(map(len, items))
-    for words in items[:most_items]:
-        pad = np.zeros(2 * len(words), np.uint64)
-        twin = np.r_[np.array(_edited(words, allowed(len(words)), rng), np.uint64), pad]
-        walk, steps = int(rng.integers(1 << 30)), list(range(_last_step(n)))
-        own, other = (embedded(x, np.zeros(1, np.int64), n, walk, steps)[0] for x in (np.r_[words, pad], twin))
-        picks = rng.integers(0, len(steps), (200, SAMPLES))
-        hits += (own == other)[picks].all(1).sum()
-        total += 200
-    p = min(max(hits / total, 1e-3), 0.999)
+def tables_needed(items, n, rng, most_items=60, samples=200):
+    """Tables for the target recall, from the chance that sampled steps agree after k random edits.
+
+    The edits are spread over an item, or lie together at its front; the rarer agreement counts.
+    """
+    rates = []
+    for edit in (_edited, _edited_front):
+        hits = total = 0
+        for words in items[:most_items]:
+            twin = np.array(edit(words, allowed(n), rng), np.uint64)[:n]
+            twin = np.r_[twin, np.full(n - len(twin), np.uint64(1))]
+            for _ in range(-(-8 // len(items))):
+                walk, at = int(rng.integers(1 << 30)), np.zeros(1, np.int64)
+                own, other = (written(x, at, walked(x, at, walk, _last_step(n)), n)[:, 0] for x in (np.r_[words, 0].astype(np.uint64), np.r_[twin, 0].astype(np.uint64)))
+                hits += (own == other)[_sampled_steps(n, rng, samples)].all(1).sum()
+                total += samples
+        rates.append(hits / total)
+    p = min(max(min(rates), 0.02), 0.999)
     return max(8, math.ceil(math.log(1 - TARGET) / math.log(1 - p)))
 
 
+def _edited_front(words, k, rng):
+    """The item with k edits among its first k words."""
+    return [*_edited(words[:k], k, rng), *words[k:]] if k else list(words)
+
+
 def _last_step(n):
-    """Steps are sampled before this one: the pointer is then still within the shortest item of a class."""
-    return max(SAMPLES, int(1.25 * n))
+    """Steps are sampled before this one: a walk over n words takes about 2n steps, and its pads say nothing."""
+    return max(SAMPLES, int(1.9 * n))
+
+
+def _sampled_steps(n, rng, count):
+    """``count`` rows of SAMPLES steps of a walk: over the whole item, the first of them before its last quarter."""
+    return np.column_stack([rng.integers(0, int(1.5 * n), count), rng.integers(0, _last_step(n), (count, SAMPLES - 1))])
 
 
 def _trigrams(words):
@@ -118,10 +135,7 @@ def _trigrams(words):
 
 
 def fit(items):
-    """The index of (item_id, text) rows: LSH tables for each class of item lengths; the items' trigrams.
-
-    A class holds the lengths within a quarter of its shortest; its windows have the size of that one.
-    """
+    """The index of (item_id, text) rows: LSH tables for each size of items; the items' trigrams."""
     rng = np.random.default_rng(5)
     words_of, short = {}, {}
     for number, (_, text) in enumerate(items):
@@ -129,31 +143,33 @@ def fit(items):
         words = Bytes(data, np.array([0, len(data)]), split=MARKS)
         if len(words.starts):
             (words_of if len(words.starts) >= LEAST_WORDS else short)[number] = words.words()
-    classes = []
-    for number in sorted(words_of, key=lambda i: (len(words_of[i]), i)):
-        if not classes or len(words_of[number]) > 1.25 * len(words_of[classes[-1][0]]):
-            classes.append([])
-        classes[-1].append(number)
-    tables = []
-    for own in classes:
-        sizes = [len(words_of[i]) for i in own]
-        n = sizes[0]
-        flat = np.concatenate([np.r_[words_of[i], np.zeros(n + 1, np.uint64)] for i in own])
-        first = np.r_[0, np.cumsum([s + n + 1 for s in sizes])[:-1]]
-        walks = []
-        for walk in range(walks_needed([words_of[i] for i in own], rng)):
-            steps = sorted(int(s) for s in rng.choice(_last_step(n), SAMPLES, replace=False))
-            keys = _key(embedded(flat, first, n, walk, steps))
-            order = np.argsort(keys, kind="stable")
-            walks.append((walk, steps, keys[order], np.array(own)[order]))
-        # what any item of the class leaves: trigrams within its longest match
-        tables.append((n, max(s + allowed(s) for s in sizes), min(s - 2 - 3 * allowed(s) for s in sizes), walks))
+    sizes = {}
+    for number in sorted(words_of):
+        sizes.setdefault(len(words_of[number]), []).append(number)
+    needed = {n: tables_needed([words_of[i] for i in own], n, rng) for n, own in sizes.items()}
+    # each walk serves all sizes, with TABLES tables for a size that needs more still
+    walks = []
+    for walk in range(-(-max(needed.values(), default=0) // TABLES)):
+        tables = []
+        for n, own in sorted(sizes.items()):
+            if walk * TABLES >= needed[n]:
+                continue
+            flat = np.concatenate([*(np.r_[words_of[i], np.zeros(n, np.uint64)] for i in own), np.zeros(1, np.uint64)])
+            first = np.arange(len(own)) * 2 * n
+            moved = walked(flat, first, walk, _last_step(n))
+            for steps in _sampled_steps(n, rng, TABLES):
+                keys = _key(written(flat, first, moved[steps], n))
+                order = np.argsort(keys, kind="stable")
+                tables.append((n, steps, keys[order], np.array(own)[order]))
+        walks.append((walk, tables))
+    # of each size: the longest match, and the trigrams that any match leaves
+    spans = [(n, n + allowed(n), n - 2 - 3 * allowed(n)) for n in sorted(sizes)]
     grams = {i: _trigrams(w) for i, w in words_of.items()}
     known = np.unique(np.concatenate(list(grams.values()))) if grams else np.zeros(0, np.uint64)
     sieve = np.zeros(1 << 22, bool)
     sieve[(known >> np.uint64(42)).astype(np.int64)] = True
     return {
-        "ids": [i for i, _ in items], "words": {i: w.tolist() for i, w in (words_of | short).items()}, "short": _short(short), "classes": tables, "grams": known,
+        "ids": [i for i, _ in items], "words": {i: w.tolist() for i, w in (words_of | short).items()}, "short": _short(short), "spans": spans, "walks": walks, "grams": known,
         "of": {i: np.searchsorted(known, g).tolist() for i, g in grams.items()}, "sieve": np.packbits(sieve),
     }
 
@@ -261,21 +277,25 @@ def search(pattern, text):
 def _pairs(words, doc, last, known, index):
     """Distinct (start, item number) pairs that collide in some table, over the windows of all texts."""
     total, found = np.r_[0, np.cumsum(known)], []
-    longest = max(n for n, *_ in index["classes"])
-    padded = np.r_[words, np.zeros(longest + 1, np.uint64)]
-    for n, span, need, walks in index["classes"]:
-        at = np.arange(len(words))
-        inside = total[np.minimum(at + span - 2, last[doc])] - total[at] if span > 2 else 0
-        starts = np.flatnonzero(inside >= need)
-        if not len(starts):
-            continue
-        for walk, steps, keys, items in walks:
-            got = _key(embedded(padded, starts, n, walk, steps))
-            lo, hi = np.searchsorted(keys, got), np.searchsorted(keys, got, "right")
-            hit = np.flatnonzero(hi > lo)
-            each = (hi - lo)[hit]
-            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo[hit], each)
-            found.append(items[place] * np.int64(len(words)) + np.repeat(starts[hit], each))
+    at = np.arange(len(words))
+    fitting = {n: total[np.minimum(at + span - 2, last[doc])] - total[at] >= need for n, span, need in index["spans"]}
+    every = np.flatnonzero(np.any(list(fitting.values()), axis=0))
+    padded = np.r_[words, np.uint64(0)]
+    for first in range(0, len(every), 20_000):
+        starts = every[first : first + 20_000]
+        own = {n: np.flatnonzero(x[starts]) for n, x in fitting.items()}
+        longest = max(n for n, x in own.items() if len(x))
+        for walk, tables in index["walks"]:
+            moved = walked(padded, starts, walk, _last_step(longest))
+            for n, steps, keys, items in tables:
+                if not len(which := own[n]):
+                    continue
+                got = _key(written(padded, starts[which], moved[steps][:, which], n))
+                lo, hi = np.searchsorted(keys, got), np.searchsorted(keys, got, "right")
+                hit = np.flatnonzero(hi > lo)
+                each = (hi - lo)[hit]
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo[hit], each)
+                found.append(items[place] * np.int64(len(words)) + np.repeat(starts[which[hit]], each))
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs % len(words), pairs // len(words)
 
@@ -292,7 +312,7 @@ def _found(data, at, index, sieve):
     hits = np.flatnonzero(sieve[(grams >> np.uint64(42)).astype(np.int64)] & (doc[:-2] == doc[2:]))
     number = np.minimum(np.searchsorted(index["grams"], grams[hits]), len(index["grams"]) - 1)
     hits, number = (x[index["grams"][number] == grams[hits]] for x in (hits, number))
-    busy = np.bincount(doc[hits], minlength=text.n) >= min(need for _, _, need, _ in index["classes"])
+    busy = np.bincount(doc[hits], minlength=text.n) >= min(need for _, _, need in index["spans"])
     keep = np.flatnonzero(busy[doc])
     if not len(keep):
         return
@@ -331,7 +351,7 @@ def blocks(items, id="item_id", text="text"):
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
-        yield fit(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        yield fit(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])))
 
 
 def _sieve(index):
@@ -346,24 +366,26 @@ def matches(docs, items, text="text", id="doc_id"):
     out. The documents are only scanned, once for each block of the benchmark.
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    kind = items.schema["item_id"].dataType
+    schema, arrow = docs.select("doc_id").schema.add("item_id", kind), to_arrow_type(kind)
     found = None
     for index in blocks(items):
 
         def run(batches, index=index):
             sieve = _sieve(index)
             for batch in batches:
-                for part in pieces(batch, "__text", 4_000_000):
+                for part in pieces(batch, "__text", PIECE):
                     rows = list(_found(*utf8(part.column("__text")), index, sieve))
                     cols = list(zip(*rows)) if rows else [()] * 5
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([index["ids"][i] for i in cols[1]], pa.int64()),
+                            part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([index["ids"][i] for i in cols[1]], arrow),
                             pa.array(cols[2], pa.int32()), pa.array([len(index["words"][i]) for i in cols[1]], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()),
                         ],
                         ["doc_id", "item_id", "distance", "item_words", "start", "end"],
                     )
 
-        part = docs.mapInArrow(run, plus(docs.select("doc_id").schema, "item_id long, distance int, item_words int, start long, end long"))
+        part = docs.mapInArrow(run, plus(schema, "distance int, item_words int, start long, end long"))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -375,7 +397,7 @@ def clean(docs, items, text="text"):
         def run(batches, index=index):
             sieve = _sieve(index)
             for batch in batches:
-                for part in pieces(batch, text, 4_000_000):
+                for part in pieces(batch, text, PIECE):
                     stay = np.ones(part.num_rows, bool)
                     stay[[row for row, *_ in _found(*utf8(part.column(text)), index, sieve)]] = False
                     yield part.filter(pa.array(stay))

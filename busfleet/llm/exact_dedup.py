@@ -9,13 +9,17 @@ document's; rows whose bytes differ in spite of an equal digest form groups of t
 
 from pyspark.sql import functions as F
 
-from busfleet.llm._text import shared_dir, stored
+from busfleet.llm._text import located, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Many small stores: without preallocation a store takes the disk that its entries need.
+#: Many small stores: without preallocation a store takes the disk that its entries need; all stores of an
+#: executor share one bound of memory, and a store is closed with its task, so none stays for later stages.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -78,6 +82,7 @@ def decisions(docs, text="text", id="doc_id", folder=None):
     group has an id. An empty table gives no rows. With ``folder`` the state of earlier runs goes on.
     """
     spark = docs.sparkSession
+    docs = located(docs, id, text)
     folder = folder or shared_dir(spark, "exact-dedup")
     rows = arrivals(docs, text, id)
     rows.write.mode("append").parquet(f"{folder}/arrivals")
@@ -92,14 +97,17 @@ def decisions(docs, text="text", id="doc_id", folder=None):
     slim = seen.join(stored(state, "state"), "digest")
     # full bytes of the hits: rows whose digest has more than one entry, against the kept row's text
     hits = slim.where("n > 1").select(F.col("doc_id").alias("__id"), "digest", "keep_id")
-    texts = stored(docs.select(F.col(id).alias("__id"), F.sha2(normalised(text), 256).alias("digest"), normalised(text).alias("text")).join(hits, ["__id", "digest"]), "hits")
-    kept = stored(texts.where("__id = keep_id").groupBy("digest").agg(F.first("text").alias("first_text")), "kept")
-    clash = texts.where("__id <> keep_id").join(kept, "digest").where("text <> first_text")
+    rows = docs.select(F.col(id).alias("__id"), F.sha2(normalised(text), 256).alias("digest"), normalised(text).alias("text"))
+    same = rows["__id"].eqNullSafe(hits["__id"]) & (rows["digest"] == hits["digest"])
+    texts = stored(rows.join(hits, same).select(rows["__id"], rows["digest"], "text", "keep_id"), "hits")
+    kept = stored(texts.where("__id <=> keep_id").groupBy("digest").agg(F.min("text").alias("first_text")), "kept")
+    clash = texts.join(kept, "digest").where("text <> first_text")
     own = clash.groupBy("digest", "text").agg(F.min("__id").alias("own_keep"), F.count("*").alias("own_n"))
     moved = clash.join(own, ["digest", "text"]).select("digest", F.col("__id").alias("doc_id"), "own_keep", "own_n").distinct()
     lost = moved.groupBy("digest").agg(F.count("*").alias("lost"))
     return (
-        slim.join(moved, ["digest", "doc_id"], "left").join(lost, "digest", "left")
+        slim.join(moved.withColumnsRenamed({"digest": "moved_digest", "doc_id": "moved_id"}), F.col("digest").eqNullSafe(F.col("moved_digest")) & F.col("doc_id").eqNullSafe(F.col("moved_id")), "left")
+        .join(lost, "digest", "left")
         .select(
             "doc_id", F.coalesce("own_keep", "keep_id").alias("keep_id"),
             F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0))).alias("group_size"),

@@ -6,20 +6,24 @@ last (a skip). Each of the most frequent words is a class; other words seen at l
 their ending; words seen once share a class with the one unknown word, so its probability follows the
 context as that of rare words does.
 
-Within a class a word is found by a binary tree: first among the groups of words whose counts have the same
-power of two, then by halving the group's words in their order. Each node's decision is a logistic model
-of its own bias and the same three features, with hashed weights; its prior is the share of the training
-tokens (groups) or of the words (in a group) on either side. The table of these weights follows the counted
-vocabulary. The probabilities of all V known words and the unknown one add up to 1.
-
-Counts cover all training documents. They reach a document through its block, a split of an input file:
-the distinct words of a block are counted and joined, not its tokens. Training is one pass of gradient
-updates over all training tokens, one model replica per task, averaged by how often each feature was
-seen. Scoring gathers sparse rows of the weights in numpy batches.
+The word within its class is predicted by further softmaxes of at most WAYS ways over the same features:
+first among the groups of the class's words whose counts have the same power of two, then, digit by digit,
+the word's place in its group. Each of these decisions has its own weights for its bias and the three
+features, found by hashing; its prior is the share of the training tokens (groups) or of the words (digits)
+on each way. The table of weights follows the counted vocabulary up to ``most_bits``. The probabilities of
+all V known words and the unknown one add up to 1.
+
+Texts are split into words once, by chunks of texts: a chunk has its own numbering of its distinct words,
+so only these, not its tokens, are counted and joined with the counts of all training documents. Training
+takes each training token once, in rounds of growing shares of the documents. Within a round, replicas of
+about ``replica_tokens`` tokens each start from the averaged weights of the round before and make gradient
+updates; a feature's weights are averaged by how often each replica saw it. Which document is in which
+round and replica, and in which place, follows from a hash of the document, so the scores do not depend on
+the number of cores. Scoring gathers sparse rows of the weights in numpy batches.
 """
 
 import math
-from collections import Counter
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,18 @@ HEAD, TAIL = 48, 15
 CLASSES = 1 + HEAD + TAIL
 LAST, PAIR, SKIP = 1 << 13, 1 << 14, 1 << 13
 ROWS = LAST + PAIR + SKIP + 1
-CHUNK_ROWS = 2048
+#: Ways of a decision within a class.
+WAYS = 16
+#: Counts of as many binary digits or more are one group.
+MOST_POWER = WAYS + 1
 TOKENS = 2048
 RATE = 0.5
-#: The weights of the tree's nodes: at least so many for each known word, in chunks of so many.
-CELLS_A_WORD, CHUNK_CELLS = 2, 1 << 16
+#: Rows of weights that travel together.
+CHUNK_ROWS = 8192
+#: Bytes of text, and distinct words, of one chunk.
+CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 1_000_000
+#: A document's round, by its hash modulo 16: shares of 1, 3 and 12 sixteenths.
+ROUNDS = (1, 4, 16)
 END = b"\n"  # not a word, as words have no white space
 
 
@@ -47,29 +58,61 @@ def tokens(text):
     return found
 
 
-def block_counts(docs, modulus, rest):
-    """(block, token, c): the distinct tokens of each block, and how often its training texts have them."""
-    rows = docs.select("block", held_out("doc_id", modulus, rest).alias("held"), "text")
+class _Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
-    def run(batches):
-        trained, kept, now = Counter(), Counter(), None
 
-        def rows_of(block):
-            names = [*trained, *(t for t in kept if t not in trained)]
-            values = [*trained.values(), *[0] * (len(names) - len(trained))]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(names), pa.int64()), pa.array(names, pa.binary()), pa.array(values, pa.int64())], ["block", "token", "c"])
+def split_chunks(docs, modulus, rest):
+    """What tokenising leaves, by chunk, in one stored table with three kinds of rows.
 
-        for batch in batches:
-            for block, held, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "text"))):
-                if (trained or kept) and (block != now or len(trained) + len(kept) > 1_000_000):
-                    yield rows_of(now)
-                    trained, kept = Counter(), Counter()
-                now = block
-                (kept if held else trained).update(tokens(text))
-        if trained or kept:
-            yield rows_of(now)
+    0: token, local (its number in the chunk), c (how often the chunk's training texts have it);
+    1: doc_id, held_out and ids (the local numbers of a text's tokens, binary);
+    2: c (the number of training tokens of the chunk).
+    """
+    rows = docs.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "text")
+    names = ["kind", "chunk", "token", "local", "c", "doc_id", "held_out", "ids"]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
-    return rows.mapInArrow(run, "block long, token binary, c long")
+    def batch(n, kind, chunk, **given):
+        filled = {"kind": pa.array(np.full(n, kind, np.int32)), "chunk": pa.array(np.full(n, chunk)), **given}
+        return pa.RecordBatch.from_arrays([filled.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds)], names)
+
+    def run(batches):
+        def start():
+            return int.from_bytes(os.urandom(8), "little") >> 1, _Numbers(), [], 0
+
+        def finished():
+            counts = np.bincount(np.concatenate(trained), minlength=len(known)) if trained else np.zeros(len(known), np.int64)
+            words = list(known)
+            for i in range(0, len(words), 100_000):
+                part = words[i : i + 100_000]
+                yield batch(len(part), 0, chunk, token=pa.array(part, pa.binary()), local=pa.array(np.arange(i, i + len(part), dtype=np.int32)), c=pa.array(counts[i : i + len(part)].astype(np.int64)))
+            yield batch(1, 2, chunk, c=pa.array([int(counts.sum())], pa.int64()))
+
+        chunk, known, trained, size = start()
+        for got in batches:
+            for i in range(0, got.num_rows, 500):
+                part = got.slice(i, 500)
+                out, number = [], known.__getitem__
+                for held, text in zip(part.column("held_out").to_pylist(), part.column("text").to_pylist()):
+                    ids = np.fromiter(map(number, tokens(text)), np.uint32)
+                    out.append(ids.tobytes())
+                    size += len(text)
+                    if not held:
+                        trained.append(ids)
+                yield batch(part.num_rows, 1, chunk, doc_id=part.column("doc_id"), held_out=part.column("held_out"), ids=pa.array(out, pa.binary()))
+                if len(trained) > 4000:
+                    trained = [np.concatenate(trained)]
+                if size > CHUNK_BYTES or len(known) > CHUNK_WORDS:
+                    yield from finished()
+                    chunk, known, trained, size = start()
+        if known:
+            yield from finished()
+
+    schema = "kind int, chunk long, token binary, local int, c long, doc_id long, held_out boolean, ids binary"
+    return stored(rows.mapInArrow(run, schema), "chunks", "kind")
 
 
 def _tail_class():
@@ -91,7 +134,7 @@ def numbered(vocabulary, stats, parts):
     of_head = F.coalesce(*(F.when(F.col("token") == F.lit(bytearray(t)), 1 + i) for i, t in enumerate(stats["head"])), F.lit(None).cast("int"))
     kind = F.when(F.col("c") < 2, 0).otherwise(F.coalesce(of_head, _tail_class()))
     rows = vocabulary.where("c > 0").withColumn("class", kind.cast("int"))
-    rows = rows.withColumn("power", F.when(F.col("class") > HEAD, F.length(F.bin("c"))).otherwise(0))
+    rows = rows.withColumn("power", F.when(F.col("class") > HEAD, F.least(F.length(F.bin("c")), F.lit(MOST_POWER))).otherwise(0))
     order = ["class", "power", "token"]
     rows = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "numbered")
     rows = rows.withColumn("part", F.shiftright("place", 33))
@@ -105,7 +148,7 @@ def numbered(vocabulary, stats, parts):
     shift = vocabulary.sparkSession.createDataFrame(shifts, "class int, power int, part long, shift long")
     known = rows.join(F.broadcast(shift), ["class", "power", "part"]).select("token", "c", (F.col("place") + F.col("shift")).alias("number"))
     unknown = vocabulary.where("c = 0").select("token", "c", F.lit(stats["v"]).cast("long").alias("number"))
-    return known.unionByName(unknown), Groups([(k, *x) for (k, _), x in sums.items()])
+    return known.unionByName(unknown), [(k, *x) for (k, _), x in sums.items()]
 
 
 class Groups:
@@ -114,98 +157,94 @@ class Groups:
     rows: (class, words, training tokens) of each group.
     """
 
-    def __init__(self, rows):
+    def __init__(self, rows, most_bits=20):
         kinds, words, mass = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        self.starts = np.r_[0, np.cumsum(words), words.sum() + 1]
-        self.mass = np.r_[0, np.cumsum(mass), mass.sum()]
-        self.kinds = np.r_[kinds, 0].astype(np.uint8)
-        # the unknown word's group is not of the tree of class 0
-        self.first = np.r_[np.searchsorted(kinds, kinds), len(kinds)]
-        self.last = np.r_[np.searchsorted(kinds, kinds, "right"), len(kinds) + 1]
         self.v, self.once = int(words.sum()), int(words[kinds == 0].sum())
-        self.bits = max(16, math.ceil(math.log2(max(CELLS_A_WORD * self.v, 1))))
+        self.starts = np.r_[0, np.cumsum(words), self.v + 1]
+        self.kinds = np.r_[kinds, 0].astype(np.uint8)
+        self.words = np.r_[words, 1]
+        # a group's place among its class's; the unknown word's group is no choice of class 0
+        self.place = np.r_[np.arange(len(kinds)) - np.searchsorted(kinds, kinds), 0]
+        self.several = np.r_[np.bincount(kinds, minlength=CLASSES)[kinds] > 1, False]
+        self.shares = np.full((CLASSES, WAYS), -1e4, np.float32)
+        self.shares[kinds, self.place[:-1]] = np.log(np.maximum(mass, 1))
+        # digits of a place in its group, and ways of each digit
+        self.digits = np.array([next(d for d in range(64) if WAYS**d >= n) for n in self.words.tolist()])
+        self.base = np.array([next(b for b in range(1, WAYS + 1) if b**d >= n) for d, n in zip(self.digits.tolist(), self.words.tolist())])
+        self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2) / 2))), most_bits)
 
     def classes(self, words):
         return self.kinds[np.searchsorted(self.starts, words, "right") - 1]
 
     def decisions(self, words):
-        """(token, node, right, prior) of the decisions that lead to each of some words within its class.
+        """(token, node, way, prior) of the decisions that lead to each of some words within its class.
 
-        A node is named by the first word, or V + 1 + the first group, of its right side.
+        A node is a class, or else a level and the first word below it; prior has a row of WAYS log shares.
         """
         words = words.astype(np.int64)
         group = np.searchsorted(self.starts, words, "right") - 1
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))]
-        for leaf, lo, hi in ((group, self.first[group], self.last[group]), (words, self.starts[group], self.starts[group + 1])):
-            at = np.flatnonzero(hi - lo > 1)
-            while len(at):
-                a, b = lo[at], hi[at]
-                mid = a + b >> 1
-                right = leaf[at] >= mid
-                sides = (self.mass[b] - self.mass[mid], self.mass[mid] - self.mass[a]) if leaf is group else (b - mid, mid - a)
-                out.append((at, mid + (self.v + 1 if leaf is group else 0), right, np.log(sides[0] / sides[1])))
-                lo[at], hi[at] = np.where(right, mid, a), np.where(right, b, mid)
-                at = at[hi[at] - lo[at] > 1]
+        at = np.flatnonzero(self.several[group])
+        out = [(at, self.kinds[group[at]].astype(np.int64), self.place[group[at]], self.shares[self.kinds[group[at]]])]
+        base, digits, n = self.base[group], self.digits[group], self.words[group]
+        place, ways = words - self.starts[group], np.arange(WAYS)
+        for level in range(int(digits.max(initial=0))):
+            at = np.flatnonzero(digits > level)
+            width = base[at] ** (digits[at] - 1 - level)
+            first = place[at] - place[at] % (width * base[at])
+            size = np.clip((n[at] - first)[:, None] - ways * width[:, None], 0, width[:, None])
+            size[ways >= base[at][:, None]] = 0
+            prior = np.where(size > 0, np.log(np.maximum(size, 1), dtype=np.float32), np.float32(-1e4))
+            out.append((at, (self.starts[group[at]] + first + 1) * 64 + level + CLASSES, place[at] // width % base[at], prior))
         return [np.concatenate(x) for x in zip(*out)]
 
 
-class Table:
-    """What a block's texts need of each distinct token: count, log10 share and number.
-
-    A token may come more than once; its rows are equal.
-    """
-
-    def __init__(self, stats):
-        self.stats, self.place, self.parts, self.arrays = stats, {}, [], None
-
-    def add(self, batch):
-        n = len(self.place) if not self.parts else sum(len(p[0]) for p in self.parts)
-        self.place.update(zip(batch.column("token").to_pylist(), range(n, n + batch.num_rows)))
-        self.parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("c", "number")])
-
-    def ready(self):
-        if self.arrays is None:
-            s = self.stats
-            c, number = (np.concatenate(x) for x in zip(*self.parts))
-            base = np.log10((c + 0.1) / (s["n"] + 0.1 * (s["v"] + 1)))
-            self.arrays = base, c > 0, number.astype(np.uint32)
-        return self.arrays
-
-
-def encoded(docs, lookups, stats, parts, modulus, rest):
+def encoded(chunks, lookups, stats, parts):
     """Per text: doc_id, held_out, n_tokens, n_known, base_score and words (the numbers of its tokens, binary)."""
-    a = lookups.select("block", F.lit(0).alias("kind"), "token", "c", "number", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    b = docs.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("number"), "doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "text")
-    rows = a.unionByName(b).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    a = lookups.select("chunk", F.lit(0).alias("kind"), "local", "c", "number", null("doc_id", "long"), null("held_out", "boolean"), null("ids", "binary"))
+    b = chunks.where("kind = 1").select("chunk", F.lit(1).alias("kind"), null("local", "int"), null("c", "long"), null("number", "long"), "doc_id", "held_out", "ids")
+    rows = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words"]
 
     def run(batches):
-        block, table = None, None
+        chunk, held = None, []
         for batch in batches:
-            kinds, blocks = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
-            cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (blocks[1:] != blocks[:-1]), True])
+            kinds, own = batch.column("kind").to_numpy(), batch.column("chunk").to_numpy()
+            cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]), True])
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if blocks[i] != block:
-                    block, table = blocks[i], Table(stats)
+                if own[i] != chunk:
+                    chunk, held, base = own[i], [], None
                 part = batch.slice(i, j - i)
                 if kinds[i] == 0:
-                    table.add(part)
+                    held.append([part.column(c).to_numpy() for c in ("local", "c", "number")])
                     continue
-                base, known, number = table.ready()
-                place = table.place.__getitem__
+                if base is None:
+                    local, c, number = (np.concatenate(x) for x in zip(*held))
+                    order = np.empty(len(local), np.int64)
+                    order[local] = np.arange(len(local))
+                    c, number, held = c[order], number[order].astype(np.uint32), []
+                    base, known = np.log10((c + 0.1) / (stats["n"] + 0.1 * (stats["v"] + 1))), c > 0
                 for start in range(0, part.num_rows, 500):
                     piece = part.slice(start, 500)
-                    out = []
-                    for text in piece.column("text").to_pylist():
-                        ids = np.fromiter(map(place, tokens(text)), np.int32)
-                        out.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), number[ids].tobytes()))
-                    cols = list(zip(*out))
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+                    sizes, ids = _arrays(piece.column("ids"))
+                    first = np.cumsum(sizes) - sizes  # each text has its end, so none is empty
+                    words = number[ids]
+                    offsets = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
+                    column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
+                    sums = np.add.reduceat(known[ids].astype(np.int64), first), np.add.reduceat(base[ids], first)
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), column], names)
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words binary")
 
 
+def _arrays(column):
+    """The lengths of some binary uint32 arrays, and all of them in a row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(at) // 4, np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint32) if len(column) else np.zeros(0, np.uint32)
+
+
 def context(words, starts):
     """The last word and the one before it for each token, 0 where there is none; other words from 1.
 
@@ -226,50 +265,31 @@ def feature_rows(words, starts):
     return np.stack([mixed(last, 2654435761, LAST), LAST + mixed(last * 65599 + skip, 2246822519, PAIR), LAST + PAIR + mixed(skip, 3266489917, SKIP)])
 
 
-def node_cells(node, last, skip, bits):
-    """The cells of the tree's weights for each decision: the node alone, with the last word, the last two words, the word before the last."""
+def node_rows(node, last, skip, bits):
+    """The rows of the weights of each decision: the node alone, with the last word, the last two, the word before the last."""
     node, last, skip = (x.astype(np.uint64) for x in (node, last, skip))
     out = np.empty((4, len(node)), np.int64)
+    node = node * np.uint64(0x9E3779B97F4A7C15)
     for i, seen in enumerate((np.uint64(0), last + np.uint64(1), last * np.uint64(0xC2B2AE3D27D4EB4F) + skip, skip + np.uint64(1))):
-        h = node * np.uint64(0x9E3779B97F4A7C15) + seen * np.uint64(0x165667B19E3779F9) + np.uint64(i * 0x27D4EB2F165667C5)
+        h = node + (seen * np.uint64(0x165667B19E3779F9) + np.uint64(i * 0x27D4EB2F165667C5))
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         out[i] = h >> np.uint64(64 - bits)
     return out
 
 
-def log_sigmoid(tree, cells, right, prior):
-    """The log probability of each decision."""
-    z = prior + tree[cells].sum(0)
-    return -np.logaddexp(0, np.where(right, -z, z))
-
-
-def update_tree(tree, squares, seen, cells, right, prior):
-    """One AdaGrad step on the log loss of some decisions."""
-    if not len(right):
-        return
-    g = (1 / (1 + np.exp(-(prior + tree[cells].sum(0)))) - right).astype(np.float32)
-    flat = cells.reshape(-1)
-    order = np.argsort(flat.astype(np.int32))
-    flat = flat[order]
-    first = np.flatnonzero(np.diff(flat, prepend=-1))
-    own, step = flat[first], np.add.reduceat(np.tile(g, len(cells))[order], first)
-    seen[own] += np.diff(np.r_[first, len(flat)]).astype(np.int32)
-    squares[own] += step * step
-    tree[own] -= RATE * step / np.sqrt(squares[own])
-
-
-def _logits(weights, rows):
+def _logits(weights, rows, prior=None):
+    """Logits of each token's choices: the sum of the rows, less the largest; without a prior the last row is the bias."""
     z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z += weights[-1]
+    for r in rows[1:]:
+        z += weights[r]
+    z += weights[-1] if prior is None else prior
     z -= z.max(1, keepdims=True)
     return z
 
 
-def log_softmax(weights, rows):
-    z = _logits(weights, rows)
+def log_softmax(weights, rows, prior=None):
+    z = _logits(weights, rows, prior)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
@@ -279,7 +299,7 @@ def summed(g, r):
 
     Neighbours in sorted order are added pair by pair, so a value that comes n times takes log2(n) rounds.
     """
-    order = np.argsort(r.astype(np.min_scalar_type(ROWS)), kind="stable")
+    order = np.argsort(r.astype(np.min_scalar_type(int(r.max(initial=0)))), kind="stable")
     r, g = r[order], g[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
     length = np.diff(np.r_[first, len(r)])
@@ -293,110 +313,139 @@ def summed(g, r):
     return r[first], g[first]
 
 
-def update(weights, squares, rows, classes):
-    """One AdaGrad step on the log loss of the classes of some tokens."""
-    g = _logits(weights, rows)
+def update(weights, squares, rows, ways, prior=None):
+    """One AdaGrad step on the log loss of some tokens' choices."""
+    if not len(ways):
+        return
+    g = _logits(weights, rows, prior)
     np.exp(g, out=g)
     g /= g.sum(1, keepdims=True)
-    g[np.arange(len(classes)), classes] -= 1
+    g[np.arange(len(ways)), ways] -= 1
+    rate = RATE / len(rows)
     for r in rows:
         own, step = summed(g, r)
-        squares[own] += np.einsum("ij,ij->i", step, step) / CLASSES
-        step *= (RATE / 3 / np.sqrt(squares[own]))[:, None]
+        squares[own] += np.einsum("ij,ij->i", step, step) / g.shape[1]
+        step *= (rate / np.sqrt(squares[own]))[:, None]
         weights[own] -= step
-    step = g.sum(0)
-    squares[-1] += (step * step).mean()
-    weights[-1] -= RATE / 3 * step / math.sqrt(squares[-1])
+    if prior is None:
+        step = g.sum(0)
+        squares[-1] += (step * step).mean()
+        weights[-1] -= rate * step / math.sqrt(squares[-1])
 
 
 def _token_batches(batches, most):
     """(words, starts, texts) of whole texts, with about ``most`` tokens at a time."""
-    held, size = [], 0
     for batch in batches:
-        for w in batch.column("words"):
-            held.append(np.frombuffer(w.as_buffer(), np.uint32))
-            size += len(held[-1])
-            if size >= most:
-                yield _joined(held)
-                held, size = [], 0
-        yield _joined(held) if held else None  # a batch's end
-        held, size = [], 0
-
-
-def _joined(held):
-    n = np.array([len(w) for w in held])
-    starts = np.zeros(n.sum(), bool)
-    starts[np.cumsum(n) - n] = True
-    return np.concatenate(held), starts, len(held)
+        sizes, words = _arrays(batch.column("words"))
+        total, i = np.cumsum(sizes), 0
+        while i < len(sizes):
+            before = total[i] - sizes[i]
+            j = min(max(int(np.searchsorted(total, before + most, "right")), i + 1), len(sizes))
+            starts = np.zeros(total[j - 1] - before, bool)
+            starts[total[i:j] - sizes[i:j] - before] = True
+            yield words[before : total[j - 1]], starts, j - i
+            i = j
 
 
 def _steps(words, starts, groups):
-    """Runs of TOKENS tokens: their place, class rows, classes, and the tokens, cells, sides and priors of their decisions."""
+    """Runs of TOKENS tokens: their place, class rows and classes, and the tokens, rows, ways and priors of their decisions."""
     rows, (last, skip), classes = feature_rows(words, starts), context(words, starts), groups.classes(words)
     for i in range(0, len(words), TOKENS):
         part = slice(i, i + TOKENS)
-        token, node, right, prior = groups.decisions(words[part])
-        yield part, rows[:, part], classes[part], token, node_cells(node, last[part][token], skip[part][token], groups.bits), right, prior
-
-
-def train(texts, groups, replicas):
-    """The averaged weights of one replica per task, each trained on its share of all training texts: of the classes, of the tree."""
-    shared = texts.sparkSession.sparkContext.broadcast(groups)
+        token, node, way, prior = groups.decisions(words[part])
+        yield part, rows[:, part], classes[part], token, node_rows(node, last[part][token], skip[part][token], groups.bits), way, prior
+
+
+def _zero(groups):
+    return np.zeros((ROWS, CLASSES), np.float32), np.zeros((1 << groups.bits, WAYS), np.float32)
+
+
+def _trained(batches, groups, start):
+    """Chunks (kind, start, w, n) of a replica's weights that it has seen, as float16, and how often."""
+    weights = [w.copy() for w in start]
+    squares = [np.full(len(w), e, np.float32) for w, e in zip(weights, (1e-6, 1.0))]
+    seen = [np.zeros(len(w), np.int64) for w in weights]
+    for words, starts, _ in _token_batches(batches, 4 * TOKENS):
+        for _, rows, classes, _, cells, way, prior in _steps(words, starts, groups):
+            update(weights[0], squares[0], rows, classes)
+            update(weights[1], squares[1], cells, way, prior)
+            for s, r in zip(seen, (rows, cells)):
+                np.add.at(s, r.reshape(-1), 1)
+        seen[0][-1] += len(words)
+    for kind, (w, n) in enumerate(zip(weights, seen)):
+        for first in range(0, len(w), CHUNK_ROWS):
+            part = slice(first, first + CHUNK_ROWS)
+            if len(own := np.flatnonzero(n[part])):
+                yield kind, first, own.astype(np.uint16).tobytes(), w[part][own].astype(np.float16).tobytes(), n[part][own].tobytes()
+
+
+def _averaged(batches):
+    """One row (kind, start, rows, w) for each chunk of weights, from rows in order of chunk: their averages by use."""
+    key, total, weight = None, None, None
+
+    def finished():
+        own = np.flatnonzero(weight)
+        w = (total[own] / weight[own, None]).astype(np.float16)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([own.astype(np.uint16).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["kind", "start", "rows", "w"])
 
-    def run(batches):
-        groups = shared.value
-        weights, squares, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1e-6, np.float32), np.zeros(ROWS, np.int64)
-        tree, tree_squares, tree_seen = np.zeros(1 << groups.bits, np.float32), np.ones(1 << groups.bits, np.float32), np.zeros(1 << groups.bits, np.int32)
-        for got in _token_batches(batches, TOKENS):
-            if got is None:
-                continue
-            words, starts, _ = got
-            for _, rows, classes, _, cells, right, prior in _steps(words, starts, groups):
-                update(weights, squares, rows, classes)
-                update_tree(tree, tree_squares, tree_seen, cells, right, prior)
-                seen += np.bincount(rows.reshape(-1), minlength=ROWS)
-            seen[-1] += len(words)
-        for kind, w, n, size in ((0, weights, seen, CHUNK_ROWS), (1, tree, tree_seen, CHUNK_CELLS)):
-            for start in range(0, len(w), size):
-                part = slice(start, start + size)
-                if n[part].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([start], pa.int32()), pa.array([w[part].tobytes()], pa.binary()), pa.array([n[part].astype(np.int32).tobytes()], pa.binary())], ["kind", "start", "w", "n"])
-
-    def average(table):
-        total = weight = 0
-        for w, n in zip(table.column("w").to_pylist(), table.column("n").to_pylist()):
-            n = np.frombuffer(n, np.int32)[:, None]
-            total, weight = total + np.frombuffer(w, np.float32).reshape(len(n), -1) * n, weight + n.astype(np.int64)
-        w = (total / np.maximum(weight, 1)).astype(np.float32)
-        return pa.table({"kind": table.column("kind")[:1], "start": table.column("start")[:1], "w": pa.array([w.tobytes()], pa.binary())})
-
-    parts = texts.select("words").coalesce(replicas).mapInArrow(run, "kind int, start int, w binary, n binary")
-    weights, tree = np.zeros((ROWS, CLASSES), np.float32), np.zeros(1 << groups.bits, np.float32)
-    for r in parts.groupBy("kind", "start").applyInArrow(average, "kind int, start int, w binary").toLocalIterator():
-        w, into = np.frombuffer(r["w"], np.float32), tree if r["kind"] else weights
-        w = w if r["kind"] else w.reshape(-1, CLASSES)
-        into[r["start"] : r["start"] + len(w)] = w
-    return weights, tree
-
-
-def scored(texts, groups, weights, tree):
+    for batch in batches:
+        for kind, start, rows, w, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "start", "rows", "w", "n"))):
+            if key != (kind, start):
+                if key:
+                    yield finished()
+                key, width = (kind, start), WAYS if kind else CLASSES
+                total, weight = np.zeros((CHUNK_ROWS, width)), np.zeros(CHUNK_ROWS, np.int64)
+            rows, n = np.frombuffer(rows, np.uint16), np.frombuffer(n, np.int64)
+            total[rows] += np.frombuffer(w, np.float16).reshape(-1, width) * n[:, None].astype(float)
+            weight[rows] += n
+    if key:
+        yield finished()
+
+
+def train(texts, groups, n_tokens, replica_tokens):
+    """The weights of the classes and of the decisions within them, after all rounds."""
+    sc = texts.sparkSession.sparkContext
+    order = F.xxhash64("doc_id", "words")
+    rows = texts.select("words", order.alias("order")).withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(ROUNDS[-1])))
+    weights, before = _zero(groups), 0
+    for upto in ROUNDS:
+        replicas = max(1, math.ceil(n_tokens * (upto - before) / ROUNDS[-1] / replica_tokens))
+        shared = sc.broadcast((groups, weights))
+
+        def run(batches, shared=shared):
+            names = ["kind", "start", "rows", "w", "n"]
+            for row in _trained(batches, *shared.value):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+
+        mine = rows.where((F.col("bucket") >= before) & (F.col("bucket") < upto)).withColumn("replica", F.pmod("order", F.lit(replicas)))
+        dealt = mine.repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("order").select("words")
+        found = dealt.mapInArrow(run, "kind int, start int, rows binary, w binary, n binary").withColumn("from", F.spark_partition_id())
+        found = found.repartition("kind", "start").sortWithinPartitions("kind", "start", "from").drop("from")
+        weights = [w.copy() for w in weights]
+        for r in found.mapInArrow(_averaged, "kind int, start int, rows binary, w binary").toLocalIterator():
+            into = weights[r["kind"]]
+            into[r["start"] + np.frombuffer(r["rows"], np.uint16).astype(np.int64)] = np.frombuffer(r["w"], np.float16).reshape(-1, into.shape[1])
+        shared.unpersist()
+        before = upto
+    return weights
+
+
+def scored(texts, groups, weights):
     """The ``encoded`` rows without arrays, with ``score``: the model's log10 probability of the text."""
-    shared = texts.sparkSession.sparkContext.broadcast((groups, weights, tree))
+    shared = texts.sparkSession.sparkContext.broadcast((groups, weights))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
-        groups, weights, tree = shared.value
+        groups, (weights, tree) = shared.value
         half = math.log(0.5) if groups.once else 0.0  # words seen once, and the unknown one
         for batch in batches:
             score, at = np.zeros(batch.num_rows), 0
-            for got in _token_batches([batch], TOKENS):
-                if got is None:
-                    continue
-                words, starts, n = got
+            for words, starts, n in _token_batches([batch], 4 * TOKENS):
                 text = np.cumsum(starts) - 1
-                for part, rows, classes, token, cells, right, prior in _steps(words, starts, groups):
-                    p = log_softmax(weights, rows)[np.arange(len(classes)), classes] + np.where(classes == 0, half, 0.0)
-                    p += np.bincount(token, log_sigmoid(tree, cells, right, prior), len(classes))
+                for part, rows, classes, token, cells, way, prior in _steps(words, starts, groups):
+                    p = log_softmax(weights, rows)[np.arange(len(classes)), classes].astype(float) + np.where(classes == 0, half, 0.0)
+                    if len(way):
+                        p += np.bincount(token, log_softmax(tree, cells, prior)[np.arange(len(way)), way], len(classes))
                     score[at : at + n] += np.bincount(text[part], p, n)
                 at += n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score / math.log(10))], [*names, "score"])
@@ -404,26 +453,24 @@ def scored(texts, groups, weights, tree):
     return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id"):
+def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bits=20, replica_tokens=8_000_000):
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id modulo ``modulus`` is not ``rest``; a null id is learned
     from. A null text is empty and has the end as its one token. Repeated rows count each. Columns of
-    other names are left out; an empty table gives no rows.
+    other names are left out; an empty table gives no rows. The weights within classes have a row for every
+    two known words, but 2 ** ``most_bits`` rows at most: each replica holds them whole.
     """
     spark = docs.sparkSession
-    if not docs.inputFiles():
-        docs = stored(docs.select(id, text), "documents")
-    docs = docs.select(
-        F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block"),
-        F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    counts = stored(block_counts(docs, modulus, rest), "counts")
+    chunks = split_chunks(docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), modulus, rest)
+    counts = chunks.where("kind = 0").select("chunk", "token", "local", "c")
     vocabulary = stored(counts.groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
     stats = statistics(vocabulary)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    words, groups = numbered(vocabulary, stats, parts)
-    lookups = counts.select("block", "token").join(words, "token")
-    texts = stored(encoded(docs, lookups, stats, parts, modulus, rest), "encoded")
-    weights = train(texts.where(~F.col("held_out")), groups, max(1, spark.sparkContext.defaultParallelism))
-    return scored(texts, groups, *weights).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    n_chunks = chunks.where("kind = 2").count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_chunks, 1)
+    words, rows = numbered(vocabulary, stats, parts)
+    groups = Groups(rows, most_bits)
+    lookups = counts.select("chunk", "token", "local").join(words, "token").select("chunk", "local", "c", "number")
+    texts = stored(encoded(chunks, lookups, stats, parts), "encoded")
+    weights = train(texts.where(~F.col("held_out")), groups, stats["n"], replica_tokens)
+    return scored(texts, groups, weights).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings averaged over a document, softmax output.
 
-Features of a text are its words (hashed), a mark where a word repeats the one before it, and the
-character n-grams of its bytes (hashed). Each bucket has a learned vector; the document's vector is the
-mean over all its features; a softmax layer gives the class. Both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows. As the output is linear in the mean, a bucket's
-vector folds into one number for scoring: all of a text is scored by hashing, one gather and a sum.
+Features of a text are its words and pairs of neighbouring words (hashed), and the character n-grams of
+its bytes (hashed). Each bucket has a learned vector; the document's vector is the mean over all its
+features, times one constant that belongs to the model; a softmax layer gives the class. Both are trained
+by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output is linear in
+the mean, a bucket's vector folds into one number for scoring: all of a text is scored by hashing, one
+gather and a sum, and the score is the fitted softmax itself.
 """
 
 import numpy as np
@@ -14,20 +15,22 @@ from pyspark.sql import functions as F
 from busfleet.llm._labels import held_out, labelled_sample
 from busfleet.llm._text import Bytes, pieces, plus, utf8
 
-WORDS, GRAMS, ORDERS, DIM = 1 << 16, 1 << 17, (3, 5), 8
-BUCKETS = 1 + WORDS + GRAMS  # bucket 0: a word equal to the one before
+WORDS, PAIRS, GRAMS, ORDERS, DIM = 1 << 16, 1 << 16, 1 << 17, (3, 5), 8
+BUCKETS = WORDS + PAIRS + GRAMS
+#: Bytes of text that a task works on at a time; a longer text is taken whole.
+PIECE = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(data, at):
-    """Yields (buckets, documents) for the words, the repeats and each order of n-grams of some texts."""
+    """Yields (buckets, documents) for the words, their pairs and each order of n-grams of some texts."""
     text = Bytes(data, at, lower=False)
     if not len(data):
         return
     words = text.words()
-    yield 1 + (words % np.uint64(WORDS)).astype(np.int64), text.doc
-    again = np.flatnonzero((words[1:] == words[:-1]) & (text.doc[1:] == text.doc[:-1])) + 1
-    yield np.zeros(len(again), np.int64), text.doc[again]
+    yield (words % np.uint64(WORDS)).astype(np.int64), text.doc
+    pairs = np.flatnonzero(text.doc[1:] == text.doc[:-1])
+    yield WORDS + ((words[pairs] * _ODD ^ words[pairs + 1]) % np.uint64(PAIRS)).astype(np.int64), text.doc[pairs]
     doc = np.repeat(np.arange(text.n, dtype=np.int32), np.diff(at))
     for n in ORDERS:
         if len(data) < n:
@@ -39,7 +42,7 @@ def features(data, at):
         packed *= _ODD
         packed >>= np.uint64(64 - GRAMS.bit_length() + 1)
         inside = doc[:m] == doc[n - 1 :]
-        yield 1 + WORDS + packed.astype(np.int64)[inside], doc[:m][inside]
+        yield WORDS + PAIRS + packed.astype(np.int64)[inside], doc[:m][inside]
 
 
 def counts(data, at):
@@ -53,66 +56,77 @@ def counts(data, at):
         yield np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_counts=True)
 
 
+def gain_of(rows):
+    """The constant that means are multiplied by: the median over the rows of 1 / the norm of their shares."""
+    spread = [c.sum() / np.sqrt(float(c.astype(float) @ c)) for _, b, c in rows if len(b)]
+    return float(np.median(spread)) if spread else 1.0
+
+
 def fit(rows, prior, epochs=4, rate=0.08, seed=1):
-    """Weights of the buckets and the bias, from (y, buckets, counts) rows; with no row, weights of 0."""
+    """The folded weights of the buckets, the gain and the bias, from (y, buckets, counts) rows; with no row, weights of 0."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
+    out, bias, gain = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32), gain_of(rows)
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             y, b, c = rows[k]
-            c = c.astype(np.float32)
             step += 1
             if not len(b):
                 continue
-            share = c / c.sum()
-            power = float(share @ share)
+            share = c.astype(np.float32)
+            share *= gain / share.sum()
             mean = share @ vectors[b]
-            mean *= (scale := 1 / np.sqrt(power))
-            z = out @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
+            p = _softmax(out @ mean + bias)
             p[y] -= 1
-            lr = rate * (1 - step / (steps + 1))
+            # a text of few features has a large norm: its step is shortened, not its score
+            lr = rate * (1 - step / (steps + 1)) / max(1.0, float(share @ share))
             back = p @ out
             out -= lr * np.outer(p, mean)
             bias -= lr * p
-            vectors[b] -= (lr * scale) * np.outer(share, back)
-    balance = np.log((sum(y for y, *_ in rows) + 0.5) / (len(rows) - sum(y for y, *_ in rows) + 0.5)) if rows else 0.0
-    return {"weight": (vectors @ (out[1] - out[0])).astype(np.float32), "bias": float(bias[1] - bias[0]), "shift": float(prior - balance)}
+            vectors[b] -= lr * np.outer(share, back)
+    ones = sum(y for y, *_ in rows)
+    balance = np.log((ones + 0.5) / (len(rows) - ones + 0.5)) if rows else 0.0
+    return {"weight": (vectors @ (out[1] - out[0])).astype(np.float32), "bias": float(bias[1] - bias[0]), "shift": float(prior - balance), "gain": gain, "layers": (vectors, out, bias)}
+
+
+def _softmax(z):
+    p = np.exp(z - z.max())
+    return p / p.sum()
 
 
 def logits(data, at, model):
     """Log odds of class 1 of each text: the mean over its features; an empty text has the bias alone."""
     n = len(at) - 1
-    total, square = np.zeros(n), np.zeros(n)
+    total, size = np.zeros(n), np.zeros(n)
     for buckets, doc in features(data, at):
         total += np.bincount(doc, model["weight"][buckets], n)
-        square += np.bincount(doc, minlength=n)
-    return total / np.maximum(square, 1) * model["gain"] + model["bias"] + model["shift"]
+        size += np.bincount(doc, minlength=n)
+    return total / np.maximum(size, 1) * model["gain"] + model["bias"] + model["shift"]
+
 
+def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, class_bytes=16_000_000, **names):
+    """The model of ``docs`` and ``labels``.
 
-def train(docs, labels, label="quality", modulus=5, rest=0, per_class=1500, **names):
-    """The model of ``docs`` and ``labels``; ``per_class`` bounds the labelled rows used of each class."""
-    sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, **names)
+    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text; the
+    driver gets their distinct features, at most six bytes for each.
+    """
+    sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes, **names)
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=PIECE):
                 got = list(counts(*utf8(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b", "c"])
 
     schema = plus(sample.select("doc_id", "y").schema, "b binary, c binary")
-    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow()
+    rows = sample.mapInArrow(run, schema).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     ys = rows.column("y").to_numpy()
     b, c = (rows.column(k) for k in ("b", "c"))
-    each = [(int(ys[i]), np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.uint16)) for i in order.tolist()]
-    model = fit(each, prior)
-    # the mean is scaled in training by the spread of its shares; one typical scale serves for scoring
-    spread = [c.sum() / np.sqrt(float(c.astype(float) @ c)) for _, _, c in each if len(c)]
-    return model | {"gain": float(np.median(spread)) if spread else 1.0}
+    model = fit([(int(ys[i]), np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.uint16)) for i in order.tolist()], prior)
+    del model["layers"]
+    return model
 
 
 def score(docs, model, text="text", id="doc_id", modulus=5, rest=0, threshold=0.3, keep=()):
@@ -126,7 +140,7 @@ def score(docs, model, text="text", id="doc_id", modulus=5, rest=0, threshold=0.
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", PIECE):
                 p = 1 / (1 + np.exp(-np.clip(logits(*utf8(part.column("__text")), model), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -138,7 +152,7 @@ def accepted(docs, model, text="text", threshold=0.3):
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PIECE):
                 z = logits(*utf8(part.column(text)), model)
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) >= threshold))
 

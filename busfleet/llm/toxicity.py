@@ -2,11 +2,15 @@
 
 Features of a text are the presence of its words and of its words' beginnings, hashed; words are runs of
 letters and digits in lower case. Features tied to a class are chosen on a bounded labelled sample, and
-their weights minimise the log loss plus ``penalty`` times the squared change of the score when the
-identity terms of a labelled text are swapped for others. A term that only names a group so gets no
-weight of its own, and a neutral mention of it raises no score.
+their weights minimise the log loss plus ``penalty`` times the squared change of the score between each
+labelled text and its counterfactual. That is the text with its identity terms swapped for others of
+their group; a text without such terms gets one put in after one of its words. So a term that only names
+a group, or a beginning it shares with other words, gets no weight of its own, and a neutral mention of it
+raises no score.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -14,12 +18,21 @@ from pyspark.sql import functions as F
 from busfleet.llm._labels import held_out, labelled_sample
 from busfleet.llm._text import MARKS, Bytes, pieces, plus, utf8
 
-#: Names of groups of people that are swapped for one another.
+#: Names of groups of people, in lower case; a term is swapped for another of its row.
 IDENTITY_TERMS = (
-    "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant",
-    "black", "white", "asian", "african", "european", "american", "arab", "latino", "hispanic",
-    "man", "woman", "men", "women", "male", "female", "gay", "lesbian", "straight", "transgender",
-    "old", "young", "elderly", "blind", "deaf", "disabled", "immigrant", "refugee",
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
+    ("black", "white", "asian", "african", "european", "american", "arab", "latino", "hispanic"),
+    ("man", "woman", "male", "female"), ("men", "women"), ("gay", "lesbian", "straight", "transgender"),
+    ("old", "young", "elderly"), ("blind", "deaf", "disabled"), ("immigrant", "refugee"),
+    ("muslime", "christ", "jude", "hinduist", "buddhist", "atheist", "katholik", "protestant"),
+    ("schwarze", "weiße", "asiate", "afrikaner", "europäer", "amerikaner", "araber"),
+    ("mann", "frau"), ("männer", "frauen"), ("schwul", "lesbisch", "hetero"), ("einwanderer", "flüchtling"), ("blinde", "gehörlose", "behinderte"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique", "protestant"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "américain", "arabe"),
+    ("homme", "femme"), ("hommes", "femmes"), ("gai", "lesbienne", "hétéro"), ("immigré", "réfugié"), ("aveugle", "sourd", "handicapé"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico", "protestante"),
+    ("negro", "blanco", "asiático", "africano", "europeo", "americano", "árabe"),
+    ("hombre", "mujer"), ("hombres", "mujeres"), ("homosexual", "lesbiana", "heterosexual"), ("inmigrante", "refugiado"), ("ciego", "sordo", "discapacitado"),
 )
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -36,31 +49,55 @@ def features(data, at):
         yield (text.hashed(a, a + n) * np.uint64(2 * n + 1) % np.uint64(BUCKETS)).astype(np.int64), own, text
 
 
-def _sets(text):
-    """Distinct buckets of one text as (bucket, word) pairs, and its words as byte strings."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    pairs = [(b, w) for b, w, _ in features(data, np.array([0, len(data)]))]
-    return np.concatenate([b for b, _ in pairs]), np.concatenate([w for _, w in pairs])
+def buckets_of(data):
+    """The distinct buckets of one text in UTF-8 bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    return np.unique(np.concatenate([b for b, *_ in features(raw, np.array([0, len(raw)]))]))
+
 
+def swaps(terms):
+    """{term: the other terms of its rows}, in UTF-8."""
+    found = {}
+    for row in terms:
+        for t in row:
+            found.setdefault(t.encode(), []).extend(o.encode() for o in row if o != t)
+    return {t: others for t, others in found.items() if others}
 
-def sampled(text, terms):
-    """(buckets of a text, buckets of its counterfactual); the latter is empty without identity terms."""
-    buckets, _ = _sets(text)
-    own = np.unique(buckets)
-    order = {t: i for i, t in enumerate(terms)}
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    if not any(w in order for w in words):
-        return own, np.zeros(0, np.int64)
-    swapped = " ".join(terms[(order[w] + 1 + i % max(1, len(terms) - 1)) % len(terms)] if w in order else w for i, w in enumerate(words))
-    return own, np.unique(_sets(swapped)[0])
+
+def counterfactual(data, others):
+    """The UTF-8 text with each identity term, as a whole word, swapped; or with one put in where it has none.
+
+    Only the bytes of those words differ. Which term is taken follows from a hash of the text.
+    """
+    if not others:
+        return data
+    raw = np.frombuffer(data, np.uint8)
+    text, pick, names = Bytes(raw, np.array([0, len(raw)]), split=MARKS), zlib.crc32(data), list(others)
+    low, out, at = bytes(text.data), [], 0
+    for start, end in zip(text.starts.tolist(), text.ends.tolist()):
+        if low[start:end] in others:
+            choice = others[low[start:end]]
+            out += [data[at:start], choice[(pick + len(out)) % len(choice)]]
+            at = end
+    if not out:
+        at = int(text.ends[pick % len(text.ends)]) if len(text.ends) else 0
+        out = [data[:at], b" ", names[pick // 7 % len(names)]] + [b" "] * (at == 0)
+    return b"".join(out) + data[at:]
+
+
+def sampled(text, others):
+    """(buckets of a text, those its counterfactual has besides, those it lacks)."""
+    data = text.encode()
+    own, twin = buckets_of(data), buckets_of(counterfactual(data, others))
+    return own, np.setdiff1d(twin, own, assume_unique=True), np.setdiff1d(own, twin, assume_unique=True)
 
 
 def fit(rows, prior, penalty=4.0, ridge=1e-4, least=4, z=4.0, rounds=300):
-    """Weights from (y, buckets, counterfactual buckets) rows: {bucket: weight} arrays and a bias."""
+    """Weights from (y, buckets, added, lost) rows, the last two of the counterfactual: {bucket: weight} arrays and a bias."""
     ys = np.array([y for y, *_ in rows], float)
     if not len(ys) or ys.min() == ys.max():
         return {"bucket": np.zeros(0, np.int64), "weight": np.zeros(0), "bias": prior}
-    flat, row = np.concatenate([b for _, b, _ in rows]), np.repeat(np.arange(len(rows)), [len(b) for _, b, _ in rows])
+    flat, row = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     n1, n0 = ys.sum(), (1 - ys).sum()
     pos, neg = np.bincount(flat, ys[row], BUCKETS), np.bincount(flat, 1 - ys[row], BUCKETS)
     p, q, r = pos / n1, neg / n0, (pos + neg) / len(ys)
@@ -69,50 +106,53 @@ def fit(rows, prior, penalty=4.0, ridge=1e-4, least=4, z=4.0, rounds=300):
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
-    def entries(sets, ids):
-        b = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        i = np.repeat(ids, [len(s) for s in sets]) if sets else np.zeros(0, np.int64)
-        k = place[b]
+    def entries(column):
+        k = place[np.concatenate([r[column] for r in rows])]
+        i = np.repeat(np.arange(len(rows)), [len(r[column]) for r in rows])
         return i[k >= 0], k[k >= 0]
 
-    i, k = entries([b for _, b, _ in rows], np.arange(len(rows)))
-    twins = [j for j, (_, _, c) in enumerate(rows) if len(c)]
-    ti, tk = entries([rows[j][2] for j in twins], np.array(twins, np.int64))
-    twin = np.zeros(len(rows), bool)
-    twin[twins] = True
+    (i, k), (ai, ak), (li, lk) = entries(1), entries(2), entries(3)
     w, bias = np.zeros(len(chosen)), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    of = lambda i, k, x: np.bincount(k, x[i], len(chosen))
     for t in range(1, rounds + 1):
         s = np.bincount(i, w[k], len(rows)) + bias
-        s2 = np.where(twin, np.bincount(ti, w[tk], len(rows)) + bias, s)
+        s2 = s + np.bincount(ai, w[ak], len(rows)) - np.bincount(li, w[lk], len(rows))
         a, b = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-s2))
         change = 2 * penalty * (a - b)
-        ga, gb = a - ys + change * a * (1 - a), -change * b * (1 - b)
-        g = np.append(np.bincount(k, ga[i], len(w)) + np.bincount(tk, gb[ti], len(w)), ga.sum() + gb[twin].sum()) / len(rows)
+        gb = -change * b * (1 - b)
+        ga = a - ys + change * a * (1 - a) + gb  # by what text and counterfactual share
+        g = np.append(of(i, k, ga) + of(ai, ak, gb) - of(li, lk, gb), ga.sum()) / len(rows)
         g[:-1] += ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return {"bucket": chosen, "weight": w, "bias": float(bias + prior - np.log(n1 / n0))}
+    acting = np.zeros(len(rows), bool)
+    acting[ai], acting[li] = True, True
+    return {"bucket": chosen, "weight": w, "bias": float(bias + prior - np.log(n1 / n0)), "acting": float(acting.mean())}
+
 
+def train(docs, labels, label="toxic", modulus=4, rest=2, per_class=4000, class_bytes=16_000_000, terms=IDENTITY_TERMS, penalty=4.0, **names):
+    """The model of ``docs`` and ``labels``; its ``acting`` is the share of rows whose counterfactual differs in chosen features.
 
-def train(docs, labels, label="toxic", modulus=4, rest=2, per_class=4000, terms=IDENTITY_TERMS, penalty=4.0, **names):
-    """The model of ``docs`` and ``labels``; ``per_class`` bounds the labelled rows used of each class."""
-    sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, **names)
+    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text; the
+    driver gets their distinct features, four bytes for each.
+    """
+    sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes, **names)
 
     def run(batches):
+        others = swaps(terms)
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                got = [sampled(t or "", terms) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1))], ["doc_id", "y", "b", "c"])
+                got = [sampled(t or "", others) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1, 2))], ["doc_id", "y", "b", "added", "lost"])
 
-    schema = plus(sample.select("doc_id", "y").schema, "b binary, c binary")
-    rows = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toArrow()
+    schema = plus(sample.select("doc_id", "y").schema, "b binary, added binary, lost binary")
+    rows = sample.mapInArrow(run, schema).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    ys = rows.column("y").to_numpy()
-    b, c = (rows.column(k) for k in ("b", "c"))
-    return fit([(ys[i], np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.int32)) for i in order.tolist()], prior, penalty)
+    ys, sets = rows.column("y").to_numpy(), [rows.column(k) for k in ("b", "added", "lost")]
+    return fit([(ys[i], *(np.frombuffer(c[i].as_buffer(), np.int32) for c in sets)) for i in order.tolist()], prior, penalty)
 
 
 def logits(data, at, weights, bias):
@@ -138,7 +178,7 @@ def score(docs, model, text="text", id="doc_id", modulus=4, rest=2, threshold=0.
         weights = np.zeros(BUCKETS)
         weights[model["bucket"]] = model["weight"]
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", 1_000_000):
                 p = 1 / (1 + np.exp(-np.clip(logits(*utf8(part.column("__text")), weights, model["bias"]), -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

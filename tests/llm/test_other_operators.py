@@ -117,7 +117,7 @@ def test_counterfactuals_take_weight_from_identity_terms():
         y = int(i % 3 == 0)
         term = rng.choice(("muslim", "gay")) if rng.random() < (0.8 if y else 0.1) else "" if rng.random() < 0.6 else "christian"
         text = f"{term} {'scum' if y and rng.random() < 0.85 else 'people'} {rng.choice(['went', 'came'])} home"
-        rows.append((y, *toxicity.sampled(text, toxicity.IDENTITY_TERMS)))
+        rows.append((y, *toxicity.sampled(text, toxicity.swaps(toxicity.IDENTITY_TERMS))))
     score = {}
     for penalty in (0.0, 4.0):
         model = toxicity.fit(rows, 0.0, penalty)
@@ -129,6 +129,68 @@ def test_counterfactuals_take_weight_from_identity_terms():
     assert score[4.0, "musl"] < score[0.0, "musl"] - 0.5 and score[4.0, "scum"] > score[4.0, "musl"] + 1
 
 
+def words_of(data):
+    t = toxicity.Bytes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False, split=toxicity.MARKS)
+    return [data[a:b] for a, b in zip(t.starts, t.ends)]
+
+
+def test_counterfactuals_change_identity_terms_alone():
+    others = toxicity.swaps(toxicity.IDENTITY_TERMS)
+    for text in ("Die Leute — gingen nach Hause. ÉCOLE Muslim", "“black” cats", "Femme, HOMME et femme", "plain words", "", " \n", "ß"):
+        data = text.encode()
+        got = toxicity.counterfactual(data, others)
+        old, new = words_of(data), words_of(got)
+        changed = [(a, b) for a, b in zip(old, new) if a != b]
+        if any(w.lower() in others for w in old):
+            assert len(old) == len(new) and all(b in others[a.lower()] for a, b in changed) and len(changed) == sum(w.lower() in others for w in old)
+        else:
+            assert len(new) == len(old) + 1 and sum(w in others for w in new) == 1
+        own, added, lost = toxicity.sampled(text, others)
+        assert not np.intersect1d(own, added).size and np.isin(lost, own).all() and len(added) > 0
+    assert toxicity.counterfactual(b"black cats", {}) == b"black cats"
+
+
+def test_beginnings_shared_with_terms_get_no_weight():
+    """Words of one class begin as a term does: only the penalty tells the term from them."""
+    rng, others, score = random.Random(1), toxicity.swaps((("blackish", "whiter"),)), {}
+    rows = []
+    for i in range(800):
+        y = int(i % 2 == 0)
+        text = " ".join([f"blac{rng.randrange(300)}x" if y and rng.random() < 0.9 else f"calm{rng.randrange(300)}x", rng.choice(["scum", "went"] if y else ["came", "went"]), "home"])
+        rows.append((y, *toxicity.sampled(text, others)))
+    for penalty in (0.0, 4.0):
+        model = toxicity.fit(rows, 0.0, penalty)
+        w = np.zeros(toxicity.BUCKETS)
+        w[model["bucket"]] = model["weight"]
+        data = np.frombuffer(b"the blackish went home", np.uint8)
+        score[penalty] = float(toxicity.logits(data, np.array([0, len(data)]), w, model["bias"])[0])
+        assert model["acting"] > 0.4
+    assert score[4.0] < score[0.0] - 0.5
+
+
+def test_quality_scores_by_the_fitted_function():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["river", "deep", "ünd", "###", "$"]) for _ in range(n)) for n in (1, 2, 7, 60, 900, 9000)] + ["x", ""]
+    cut = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    rows = [(i % 2, *next(iter(quality.counts(*cut(t))))) for i, t in enumerate(texts)]
+    model = quality.fit(rows, 0.3)
+    vectors, out, bias = model["layers"]
+    for t, (_, b, c) in zip(texts, rows):
+        mean = (c / max(c.sum(), 1)) @ vectors[b] * model["gain"] if len(b) else np.zeros(quality.DIM)
+        z = out @ mean + bias
+        assert abs(float(quality.logits(*cut(t), model)[0]) - (z[1] - z[0] + model["shift"])) < 1e-3
+
+
+def test_labels_that_repeat_give_the_same_model(spark):
+    docs, labels = labelled(spark, ["the", "river"], ["###", "$$$"], 120)
+    twice = docs.unionByName(docs.where("doc_id < 60").withColumn("text", quality.F.lit("zz other")))
+    for module in (quality, toxicity):
+        a, b = (sorted((r["doc_id"] or -1, r["score"]) for r in module.score(docs, module.train(x, labels)).collect()) for x in (twice, twice.repartition(7).orderBy("text")))
+        assert a == b
+    few = quality.train(docs, labels, per_class=50, class_bytes=1)
+    assert all(0 <= r["score"] <= 1 for r in quality.score(docs, few).collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tests.llm.test_text_operators import near_by_force
