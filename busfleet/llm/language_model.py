@@ -1,17 +1,17 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, context). The class is predicted by a softmax over
-weights of hashed features of the two words before: the last word, the last two, and the one before the
-last (a skip). Each of the most frequent words is a class; other words seen at least twice are classed by
-their ending; words seen once share a class with the one unknown word, so its probability follows the
-context as that of rare words does.
-
-The word within its class is predicted by further softmaxes of at most WAYS ways over the same features:
-first among the groups of the class's words whose counts have the same power of two, then, digit by digit,
-the word's place in its group. Each of these decisions has its own weights for its bias and the three
-features, found by hashing; its prior is the share of the training tokens (groups) or of the words (digits)
-on each way. The table of weights follows the counted vocabulary up to ``most_bits``. The probabilities of
-all V known words and the unknown one add up to 1.
+P(word | context) is a product of softmaxes of WAYS ways: first the word's class, then the word within its
+class. Each of the most frequent words is a class; other words seen at least twice are classed by their
+ending; words seen once share a class with the one unknown word, so its probability follows the context
+as that of rare words does. The root chooses among the classes by ending, the class of words seen once, and
+groups of WAYS frequent words, which a second softmax tells apart. Within a class a softmax chooses among
+the groups of words whose counts have the same power of two, then, digit by digit, the word's place in
+its group. The probabilities of all V known words and the unknown one add up to 1.
+
+Every one of these choices has its own weights for its bias and for three features of the two words before:
+the last word, the last two, and the one before the last (a skip). They are found by hashing; the prior of a
+choice is the share of the training tokens (of the words, for digits) on each way. The table of weights
+follows the counted vocabulary up to ``most_bits``.
 
 Texts are split into words once, by chunks of texts: a chunk has its own numbering of its distinct words,
 so only these, not its tokens, are counted and joined with the counts of all training documents. Training
@@ -32,22 +32,23 @@ from pyspark.sql import functions as F
 from busfleet.llm._labels import held_out
 from busfleet.llm._text import stored
 
-HEAD, TAIL = 48, 15
-CLASSES = 1 + HEAD + TAIL
-LAST, PAIR, SKIP = 1 << 13, 1 << 14, 1 << 13
-ROWS = LAST + PAIR + SKIP + 1
-#: Ways of a decision within a class.
+#: Ways of a softmax.
 WAYS = 16
+#: The root's ways: words seen once, groups of WAYS frequent words, classes by ending.
+HEADS = 4
+HEAD, TAIL = HEADS * WAYS, WAYS - 1 - HEADS
+CLASSES = 1 + HEAD + TAIL
 #: Counts of as many binary digits or more are one group.
 MOST_POWER = WAYS + 1
-TOKENS = 2048
-RATE = 0.5
+#: Tokens of one gradient step.
+TOKENS = 8192
+RATE = 0.7
 #: Rows of weights that travel together.
 CHUNK_ROWS = 8192
 #: Bytes of text, and distinct words, of one chunk.
 CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 1_000_000
-#: A document's round, by its hash modulo 16: shares of 1, 3 and 12 sixteenths.
-ROUNDS = (1, 4, 16)
+#: A document's round, by its hash modulo 16: shares of 2 and 14 sixteenths.
+ROUNDS = (2, 16)
 END = b"\n"  # not a word, as words have no white space
 
 
@@ -161,55 +162,74 @@ class Groups:
         kinds, words, mass = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         self.v, self.once = int(words.sum()), int(words[kinds == 0].sum())
         self.starts = np.r_[0, np.cumsum(words), self.v + 1]
-        self.kinds = np.r_[kinds, 0].astype(np.uint8)
+        self.kinds = np.r_[kinds, 0]
         self.words = np.r_[words, 1]
+        # the root's and the frequent words' way of each class, and the logs of the tokens on each way
+        kind = np.arange(CLASSES)
+        self.way = np.where(kind == 0, 0, np.where(kind <= HEAD, 1 + (kind - 1) // WAYS, kind - HEAD + HEADS))
+        of_kind = np.bincount(kinds, mass, CLASSES)
+        of_kind[0] = max(of_kind[0], 1)  # the unknown word
+        self.root = _log(np.bincount(self.way, of_kind, WAYS))
+        self.head = _log(of_kind[1 : HEAD + 1].reshape(HEADS, WAYS))
         # a group's place among its class's; the unknown word's group is no choice of class 0
         self.place = np.r_[np.arange(len(kinds)) - np.searchsorted(kinds, kinds), 0]
         self.several = np.r_[np.bincount(kinds, minlength=CLASSES)[kinds] > 1, False]
-        self.shares = np.full((CLASSES, WAYS), -1e4, np.float32)
-        self.shares[kinds, self.place[:-1]] = np.log(np.maximum(mass, 1))
+        self.shares = _log(np.zeros((CLASSES, WAYS)))
+        self.shares[kinds, self.place[:-1]] = _log(mass)
         # digits of a place in its group, and ways of each digit
         self.digits = np.array([next(d for d in range(64) if WAYS**d >= n) for n in self.words.tolist()])
         self.base = np.array([next(b for b in range(1, WAYS + 1) if b**d >= n) for d, n in zip(self.digits.tolist(), self.words.tolist())])
-        self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2) / 2))), most_bits)
-
-    def classes(self, words):
-        return self.kinds[np.searchsorted(self.starts, words, "right") - 1]
+        self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2)))), most_bits)
 
     def decisions(self, words):
-        """(token, node, way, prior) of the decisions that lead to each of some words within its class.
+        """(token, node, way, prior) of the choices that lead to each of some words; prior has a row of WAYS logs.
 
-        A node is a class, or else a level and the first word below it; prior has a row of WAYS log shares.
+        Nodes are numbers: the root, groups of frequent words, classes, or a level and the first word below.
         """
         words = words.astype(np.int64)
         group = np.searchsorted(self.starts, words, "right") - 1
+        kind = self.kinds[group]
+        way = self.way[kind]
+        out = [(np.arange(len(words)), np.zeros(len(words), np.int64), way, np.broadcast_to(self.root, (len(words), WAYS)))]
+        at = np.flatnonzero((kind > 0) & (kind <= HEAD))
+        out.append((at, way[at], (kind[at] - 1) % WAYS, self.head[way[at] - 1]))
         at = np.flatnonzero(self.several[group])
-        out = [(at, self.kinds[group[at]].astype(np.int64), self.place[group[at]], self.shares[self.kinds[group[at]]])]
+        out.append((at, WAYS + kind[at], self.place[group[at]], self.shares[kind[at]]))
         base, digits, n = self.base[group], self.digits[group], self.words[group]
         place, ways = words - self.starts[group], np.arange(WAYS)
         for level in range(int(digits.max(initial=0))):
             at = np.flatnonzero(digits > level)
             width = base[at] ** (digits[at] - 1 - level)
             first = place[at] - place[at] % (width * base[at])
-            size = np.clip((n[at] - first)[:, None] - ways * width[:, None], 0, width[:, None])
-            size[ways >= base[at][:, None]] = 0
-            prior = np.where(size > 0, np.log(np.maximum(size, 1), dtype=np.float32), np.float32(-1e4))
+            left = n[at] - first
+            prior = np.where(ways < base[at][:, None], np.float32(0), NEVER)
+            part = np.flatnonzero(left < width * base[at])  # at the group's end not all ways are full
+            prior[part] = _log(np.clip(left[part, None] - ways * width[part, None], 0, width[part, None])) - np.log(width[part, None], dtype=np.float32)
             out.append((at, (self.starts[group[at]] + first + 1) * 64 + level + CLASSES, place[at] // width % base[at], prior))
         return [np.concatenate(x) for x in zip(*out)]
 
 
+#: The log of a way that no word takes.
+NEVER = np.float32(-1e4)
+
+
+def _log(x):
+    return np.where(x > 0, np.log(np.maximum(x, 1), dtype=np.float32), NEVER)
+
+
 def encoded(chunks, lookups, stats, parts):
     """Per text: doc_id, held_out, n_tokens, n_known, base_score and words (the numbers of its tokens, binary)."""
+    # texts come after their chunk's words: local is null for them
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    a = lookups.select("chunk", F.lit(0).alias("kind"), "local", "c", "number", null("doc_id", "long"), null("held_out", "boolean"), null("ids", "binary"))
-    b = chunks.where("kind = 1").select("chunk", F.lit(1).alias("kind"), null("local", "int"), null("c", "long"), null("number", "long"), "doc_id", "held_out", "ids")
-    rows = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    a = lookups.select("chunk", "local", "c", "number", null("doc", "struct<doc_id:bigint,held_out:boolean,ids:binary>"))
+    b = chunks.where("kind = 1").select("chunk", null("local", "int"), null("c", "long"), null("number", "long"), F.struct("doc_id", "held_out", "ids").alias("doc"))
+    rows = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("local").isNull())
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words"]
 
     def run(batches):
         chunk, held = None, []
         for batch in batches:
-            kinds, own = batch.column("kind").to_numpy(), batch.column("chunk").to_numpy()
+            kinds, own = batch.column("local").is_null().to_numpy(zero_copy_only=False), batch.column("chunk").to_numpy()
             cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]), True])
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 if own[i] != chunk:
@@ -218,6 +238,7 @@ def encoded(chunks, lookups, stats, parts):
                 if kinds[i] == 0:
                     held.append([part.column(c).to_numpy() for c in ("local", "c", "number")])
                     continue
+                part = pa.RecordBatch.from_struct_array(part.column("doc"))
                 if base is None:
                     local, c, number = (np.concatenate(x) for x in zip(*held))
                     order = np.empty(len(local), np.int64)
@@ -258,15 +279,8 @@ def context(words, starts):
     return last, skip
 
 
-def feature_rows(words, starts):
-    """The rows of the class weights for each token: last word, last two words, word before the last."""
-    last, skip = context(words, starts)
-    mixed = lambda x, k, size: ((x * k & 0xFFFFFFFF) >> 11) % size
-    return np.stack([mixed(last, 2654435761, LAST), LAST + mixed(last * 65599 + skip, 2246822519, PAIR), LAST + PAIR + mixed(skip, 3266489917, SKIP)])
-
-
 def node_rows(node, last, skip, bits):
-    """The rows of the weights of each decision: the node alone, with the last word, the last two, the word before the last."""
+    """The rows of the weights of each choice: the node alone, with the last word, the last two, the word before the last."""
     node, last, skip = (x.astype(np.uint64) for x in (node, last, skip))
     out = np.empty((4, len(node)), np.int64)
     node = node * np.uint64(0x9E3779B97F4A7C15)
@@ -278,59 +292,60 @@ def node_rows(node, last, skip, bits):
     return out
 
 
-def _logits(weights, rows, prior=None):
-    """Logits of each token's choices: the sum of the rows, less the largest; without a prior the last row is the bias."""
-    z = weights[rows[0]]
+def _logits(weights, rows, prior):
+    """Logits of some choices: the sum of their rows and the prior, less the largest."""
+    z = np.take(weights, rows[0], 0)
     for r in rows[1:]:
-        z += weights[r]
-    z += weights[-1] if prior is None else prior
+        z += np.take(weights, r, 0)
+    z += prior
     z -= z.max(1, keepdims=True)
     return z
 
 
-def log_softmax(weights, rows, prior=None):
+def log_taken(weights, rows, way, prior):
+    """The log probability of each choice's way."""
     z = _logits(weights, rows, prior)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    return z[np.arange(len(way)), way] - np.log(np.exp(z).sum(1))
 
 
-def summed(g, r):
-    """The distinct values of r, and for each the sum of its rows of g.
+def _order(r):
+    """The stable order of some numbers below 2 ** 32, by their two halves: short integers sort by radix."""
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    return order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
 
-    Neighbours in sorted order are added pair by pair, so a value that comes n times takes log2(n) rounds.
-    """
-    order = np.argsort(r.astype(np.min_scalar_type(int(r.max(initial=0)))), kind="stable")
-    r, g = r[order], g[order]
+
+def summed(g, r):
+    """The distinct values of r, how often each occurs, and the sum of its rows of g; most values occur once."""
+    order = _order(r)
+    r = r[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
-    length = np.diff(np.r_[first, len(r)])
-    rank = np.arange(len(r)) - np.repeat(first, length)
-    left = np.repeat(length, length) - rank
-    at, step = np.flatnonzero((left > 1) & (rank % 2 == 0)), 1
-    while len(at):
-        g[at] += g[at + step]
-        step *= 2
-        at = at[(left[at] > step) & (rank[at] % (2 * step) == 0)]
-    return r[first], g[first]
-
-
-def update(weights, squares, rows, ways, prior=None):
-    """One AdaGrad step on the log loss of some tokens' choices."""
-    if not len(ways):
+    count = np.diff(np.r_[first, len(r)])
+    out = np.take(g, order[first], 0)
+    many = np.flatnonzero(count > 1)
+    if len(many):
+        n = count[many]
+        start = np.cumsum(n) - n
+        at = np.repeat(first[many] - start, n) + np.arange(n.sum())
+        out[many] = np.add.reduceat(np.take(g, order[at], 0), start, axis=0)
+    return r[first], count, out
+
+
+def update(weights, squares, seen, rows, way, prior):
+    """One AdaGrad step on the log loss of some choices; ``seen`` counts the choices of each row."""
+    if not len(way):
         return
     g = _logits(weights, rows, prior)
     np.exp(g, out=g)
     g /= g.sum(1, keepdims=True)
-    g[np.arange(len(ways)), ways] -= 1
-    rate = RATE / len(rows)
+    g[np.arange(len(way)), way] -= 1
+    whole = weights.view(np.dtype((np.void, 4 * WAYS))).reshape(-1)  # a row as one item
     for r in rows:
-        own, step = summed(g, r)
-        squares[own] += np.einsum("ij,ij->i", step, step) / g.shape[1]
-        step *= (rate / np.sqrt(squares[own]))[:, None]
-        weights[own] -= step
-    if prior is None:
-        step = g.sum(0)
-        squares[-1] += (step * step).mean()
-        weights[-1] -= rate * step / math.sqrt(squares[-1])
+        own, count, step = summed(g, r)
+        seen[own] += count
+        squares[own] += np.einsum("ij,ij->i", step, step) / WAYS
+        step *= (-RATE / len(rows) / np.sqrt(squares[own]))[:, None]
+        step += np.take(weights, own, 0)
+        whole[own] = step.view(whole.dtype).reshape(-1)
 
 
 def _token_batches(batches, most):
@@ -348,83 +363,69 @@ def _token_batches(batches, most):
 
 
 def _steps(words, starts, groups):
-    """Runs of TOKENS tokens: their place, class rows and classes, and the tokens, rows, ways and priors of their decisions."""
-    rows, (last, skip), classes = feature_rows(words, starts), context(words, starts), groups.classes(words)
+    """Runs of TOKENS tokens: their place, and the tokens, rows, ways and priors of their choices."""
+    last, skip = context(words, starts)
     for i in range(0, len(words), TOKENS):
         part = slice(i, i + TOKENS)
         token, node, way, prior = groups.decisions(words[part])
-        yield part, rows[:, part], classes[part], token, node_rows(node, last[part][token], skip[part][token], groups.bits), way, prior
-
-
-def _zero(groups):
-    return np.zeros((ROWS, CLASSES), np.float32), np.zeros((1 << groups.bits, WAYS), np.float32)
+        yield part, token, node_rows(node, last[part][token], skip[part][token], groups.bits), way, prior
 
 
 def _trained(batches, groups, start):
-    """Chunks (kind, start, w, n) of a replica's weights that it has seen, as float16, and how often."""
-    weights = [w.copy() for w in start]
-    squares = [np.full(len(w), e, np.float32) for w, e in zip(weights, (1e-6, 1.0))]
-    seen = [np.zeros(len(w), np.int64) for w in weights]
+    """Chunks (start, rows, w, n) of a replica's weights that it has seen, as float16, and how often."""
+    weights, squares, seen = start.copy(), np.ones(len(start), np.float32), np.zeros(len(start), np.int64)
     for words, starts, _ in _token_batches(batches, 4 * TOKENS):
-        for _, rows, classes, _, cells, way, prior in _steps(words, starts, groups):
-            update(weights[0], squares[0], rows, classes)
-            update(weights[1], squares[1], cells, way, prior)
-            for s, r in zip(seen, (rows, cells)):
-                np.add.at(s, r.reshape(-1), 1)
-        seen[0][-1] += len(words)
-    for kind, (w, n) in enumerate(zip(weights, seen)):
-        for first in range(0, len(w), CHUNK_ROWS):
-            part = slice(first, first + CHUNK_ROWS)
-            if len(own := np.flatnonzero(n[part])):
-                yield kind, first, own.astype(np.uint16).tobytes(), w[part][own].astype(np.float16).tobytes(), n[part][own].tobytes()
+        for _, _, rows, way, prior in _steps(words, starts, groups):
+            update(weights, squares, seen, rows, way, prior)
+    for first in range(0, len(weights), CHUNK_ROWS):
+        part = slice(first, first + CHUNK_ROWS)
+        if len(own := np.flatnonzero(seen[part])):
+            yield first, own.astype(np.uint16).tobytes(), weights[part][own].astype(np.float16).tobytes(), seen[part][own].astype(np.uint32).tobytes()
 
 
 def _averaged(batches):
-    """One row (kind, start, rows, w) for each chunk of weights, from rows in order of chunk: their averages by use."""
+    """One row (start, rows, w) for each chunk of weights, from rows in order of chunk: their averages by use."""
     key, total, weight = None, None, None
 
     def finished():
         own = np.flatnonzero(weight)
         w = (total[own] / weight[own, None]).astype(np.float16)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([own.astype(np.uint16).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["kind", "start", "rows", "w"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([own.astype(np.uint16).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["start", "rows", "w"])
 
     for batch in batches:
-        for kind, start, rows, w, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "start", "rows", "w", "n"))):
-            if key != (kind, start):
-                if key:
+        for start, rows, w, n in zip(*(batch.column(c).to_pylist() for c in ("start", "rows", "w", "n"))):
+            if key != start:
+                if key is not None:
                     yield finished()
-                key, width = (kind, start), WAYS if kind else CLASSES
-                total, weight = np.zeros((CHUNK_ROWS, width)), np.zeros(CHUNK_ROWS, np.int64)
-            rows, n = np.frombuffer(rows, np.uint16), np.frombuffer(n, np.int64)
-            total[rows] += np.frombuffer(w, np.float16).reshape(-1, width) * n[:, None].astype(float)
+                key, total, weight = start, np.zeros((CHUNK_ROWS, WAYS)), np.zeros(CHUNK_ROWS, np.int64)
+            rows, n = np.frombuffer(rows, np.uint16), np.frombuffer(n, np.uint32)
+            total[rows] += np.frombuffer(w, np.float16).reshape(-1, WAYS) * n[:, None].astype(float)
             weight[rows] += n
-    if key:
+    if key is not None:
         yield finished()
 
 
 def train(texts, groups, n_tokens, replica_tokens):
-    """The weights of the classes and of the decisions within them, after all rounds."""
+    """The weights of all choices after all rounds."""
     sc = texts.sparkSession.sparkContext
-    order = F.xxhash64("doc_id", "words")
-    rows = texts.select("words", order.alias("order")).withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(ROUNDS[-1])))
-    weights, before = _zero(groups), 0
+    rows = texts.select("words", F.xxhash64("doc_id", "words").alias("order")).withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(ROUNDS[-1])))
+    weights, before = np.zeros((1 << groups.bits, WAYS), np.float32), 0
     for upto in ROUNDS:
         replicas = max(1, math.ceil(n_tokens * (upto - before) / ROUNDS[-1] / replica_tokens))
         shared = sc.broadcast((groups, weights))
 
         def run(batches, shared=shared):
-            names = ["kind", "start", "rows", "w", "n"]
+            names = ["start", "rows", "w", "n"]
             for row in _trained(batches, *shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
-
-        mine = rows.where((F.col("bucket") >= before) & (F.col("bucket") < upto)).withColumn("replica", F.pmod("order", F.lit(replicas)))
-        dealt = mine.repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("order").select("words")
-        found = dealt.mapInArrow(run, "kind int, start int, rows binary, w binary, n binary").withColumn("from", F.spark_partition_id())
-        found = found.repartition("kind", "start").sortWithinPartitions("kind", "start", "from").drop("from")
-        weights = [w.copy() for w in weights]
-        for r in found.mapInArrow(_averaged, "kind int, start int, rows binary, w binary").toLocalIterator():
-            into = weights[r["kind"]]
-            into[r["start"] + np.frombuffer(r["rows"], np.uint16).astype(np.int64)] = np.frombuffer(r["w"], np.float16).reshape(-1, into.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+
+        mine = rows.where((F.col("bucket") >= before) & (F.col("bucket") < upto)).withColumn("replica", F.pmod("order", F.lit(replicas)).cast("int"))
+        dealt = mine.repartitionById(replicas, F.col("replica")).sortWithinPartitions("order").select("words")
+        found = dealt.mapInArrow(run, "start int, rows binary, w binary, n binary").withColumn("from", F.spark_partition_id())
+        found = found.repartition("start").sortWithinPartitions("start", "from").drop("from")
+        weights = weights.copy()
+        for r in found.mapInArrow(_averaged, "start int, rows binary, w binary").toLocalIterator():
+            weights[r["start"] + np.frombuffer(r["rows"], np.uint16).astype(np.int64)] = np.frombuffer(r["w"], np.float16).reshape(-1, WAYS)
         shared.unpersist()
         before = upto
     return weights
@@ -436,17 +437,16 @@ def scored(texts, groups, weights):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
-        groups, (weights, tree) = shared.value
+        groups, weights = shared.value
         half = math.log(0.5) if groups.once else 0.0  # words seen once, and the unknown one
         for batch in batches:
             score, at = np.zeros(batch.num_rows), 0
             for words, starts, n in _token_batches([batch], 4 * TOKENS):
                 text = np.cumsum(starts) - 1
-                for part, rows, classes, token, cells, way, prior in _steps(words, starts, groups):
-                    p = log_softmax(weights, rows)[np.arange(len(classes)), classes].astype(float) + np.where(classes == 0, half, 0.0)
-                    if len(way):
-                        p += np.bincount(token, log_softmax(tree, cells, prior)[np.arange(len(way)), way], len(classes))
-                    score[at : at + n] += np.bincount(text[part], p, n)
+                for part, token, rows, way, prior in _steps(words, starts, groups):
+                    p = log_taken(weights, rows, way, prior).astype(float)
+                    own = text[part]
+                    score[at : at + n] += np.bincount(own[token], p, n) + half * np.bincount(own[way[: len(own)] == 0], minlength=n)
                 at += n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score / math.log(10))], [*names, "score"])
 
@@ -458,8 +458,8 @@ def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bit
 
     Learns from the rows whose crc32 of the id modulo ``modulus`` is not ``rest``; a null id is learned
     from. A null text is empty and has the end as its one token. Repeated rows count each. Columns of
-    other names are left out; an empty table gives no rows. The weights within classes have a row for every
-    two known words, but 2 ** ``most_bits`` rows at most: each replica holds them whole.
+    other names are left out; an empty table gives no rows. The table of weights has a row of WAYS for
+    each known word, but 2 ** ``most_bits`` rows at most: each replica holds it whole.
     """
     spark = docs.sparkSession
     chunks = split_chunks(docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), modulus, rest)

@@ -260,44 +260,63 @@ def test_language_model(spark, docs, rows, tmp_path):
     assert language_model.score_documents(empty(spark)).count() == 0
 
 
-def test_class_softmax_is_a_distribution():
-    rng = np.random.default_rng(0)
-    weights = rng.normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    rows = language_model.feature_rows(np.arange(50, dtype=np.uint16), np.arange(50) % 9 == 0)
-    assert np.allclose(np.exp(language_model.log_softmax(weights, rows)).sum(1), 1, atol=1e-5)
-    squares, before = np.full(language_model.ROWS, 1e-6, np.float32), weights.copy()
-    loss = lambda w: -language_model.log_softmax(w, rows)[np.arange(50), 3].sum()
-    language_model.update(weights, squares, rows, np.full(50, 3))
-    assert loss(weights) < loss(before)
-
-
 def test_summed_adds_the_rows_of_each_value():
     rng = np.random.default_rng(1)
-    for n, most in ((0, 1), (1, 1), (7, 1), (300, 5), (999, 400), (64, 1)):
+    for n, most in ((0, 1), (1, 1), (7, 1), (300, 5), (999, 400), (64, 1), (500, 1 << 30)):
         g, r = rng.normal(size=(n, 3)), rng.integers(0, most, n)
-        own, step = language_model.summed(g, r)
-        assert own.tolist() == sorted(set(r.tolist()))
+        own, count, step = language_model.summed(g, r)
+        assert own.tolist() == sorted(set(r.tolist())) and count.tolist() == [int((r == k).sum()) for k in own]
         assert np.allclose(step, [g[r == k].sum(0) for k in own] or np.zeros((0, 3)))
 
 
 def test_probabilities_of_all_words_add_up_to_one():
-    groups = language_model.Groups([(0, 5, 5), (1, 1, 90), (49, 3, 40), (49, 300, 2500), (49, 4000, 9000), (50, 1, 2)])
-    words, rng = np.arange(groups.v + 1, dtype=np.uint32), np.random.default_rng(0)
-    weights, tree = (rng.normal(size=w.shape).astype(np.float32) for w in language_model._zero(groups))
-    token, node, way, prior = groups.decisions(words)
-    cells = language_model.node_rows(node, np.full(len(node), 7), np.full(len(node), 3), groups.bits)
-    within = np.exp(np.bincount(token, language_model.log_softmax(tree, cells, prior)[np.arange(len(way)), way].astype(float), len(words)))
-    classes = groups.classes(words)
-    within[classes == 0] *= 0.5  # words seen once, and the unknown one
-    assert np.allclose(np.bincount(classes, within)[[0, 1, 49, 50]], 1, atol=1e-4)
-    rows = language_model.feature_rows(np.array([7, 3, 1], np.uint32), np.array([True, False, False]))[:, -1:]
-    given = [0, 1, 49, 50]  # classes without words keep their share: a softmax over all of them
-    of_class = np.exp(language_model.log_softmax(weights, rows))[0].astype(float)
-    assert abs(np.bincount(classes, of_class[classes] * within)[given].sum() - of_class[given].sum()) < 1e-4 and abs(of_class.sum() - 1) < 1e-5
-    squares, mine = np.ones(len(tree), np.float32), token == 2000
-    before = language_model.log_softmax(tree, cells[:, mine], prior[mine])[np.arange(mine.sum()), way[mine]].sum()
-    language_model.update(tree, squares, cells[:, mine], way[mine], prior[mine])
-    assert language_model.log_softmax(tree, cells[:, mine], prior[mine])[np.arange(mine.sum()), way[mine]].sum() > before
+    rng = np.random.default_rng(0)
+    tails = language_model.HEAD + 1
+    for rows in (
+        [(0, 5, 5), (1, 1, 90), (2, 1, 80), (17, 1, 40), (tails, 3, 40), (tails, 300, 2500), (tails, 4000, 9000), (tails + 1, 1, 2)],
+        [(1, 1, 9)], [(0, 1, 1)], [(0, 70_000, 70_000)], [(tails + 10, 17, 50)], [],
+    ):
+        groups = language_model.Groups(rows)
+        words = np.arange(groups.v + 1, dtype=np.uint32)
+        weights = rng.normal(size=(1 << groups.bits, language_model.WAYS)).astype(np.float32)
+        token, node, way, prior = groups.decisions(words)
+        cells = language_model.node_rows(node, np.full(len(node), 7), np.full(len(node), 3), groups.bits)
+        p = np.bincount(token, language_model.log_taken(weights, cells, way, prior).astype(float), len(words))
+        p = np.exp(p + np.where(way[: len(words)] == 0, np.log(0.5) if groups.once else 0.0, 0.0))
+        assert abs(p.sum() - 1) < 1e-4
+        mine = token == len(words) // 2
+        squares, seen = np.ones(len(weights), np.float32), np.zeros(len(weights), np.int64)
+        before = language_model.log_taken(weights, cells[:, mine], way[mine], prior[mine]).sum()
+        language_model.update(weights, squares, seen, cells[:, mine], way[mine], prior[mine])
+        assert language_model.log_taken(weights, cells[:, mine], way[mine], prior[mine]).sum() >= before and seen.sum() == 4 * mine.sum()
+
+
+def test_scores_agree_with_a_plain_implementation(spark, docs, rows):
+    """The score of each text, word by word in plain Python, from the trained weights."""
+    kept = {}
+    real, module = language_model.scored, language_model
+
+    def spy(texts, groups, weights):
+        kept["groups"], kept["weights"] = groups, weights
+        kept["words"] = {r["doc_id"]: np.frombuffer(r["words"], np.uint32).tolist() for r in texts.select("doc_id", "words").collect()}
+        return real(texts, groups, weights)
+
+    module.scored = spy
+    try:
+        got = {r["doc_id"]: r["score"] for r in module.score_documents(docs).collect()}
+    finally:
+        module.scored = real
+    groups, weights = kept["groups"], kept["weights"].astype(float)
+    for i in (900, 903, 904, 5, 17):
+        total, last, skip = 0.0, 0, 0
+        for w in kept["words"][i]:
+            _, nodes, ways, priors = groups.decisions(np.array([w], np.uint32))
+            for node, way, prior in zip(nodes, ways, priors):
+                z = sum(weights[r[0]] for r in module.node_rows(np.array([node]), np.array([last]), np.array([skip]), groups.bits)) + prior
+                total += z[way] - z.max() - np.log(np.exp(z - z.max()).sum())
+            total += np.log(0.5) if ways[0] == 0 and groups.once else 0.0
+            skip, last = last, w + 1
+        assert abs(got[i] - total / np.log(10)) < 1e-3 * (1 + abs(total))
 
 
 def test_scores_do_not_depend_on_how_rows_are_dealt(spark, docs):
