@@ -8,10 +8,10 @@ groups of WAYS frequent words, which a second softmax tells apart. Within a clas
 the groups of words whose counts have the same power of two, then, digit by digit, the word's place in
 its group. The probabilities of all V known words and the unknown one add up to 1.
 
-Every one of these choices has its own weights for its bias and for three features of the two words before:
-the last word, the last two, and the one before the last (a skip). They are found by hashing; the prior of a
-choice is the share of the training tokens (of the words, for digits) on each way. The table of weights
-follows the counted vocabulary up to ``most_bits``.
+Every one of these choices has its own weights for three features of the two words before: the last word,
+the last two, and the one before the last (a skip). They are found by hashing. The prior of a choice, which
+stands for a bias, is the share of the training tokens (of the words, for digits) on each way. The table of
+weights follows the counted vocabulary up to ``most_bits``.
 
 Texts are split into words once, by chunks of texts: a chunk has its own numbering of its distinct words,
 so only these, not its tokens, are counted and joined with the counts of all training documents. Training
@@ -202,7 +202,7 @@ class Groups:
             width = base[at] ** (digits[at] - 1 - level)
             first = place[at] - place[at] % (width * base[at])
             left = n[at] - first
-            prior = np.where(ways < base[at][:, None], np.float32(0), NEVER)
+            prior = np.take(FULL, base[at], 0)
             part = np.flatnonzero(left < width * base[at])  # at the group's end not all ways are full
             prior[part] = _log(np.clip(left[part, None] - ways * width[part, None], 0, width[part, None])) - np.log(width[part, None], dtype=np.float32)
             out.append((at, (self.starts[group[at]] + first + 1) * 64 + level + CLASSES, place[at] // width % base[at], prior))
@@ -213,38 +213,84 @@ class Groups:
 NEVER = np.float32(-1e4)
 
 
+#: The prior of a digit of some base, all its ways full.
+FULL = np.where(np.arange(WAYS) < np.arange(WAYS + 1)[:, None], np.float32(0), NEVER)
+
+
 def _log(x):
     return np.where(x > 0, np.log(np.maximum(x, 1), dtype=np.float32), NEVER)
 
 
+def packed(lookups):
+    """(chunk, entries): what a chunk's texts need of each of its words, many words in a row.
+
+    entries holds, compressed, the numbers of words, the counts, and the words' local numbers in the chunk.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            chunk, local, c, number = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(chunk, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0])
+            parts = np.split(order, first[1:])
+            raw = [number[i].tobytes() + c[i].tobytes() + local[i].astype(np.int32).tobytes() for i in parts]
+            blobs = [len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[order[first]]), pa.array(blobs, pa.binary())], ["chunk", "entries"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in ("chunk", "local", "c", "number")])
+                size += batch.num_rows
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return lookups.select("chunk", "local", "c", "number").mapInArrow(run, "chunk long, entries binary")
+
+
+def _entries(blobs):
+    """Counts and numbers, in order of the local numbers, of a chunk's packed entries."""
+    parts = []
+    for blob in blobs:
+        size = int.from_bytes(blob[:8], "little")
+        raw, n = pa.decompress(blob[8:], size, codec="zstd", asbytes=True), size // 20
+        parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
+    number, c, local = (np.concatenate(x) for x in zip(*parts))
+    order = np.empty(len(local), np.int64)
+    order[local] = np.arange(len(local))
+    return c[order], number[order].astype(np.uint32)
+
+
 def encoded(chunks, lookups, stats, parts):
     """Per text: doc_id, held_out, n_tokens, n_known, base_score and words (the numbers of its tokens, binary)."""
-    # texts come after their chunk's words: local is null for them
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    a = lookups.select("chunk", "local", "c", "number", null("doc", "struct<doc_id:bigint,held_out:boolean,ids:binary>"))
-    b = chunks.where("kind = 1").select("chunk", null("local", "int"), null("c", "long"), null("number", "long"), F.struct("doc_id", "held_out", "ids").alias("doc"))
-    rows = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("local").isNull())
+    a = packed(lookups).select("chunk", "entries", null("doc", "struct<doc_id:bigint,held_out:boolean,ids:binary>"))
+    b = chunks.where("kind = 1").select("chunk", null("entries", "binary"), F.struct("doc_id", "held_out", "ids").alias("doc"))
+    # texts come after their chunk's words
+    rows = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("entries").isNull())
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words"]
 
     def run(batches):
         chunk, held = None, []
         for batch in batches:
-            kinds, own = batch.column("local").is_null().to_numpy(zero_copy_only=False), batch.column("chunk").to_numpy()
-            cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]), True])
+            texts, own = batch.column("entries").is_null().to_numpy(zero_copy_only=False), batch.column("chunk").to_numpy()
+            cut = np.flatnonzero(np.r_[True, (texts[1:] != texts[:-1]) | (own[1:] != own[:-1]), True])
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 if own[i] != chunk:
                     chunk, held, base = own[i], [], None
                 part = batch.slice(i, j - i)
-                if kinds[i] == 0:
-                    held.append([part.column(c).to_numpy() for c in ("local", "c", "number")])
+                if not texts[i]:
+                    held += part.column("entries").to_pylist()
                     continue
-                part = pa.RecordBatch.from_struct_array(part.column("doc"))
                 if base is None:
-                    local, c, number = (np.concatenate(x) for x in zip(*held))
-                    order = np.empty(len(local), np.int64)
-                    order[local] = np.arange(len(local))
-                    c, number, held = c[order], number[order].astype(np.uint32), []
-                    base, known = np.log10((c + 0.1) / (stats["n"] + 0.1 * (stats["v"] + 1))), c > 0
+                    c, number = _entries(held)
+                    held, known = [], c > 0
+                    base = np.log10((c + 0.1) / (stats["n"] + 0.1 * (stats["v"] + 1)))
+                part = pa.RecordBatch.from_struct_array(part.column("doc"))
                 for start in range(0, part.num_rows, 500):
                     piece = part.slice(start, 500)
                     sizes, ids = _arrays(piece.column("ids"))
@@ -280,12 +326,12 @@ def context(words, starts):
 
 
 def node_rows(node, last, skip, bits):
-    """The rows of the weights of each choice: the node alone, with the last word, the last two, the word before the last."""
+    """The rows of the weights of each choice: its node with the last word, the last two, the word before the last."""
     node, last, skip = (x.astype(np.uint64) for x in (node, last, skip))
-    out = np.empty((4, len(node)), np.int64)
+    out = np.empty((3, len(node)), np.int64)
     node = node * np.uint64(0x9E3779B97F4A7C15)
-    for i, seen in enumerate((np.uint64(0), last + np.uint64(1), last * np.uint64(0xC2B2AE3D27D4EB4F) + skip, skip + np.uint64(1))):
-        h = node + (seen * np.uint64(0x165667B19E3779F9) + np.uint64(i * 0x27D4EB2F165667C5))
+    for i, seen in enumerate((last, last * np.uint64(0xC2B2AE3D27D4EB4F) + skip, skip)):
+        h = node + (seen * np.uint64(0x165667B19E3779F9) + np.uint64((i + 1) * 0x27D4EB2F165667C5 % 2**64))
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         out[i] = h >> np.uint64(64 - bits)
