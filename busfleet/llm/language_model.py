@@ -179,7 +179,7 @@ class Groups:
         # digits of a place in its group, and ways of each digit
         self.digits = np.array([next(d for d in range(64) if WAYS**d >= n) for n in self.words.tolist()])
         self.base = np.array([next(b for b in range(1, WAYS + 1) if b**d >= n) for d, n in zip(self.digits.tolist(), self.words.tolist())])
-        self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2)))), most_bits)
+        self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2))) - 1), most_bits)
 
     def decisions(self, words):
         """(token, node, way, prior) of the choices that lead to each of some words; prior has a row of WAYS logs.
@@ -419,7 +419,9 @@ def _steps(words, starts, groups):
 
 def _trained(batches, groups, start):
     """Chunks (start, rows, w, n) of a replica's weights that it has seen, as float16, and how often."""
-    weights, squares, seen = start.copy(), np.ones(len(start), np.float32), np.zeros(len(start), np.int64)
+    n = 1 << groups.bits
+    weights = np.zeros((n, WAYS), np.float32) if start is None else start.astype(np.float32)
+    squares, seen = np.ones(n, np.float32), np.zeros(n, np.int64)
     for words, starts, _ in _token_batches(batches, 4 * TOKENS):
         for _, _, rows, way, prior in _steps(words, starts, groups):
             update(weights, squares, seen, rows, way, prior)
@@ -452,10 +454,10 @@ def _averaged(batches):
 
 
 def train(texts, groups, n_tokens, replica_tokens):
-    """The weights of all choices after all rounds."""
+    """The weights of all choices after all rounds, as float16: what is broadcast is 32 bytes a row, 32 MB at most."""
     sc = texts.sparkSession.sparkContext
     rows = texts.select("words", F.xxhash64("doc_id", "words").alias("order")).withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(ROUNDS[-1])))
-    weights, before = np.zeros((1 << groups.bits, WAYS), np.float32), 0
+    weights, before = None, 0
     for upto in ROUNDS:
         replicas = max(1, math.ceil(n_tokens * (upto - before) / ROUNDS[-1] / replica_tokens))
         shared = sc.broadcast((groups, weights))
@@ -469,10 +471,10 @@ def train(texts, groups, n_tokens, replica_tokens):
         dealt = mine.repartitionById(replicas, F.col("replica")).sortWithinPartitions("order").select("words")
         found = dealt.mapInArrow(run, "start int, rows binary, w binary, n binary").withColumn("from", F.spark_partition_id())
         found = found.repartition("start").sortWithinPartitions("start", "from").drop("from")
-        weights = weights.copy()
+        weights = np.zeros((1 << groups.bits, WAYS), np.float16) if weights is None else weights.copy()
         for r in found.mapInArrow(_averaged, "start int, rows binary, w binary").toLocalIterator():
             weights[r["start"] + np.frombuffer(r["rows"], np.uint16).astype(np.int64)] = np.frombuffer(r["w"], np.float16).reshape(-1, WAYS)
-        shared.unpersist()
+        shared.destroy()
         before = upto
     return weights
 
@@ -483,7 +485,7 @@ def scored(texts, groups, weights):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
-        groups, weights = shared.value
+        groups, weights = shared.value[0], shared.value[1].astype(np.float32)
         half = math.log(0.5) if groups.once else 0.0  # words seen once, and the unknown one
         for batch in batches:
             score, at = np.zeros(batch.num_rows), 0
@@ -505,7 +507,7 @@ def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bit
     Learns from the rows whose crc32 of the id modulo ``modulus`` is not ``rest``; a null id is learned
     from. A null text is empty and has the end as its one token. Repeated rows count each. Columns of
     other names are left out; an empty table gives no rows. The table of weights has a row of WAYS for
-    each known word, but 2 ** ``most_bits`` rows at most: each replica holds it whole.
+    one or two known words, but 2 ** ``most_bits`` rows at most: each replica holds it whole.
     """
     spark = docs.sparkSession
     chunks = split_chunks(docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), modulus, rest)
