@@ -19,15 +19,20 @@ def bit_groups(data):
 
 
 def value_text(value):
-    """Four decimals without trailing zeros."""
-    return F.rtrim(F.regexp_replace(F.format_string("%.4f", _n(value).cast("double")), r"\.?0+$", ""))
+    """Four decimals without trailing zeros; null for null."""
+    v = _n(value).cast("double")
+    return F.when(v.isNotNull(), F.regexp_replace(F.format_string("%.4f", v), r"\.?0+$", ""))
 
 
 def clean_text(text):
-    """Hard blanks become blanks; UTF-8 that was read as Latin-1 is repaired."""
+    """Hard blanks become blanks; UTF-8 that was read as Latin-1 is repaired.
+
+    In a text to repair, characters beyond Latin-1 and bytes that are no UTF-8 are left out.
+    """
     t = F.trim(F.replace(_n(text), F.lit("\u00a0"), F.lit(" ")))
     broken = t.contains("\u00c2") | t.contains("\u00c3")
-    return F.when(broken, F.decode(F.encode(F.regexp_replace(t, "[^\\x00-\\xFF]", ""), "ISO-8859-1"), "UTF-8")).otherwise(t)
+    raw = F.encode(F.regexp_replace(t, "[^\\x00-\\xFF]", ""), "ISO-8859-1").cast("string")
+    return F.when(broken, F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))).otherwise(t)
 
 
 def display_line(name, value, unit):

@@ -1,7 +1,7 @@
 """Search for unknown signals: every plausible field of a payload is decoded, measured and ranked.
 
 The lag is taken on the two packed words of a frame, once; then specs multiply the rows within a task and
-all lag-based statistics are partial aggregates: one shuffle for the lag, one for the results.
+all lag-based statistics are partial aggregates: one shuffle for the lag, one for the sums, one for values.
 """
 
 from pyspark.sql import Window
@@ -17,49 +17,68 @@ SPEC_DDL = "spec_id int, spec_len int, start_bit int, length int, le boolean, ty
 def specs(spark, payload=8, shortest=8, longest=32, step=8, orders=("le", "be"), types=("uint", "int", "float32"), mux_bytes=()):
     """The fields to try, a table made on the driver: spec_id, spec_len, start_bit, length, le, type.
 
-    Lengths run from shortest to longest by step, the longest always included; little-endian starts by
-    step, big-endian ones at step - 1, 2 * step - 1, ... while they stay inside; float32 only at 32 bits.
-    Fields that touch selector bytes are left out.
+    payload: a payload length or several, each with its own fields. Lengths run from shortest to longest by
+    step, the longest always included; little-endian starts by step, big-endian ones at step - 1,
+    2 * step - 1, ... while they stay inside; float32 only at 32 bits. Fields that touch selector bytes are
+    left out.
     """
-    bits, masked, out = 8 * payload, {8 * b + i for b in mux_bytes for i in range(8)}, []
-    for n in sorted({*range(shortest, longest + 1, step), longest}):
-        for kind in types:
-            if kind == "float32" and n != 32:
-                continue
-            if "le" in orders:
-                out += [(s, n, True, kind) for s in range(0, bits - n + 1, step) if not masked & set(range(s, s + n))]
-            if "be" in orders:
-                for s in range(step - 1, bits, step):
-                    first = 8 * (s // 8) + 7 - s % 8  # counted from the payload's first bit
-                    used = {8 * (i // 8) + 7 - i % 8 for i in range(first, first + n)}
-                    if first + n <= bits and not masked & used:
-                        out.append((s, n, False, kind))
-    return spark.createDataFrame([(i, payload, *x) for i, x in enumerate(out)], SPEC_DDL)
-
-
-def scan(frames, spec_table, samples=6):
+    masked, out = {8 * b + i for b in mux_bytes for i in range(8)}, []
+    for size in [payload] if isinstance(payload, int) else sorted(payload):
+        bits = 8 * size
+        for n in sorted({*range(shortest, longest + 1, step), longest}):
+            for kind in types:
+                if kind == "float32" and n != 32:
+                    continue
+                if "le" in orders:
+                    out += [(size, s, n, True, kind) for s in range(0, bits - n + 1, step) if not masked & set(range(s, s + n))]
+                if "be" in orders:
+                    for s in range(step - 1, bits, step):
+                        first = 8 * (s // 8) + 7 - s % 8  # counted from the payload's first bit
+                        used = {8 * (i // 8) + 7 - i % 8 for i in range(first, first + n)}
+                        if first + n <= bits and not masked & used:
+                            out.append((size, s, n, False, kind))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(out)], SPEC_DDL)
+
+
+def payload_lengths(frames):
+    """The payload lengths that occur, at most eight."""
+    return [r[0] for r in frames.where("LEN between 1 and 8").select("LEN").distinct().collect()]
+
+
+def scan(frames, spec_table=None, samples=6):
     """Statistics of every spec for every (log, ID, LEN, case): frames, changes, distinct_values, low, high,
     span, autocorr, counter_share, first values, score and category.
 
-    frames may have mux_label (see summary.with_cases); specs fit frames of their payload length.
+    frames may have mux_label (see summary.with_cases); specs fit frames of their payload length. Without a
+    table all default specs of each payload length that occurs are tried. Sums are partial aggregates by
+    group and spec. Distinct values are counted apart, on (group, spec, value) alone: once for the signed
+    and the unsigned reading of a field, and once for both byte orders of a single byte.
     """
     if "mux_label" not in frames.columns:
         frames = frames.withColumn("mux_label", F.lit(""))
+    spec_table = specs(frames.sparkSession, payload_lengths(frames)) if spec_table is None else spec_table
     by = Window.partitionBy(*KEY).orderBy("TS", "seq")
     words = frames.withColumns({"w": packed_le(), "v": packed_be()}).withColumns({
         "pw": F.lag("w").over(by), "pv": F.lag("v").over(by), "w0": F.first("w").over(by), "v0": F.first("v").over(by), "place": F.row_number().over(by),
     })
+    # the specs are made on the driver: 57 for each byte of payload at most
     rows = words.join(F.broadcast(spec_table), F.col("LEN") == F.col("spec_len"))
     at = lambda w, v: physical(raw_bits(w, v, "start_bit", "length", "le"), "length", "type")
-    rows = rows.select(*KEY, "spec_id", "start_bit", "length", "le", "type", "place", at("w", "v").alias("x"), F.when(F.col("place") > 1, at("pw", "pv")).alias("p"), at("w0", "v0").alias("x0"))
+    rows = rows.select(*KEY, "spec_id", "place", at("w", "v").alias("x"), F.when(F.col("place") > 1, at("pw", "pv")).alias("p"), at("w0", "v0").alias("x0"))
     b, a = F.when(F.col("p").isNotNull(), F.col("x") - F.col("x0")), F.col("p") - F.col("x0")
     step = F.col("x") - F.col("p")
-    out = rows.groupBy(*KEY, "spec_id", "start_bit", "length", "le", "type").agg(
-        F.count("*").alias("frames"), F.count_if(F.abs(step) > 1e-9).alias("changes"), F.count_distinct(F.bround("x", 6)).alias("distinct_values"), F.min("x").alias("low"), F.max("x").alias("high"),
+    out = rows.groupBy(*KEY, "spec_id").agg(
+        F.count("*").alias("frames"), F.count_if(F.abs(step) > 1e-9).alias("changes"), F.min("x").alias("low"), F.max("x").alias("high"),
         F.count_if(step.isin(1.0, -255.0)).alias("up"), F.count(a).alias("m"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.struct("place", "x")))), lambda r: r["x"]).alias("first_values"),
     )
-    return ranked(out)
+    field = F.struct("spec_len", (F.col("type") == "float32").alias("f"), "length", F.when(F.col("length") == 8, F.floor(F.col("start_bit") / 8) * 8).otherwise(F.col("start_bit")).alias("s"), (F.col("le") | (F.col("length") == 8)).alias("l"))
+    fields = spec_table.withColumn("field", F.min(F.struct((F.col("type") == "int").alias("i"), "spec_id")).over(Window.partitionBy(field))["spec_id"])
+    counted = frames.withColumns({"w": packed_le(), "v": packed_be()}).join(F.broadcast(fields.where("field = spec_id")), F.col("LEN") == F.col("spec_len"))
+    seen = counted.select(*KEY, "field", F.bround(at("w", "v"), 6).alias("x")).where("x is not null").distinct()
+    distinct = seen.groupBy(*KEY, "field").agg(F.count("*").alias("distinct_values"))
+    named = out.join(F.broadcast(fields.drop("spec_len")), "spec_id").join(distinct, [*KEY, "field"], "left").drop("field")
+    return ranked(named.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long"))))
 
 
 def ranked(rows):

@@ -24,10 +24,11 @@ def coverage(frames, dictionary, messages=None):
     transport messages) their signals are covered too, by source address.
     """
     all_ones = F.when(F.col("length") >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col("length"), F.lit(63)).cast("int")) - F.lit(1).cast("long"))
-    rows = decode_all(frames, dictionary).withColumn("real", F.col("raw") != all_ones).select(*KEY, "TS", "seq", "value", "real")
+    real = F.col("raw") != all_ones
+    rows = decode_all(frames, dictionary).withColumn("real", real).select(*KEY, "TS", "seq", "value", "real")
     if messages is not None:
         more = decode_messages(messages, dictionary)
-        rows = rows.unionByName(more.select("log_id", F.format_string("SA%02X", F.col("sa").cast("int")).alias("ID"), "message_name", "signal_name", "TS", F.lit(0).cast("long").alias("seq"), "value", F.lit(True).alias("real")))
+        rows = rows.unionByName(more.select("log_id", F.format_string("SA%02X", F.col("sa").cast("int")).alias("ID"), "message_name", "signal_name", "TS", F.lit(0).cast("long").alias("seq"), "value", real.alias("real")))
     out = rows.groupBy(*KEY).agg(*_statistics(F.lit(True), ""), *_statistics(F.col("real"), "real_"))
     return out.withColumns({"is_changing": F.col("unique") > 1, "real_is_changing": F.when(F.col("real_frames") > 0, F.col("real_unique") > 1)})
 

@@ -16,13 +16,16 @@ DDL = (
     "signal_name string, start_bit int, length int, le boolean, scale double, offset double, type string, "
     "mux_start int, mux_bytes int, mux_value long, unit string, description string"
 )
-#: A dictionary above this many bytes of statistics is joined by a shuffle, not a broadcast.
+#: A dimension of more rows is joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def bounded(small, most=BROADCAST_ROWS):
-    """Broadcasts a dimension whose row count is checked; a larger one joins by Spark's own choice."""
-    return F.broadcast(small) if len(small.limit(most + 1).select(F.lit(1)).collect()) <= most else small
+    """Broadcasts a dimension whose row count is checked; a larger one joins by Spark's own choice.
+
+    The count runs at once and stops at the bound, so ``small`` should be a dictionary, not a scan of frames.
+    """
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def select_frames(frames, mode="exact", id=None, pgn=None):
@@ -78,8 +81,9 @@ def decode_all(frames, dictionary):
     that do not fit eight bytes give none here (transport messages decode theirs).
     """
     signals = dictionary.where("active").where(fits("start_bit", "length", "le"))
+    # at most ids x signals rows, found at run time: AQE broadcasts them if they are few
     known = match_messages(frames, dictionary).join(signals.drop("active", "mode", "priority", "message_len"), ["dict_name", "message_name"])
-    rows = frames.withColumns({"le_word": packed_le(), "be_word": packed_be()}).join(bounded(known), "id_int")
+    rows = frames.withColumns({"le_word": packed_le(), "be_word": packed_be()}).join(known, "id_int")
     rows = rows.where(F.col("mux_value").isNull() | (mux_value("mux_start", "mux_bytes") == F.col("mux_value")))
     raw = raw_bits("le_word", "be_word", "start_bit", "length", "le")
     return rows.withColumn("raw", raw).select(
@@ -96,7 +100,7 @@ def present_messages(frames, dictionary, present=True):
 def concrete_ids(frames, dictionary):
     """One row for each id in the log that carries a message: a group may come from several sources."""
     ids = frames.select("log_id", "ID", "id_int").distinct()
-    return ids.join(bounded(match_messages(frames, dictionary)), "id_int").select("log_id", "ID", "id_int", "message_name", "mode")
+    return ids.join(match_messages(frames, dictionary), "id_int").select("log_id", "ID", "id_int", "message_name", "mode")
 
 
 def matching_ids(frames, id=None, pgn=None):

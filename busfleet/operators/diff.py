@@ -37,24 +37,37 @@ def default_windows(frames, share=0.1):
 
 def byte_observations(tagged):
     """Per id, side and byte, frames with LEN above the byte only: n, values (sorted set), low, high, mean,
-    first, last, change_ratio, counter, and hist (value -> count)."""
-    by = Window.partitionBy(*KEY, "side", "byte").orderBy("TS", "seq")
-    pairs = ", ".join(f"{i}, {c}" for i, c in enumerate(BYTES))
-    rows = tagged.select(*KEY, "side", "TS", "seq", "LEN", F.expr(f"stack(8, {pairs}) as (byte, value)")).where("byte < LEN")
-    rows = rows.withColumn("step", F.col("value") - F.lag("value").over(by))
+    first, last, change_ratio, counter, and hist (value -> count).
+
+    The lag is taken on the frame: the last value of each byte in frames that cover it.
+    """
+    by = Window.partitionBy(*KEY, "side").orderBy("TS", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    lagged = tagged.withColumns({f"p{i}": F.last(F.when(F.col("LEN") > i, F.col(c)), ignorenulls=True).over(by) for i, c in enumerate(BYTES)})
+    pairs = ", ".join(f"{i}, {c}, {c} - p{i}" for i, c in enumerate(BYTES))
+    rows = lagged.select(*KEY, "side", "TS", "seq", "LEN", F.expr(f"stack(8, {pairs}) as (byte, value, step)")).where("byte < LEN")
     place = F.struct("TS", "seq")
     cells = rows.groupBy(*KEY, "side", "byte", "value").agg(
         F.count("*").alias("c"), F.count("step").alias("steps"), F.count_if(F.col("step") != 0).alias("moved"), F.count_if(F.col("step").isin(1, -255)).alias("up"),
         F.min(place).alias("f"), F.max(place).alias("l"),
     )
-    out = cells.groupBy(*KEY, "side", "byte").agg(
+    out = cells.groupBy(*KEY, "side", "byte").agg(*of_counts(), F.min_by("value", "f").alias("first"), F.max_by("value", "l").alias("last"), F.sum("steps").alias("steps"), F.sum("moved").alias("moved"), F.sum("up").alias("up"))
+    return observed(out)
+
+
+def of_counts():
+    """What the counts (value, c) of a byte tell by themselves."""
+    return [
         F.sum("c").alias("n"), F.array_sort(F.collect_list("value")).alias("values"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.sum(F.col("value") * F.col("c")).alias("total"), F.min_by("value", "f").alias("first"), F.max_by("value", "l").alias("last"),
-        F.sum("steps").alias("steps"), F.sum("moved").alias("moved"), F.sum("up").alias("up"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "c")))).alias("hist"),
-    )
+        F.sum(F.col("value") * F.col("c")).alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "c")))).alias("hist"),
+    ]
+
+
+def observed(sums):
+    """Observations from a byte's sums: mean, change_ratio and whether it counts."""
     share = lambda c: F.when(F.col("steps") > 0, F.col(c) / F.col("steps")).otherwise(0.0)
     counter = (F.col("steps") > 0) & ((share("up") >= COUNTER_SHARE) | ((F.size("values") == 2) & (share("moved") >= COUNTER_SHARE)))
-    return out.select(*KEY, "side", "byte", "n", "values", "low", "high", (F.col("total") / F.col("n")).alias("mean"), "first", "last", share("moved").alias("change_ratio"), counter.alias("counter"), "hist")
+    key = [c for c in (*KEY, "side", "byte") if c in sums.columns]
+    return sums.select(*key, "n", "values", "low", "high", (F.col("total") / F.col("n")).alias("mean"), "first", "last", share("moved").alias("change_ratio"), counter.alias("counter"), "hist")
 
 
 def change_class(a="values_a", b="values_b"):
@@ -72,8 +85,13 @@ def byte_diff(tagged):
     score = weight of the class * (0.5 + 0.5 * min(1, |mean_delta| / 255)), damped for counters on both sides.
     """
     obs = byte_observations(tagged)
-    side = lambda s: obs.where(F.col("side") == s).select(*KEY, "byte", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "values", "low", "high", "mean", "first", "last", "change_ratio", "counter", "hist")))
-    both = side("a").join(side("b"), [*KEY, "byte"])
+    return compared(obs.where("side = 'a'"), obs.where("side = 'b'"))
+
+
+def compared(a, b):
+    """``byte_diff`` of two tables of observations."""
+    side = lambda obs, s: obs.select(*KEY, "byte", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "values", "low", "high", "mean", "first", "last", "change_ratio", "counter", "hist")))
+    both = side(a, "a").join(side(b, "b"), [*KEY, "byte"])
     delta = F.col("mean_b") - F.col("mean_a")
     kind = change_class()
     weight = F.coalesce(*(F.when(F.col("class") == k, F.lit(w)) for k, w in WEIGHTS.items()))

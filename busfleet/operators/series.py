@@ -123,16 +123,28 @@ def minmax_downsample(series, points):
     return ends.select(*SERIES, "bucket", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select(*SERIES, "bucket", "x.TS", "x.seq", "x.value")
 
 
+#: Stretches of time of a log, each aligned by itself.
+STRETCHES = 1024
+
+
 def align(series, names, key="log_id"):
     """Series ``names`` side by side on the union of their times: the last value so far, null before the first.
 
-    Of rows with equal times the last one counts. Gives log_id, TS and a column per name.
+    Of rows with equal times the last one counts. Gives log_id, TS and a column per name. A log's time is
+    cut into STRETCHES: each stretch's last values are carried on to those after it, at most STRETCHES rows
+    a log, so that no task has to hold a log.
     """
     wide = series.where(F.col("series_id").isin(list(names))).groupBy(key, "TS").agg(
         *(F.max_by(F.when(F.col("series_id") == n, F.col("value")), F.when(F.col("series_id") == n, F.col("seq"))).alias(n) for n in names)
     )
-    w = Window.partitionBy(key).orderBy("TS")
-    return wide.select(key, "TS", *(F.last(n, ignorenulls=True).over(w).alias(n) for n in names))
+    span = series.where(F.col("series_id").isin(list(names))).groupBy(key).agg(F.min("TS").alias("__t0"), F.max("TS").alias("__t1"))
+    stretch = F.coalesce(F.floor((F.col("TS") - F.col("__t0")) / F.nullif(F.col("__t1") - F.col("__t0"), F.lit(0.0)) * STRETCHES), F.lit(0)).cast("int")
+    cut = wide.join(span, key).withColumn("__s", stretch).drop("__t0", "__t1")
+    ends = cut.groupBy(key, "__s").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("TS"))).alias(n) for n in names))
+    before = Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "__s", *(F.last(n, ignorenulls=True).over(before).alias(f"__{i}") for i, n in enumerate(names)))
+    w = Window.partitionBy(key, "__s").orderBy("TS")
+    return cut.join(carried, [key, "__s"]).select(key, "TS", *(F.coalesce(F.last(n, ignorenulls=True).over(w), F.col(f"__{i}")).alias(n) for i, n in enumerate(names)))
 
 
 def _around(series, probes):
@@ -167,8 +179,13 @@ def nearest(series, probes):
 
 def neighbours(series, probes):
     """The times of the samples strictly before and strictly after each probe time; null at the ends."""
-    asks = F.broadcast(probes.select(F.col("probe").cast("double").alias("probe")).distinct())
-    return series.crossJoin(asks).groupBy(*SERIES, "probe").agg(F.max(F.when(F.col("TS") < F.col("probe"), F.col("TS"))).alias("previous"), F.min(F.when(F.col("TS") > F.col("probe"), F.col("TS"))).alias("next"))
+    ids = series.select(*SERIES).distinct()
+    rows = series.select(*SERIES, "TS", F.col("TS").alias("s"), F.lit(None).cast("double").alias("probe"))
+    asked = ids.crossJoin(probes.select(F.col("probe").cast("double").alias("probe")).distinct()).select(*SERIES, F.col("probe").alias("TS"), F.lit(None).cast("double").alias("s"), "probe")
+    both = rows.unionByName(asked).groupBy(*SERIES, "TS").agg(F.max("s").alias("s"), F.max("probe").alias("probe"))
+    strict = Window.partitionBy(*SERIES).orderBy("TS")
+    found = both.withColumns({"previous": F.last("s", ignorenulls=True).over(strict.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first("s", ignorenulls=True).over(strict.rowsBetween(1, Window.unboundedFollowing))})
+    return found.where("probe is not null").select(*SERIES, "probe", "previous", "next")
 
 
 def window_statistics(series, low, high):
@@ -190,18 +207,26 @@ def spectrum(series, points=4096, low=None, high=None):
     """Hann-window amplitude spectrum of each series on a uniform grid: bin, frequency, amplitude.
 
     Samples that are not finite are dropped; fewer than four give zeros. The grid step is the duration
-    over the number of points. Interpolation needs each grid point's neighbours only; it runs in one task
-    per series with the transform, on at most what the range holds.
+    over the number of points. A grid point is interpolated between its neighbours in time; these are the
+    first or last samples of the grid's cells, so only those are left for the transform: four for each grid
+    point at most, whatever the length of a series.
     """
     rows = series.where(~F.isnan("value") & (F.abs("value") < float("inf")))
     if low is not None:
         rows = rows.where(F.col("TS").between(low, high))
+    span = rows.groupBy(*SERIES).agg(F.min("TS").alias("t0"), F.max("TS").alias("t1"), F.count("*").alias("samples"))
+    place = (F.col("TS") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0)) * (points - 1)
+    on_grid = F.abs(place - F.round(place)) < 1e-9  # samples at a grid point's time are a cell of their own
+    cell = F.coalesce(F.when(on_grid, 2 * F.round(place)).otherwise(2 * F.floor(place) + 1), F.lit(0)).cast("int")
+    sample = F.struct("TS", "seq", "value")
+    ends = rows.join(span, SERIES).withColumn("cell", cell).groupBy(*SERIES, "samples", "cell").agg(F.min(sample).alias("a"), F.max(sample).alias("b"))
+    kept = ends.select(*SERIES, "samples", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select(*SERIES, "samples", "x.*")
 
     def transform(key, part):
         part = part.sort_values(["TS", "seq"])
         t, y = part["TS"].to_numpy(), part["value"].to_numpy()
         span = t[-1] - t[0]
-        if len(t) < 4 or span <= 0:
+        if part["samples"].iloc[0] < 4 or span <= 0:
             f, a = np.zeros(points // 2 + 1), np.zeros(points // 2 + 1)
         else:
             w = np.hanning(points)
@@ -210,4 +235,4 @@ def spectrum(series, points=4096, low=None, high=None):
             f = np.fft.rfftfreq(points, span / points)
         return pd.DataFrame({"log_id": key[0], "series_id": key[1], "bin": np.arange(len(f), dtype=np.int32), "frequency": f, "amplitude": a})
 
-    return rows.select(*SERIES, "TS", "seq", "value").groupBy(*SERIES).applyInPandas(transform, "log_id string, series_id string, bin int, frequency double, amplitude double")
+    return kept.groupBy(*SERIES).applyInPandas(transform, "log_id string, series_id string, bin int, frequency double, amplitude double")

@@ -47,10 +47,11 @@ def with_cases(frames, rules, prefer="exact"):
     length first, 'any' the one for any length, 'first' the first by a column ``position``.
     """
     rank = {"exact": F.col("length").isNull().cast("int"), "any": F.col("length").isNotNull().cast("int"), "first": F.col("position") if "position" in rules.columns else F.lit(0)}[prefer]
-    r = rules.select(F.col("can_id").alias("ID"), "length", F.col("mux_bytes").alias("rule_bytes"), rank.alias("rank"))
-    pairs = frames.select("ID", "LEN").distinct().join(r, "ID").where(F.col("length").isNull() | (F.col("length") == F.col("LEN")))
-    best = pairs.groupBy("ID", "LEN").agg(F.min_by("rule_bytes", F.struct("rank", F.array_join("rule_bytes", ","))).alias("mux_bytes"))
-    joined = frames.join(best, ["ID", "LEN"], "left").withColumn("mux_bytes", F.coalesce("mux_bytes", F.expr("cast(array() as array<int>)")))
+    rule = F.struct(rank.alias("rank"), F.array_join("mux_bytes", ",").alias("order"), "mux_bytes", "length")
+    # an id's rules travel together, so frames, of a stream too, meet a plain table by id
+    r = rules.groupBy(F.col("can_id").alias("ID")).agg(F.collect_list(rule).alias("__rules"))
+    fitting = F.filter("__rules", lambda x: x["length"].isNull() | (x["length"] == F.col("LEN")))
+    joined = frames.join(r, "ID", "left").withColumn("mux_bytes", F.coalesce(F.array_min(fitting)["mux_bytes"], F.expr("cast(array() as array<int>)"))).drop("__rules")
     values = F.array(*BYTES)
     return joined.withColumn("mux_label", F.array_join(F.transform("mux_bytes", lambda i: F.lpad(F.hex(F.get(values, i).cast("long")), 2, "0")), " "))
 

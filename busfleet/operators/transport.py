@@ -28,23 +28,26 @@ def bam_messages(frames):
     Any announcement of a source opens a session and closes the one before. It completes with the frame
     by which as many distinct packet numbers (1..255) as announced have come; a repeated number before
     that overwrites, frames after it and sessions that stay incomplete are ignored. Missing segments of
-    an odd numbering are zeros.
+    an odd numbering are zeros. One sort by source orders all; a session then is its numbers, 255 at most,
+    each with its first and last frame. Only sessions in which a number comes again after the end are read
+    a second time, up to that end.
     """
-    by = Window.partitionBy("log_id", "sa").orderBy("TS", "seq")
-    rows = transport_rows(frames).withColumn("session", F.sum(F.col("opens").cast("int")).over(by))
-    heads = rows.where("opens").select("log_id", "sa", "session", "size", "packets", "pgn")
-    parts = rows.where("not opens and session > 0 and number between 1 and 255").select("log_id", "sa", "session", "TS", "seq", "number", "part")
     key = ["log_id", "sa", "session"]
-    inside = Window.partitionBy(*key).orderBy("TS", "seq")
-    fresh = F.row_number().over(Window.partitionBy(*key, "number").orderBy("TS", "seq")) == 1
-    parts = parts.withColumn("fresh", fresh.cast("int")).withColumn("seen", F.sum("fresh").over(inside))
-    full = parts.join(heads, key).where("packets > 0")
-    ends = full.where("seen = packets and fresh = 1").select(*key, F.col("TS").alias("end_TS"), F.col("seq").alias("end_seq"))
-    used = full.join(ends, key).where(F.struct("TS", "seq") <= F.struct("end_TS", "end_seq"))
-    last = used.groupBy(*key, "size", "pgn", "end_TS", "number").agg(F.max_by("part", F.struct("TS", "seq")).alias("part"))
-    whole = last.groupBy(*key, "size", "pgn", "end_TS").agg(F.map_from_entries(F.collect_list(F.struct("number", "part"))).alias("segments"))
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("size") / 7), F.lit(1)).cast("int")), lambda i: F.coalesce(F.element_at("segments", i), F.lit("0" * 14))), "")
-    return whole.select("log_id", F.col("end_TS").alias("TS"), "sa", "pgn", F.unhex(F.substring(digits, F.lit(1), 2 * F.col("size").cast("int"))).alias("data"))
+    by = Window.partitionBy("log_id", "sa").orderBy("TS", "seq")
+    head = F.when(F.col("opens"), F.struct("size", "packets", "pgn"))
+    rows = transport_rows(frames).withColumns({"session": F.sum(F.col("opens").cast("int")).over(by), "head": F.last(head, ignorenulls=True).over(by)})
+    rows = rows.where("not opens and session > 0 and number between 1 and 255 and head.packets > 0").withColumn("at", F.struct("TS", "seq"))
+    numbers = rows.groupBy(*key, "head", "number").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("part", "at").alias("part"))
+    whole = numbers.groupBy(*key, "head").agg(F.array_sort(F.collect_list(F.struct("first", "number", "last", "part"))).alias("found"))
+    ended = whole.withColumn("end", F.get("found", F.col("head.packets") - 1)["first"]).where("end is not null")
+    ended = ended.withColumn("used", F.filter("found", lambda x: x["first"] <= F.col("end")))
+    late = F.exists("used", lambda x: x["last"] > F.col("end"))
+    clean = ended.where(~late).select(*key, "head", "end", F.transform("used", lambda x: F.struct(x["number"].alias("number"), x["part"].alias("part"))).alias("used"))
+    again = rows.join(ended.where(late).select(*key, "end"), key).where("at <= end").groupBy(*key, "head", "end", "number").agg(F.max_by("part", "at").alias("part"))
+    again = again.groupBy(*key, "head", "end").agg(F.collect_list(F.struct("number", "part")).alias("used"))
+    segments = clean.unionByName(again).withColumn("segments", F.map_from_entries("used"))
+    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("head.size") / 7), F.lit(1)).cast("int")), lambda i: F.coalesce(F.element_at("segments", i), F.lit("0" * 14))), "")
+    return segments.select("log_id", F.col("end.TS").alias("TS"), "sa", F.col("head.pgn").alias("pgn"), F.unhex(F.substring(digits, F.lit(1), 2 * F.col("head.size").cast("int"))).alias("data"))
 
 
 def announced_groups(frames):
@@ -81,17 +84,33 @@ def long_bits(data, start, length):
     return F.when(F.length(d) * 8 >= s + k, cut)
 
 
+def long_raw(data, start, length, le):
+    """Up to 64 bits of a payload of any length as a signed long; null beyond its end.
+
+    A little-endian field starts at its least bit, a big-endian one at its greatest, as in dictionaries.
+    """
+    d, s, k = F.col(data), F.col(start), F.col(length)
+    first_bit = F.when(F.col(le), s).otherwise(F.floor(s / 8) * 8 + 7 - s % 8).cast("int")
+    first, size = F.floor(first_bit / 8).cast("int"), F.floor((first_bit % 8 + k + 7) / 8).cast("int")
+    digits = F.hex(F.substring(d, first + 1, size))
+    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.lpad(F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 2), 8, "0"))
+    cells = F.array_join(F.when(F.col(le), F.reverse(parts)).otherwise(parts), "")
+    at = F.when(F.col(le), size * 8 - first_bit % 8 - k + 1).otherwise(first_bit % 8 + 1).cast("int")
+    return F.when((k > 0) & (F.length(d) * 8 >= first_bit + k), F.conv(F.substring(cells, at, k), 2, -10).cast("long"))
+
+
 def decode_messages(messages, dictionary):
-    """Signals of reassembled messages by their group: log_id, TS, sa, pgn, message_name, signal_name, value, unit.
+    """Signals of reassembled messages by their group: log_id, TS, sa, pgn, message_name, signal_name, value, unit, raw, length.
 
-    Every message is decoded, not only a log's last.
+    Every message is decoded, not only a log's last. A payload is cut or filled up with zeros to the length
+    that the dictionary has for its message. Signals of either byte order, up to 64 bits.
     """
-    s = dictionary.where("active and mode = 'j1939' and message_len > 8 and le and length <= 56").select("pgn", "message_name", "signal_name", "start_bit", "length", "type", "scale", "offset", "unit", "mux_start", "mux_bytes", "mux_value")
-    rows = messages.join(bounded(s), "pgn")
+    s = dictionary.where("active and mode = 'j1939' and message_len > 8 and length <= 64").select("pgn", "message_name", "message_len", "signal_name", "start_bit", "length", "le", "type", "scale", "offset", "unit", "mux_start", "mux_bytes", "mux_value")
+    rows = messages.join(bounded(s), "pgn").withColumn("data", F.expr("rpad(data, message_len, x'00')"))
     case = long_bits("data", F.col("mux_start") * 8, F.greatest(F.col("mux_bytes"), F.lit(1)) * 8)
-    rows = rows.where(F.col("mux_value").isNull() | (case == F.col("mux_value"))).withColumn("raw", long_bits("data", "start_bit", "length")).where("raw is not null")
+    rows = rows.where(F.col("mux_value").isNull() | (case == F.col("mux_value"))).withColumn("raw", long_raw("data", "start_bit", "length", "le")).where("raw is not null")
     number = F.when(F.col("type") == "float32", float32("raw")).when(F.col("type") == "int", signed("raw", "length").cast("double")).otherwise(unsigned_double("raw"))
-    return rows.select("log_id", "TS", "sa", "pgn", "message_name", "signal_name", (number * F.col("scale") + F.col("offset")).alias("value"), "unit")
+    return rows.select("log_id", "TS", "sa", "pgn", "message_name", "signal_name", (number * F.col("scale") + F.col("offset")).alias("value"), "unit", "raw", "length")
 
 
 def frame_groups(frames):

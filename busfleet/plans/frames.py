@@ -80,24 +80,35 @@ LINEITEM_SQL = r"""
         cast((cents // 256) % 256 as int) as D5, cast((cents // 65536) % 256 as int) as D6, 255 as D7 from e)"""
 
 
-def transport_frames(spark, sf_dir):
-    """D: per document of 9 bytes or more an announcement and its packets; at most 1785 bytes are carried.
+#: A transport message carries so many bytes at most: 255 packets of 7. A longer text goes as several messages.
+MESSAGE_BYTES = 1785
+#: Times of the transport frames: documents, then messages of a document, then frames of a message.
+PER_DOCUMENT, PER_MESSAGE = 100_000_000, 1000
 
-    The transport protocol's own bound, not a cap of ours: a message has up to 255 packets of 7 bytes.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8").substr(1, 1785)).alias("h")).where(F.length("h") >= 18)
-    docs = docs.withColumn("n", F.length("h") / 2).withColumn("packets", F.ceil(F.col("n") / 7).cast("int"))
-    le = lambda x, k: F.lpad(F.hex((F.floor(x / 256**k) % 256).cast("long")), 2, "0")
-    rows = docs.select(
-        "doc_id", F.explode(F.sequence(F.lit(0), "packets")).alias("k"), "h", "n", "packets", (F.col("doc_id") % 254).alias("sa"),
+
+def transport_frames(spark, sf_dir):
+    """D: the whole text of each document as successive messages: an announcement and its packets each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 0)
+    count = F.ceil(F.length("b") / MESSAGE_BYTES).cast("int")
+    m = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), count - 1)).alias("message")).select(
+        "doc_id", "message", F.hex(F.substring("b", F.col("message") * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES))).alias("h"),
     )
+    m = m.withColumn("n", F.length("h") / 2).withColumn("packets", F.ceil(F.col("n") / 7).cast("int"))
+    le = lambda x, k: F.lpad(F.hex((F.floor(x / 256**k) % 256).cast("long")), 2, "0")
+    rows = m.select("doc_id", "message", F.explode(F.sequence(F.lit(0), "packets")).alias("k"), "h", "n", "packets", (F.col("doc_id") % 254).alias("sa"))
     pgn = F.lit(0xFE00) + F.col("doc_id") % 256
     data = F.when(
         F.col("k") == 0,
         F.concat(F.lit("20"), le(F.col("n"), 0), le(F.col("n"), 1), le(F.col("packets"), 0), F.lit("FF"), le(pgn, 0), le(pgn, 1), le(pgn, 2)),
     ).otherwise(F.concat(le(F.col("k"), 0), F.rpad(F.col("h").substr((F.col("k") - 1) * 14 + 1, F.lit(14)), 14, "F")))
+    at = F.col("doc_id") * PER_DOCUMENT + F.col("message") * PER_MESSAGE + F.col("k")
     out = rows.select(
-        F.lit("documents").alias("log_id"), (F.col("doc_id") * 1000 + F.col("k")).cast("long").alias("seq"), (F.col("doc_id") * 1000 + F.col("k")).cast("double").alias("TS"),
+        F.lit("documents").alias("log_id"), at.cast("long").alias("seq"), at.cast("double").alias("TS"),
         F.lit("can0").alias("Bus"), (F.when(F.col("k") == 0, 0x18ECFF00).otherwise(0x18EBFF00) + F.col("sa")).cast("long").alias("id_int"), F.lit(8).alias("LEN"), data.alias("data"),
     )
     return _finish(out.withColumns({c: F.conv(F.col("data").substr(2 * i + 1, 2), 16, 10) for i, c in enumerate(BYTES)}).drop("data"))
+
+
+def transport_place(ts="TS"):
+    """The document and the message in it that a transport frame's time stands for."""
+    return F.floor(F.col(ts) / PER_DOCUMENT).cast("long").alias("doc_id"), (F.floor(F.col(ts) / PER_MESSAGE) % (PER_DOCUMENT // PER_MESSAGE)).cast("int").alias("message")

@@ -1,7 +1,7 @@
 """SQL for the registered queries, over the same tables and the same derived frames."""
 
 from busfleet.operators.series import gaussian_weights, savgol_weights
-from busfleet.plans.frames import EVENTS_SQL, LINEITEM_SQL
+from busfleet.plans.frames import EVENTS_SQL, LINEITEM_SQL, MESSAGE_BYTES
 
 D = [f"D{i}" for i in range(8)]
 ALL = "log_id, seq, TS, Bus, ID, id_int, DATA, LEN, D0, D1, D2, D3, D4, D5, D6, D7"
@@ -76,27 +76,34 @@ PREFIX = """pre as (select f.*, prefix_len, substr(printf('%02X%02X%02X%02X%02X%
         from (select * replace (D2 as D0, D0 as D2) from frames) f, (values (1), (2), (3), (4)) p(prefix_len) where prefix_len <= LEN),
     tot as (select ID, LEN, count(*) as total from frames group by all),
     st as (select ID, LEN, prefix_len, prefix, count(*) as support, any_value(total) as total, count(*) / any_value(total)::double as ratio from pre join tot using (ID, LEN) group by all having count(*) >= 6 or count(*) / any_value(total)::double >= 0.02)"""
-BAM = """m as (select doc_id, encode(text) as b, least(octet_length(encode(text)), 1785) as n from documents where octet_length(encode(text)) >= 9), """
+#: The messages that carry each document: (doc_id, message, h: hex digits, n: bytes).
+BAM = f"""x as (select doc_id, cast(k as int) as message, substr(hex(encode(text)), 2 * {MESSAGE_BYTES} * k + 1, 2 * {MESSAGE_BYTES}) as h, least({MESSAGE_BYTES}, octet_length(encode(text)) - {MESSAGE_BYTES} * k) as n
+    from documents, lateral (select unnest(range(cast(ceil(octet_length(encode(text)) / {MESSAGE_BYTES}.0) as bigint))) as k) where octet_length(encode(text)) > 0)"""
+WIDER = f"own as (select distinct id_int, {PGN} as pgn from frames), ids as (select distinct id_int, {PGN} as pgn from (select id_int from frames union all select case when id_int <= 2047 then id_int + 1024 else id_int + 4096 end from frames)),"
+WIDER_DICTIONARY = DICTIONARY.replace(f"ids as (select distinct id_int, {PGN} as pgn from frames),", WIDER)
+PRESENT = "exists (select 1 from own i where (dict.mode = 'exact' and i.id_int = dict.frame_id) or (dict.mode = 'j1939' and i.pgn = dict.pgn))"
 MUX_SIGNED = lambda raw, n: f"case when ({raw}) >= {1 << (n - 1)} then ({raw}) - {1 << n} else ({raw}) end"
 
 
-def _candidate_cells(kinds):
+def _candidate_cells(kinds, lengths=(8, 16, 24, 32), orders=("true", "false")):
+    """The fields of each payload length that the frames have, 6 and 8 bytes."""
     cells = []
-    for n in (8, 16):
-        for kind in kinds:
-            for s in range(0, 64 - n + 1, 8):
-                raw = " + ".join(f"D{s // 8 + i} * {256**i}" for i in range(n // 8))
-                cells.append((s, n, "true", kind, MUX_SIGNED(raw, n) if kind == "int" else raw))
-            for s in range(7, 64, 8):
-                if s // 8 + n // 8 <= 8:
-                    raw = " + ".join(f"D{s // 8 + i} * {256 ** (n // 8 - 1 - i)}" for i in range(n // 8))
-                    cells.append((s, n, "false", kind, MUX_SIGNED(raw, n) if kind == "int" else raw))
-    return " union all ".join(f"select ID, LEN, TS, seq, {s} as start_bit, {n} as length, {le} as le, '{k}' as type, cast({raw} as double) as x from frames where LEN = 8" for s, n, le, k, raw in cells)
+    for size in (6, 8):
+        for n in lengths:
+            k = n // 8
+            for kind in kinds:
+                for at in range(size - k + 1):
+                    for le in orders:
+                        raw = " + ".join(f"D{at + i} * {256 ** (i if le == 'true' else k - 1 - i)}::bigint" for i in range(k))
+                        x = MUX_SIGNED(raw, n) if kind == "int" else raw
+                        cells.append(f"select ID, LEN, TS, seq, {8 * at + (0 if le == 'true' else 7)} as start_bit, {n} as length, {le} as le, '{kind}' as type, cast({x} as double) as x from frames where LEN = {size}")
+    return " union all ".join(cells)
 
 
 CANDIDATES = """
-    lg as (select *, lag(x) over (partition by ID, start_bit, length, le, type order by TS, seq) as p from cand),
+    lg as (select *, lag(x) over (partition by ID, LEN, start_bit, length, le, type order by TS, seq) as p from cand),
     ag as (select ID, LEN, start_bit, length, le, type, count(*) as frames, cast(sum(case when abs(x - p) > 1e-9 then 1 else 0 end) as bigint) as changes, count(distinct x) as distinct_values, min(x) as low, max(x) as high,
+        cast(sum(case when x - p in (1, -255) then 1 else 0 end) as double) / greatest(count(p), 1) as up, array_to_string(list(cast(x as bigint) order by TS, seq)[1:6], ',') as first_values,
         case when count(*) < 3 or coalesce(stddev_pop(x) filter (p is not null), 0) < 1e-12 or coalesce(stddev_pop(p), 0) < 1e-12 then 0.0
              else abs(covar_pop(x, p) / (stddev_pop(x) filter (p is not null) * stddev_pop(p))) end as autocorr from lg group by all),
     sh as (select *, 0.5 * changes / greatest(frames - 1, 1) + 0.3 * least(1.0, (distinct_values - 1) / greatest(1.0, least(frames - 1, 16))) + 0.2 * case when high - low > 1e-9 then 1 else 0 end as shape from ag)"""
@@ -151,8 +158,8 @@ ORACLE = {
         count(*) filter (r) as real_frames, count(distinct value) filter (r) as real_unique, min(value) filter (r) as real_low, max(value) filter (r) as real_high, round(avg(value) filter (r), 6) as real_mean, arg_max(value, (TS, seq)) filter (r) as real_last,
         count(distinct value) > 1 as is_changing, case when count(*) filter (r) > 0 then count(distinct value) filter (r) > 1 end as real_is_changing
         from (select *, raw <> (1::hugeint << length) - 1 as r from dec) group by all""", DICTIONARY),
-    "present_messages": _events("select distinct message_name from dict where exists (select 1 from ids i where i.id_int % 2 = 0 and ((dict.mode = 'exact' and i.id_int = dict.frame_id) or (dict.mode = 'j1939' and i.pgn = dict.pgn)))", DICTIONARY),
-    "absent_messages": _events("select distinct message_name from dict where not exists (select 1 from ids i where i.id_int % 2 = 0 and ((dict.mode = 'exact' and i.id_int = dict.frame_id) or (dict.mode = 'j1939' and i.pgn = dict.pgn)))", DICTIONARY),
+    "present_messages": _events(f"select distinct message_name from dict where {PRESENT}", WIDER_DICTIONARY),
+    "absent_messages": _events(f"select distinct message_name from dict where not {PRESENT}", WIDER_DICTIONARY),
     "changed_signals": _events("""select i.id_int, sc.byte, array_to_string(list_sort(list(distinct signal_name)), ',') as signals from sc join (select distinct ID, id_int from frames) i on i.ID = sc.ID
         join dict d on d.mode = 'exact' and d.frame_id = i.id_int and sc.byte between d.start_bit // 8 and (d.start_bit + d.length - 1) // 8 where class <> 'unchanged' group by all""", SIDES, OBSERVED, DICTIONARY),
     "dictionary_overlaps": """with s as (select 'm' || cast(p_partkey % 200 as varchar) as m, 's' || cast(p_partkey as varchar) as n, (p_partkey * 5) % 48 as s from part)
@@ -178,13 +185,18 @@ ORACLE = {
     "stride_sample": f"with {KINDS} select series_id, seq from (select *, row_number() over (partition by series_id order by TS, seq) - 1 as r, count(*) over (partition by series_id) as n from s) where r % cast(ceil(n / 100.0) as bigint) = 0",
     "minmax_sample": f"""with {KINDS} select series_id, seq, value from (select *, row_number() over (partition by series_id, b order by value, TS, seq) as lo, row_number() over (partition by series_id, b order by value desc, TS, seq) as hi
         from (select *, (row_number() over (partition by series_id order by TS, seq) - 1) // cast(ceil(count(*) over (partition by series_id) / 50.0) as bigint) as b from s)) where lo = 1 or hi = 1""",
-    "bam_messages": f"with {BAM} x as (select * from m) select doc_id, cast(doc_id % 254 as int) as sa, 65024 + doc_id % 256 as pgn, substr(lower(hex(b)), 1, 2 * n) as data from x",
-    "bam_groups": "select 65024 + doc_id % 256 as pgn, count(distinct doc_id % 254) as sources, count(*) as announcements from documents where octet_length(encode(text)) >= 9 group by all",
-    "bam_bits": f"""with {BAM} x as (select doc_id, hex(b) as h from m), y as (select doc_id, [cast('0x' || substr(h, 2 * i + 1, 2) as bigint) for i in range(9)] as c from x)
-        select doc_id, ((c[2] + 256 * c[3] + 65536 * c[4]) >> 4) & 1048575 as bits, c[5] * 256 + c[6] as word from y""",
-    "bam_chunks": f"""with {BAM} x as (select doc_id, hex(b) as h, n from m) select doc_id, cast(k as int) as chunk, cast('0x' || substr(h, 2 * (1 + 16 * k + 2) + 1, 2) as bigint) + 256 * cast('0x' || substr(h, 2 * (1 + 16 * k + 3) + 1, 2) as bigint) as value
+    "bam_messages": f"with {BAM} select doc_id, message, cast(doc_id % 254 as int) as sa, 65024 + doc_id % 256 as pgn, lower(h) as data from x",
+    "bam_groups": f"with {BAM} select 65024 + doc_id % 256 as pgn, count(distinct doc_id % 254) as sources, count(*) as announcements from x group by all",
+    "bam_bits": f"""with {BAM}, y as (select doc_id, message, n, [cast('0x' || coalesce(nullif(substr(h, 2 * i + 1, 2), ''), '0') as bigint) for i in range(9)] as c from x)
+        select doc_id, message, case when n >= 4 then ((c[2] + 256 * c[3] + 65536 * c[4]) >> 4) & 1048575 end as bits, case when n >= 6 then c[5] * 256 + c[6] end as word from y""",
+    "bam_chunks": f"""with {BAM} select doc_id, message, cast(k as int) as chunk, cast('0x' || substr(h, 2 * (1 + 16 * k + 2) + 1, 2) as bigint) + 256 * cast('0x' || substr(h, 2 * (1 + 16 * k + 3) + 1, 2) as bigint) as value
         from x, range(112) t(k) where (k + 1) * 16 + 1 <= n""",
-    "candidate_scan": _events("select ID, LEN, start_bit, length, le, type, frames, changes, distinct_values, low, high, round(autocorr, 6) as autocorr, round(case when frames < 2 then 0.0 else least(greatest(shape * (0.3 + 0.7 * autocorr), 0), 1) * least(1.0, sqrt(frames / 30.0)) end, 6) as score from sh", f"cand as ({_candidate_cells(('uint', 'int'))})", CANDIDATES),
+    "candidate_scan": _events("""select ID, LEN, start_bit, length, le, type, frames, changes, distinct_values, low, high, round(autocorr, 6) as autocorr,
+        round(case when frames < 2 then 0.0 else least(greatest(shape * (0.3 + 0.7 * autocorr), 0), 1) * least(1.0, sqrt(frames / 30.0)) end, 6) as score,
+        case when distinct_values <= 1 then 'constant' when distinct_values = 2 then 'binary' when length = 8 and type = 'uint' and up >= 0.85 then 'counter'
+            when distinct_values <= 16 and changes / greatest(frames - 1, 1) < 0.5 then 'enum' when autocorr >= 0.5 then 'analog' else 'other' end as category, first_values from sh""", f"cand as ({_candidate_cells(('uint', 'int'))})", CANDIDATES),
+    "candidate_counts": _events("select ID, count(*) as candidates, min(high - low) filter (abs(low) < 1e15 and abs(high) < 1e15) as span_low, max(high - low) filter (abs(low) < 1e15 and abs(high) < 1e15) as span_high from (select ID, LEN, start_bit, length, le, type, min(x) as low, max(x) as high from cand group by all) group by ID", f"cand as ({_candidate_cells(('uint', 'int'))})"),
+    "candidate_tags": _events("select ID, LEN, start_bit, 'level' as tag from cand where start_bit = 24 group by all having count(*) >= 5 and max(x) - min(x) >= 1", f"cand as ({_candidate_cells(('uint',), (8,), ('true',))})"),
     "mux_prefix": _events("select ID, LEN, prefix_len, prefix, support, round(ratio, 6) as ratio from st", PREFIX),
     "mux_entropy": _events("select ID, LEN, prefix_len, prefix, round(coalesce(entropy, 0), 6) as entropy, round(greatest(0.0, 1 - coalesce(entropy, 0) / 8), 6) as stability from st left join en using (ID, LEN, prefix_len, prefix)", PREFIX, _entropy("prefix_len")),
     "derived_signal": f"""with {KINDS}, w as (select TS, arg_max(2.0 * value + 1.0, seq) filter (series_id = 'click') as c, arg_max(least(greatest(value, 10.0), 400.0), seq) filter (series_id = 'purchase') as p from s where series_id in ('click', 'purchase') group by TS),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from busfleet.functions import bits, ids, numeric, text
 from busfleet.operators import candidates, coverage, decode, derive, diff, muxfind, series, summary, transport
-from busfleet.plans.frames import events_frames, lineitem_frames, table, transport_frames
+from busfleet.plans.frames import events_frames, lineitem_frames, table, transport_frames, transport_place
 from busfleet.sources import dictionaries, logs, readings, sinks
 
 #: The dictionary of the derived frames: an exact and a group one, plain, signed, big-endian, multiplexed.
@@ -19,9 +19,15 @@ SIGNALS = [
 ]
 
 
-def dictionary(spark, sf_dir):
+def wider_ids(frames):
+    """The ids of the frames and as many others, most of which no frame has."""
+    other = F.when(F.col("id_int") <= 2047, F.col("id_int") + 1024).otherwise(F.col("id_int") + 4096)
+    return frames.select("id_int").union(frames.select(other.cast("long")))
+
+
+def dictionary(spark, sf_dir, ids_of=lambda frames: frames):
     """SIGNALS for every id (exact, 11 bits) and every group of the frames, so it grows with the log."""
-    found = events_frames(spark, sf_dir).select("id_int").distinct()
+    found = ids_of(events_frames(spark, sf_dir)).select("id_int").distinct()
     base = spark.createDataFrame(SIGNALS, decode.DDL)
     name = lambda c: F.concat("message_name", F.lit("_"), F.hex(c)).alias("message_name")
     rest = [c for c in base.columns if c not in ("message_name", "frame_id", "pgn")]
@@ -140,19 +146,40 @@ def q_decode_all(spark, sf):
 
 def q_candidates(spark, sf):
     f = events_frames(spark, sf)
-    c = candidates.scan(f, candidates.specs(spark, 8, 8, 16, 8, types=("uint", "int")))
-    c = _round(c, "low", "high", "span", "autocorr", "change_ratio", "score")
-    return c.select("ID", "LEN", "start_bit", "length", "le", "type", "frames", "changes", "distinct_values", "low", "high", "autocorr", "score")
+    c = candidates.scan(f, candidates.specs(spark, candidates.payload_lengths(f), types=("uint", "int")))
+    firsts = F.array_join(F.transform("first_values", lambda x: x.cast("long").cast("string")), ",")
+    c = _round(c, "autocorr", "score").withColumn("first_values", firsts)
+    return c.select("ID", "LEN", "start_bit", "length", "le", "type", "frames", "changes", "distinct_values", "low", "high", "autocorr", "score", "category", "first_values")
+
+
+def q_candidate_counts(spark, sf):
+    f = events_frames(spark, sf)
+    return candidates.per_id(candidates.scan(f, candidates.specs(spark, candidates.payload_lengths(f), types=("uint", "int")))).drop("log_id")
+
+
+def q_candidate_floats(spark, sf):
+    f = events_frames(spark, sf)
+    c = candidates.scan(f, candidates.specs(spark, candidates.payload_lengths(f), 32, 32, types=("float32",)))
+    return c.select("ID", "LEN", "start_bit", "le", "frames", "changes", "distinct_values", "category")
+
+
+def q_candidate_tags(spark, sf):
+    """Whole bytes that pass the display filters and bear a user's tag."""
+    f = events_frames(spark, sf)
+    c = candidates.scan(f, candidates.specs(spark, candidates.payload_lengths(f), 8, 8, orders=("le",), types=("uint",)))
+    tags = f.select(F.concat("ID", F.lit("/24+8/LE/uint")).alias("label"), F.lit("level").alias("tag")).distinct()
+    shown = candidates.display_filter(c, types=["uint"], low_span=1.0, min_frames=5, little=True, min_length=8, tags=tags)
+    return shown.select("ID", "LEN", "start_bit", "tag")
 
 
 def q_clusters(spark, sf):
-    c = candidates.kept(candidates.scan(events_frames(spark, sf), candidates.specs(spark, 8, 8, 16, 8, types=("uint",))))
+    c = candidates.kept(candidates.scan(events_frames(spark, sf)))
     return candidates.clusters(c).where("rank = 1").select("ID", "LEN", "start_bit", "length", "le", "members", F.round("score", 6).alias("score"), "category")
 
 
 def q_fragments(spark, sf):
     f = events_frames(spark, sf)
-    c = candidates.scan(f, candidates.specs(spark, 8, 8, 8, 8, orders=("le",), types=("uint",)))
+    c = candidates.scan(f, candidates.specs(spark, candidates.payload_lengths(f), 8, 8, orders=("le",), types=("uint",)))
     return candidates.with_fragments(c, diff.carry_hints(f)).select("ID", "LEN", "start_bit", "fragment")
 
 
@@ -186,18 +213,18 @@ def q_derived_raw(spark, sf):
 
 def q_bam_messages(spark, sf):
     m = transport.bam_messages(transport_frames(spark, sf))
-    return m.select((F.floor(F.col("TS") / 1000)).cast("long").alias("doc_id"), "sa", "pgn", F.lower(F.hex("data")).alias("data"))
+    return m.select(*transport_place(), "sa", "pgn", F.lower(F.hex("data")).alias("data"))
 
 
 def q_bam_bits(spark, sf):
     m = transport.bam_messages(transport_frames(spark, sf))
-    return m.select(F.floor(F.col("TS") / 1000).cast("long").alias("doc_id"), transport.long_bits("data", 12, 20).alias("bits"), bits.typed_read("data", 4, "u16_be").alias("word"))
+    return m.select(*transport_place(), transport.long_bits("data", 12, 20).alias("bits"), bits.typed_read("data", 4, "u16_be").alias("word"))
 
 
 def q_bam_chunks(spark, sf):
     m = transport.bam_messages(transport_frames(spark, sf))
     c = transport.read_field(transport.chunks(m, 16, 1), 2, "u16_le", "record")
-    return c.select(F.floor(F.col("TS") / 1000).cast("long").alias("doc_id"), "chunk", F.col("value").cast("long").alias("value"))
+    return c.select(*transport_place(), "chunk", F.col("value").cast("long").alias("value"))
 
 
 def q_readings(spark, sf):
@@ -260,8 +287,8 @@ QUERIES = {
     "groups_present": lambda s, d: transport.groups_present(events_frames(s, d)).drop("log_id"),
     "dictionary_listing": lambda s, d: decode.listing(dictionary(s, d)),
     "decode_all": q_decode_all, "coverage": q_coverage,
-    "present_messages": lambda s, d: decode.present_messages(events_frames(s, d).where("id_int % 2 = 0"), dictionary(s, d)).select("message_name"),
-    "absent_messages": lambda s, d: decode.present_messages(events_frames(s, d).where("id_int % 2 = 0"), dictionary(s, d), False).select("message_name"),
+    "present_messages": lambda s, d: decode.present_messages(events_frames(s, d), dictionary(s, d, wider_ids)).select("message_name"),
+    "absent_messages": lambda s, d: decode.present_messages(events_frames(s, d), dictionary(s, d, wider_ids), False).select("message_name"),
     "changed_signals": lambda s, d: decode.signals_of_bytes(diff.byte_diff(halves(s, d)).where("class <> 'unchanged'").withColumn("id_int", ids.hex_to_int("ID")), dictionary(s, d)),
     "dictionary_overlaps": q_overlaps, "group_map": q_group_map, "scan_export": q_dictionary_csv,
     "align_ffill": lambda s, d: series.align(kind_series(s, d), ["click", "purchase"]).select("TS", "click", "purchase"),
@@ -275,10 +302,10 @@ QUERIES = {
     "ema_filter": lambda s, d: _series_out(series.ema(user_series(s, d), 0.2)),
     "stride_sample": lambda s, d: series.stride_sample(kind_series(s, d), 100).select("series_id", "seq"),
     "minmax_sample": lambda s, d: series.minmax_downsample(kind_series(s, d), 50).select("series_id", "seq", "value"),
-    "spectrum": lambda s, d: series.spectrum(kind_series(s, d), 512),
+    "spectrum": lambda s, d: series.spectrum(kind_series(s, d)),
     "bam_messages": q_bam_messages, "bam_bits": q_bam_bits, "bam_chunks": q_bam_chunks,
     "bam_groups": lambda s, d: transport.announced_groups(transport_frames(s, d)).groupBy("pgn").agg(F.count("*").alias("sources"), F.sum("announcements").alias("announcements")),
-    "candidate_scan": q_candidates, "candidate_clusters": q_clusters, "candidate_fragments": q_fragments, "value_search": q_value_search,
+    "candidate_scan": q_candidates, "candidate_counts": q_candidate_counts, "candidate_floats": q_candidate_floats, "candidate_tags": q_candidate_tags, "candidate_clusters": q_clusters, "candidate_fragments": q_fragments, "value_search": q_value_search,
     "mux_prefix": lambda s, d: muxfind.prefixes(selector_first(s, d)).select("ID", "LEN", "prefix_len", "prefix", "support", F.round("ratio", 6).alias("ratio")),
     "mux_entropy": lambda s, d: muxfind.entropies(selector_first(s, d)).select("ID", "LEN", "prefix_len", "prefix", F.round("entropy", 6).alias("entropy"), F.round("stability", 6).alias("stability")),
     "mux_patterns": lambda s, d: muxfind.patterns(selector_first(s, d)).select("ID", "LEN", "prefix_len", "prefix", "support", "best_decode", F.round("decode_score", 6).alias("decode_score"), F.round("gain", 6).alias("gain"), F.round("semantic", 6).alias("semantic"), "recommended", "reason"),

@@ -41,19 +41,30 @@ def with_mux(signals):
     return joined.withColumns({"mux_start": F.when(has, F.col("m.s")).otherwise(0), "mux_bytes": F.when(has, F.col("m.n")).otherwise(0)}).drop("m")
 
 
+#: The characters of cp1252 at the bytes 0x80 to 0x9F, where it differs from Latin-1; fixed values, five are undefined.
+CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def dbc_text(content):
+    """The text of a DBC file's bytes: UTF-8 if they are, else cp1252."""
+    as_utf8, as_latin = content.cast("string"), F.decode(content, "ISO-8859-1")
+    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.translate(as_latin, "".join(map(chr, range(0x80, 0xA0))), CP1252))
+
+
 def read_dbc(spark, path, mode="exact", priority=0, active=True):
     """The dictionary of DBC files; dict_name is the file. Lines outside the known subset are passed over.
 
     A signal belongs to the message line before it. Files that are no UTF-8 are read as cp1252. Scale 0
     counts as 1; of several multiplexer ids the first is kept; length 0 becomes the signals' span, or 8.
+    A file is read whole, as its encoding is a matter of all its bytes.
     """
-    bad = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("dict_name"), F.col("value").contains("�").alias("bad"))
-    def lines(charset):
-        rows = spark.read.option("encoding", charset).format("csv").option("sep", "\u0001").option("quote", "").option("escape", "").option("mode", "PERMISSIVE").schema("value string").load(path)
-        return rows.select(F.col("_metadata.file_path").alias("dict_name"), "value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("dict_name"), dbc_text(F.col("content")).alias("text"))
+    return parse_dbc(dbc_lines(files), mode, priority, active)
+
 
-    both = lines("UTF-8").join(bad.where("not bad"), "dict_name").unionByName(lines("windows-1252").join(bad.where("bad"), "dict_name"))
-    return parse_dbc(both.withColumn("line", F.col("split") * 2**20 + F.pmod("id", F.lit(2**33))), mode, priority, active)
+def dbc_lines(files):
+    """Files (dict_name, text) as rows (dict_name, line, value)."""
+    return files.select("dict_name", F.posexplode(F.split("text", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
 
 
 def parse_dbc(rows, mode="exact", priority=0, active=True):

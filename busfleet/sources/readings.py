@@ -18,11 +18,12 @@ def write_readings(readings, path, format="csv"):
 
 
 def penalised(readings):
-    """Confidence lowered for values that jump away from the last five accepted ones of their variable.
+    """Confidence lowered for values that jump away from the last five accepted ones of their region.
 
     With three accepted values: baseline is the upper middle of the last five; within max(6, 18 %) nothing
     changes, from 2.5 times that the factor is 0.08, from 1.8 times 0.18, else 0.35. A value is accepted
-    into the history from confidence 0.45 on. A variable's readings are folded in order of time.
+    into the history from confidence 0.45 on. A region's readings (of one screen's variable) are folded in
+    order of time: whether a value joins the history depends on all before it.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +41,7 @@ def penalised(readings):
             out.append(confidence)
         return part.assign(confidence=out)
 
-    return readings.groupBy("variable").applyInPandas(fold, readings.schema)
+    return readings.groupBy("roi_id", "variable").applyInPandas(fold, readings.schema)
 
 
 def to_series(readings, least_confidence=0.45):

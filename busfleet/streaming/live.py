@@ -10,71 +10,112 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from busfleet.functions.bits import BYTES
+from busfleet.functions.bits import BYTES, mux_value, packed_be, packed_le, physical, raw_bits
+from busfleet.functions.ids import ID_MASK, pgn_of
 from busfleet.operators.summary import with_cases
 
 KEY = ["log_id", "ID", "LEN", "mux_label"]
 LATEST = (
-    "log_id string, ID string, LEN int, mux_label string, TS double, seq long, DATA string, delta_t double, changed_bytes array<int>, rows long, frames long, "
-    "period_mean double, period_min double, period_max double, uniques array<int>, ever_changed boolean, highlighted boolean"
+    "log_id string, ID string, LEN int, mux_label string, TS double, seq long, DATA string, delta_t double, changed_bytes array<int>, received long, frames long, "
+    "periods long, period_mean double, period_min double, period_max double, uniques array<int>, byte_values array<int>, ever_changed boolean, changed_at array<double>, highlighted_bytes array<int>"
 )
-STATE = "ts double, seq long, data binary, delta double, rows long, frames long, psum double, pmin double, pmax double, pn long, sets binary, changed boolean, until double, last array<int>"
+STATE = "ts double, seq long, data binary, delta double, received long, frames long, psum double, pmin double, pmax double, pn long, seen binary, changed boolean, changed_at array<double>, last array<int>"
+
+
+def names_of(ddl):
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def with_epoch(frames, resets):
+    """Frames with ``epoch``: how many control records (log_id, TS) of a reset lie at or before them."""
+    marks = resets.groupBy("log_id").agg(F.array_sort(F.collect_list("TS")).alias("__marks"))
+    return frames.join(marks, "log_id", "left").withColumn("epoch", F.coalesce(F.size(F.filter("__marks", lambda t: t <= F.col("TS"))), F.lit(0))).drop("__marks")
 
 
 def keyed(frames, rules=None, epoch=None):
-    """Frames with their case label; a new ``epoch`` in the label starts state afresh (reset, changed rules)."""
+    """Frames with their case label, by a table of rules; the first rule of an id that fits a frame counts.
+
+    A column ``epoch`` (see with_epoch), or the one given, is part of the label: a new one starts state
+    afresh, after a reset or with changed rules.
+    """
     rows = with_cases(frames, rules, "first") if rules is not None else frames.withColumns({"mux_bytes": F.expr("cast(array() as array<int>)"), "mux_label": F.lit("")})
-    return rows if epoch is None else rows.withColumn("mux_label", F.concat_ws("|", F.lit(str(epoch)), "mux_label"))
+    if epoch is None and "epoch" not in frames.columns:
+        return rows
+    now = F.col("epoch") if epoch is None else F.lit(epoch)
+    return rows.withColumn("mux_label", F.concat_ws("|", now.cast("string"), "mux_label"))
+
+
+def _counted(seen, data, masked):
+    """The value sets of eight bytes, 32 bytes of bits each, with one more frame."""
+    out = bytearray(seen)
+    for i, v in enumerate(data):
+        if i not in masked:
+            out[32 * i + v // 8] |= 1 << v % 8
+    return bytes(out)
 
 
-def latest(frames, rules=None, hold=1.0, epoch=None):
-    """One row per key in update mode: last frame, delta_t, changed bytes, counts, periods, uniques per byte.
+def _values(seen):
+    """The values in eight sets, as 256 * byte + value."""
+    return [8 * k + j for k, b in enumerate(seen) if b for j in range(8) if b >> j & 1]
 
-    frames counts all, rows those shown: a frame with the time and bytes of the last one counts for the
-    period alone. Frames older than the key's last one count, but give no period. highlighted: bytes
-    changed within the last ``hold`` seconds of event time.
+
+def latest(frames, rules=None, hold=1.0, epoch=None, late=None):
+    """One row per key in update mode: last frame, delta_t, changed bytes, counts, periods, values per byte.
+
+    received counts all frames, frames those shown: a frame with the time and bytes of the last one counts
+    for the period alone. Frames older than the key's last one count, but give no period and change
+    nothing. changed_at has the time of each byte's last change; highlighted_bytes are those changed
+    within the last ``hold`` seconds. With ``late``, a delay for a watermark, a timer of event time gives
+    the row again, without highlights, once the watermark has passed the end of the last one.
     """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip([c.split()[0] for c in STATE.split(", ")], state.get)) if state.exists else None
+        s = dict(zip(names_of(STATE), state.get)) if state.exists else None
+        if state.hasTimedOut:
+            yield row_of(key, s, [])
+            return
         for part in parts:
             part = part.sort_values(["TS", "seq"])
             for row in part.itertuples(index=False):
                 data, masked = bytes(getattr(row, c) for c in BYTES), set(row.mux_bytes if row.mux_bytes is not None else ())
                 if s is None:
-                    s = {"ts": row.TS, "seq": row.seq, "data": data, "delta": None, "rows": 1, "frames": 1, "psum": 0.0, "pmin": None, "pmax": None, "pn": 0, "sets": bytes(256), "changed": False, "until": row.TS, "last": []}
-                    changed = []
+                    s = dict(zip(names_of(STATE), (row.TS, row.seq, data, None, 1, 1, 0.0, None, None, 0, bytes(256), False, [None] * 8, [])))
                 else:
                     changed = [i for i in range(8) if i not in masked and s["data"][i] != data[i]]
                     gap = round(row.TS - s["ts"], 6)
+                    s["received"] += 1
                     if gap >= 0:
                         s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
                         s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
                     if gap == 0 and not changed:
                         continue
-                    s["frames"], s["rows"] = s["frames"] + 1, s["rows"] + 1
-                    if gap < 0:
-                        changed = []
-                    else:
+                    s["frames"] += 1
+                    if gap >= 0:
                         s |= {"ts": row.TS, "seq": row.seq, "data": data, "delta": gap, "last": changed}
-                    if changed:
-                        s["changed"], s["until"] = True, row.TS + hold
-                sets = bytearray(s["sets"])
-                for i, v in enumerate(data):
-                    if i not in masked:
-                        sets[32 * i + v // 8] |= 1 << v % 8
-                s["sets"] = bytes(sets)
+                        s["changed_at"] = [row.TS if i in changed else t for i, t in enumerate(s["changed_at"])]
+                        s["changed"] = s["changed"] or bool(changed)
+                s["seen"] = _counted(s["seen"], data, masked)
         state.update(tuple(s.values()))
-        uniques = [sum(b.bit_count() for b in s["sets"][32 * i : 32 * i + 32]) for i in range(8)]
-        size = int(key[2])
-        yield pd.DataFrame([{
+        lit = [i for i, t in enumerate(s["changed_at"]) if t is not None and s["ts"] - t <= hold]
+        if late is not None and lit:
+            until = max(s["changed_at"][i] for i in lit) + hold
+            state.setTimeoutTimestamp(max(int(until * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield row_of(key, s, lit)
+
+    def row_of(key, s, lit):
+        values, size = _values(s["seen"]), int(key[2])
+        return pd.DataFrame([{
             "log_id": key[0], "ID": key[1], "LEN": size, "mux_label": key[3], "TS": s["ts"], "seq": s["seq"], "DATA": bytes(s["data"])[:size].hex().upper(), "delta_t": s["delta"], "changed_bytes": list(s["last"]),
-            "rows": s["rows"], "frames": s["frames"], "period_mean": s["psum"] / s["pn"] if s["pn"] else None, "period_min": s["pmin"], "period_max": s["pmax"], "uniques": uniques,
-            "ever_changed": s["changed"], "highlighted": bool(s["changed"] and s["ts"] < s["until"]),
+            "received": s["received"], "frames": s["frames"], "periods": s["pn"], "period_mean": s["psum"] / s["pn"] if s["pn"] else None, "period_min": s["pmin"], "period_max": s["pmax"],
+            "uniques": [sum(v // 256 == i for v in values) for i in range(8)], "byte_values": values, "ever_changed": s["changed"], "changed_at": list(s["changed_at"]), "highlighted_bytes": lit,
         }])
 
-    rows = keyed(frames, rules, epoch).select(*KEY, "TS", "seq", "mux_bytes", *BYTES)
-    return rows.groupBy(*KEY).applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = keyed(frames, rules, epoch)
+    columns = [*KEY, "TS", "seq", "mux_bytes", *BYTES]
+    if late is None:
+        return rows.select(*columns).groupBy(*KEY).applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.NoTimeout)
+    timed = with_event_time(rows).withWatermark("event_time", late).select(*columns, "event_time")
+    return timed.groupBy(*KEY).applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upserted(folder_rows, key, version="batch"):
@@ -88,34 +129,114 @@ def append_updates(path):
     """A foreachBatch function that stores each batch under its number; a repeated batch replaces itself."""
 
     def write(batch, number):
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/run={number:08d}")
+        _store(batch, path, number)
 
     return write
 
 
+def _store(rows, path, number):
+    rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/run={number:08d}")
+
+
 def read_updates(spark, path, schema):
     return spark.read.schema(f"{schema}, batch long").option("recursiveFileLookup", "true").parquet(path)
 
 
 def expired(latest_rows, now, hold):
-    """Latest rows with the highlight ended at a time: what a display shows ``hold`` seconds after a change."""
-    return latest_rows.withColumn("highlighted", F.col("highlighted") & (F.col("TS") + hold > now))
+    """Latest rows as shown at a time: a byte is highlighted until ``hold`` seconds after its last change."""
+    places = F.sequence(F.lit(0), F.lit(7))
+    return latest_rows.withColumn("highlighted_bytes", F.filter(places, lambda i: F.coalesce(F.lit(now) - F.get("changed_at", i) <= hold, F.lit(False))))
 
 
 def rollup(latest_rows):
-    """Entries of one id rolled up: period range, weighted mean, frames, ever_changed."""
-    n = F.col("frames") - 1
-    return latest_rows.groupBy("log_id", "ID").agg(
-        F.min("period_min").alias("period_min"), F.max("period_max").alias("period_max"), (F.sum(F.col("period_mean") * n) / F.nullif(F.sum(n), F.lit(0))).alias("period_mean"),
-        F.sum("frames").alias("frames"), F.count("*").alias("entries"), F.max("ever_changed").alias("ever_changed"),
+    """Entries of one id rolled up: period range and mean, frames, merged numbers of values by byte, ever_changed.
+
+    Selector bytes of an entry have no values, so they are masked here too.
+    """
+    merged = F.array_distinct(F.flatten(F.collect_list("byte_values")))
+    out = latest_rows.groupBy("log_id", "ID").agg(
+        F.min("period_min").alias("period_min"), F.max("period_max").alias("period_max"), (F.sum(F.col("period_mean") * F.col("periods")) / F.nullif(F.sum("periods"), F.lit(0))).alias("period_mean"),
+        F.sum("periods").alias("periods"), F.sum("frames").alias("frames"), F.count("*").alias("entries"), F.max("ever_changed").alias("ever_changed"), merged.alias("__v"),
     )
+    counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.size(F.filter("__v", lambda v: F.floor(v / 256) == i)))
+    return out.withColumn("uniques", counts).drop("__v")
 
 
 def changing_ids(latest_rows):
-    """Ids with a byte that ever changed, selector bytes aside."""
+    """Ids with a byte that ever changed, selector bytes aside; of an epoch's rows, since its reset."""
     return latest_rows.where("ever_changed").select("log_id", "ID").distinct()
 
 
+RUNNING = (
+    "log_id string, ID string, frames long, lengths string, payload_changes long, period_mean double, period_min double, period_max double, changes array<long>, uniques array<int>, "
+    "steps array<long>, moved array<long>, up array<long>, first array<int>, last array<int>, wraps array<long>, carries array<long>"
+)
+RUNNING_STATE = (
+    "ts double, data binary, size int, frames long, lengths int, payload_changes long, psum double, pmin double, pmax double, pn long, changes array<long>, seen binary, "
+    "steps array<long>, moved array<long>, up array<long>, first array<int>, last array<int>, wraps array<long>, carries array<long>"
+)
+#: Neighbouring bytes: the one that wraps, and the one that may carry.
+NEIGHBOURS = [pair for i in range(7) for pair in ((i, i + 1), (i + 1, i))]
+
+
+def running(frames):
+    """Incremental summary, one row per id in update mode; chunks in order of time give what the whole gives.
+
+    frames, lengths, payload changes and periods; by byte: changes and uniques (all frames), steps, moved, up,
+    first and last (frames that cover the byte); wraps and carries by pair of neighbouring bytes.
+    """
+    from busfleet.operators.diff import CARRY_STEP
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty = (None, b"", 0, 0, 0, 0, 0.0, None, None, 0, [0] * 8, bytes(256), [0] * 8, [0] * 8, [0] * 8, [None] * 8, [None] * 8, [0] * 14, [0] * 14)
+        s = dict(zip(names_of(RUNNING_STATE), state.get if state.exists else empty))
+        s |= {k: list(v) for k, v in s.items() if isinstance(v, (list, tuple))}
+        for part in parts:
+            for row in part.sort_values(["TS", "seq"]).itertuples(index=False):
+                data, size = bytes(getattr(row, c) for c in BYTES), int(row.LEN)
+                if s["frames"]:
+                    gap, before = round(row.TS - s["ts"], 6), s["data"]
+                    s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
+                    s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
+                    s["payload_changes"] += before[: s["size"]] != data[:size] or s["size"] != size
+                    for i in range(8):
+                        s["changes"][i] += before[i] != data[i]
+                    for k, (a, b) in enumerate(NEIGHBOURS):
+                        if size > max(a, b) and s["size"] > a and abs(data[a] - before[a]) >= CARRY_STEP:
+                            s["wraps"][k] += 1
+                            s["carries"][k] += s["size"] > b and abs(data[b] - before[b]) == 1
+                for i in range(size):
+                    if s["last"][i] is not None:
+                        d = data[i] - s["last"][i]
+                        s["steps"][i] += 1
+                        s["moved"][i] += d != 0
+                        s["up"][i] += d in (1, -255)
+                    else:
+                        s["first"][i] = data[i]
+                    s["last"][i] = data[i]
+                s["seen"] = _counted(s["seen"], data, ())
+                s |= {"ts": row.TS, "data": data, "size": size, "frames": s["frames"] + 1, "lengths": s["lengths"] | 1 << size}
+        state.update(tuple(s.values()))
+        values = _values(s["seen"])
+        out = {"log_id": key[0], "ID": key[1], "frames": s["frames"], "lengths": ",".join(str(i) for i in range(9) if s["lengths"] >> i & 1), "payload_changes": int(s["payload_changes"]), "period_mean": round(s["psum"] / s["pn"], 6) if s["pn"] else None}
+        out |= {"period_min": s["pmin"], "period_max": s["pmax"], "uniques": [sum(v // 256 == i for v in values) for i in range(8)]}
+        yield pd.DataFrame([out | {c: s[c] for c in ("changes", "steps", "moved", "up", "first", "last", "wraps", "carries")}])[names_of(RUNNING)]
+
+    rows = frames.select("log_id", "ID", "LEN", "TS", "seq", *BYTES)
+    return rows.groupBy("log_id", "ID").applyInPandasWithState(step, RUNNING, RUNNING_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def payload_counts(frames):
+    """Streaming counts of each id's distinct payloads."""
+    return frames.groupBy("log_id", "ID", "DATA").agg(F.count("*").alias("n"))
+
+
+def summary(running_rows, payloads):
+    """What ``operators.summary.frame_summary`` gives, from the present ``running`` rows and payload counts."""
+    distinct = payloads.groupBy("log_id", "ID").agg(F.count("*").alias("distinct_payloads"))
+    return running_rows.join(distinct, ["log_id", "ID"]).select("log_id", "ID", "frames", "lengths", "distinct_payloads", "payload_changes", "period_mean", "period_min", "period_max")
+
+
 def byte_counts(frames):
     """Streaming counts (log_id, ID, byte, value) of covered bytes: bounded state for summaries and live diffs."""
     cells = ", ".join(f"{i}, {c}" for i, c in enumerate(BYTES))
@@ -123,30 +244,47 @@ def byte_counts(frames):
     return rows.groupBy("log_id", "ID", "byte", "value").agg(F.count("*").alias("n"))
 
 
-def live_difference(counts, baseline):
-    """Byte classes of present counts against frozen ones: class, new and lost values, mean_delta."""
-    from busfleet.operators.diff import change_class
+def live_observations(counts, running_rows):
+    """Observations of each byte, as ``diff.byte_observations`` has them for a side, from present counts and rows."""
+    from busfleet.operators.diff import observed, of_counts
+
+    by_value = counts.withColumnRenamed("n", "c").groupBy("log_id", "ID", "byte").agg(*of_counts())
+    cells = F.arrays_zip(*(F.col(c) for c in ("steps", "moved", "up", "first", "last")))
+    by_byte = running_rows.select("log_id", "ID", F.posexplode(cells).alias("byte", "x")).select("log_id", "ID", "byte", "x.*")
+    return observed(by_value.join(by_byte, ["log_id", "ID", "byte"]))
+
 
-    side = lambda c, s: c.groupBy("log_id", "ID", "byte").agg(F.array_sort(F.collect_set("value")).alias(f"values_{s}"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(f"mean_{s}"), F.sum("n").alias(f"n_{s}"))
-    both = side(baseline, "a").join(side(counts, "b"), ["log_id", "ID", "byte"])
-    return both.select("log_id", "ID", "byte", "n_a", "n_b", change_class().alias("class"), F.array_except("values_b", "values_a").alias("new_values"), F.array_except("values_a", "values_b").alias("lost_values"), (F.col("mean_b") - F.col("mean_a")).alias("mean_delta"))
+def live_difference(baseline, counts, running_rows):
+    """``diff.byte_diff`` of a frozen table of observations (side a) with the present ones (side b)."""
+    from busfleet.operators.diff import compared
 
+    return compared(baseline.drop("side"), live_observations(counts, running_rows))
 
-def summary(frames):
-    """Streaming frame summary per id: frames, first and last time; distinct payloads come from counts."""
-    return frames.groupBy("log_id", "ID").agg(F.count("*").alias("frames"), F.min("TS").alias("first_TS"), F.max("TS").alias("last_TS"), F.max("LEN").alias("longest"))
+
+def live_carries(running_rows):
+    """``diff.carry_hints`` from the present rows of the incremental summary."""
+    from busfleet.operators.diff import CARRY_RATIO
+
+    cells = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in NEIGHBOURS))
+    rows = running_rows.select("log_id", "ID", F.explode(F.arrays_zip(cells.alias("p"), F.col("wraps"), F.col("carries"))).alias("x")).select("log_id", "ID", "x.p.low", "x.p.high", "x.wraps", "x.carries")
+    return rows.where("wraps > 0").withColumn("carry_ratio", F.col("carries") / F.col("wraps")).withColumn("is_16bit", F.col("carry_ratio") >= CARRY_RATIO)
 
 
 def decoded(frames, dictionary):
-    """Signals of a stream of frames, append mode: the stream meets the dictionary's messages by id or group."""
-    from busfleet.functions.bits import mux_value, packed_be, packed_le, physical, raw_bits
-    from busfleet.functions.ids import pgn_of
+    """Signals of a stream of frames, append mode; the dictionary is a plain table.
 
+    A frame's message is looked up by its id masked to 29 bits (exact dictionaries) and by its group
+    (j1939 ones); the dictionary with the least priority wins, then the first message by name.
+    """
     d = dictionary.where("active")
-    words = frames.withColumns({"w": packed_le(), "v": packed_be(), "own_pgn": pgn_of("id_int")})
-    exact = words.join(F.broadcast(d.where("mode = 'exact'").withColumnRenamed("frame_id", "key_id").drop("pgn")), F.col("id_int") == F.col("key_id"))
-    group = words.join(F.broadcast(d.where("mode = 'j1939' and message_len <= 8").withColumnRenamed("pgn", "key_id").drop("frame_id")), F.col("own_pgn") == F.col("key_id"))
-    rows = exact.unionByName(group).where(F.col("mux_value").isNull() | (mux_value("mux_start", "mux_bytes") == F.col("mux_value")))
+    choice = F.struct("priority", "message_name", "dict_name")
+    exact = d.where("mode = 'exact'").groupBy(F.col("frame_id").bitwiseAND(F.lit(ID_MASK)).alias("masked")).agg(F.min(choice).alias("by_id"))
+    group = d.where("mode = 'j1939'").groupBy(F.col("pgn").alias("own_pgn")).agg(F.min(choice).alias("by_group"))
+    words = frames.withColumns({"w": packed_le(), "v": packed_be(), "masked": F.col("id_int").bitwiseAND(F.lit(ID_MASK)), "own_pgn": pgn_of("id_int")})
+    matched = words.join(exact, "masked", "left").join(group, "own_pgn", "left").withColumn("m", F.least("by_id", "by_group")).where("m is not null")
+    signals = d.select("dict_name", "message_name", "signal_name", "start_bit", "length", "le", "type", "scale", "offset", "unit", "mux_start", "mux_bytes", "mux_value").distinct()
+    rows = matched.select("*", F.col("m.dict_name").alias("dict_name"), F.col("m.message_name").alias("message_name")).join(signals, ["dict_name", "message_name"])
+    rows = rows.where(F.col("mux_value").isNull() | (mux_value("mux_start", "mux_bytes") == F.col("mux_value")))
     return rows.select("log_id", "ID", "TS", "seq", "message_name", "signal_name", physical(raw_bits("w", "v", "start_bit", "length", "le"), "length", "type", "scale", "offset").alias("value"), "unit")
 
 
@@ -179,10 +317,34 @@ def with_event_time(frames):
     return frames.withColumn("event_time", F.timestamp_micros(F.round(F.col("TS") * 1e6).cast("long")))
 
 
-def rates(frames, width="10 seconds", late="1 minute"):
-    """Frames and distinct payloads per id and tumbling window, with a watermark."""
-    rows = with_event_time(frames).withWatermark("event_time", late)
-    return rows.groupBy("log_id", "ID", F.window("event_time", width)).agg(F.count("*").alias("frames"), F.approx_count_distinct("DATA").alias("payloads")).select("log_id", "ID", F.col("window.start").alias("start"), "frames", "payloads")
+RATES = "log_id string, ID string, start double, frames long, changes long, late long"
+
+
+def rates(frames, width=10.0):
+    """Frames and changed bytes per id and tumbling window of event time, update mode: one row for each window touched.
+
+    A byte's change counts in the window of the frame that brings it. Frames of windows before the id's
+    last one change nothing; ``late`` counts them.
+    """
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, n, changes, late, data = state.get if state.exists else (None, 0, 0, 0, None)
+        out = {}
+        for part in parts:
+            for row in part.sort_values(["TS", "seq"]).itertuples(index=False):
+                own, now = row.TS // width * width, bytes(getattr(row, c) for c in BYTES)
+                if start is not None and own < start:
+                    late += 1
+                    continue
+                if own != start:
+                    start, n, changes = own, 0, 0
+                n, changes, data = n + 1, changes + (sum(a != b for a, b in zip(data, now)) if data is not None else 0), now
+                out[start] = (n, changes)
+        state.update((start, n, changes, late, data))
+        yield pd.DataFrame([(key[0], key[1], at, *counts, late) for at, counts in out.items()], columns=names_of(RATES))
+
+    rows = frames.select("log_id", "ID", "TS", "seq", *BYTES)
+    return rows.groupBy("log_id", "ID").applyInPandasWithState(step, RATES, "start double, n long, changes long, late long, data binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def split_late(batch, newest, seconds):
@@ -191,6 +353,27 @@ def split_late(batch, newest, seconds):
     return batch.where(F.col("TS") >= bound), batch.where(F.col("TS") < bound).withColumn("reason", F.format_string("older than %.6f", F.lit(float(bound))))
 
 
+def late_to_side(path, seconds):
+    """A foreachBatch function: rows in time go to ``path/rows``, later ones with a reason to ``path/late``.
+
+    Late means older by more than ``seconds`` than the newest row of the batches before, which are kept in
+    ``path/newest``; so a batch that runs again is split as before.
+    """
+
+    def write(batch, number):
+        spark = batch.sparkSession
+        own = batch.agg(F.max("TS").alias("newest")).withColumn("at", F.lit(number).cast("long"))
+        before = None
+        if number > 0:
+            before = read_updates(spark, f"{path}/newest", "newest double, at long").where(F.col("at") < number).agg(F.max("newest")).first()[0]
+        rows, late = (batch, batch.limit(0).withColumn("reason", F.lit(""))) if before is None else split_late(batch, before, seconds)
+        _store(rows, f"{path}/rows", number)
+        _store(late, f"{path}/late", number)
+        _store(own, f"{path}/newest", number)
+
+    return write
+
+
 def moving_bytes(frames):
     """Streaming (log_id, ID, byte) that have moved: they join a live matrix and never leave it."""
     cells = ", ".join(f"{i}, {c}" for i, c in enumerate(BYTES))
@@ -198,6 +381,28 @@ def moving_bytes(frames):
     return rows.groupBy("log_id", "ID", "byte").agg((F.min("value") != F.max("value")).alias("moves"))
 
 
+def refresh_matrix(history, path, points=400):
+    """A foreachBatch function for ``moving_bytes``: the matrix of the ids touched is made anew from history(spark), the frames so far.
+
+    Only ids with a byte that moves are made; see ``live_matrix`` for the present rows.
+    """
+    from busfleet.operators.summary import matrix
+
+    def write(batch, number):
+        touched = batch.where("moves").select("log_id", "ID").distinct()
+        frames = history(batch.sparkSession).join(touched, ["log_id", "ID"], "left_semi")
+        _store(matrix(frames, points).select("log_id", "series_id", "bucket", "TS", "seq", "value", "has_movement"), path, number)
+
+    return write
+
+
+def live_matrix(spark, path):
+    """The rows of each series that its last refresh gave."""
+    rows = read_updates(spark, path, "log_id string, series_id string, bucket long, TS double, seq long, value double, has_movement boolean")
+    last = rows.groupBy("log_id", "series_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["log_id", "series_id", "batch"]).drop("batch")
+
+
 def bam_messages(frames):
     """Streaming reassembly of transport messages, append mode; state per (log, source) is one open session.
 

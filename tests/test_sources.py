@@ -41,6 +41,14 @@ def test_dbc(spark, tmp_path):
     assert (c["type"], c["message_len"], c["description"]) == ("float32", 4, "note")
 
 
+def test_dbc_encodings(spark, tmp_path):
+    body = 'BO_ 5 M: 8 V\r\n SG_ A : 0|8@1+ (1,0) [0|0] "°C €" V\r\n'
+    (tmp_path / "new.dbc").write_bytes(body.encode())
+    (tmp_path / "old.dbc").write_bytes(body.encode("cp1252"))
+    got = {r["dict_name"][-7:]: r["unit"] for r in dictionaries.read_dbc(spark, str(tmp_path)).collect()}
+    assert got == {"new.dbc": "°C €", "old.dbc": "°C €"}
+
+
 def test_dictionary_csvs(spark, tmp_path):
     (tmp_path / "g.csv").write_text("PGN,PGN Priority,PGN Max Size,PGN Byte Offset,Parameter Length (Bytes),Description,Scale/Resolution,Offset,Unit\n61444,3,8,3,2,Engine RPM,0.125,0,rpm\n61444,3,8,1,1,Engine RPM,0,0,%\n")
     g = dictionaries.read_dictionary_csv(spark, str(tmp_path / "g.csv")).sort("start_bit").collect()

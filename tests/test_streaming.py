@@ -1,10 +1,11 @@
 """Streams give what batches give."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from busfleet.operators import summary, transport
+from busfleet.operators import diff, summary, transport
 from busfleet.sources import logs
 from busfleet.streaming import live
 from tests.test_operators import bam, frames
@@ -42,12 +43,71 @@ def test_stream_of_transport(spark, tmp_path):
     assert sorted((r["pgn"], bytes(r["data"])) for r in got.collect()) == sorted((r["pgn"], bytes(r["data"])) for r in want.collect())
 
 
-def test_counts_and_live_difference(spark, tmp_path):
-    rows = [(i, 256, bytes([i % 4, 1])) for i in range(40)]
+def run(spark, stream, folder, name, ddl, mode="update"):
+    live.run_once(stream, live.append_updates(str(folder / name)), str(folder / f"{name}-state"), mode)
+    return live.read_updates(spark, str(folder / name), ddl)
+
+
+def test_live_difference_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(float(i), 256 + i % 2, bytes([i * 40 % 256, i // 7 % 256, rng.randrange(3), 9][: 3 + i % 3 % 2])) for i in range(200)]
+    (tmp_path / "in").mkdir()
+    stream = lambda: files(spark, rows, tmp_path / "in", 4)
+    present = live.upserted(run(spark, live.running(stream()), tmp_path, "running", live.RUNNING), ["log_id", "ID"])
+    counts = live.upserted(run(spark, live.byte_counts(stream()), tmp_path, "counts", "log_id string, ID string, byte int, value int, n long"), ["log_id", "ID", "byte", "value"])
+    whole = frames(spark, rows).withColumn("log_id", F.lit(counts.first()["log_id"]))
+    base = diff.byte_observations(whole.where("TS < 60").withColumn("side", F.lit("a")))
+    tagged = whole.where("TS < 60").withColumn("side", F.lit("a")).unionByName(whole.withColumn("side", F.lit("b")))
+    columns = ["ID", "byte", "class", "n_a", "n_b", "new_values", "lost_values", "mean_delta", "counter_b", "change_ratio_b", "first_b", "last_b", "score", "u", "z"]
+    got, want = (sorted(map(str, d.select(*columns).collect())) for d in (live.live_difference(base, counts, present), diff.byte_diff(tagged)))
+    assert got == want and len(got) == 8
+    carries = ["ID", "low", "high", "wraps", "carries", "is_16bit"]
+    assert sorted(live.live_carries(present).select(*carries).collect()) == sorted(diff.carry_hints(whole).select(*carries).collect())
+
+
+def test_rules_resets_and_rollup(spark, tmp_path):
+    rows = [(float(i), 256, bytes([i % 2, i // 20, 7])) for i in range(60)]
+    (tmp_path / "in").mkdir()
+    rules = spark.createDataFrame([("100", None, [1]), ("100", 3, [0])], "can_id string, length int, mux_bytes array<int>").withColumn("position", F.when(F.col("length") == 3, 0).otherwise(1))
+    stream = files(spark, rows, tmp_path / "in", 3)
+    got = live.upserted(run(spark, live.latest(stream, rules, hold=25.0), tmp_path, "cases", live.LATEST), live.KEY)
+    by = {r["mux_label"]: r for r in got.collect()}
+    assert set(by) == {"00", "01"} and by["00"]["uniques"][:3] == [0, 3, 1] and by["01"]["frames"] == 30
+    assert by["00"]["highlighted_bytes"] == [1] and by["00"]["changed_at"][1] == 40.0
+    later = {r["mux_label"]: r["highlighted_bytes"] for r in live.expired(got, 66.0, 25.0).collect()}
+    assert later == {"00": [], "01": [1]}
+    one = live.rollup(got).first()
+    assert one["uniques"][:3] == [0, 3, 1] and one["frames"] == 60 and one["period_mean"] == 2.0
+    log = got.first()["log_id"]
+    marks = spark.createDataFrame([(log, 45.0)], "log_id string, TS double")
+    fresh = live.upserted(run(spark, live.latest(live.with_epoch(files(spark, rows, tmp_path / "in", 3), marks)), tmp_path, "epochs", live.LATEST), live.KEY)
+    assert {r["mux_label"]: r["frames"] for r in fresh.collect()} == {"0|": 45, "1|": 15}
+
+
+def test_timer_ends_highlights(spark, tmp_path):
+    rows = [(100.0, 256, b"\x01"), (101.0, 256, b"\x02")] + [(100.0 + t, 257, b"\x01") for t in range(2, 40)]
+    (tmp_path / "in").mkdir()
+    out = run(spark, live.latest(files(spark, rows, tmp_path / "in", 4), hold=3.0, late="0 seconds"), tmp_path, "timed", live.LATEST)
+    seen = [r["highlighted_bytes"] for r in out.where("ID = '100'").orderBy("batch").collect()]
+    assert seen[0] == [0] and seen[-1] == []
+
+
+def test_precedence_of_dictionaries(spark, tmp_path):
+    from busfleet.operators import decode
+
+    entry = lambda name, priority, scale: (name, "exact", True, priority, f"M{name}", 8, 256, None, "S", 0, 8, True, scale, 0.0, "uint", 0, 0, None, "", "")
+    d = spark.createDataFrame([entry("b", 2, 10.0), entry("a", 1, 1.0)], decode.DDL)
+    (tmp_path / "in").mkdir()
+    out = run(spark, live.decoded(files(spark, [(0.0, 256, b"\x05"), (1.0, 0xE0000100, b"\x06")], tmp_path / "in", 1), d), tmp_path, "out", "log_id string, message_name string, value double", "append")
+    assert sorted((r["message_name"], r["value"]) for r in out.collect()) == [("Ma", 5.0), ("Ma", 6.0)]
+
+
+def test_late_rows_go_aside(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    live.run_once(live.byte_counts(files(spark, rows, tmp_path / "in", 2)), live.append_updates(str(tmp_path / "out")), str(tmp_path / "state"), "update")
-    counts = live.upserted(live.read_updates(spark, str(tmp_path / "out"), "log_id string, ID string, byte int, value int, n long"), ["log_id", "ID", "byte", "value"])
-    assert counts.agg(F.sum("n")).first()[0] == 80
-    base = counts.where("byte = 0 and value < 3").unionByName(counts.where("byte = 1"))
-    got = {r["byte"]: (r["class"], r["new_values"]) for r in live.live_difference(counts, base).collect()}
-    assert got == {0: ("new_territory", [3]), 1: ("unchanged", [])}
+    rows = [(float(t), 256, b"\x01") for t in (0, 50, 100)] + [(float(t), 256, b"\x01") for t in (20, 95, 130)]
+    stream = files(spark, rows, tmp_path / "in", 2).select("TS", "seq")
+    live.run_once(stream, live.late_to_side(str(tmp_path / "out"), 30.0), str(tmp_path / "state"), "append")
+    times = lambda name, ddl: sorted(r["TS"] for r in live.read_updates(spark, str(tmp_path / "out" / name), ddl).collect())
+    assert times("rows", "TS double") == [0.0, 50.0, 95.0, 100.0, 130.0]
+    late = live.read_updates(spark, str(tmp_path / "out" / "late"), "TS double, reason string").collect()
+    assert [(r["TS"], r["reason"]) for r in late] == [(20.0, "older than 70.000000")]
