@@ -8,16 +8,16 @@ groups of WAYS frequent words, which a second softmax tells apart. Within a clas
 the groups of words whose counts have the same power of two, then, digit by digit, the word's place in
 its group. The probabilities of all V known words and the unknown one add up to 1.
 
-Every one of these choices has its own weights for three features of the two words before: the last word,
-the last two, and the one before the last (a skip). They are found by hashing. The prior of a choice, which
-stands for a bias, is the share of the training tokens (of the words, for digits) on each way. The table of
-weights follows the counted vocabulary up to ``most_bits``.
+Every one of these choices has its own weights for features of the two words before: the last word, the one
+before the last (a skip) and, down to the group of a word, the last two together. They are found by hashing.
+The prior of a choice, which stands for a bias, is the share of the training tokens (of the words, for
+digits) on each way. The table of weights follows the counted vocabulary up to ``most_bits``.
 
 Texts are split into words once, by chunks of texts: a chunk has its own numbering of its distinct words,
 so only these, not its tokens, are counted and joined with the counts of all training documents. Training
 takes each training token once, in rounds of growing shares of the documents. Within a round, replicas of
 about ``replica_tokens`` tokens each start from the averaged weights of the round before and make gradient
-updates; a feature's weights are averaged by how often each replica saw it. Which document is in which
+updates; a feature's weights are averaged by each replica's sum of squared gradients. Which document is in which
 round and replica, and in which place, follows from a hash of the document, so the scores do not depend on
 the number of cores. Scoring gathers sparse rows of the weights in numpy batches.
 """
@@ -169,13 +169,15 @@ class Groups:
         self.way = np.where(kind == 0, 0, np.where(kind <= HEAD, 1 + (kind - 1) // WAYS, kind - HEAD + HEADS))
         of_kind = np.bincount(kinds, mass, CLASSES)
         of_kind[0] = max(of_kind[0], 1)  # the unknown word
-        self.root = _log(np.bincount(self.way, of_kind, WAYS))
-        self.head = _log(of_kind[1 : HEAD + 1].reshape(HEADS, WAYS))
+        root, head = _log(np.bincount(self.way, of_kind, WAYS)), _log(of_kind[1 : HEAD + 1].reshape(HEADS, WAYS))
         # a group's place among its class's; the unknown word's group is no choice of class 0
         self.place = np.r_[np.arange(len(kinds)) - np.searchsorted(kinds, kinds), 0]
         self.several = np.r_[np.bincount(kinds, minlength=CLASSES)[kinds] > 1, False]
-        self.shares = _log(np.zeros((CLASSES, WAYS)))
-        self.shares[kinds, self.place[:-1]] = _log(mass)
+        shares = _log(np.zeros((CLASSES, WAYS)))
+        shares[kinds, self.place[:-1]] = _log(mass)
+        # all priors but those of groups' last digits: the root's, of frequent words, of classes, of full digits
+        self.priors = np.concatenate([root[None], head, shares, FULL])
+        self.priors -= np.log(np.exp(self.priors - self.priors.max(1, keepdims=True)).sum(1, keepdims=True)) + self.priors.max(1, keepdims=True)
         # digits of a place in its group, and ways of each digit
         self.digits = np.array([next(d for d in range(64) if WAYS**d >= n) for n in self.words.tolist()])
         self.base = np.array([next(b for b in range(1, WAYS + 1) if b**d >= n) for d, n in zip(self.digits.tolist(), self.words.tolist())])
@@ -184,31 +186,38 @@ class Groups:
     def decisions(self, words):
         """(token, node, way, prior) of the choices that lead to each of some words; prior has a row of WAYS logs.
 
-        Nodes are numbers: the root, groups of frequent words, classes, or a level and the first word below.
+        Nodes are numbers: the root, groups of frequent words, classes (all below DIGITS), or a level and the
+        first word below it. Those below DIGITS come first.
         """
         words = words.astype(np.int64)
         group = np.searchsorted(self.starts, words, "right") - 1
         kind = self.kinds[group]
         way = self.way[kind]
-        out = [(np.arange(len(words)), np.zeros(len(words), np.int64), way, np.broadcast_to(self.root, (len(words), WAYS)))]
+        out = [(np.arange(len(words)), np.zeros(len(words), np.int64), way, np.zeros(len(words), np.int64))]
         at = np.flatnonzero((kind > 0) & (kind <= HEAD))
-        out.append((at, way[at], (kind[at] - 1) % WAYS, self.head[way[at] - 1]))
+        out.append((at, way[at], (kind[at] - 1) % WAYS, way[at]))
         at = np.flatnonzero(self.several[group])
-        out.append((at, WAYS + kind[at], self.place[group[at]], self.shares[kind[at]]))
+        out.append((at, WAYS + kind[at], self.place[group[at]], 1 + HEADS + kind[at]))
         base, digits, n = self.base[group], self.digits[group], self.words[group]
-        place, ways = words - self.starts[group], np.arange(WAYS)
+        place, partial = words - self.starts[group], [self.priors]
         for level in range(int(digits.max(initial=0))):
             at = np.flatnonzero(digits > level)
-            width = base[at] ** (digits[at] - 1 - level)
-            first = place[at] - place[at] % (width * base[at])
+            b = base[at]
+            width = b ** (digits[at] - 1 - level)
+            below = width * b
+            first = place[at] // below * below
+            prior = 1 + HEADS + CLASSES + b
             left = n[at] - first
-            prior = np.take(FULL, base[at], 0)
-            part = np.flatnonzero(left < width * base[at])  # at the group's end not all ways are full
-            prior[part] = _log(np.clip(left[part, None] - ways * width[part, None], 0, width[part, None])) - np.log(width[part, None], dtype=np.float32)
-            out.append((at, (self.starts[group[at]] + first + 1) * 64 + level + CLASSES, place[at] // width % base[at], prior))
-        return [np.concatenate(x) for x in zip(*out)]
+            part = np.flatnonzero(left < below)  # at the group's end not all ways are full
+            prior[part] = sum(map(len, partial)) + np.arange(len(part))
+            partial.append(_log(np.clip(left[part, None] - np.arange(WAYS) * width[part, None], 0, width[part, None])) - np.log(left[part, None], dtype=np.float32))
+            out.append((at, (self.starts[group[at]] + first + 2) * DIGITS + level, (place[at] - first) // width, prior))
+        token, node, way, prior = (np.concatenate(x) for x in zip(*out))
+        return token, node, way, np.take(np.concatenate(partial), prior, 0)
 
 
+#: Nodes from this number on are digits of words' places; there are fewer levels than this.
+DIGITS = 128
 #: The log of a way that no word takes.
 NEVER = np.float32(-1e4)
 
@@ -326,32 +335,34 @@ def context(words, starts):
 
 
 def node_rows(node, last, skip, bits):
-    """The rows of the weights of each choice: its node with the last word, the last two, the word before the last."""
+    """The rows of the weights of some choices: with the last word, with the one before; with both, of the nodes below DIGITS."""
     node, last, skip = (x.astype(np.uint64) for x in (node, last, skip))
-    out = np.empty((3, len(node)), np.int64)
+    top = int(np.count_nonzero(node < DIGITS))
     node = node * np.uint64(0x9E3779B97F4A7C15)
-    for i, seen in enumerate((last, last * np.uint64(0xC2B2AE3D27D4EB4F) + skip, skip)):
-        h = node + (seen * np.uint64(0x165667B19E3779F9) + np.uint64((i + 1) * 0x27D4EB2F165667C5 % 2**64))
+    out = []
+    for i, seen in enumerate((last, skip, last[:top] * np.uint64(0xC2B2AE3D27D4EB4F) + skip[:top])):
+        h = node[: len(seen)] + (seen * np.uint64(0x165667B19E3779F9) + np.uint64((i + 1) * 0x27D4EB2F165667C5 % 2**64))
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        out[i] = h >> np.uint64(64 - bits)
+        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
     return out
 
 
+_ONES = np.ones(WAYS, np.float32)
+
+
 def _logits(weights, rows, prior):
-    """Logits of some choices: the sum of their rows and the prior, less the largest."""
-    z = np.take(weights, rows[0], 0)
+    """Logits of some choices: the prior and the sum of their rows, within what exp can take."""
+    z = prior + np.take(weights, rows[0], 0)
     for r in rows[1:]:
-        z += np.take(weights, r, 0)
-    z += prior
-    z -= z.max(1, keepdims=True)
-    return z
+        z[: len(r)] += np.take(weights, r, 0)
+    return np.clip(z, -80, 80, out=z)
 
 
 def log_taken(weights, rows, way, prior):
     """The log probability of each choice's way."""
     z = _logits(weights, rows, prior)
-    return z[np.arange(len(way)), way] - np.log(np.exp(z).sum(1))
+    return z[np.arange(len(way)), way] - np.log(np.exp(z) @ _ONES)
 
 
 def _order(r):
@@ -361,11 +372,11 @@ def _order(r):
 
 
 def summed(g, r):
-    """The distinct values of r, how often each occurs, and the sum of its rows of g; most values occur once."""
+    """The distinct values of r, and for each the sum of its rows of g; most values occur once."""
     order = _order(r)
     r = r[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
-    count = np.diff(np.r_[first, len(r)])
+    count = np.diff(first, append=len(r))
     out = np.take(g, order[first], 0)
     many = np.flatnonzero(count > 1)
     if len(many):
@@ -373,23 +384,23 @@ def summed(g, r):
         start = np.cumsum(n) - n
         at = np.repeat(first[many] - start, n) + np.arange(n.sum())
         out[many] = np.add.reduceat(np.take(g, order[at], 0), start, axis=0)
-    return r[first], count, out
+    return r[first], out
 
 
-def update(weights, squares, seen, rows, way, prior):
-    """One AdaGrad step on the log loss of some choices; ``seen`` counts the choices of each row."""
+def update(weights, squares, rows, way, prior):
+    """One AdaGrad step on the log loss of some choices."""
     if not len(way):
         return
     g = _logits(weights, rows, prior)
     np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
+    g *= (1 / (g @ _ONES))[:, None]
     g[np.arange(len(way)), way] -= 1
     whole = weights.view(np.dtype((np.void, 4 * WAYS))).reshape(-1)  # a row as one item
     for r in rows:
-        own, count, step = summed(g, r)
-        seen[own] += count
-        squares[own] += np.einsum("ij,ij->i", step, step) / WAYS
-        step *= (-RATE / len(rows) / np.sqrt(squares[own]))[:, None]
+        own, step = summed(g[: len(r)], r)
+        s = squares[own] + np.einsum("ij,ij->i", step, step) / WAYS
+        squares[own] = s
+        step *= (-RATE / len(rows) / np.sqrt(s))[:, None]
         step += np.take(weights, own, 0)
         whole[own] = step.view(whole.dtype).reshape(-1)
 
@@ -418,21 +429,21 @@ def _steps(words, starts, groups):
 
 
 def _trained(batches, groups, start):
-    """Chunks (start, rows, w, n) of a replica's weights that it has seen, as float16, and how often."""
+    """Chunks (start, rows, w, n) of the weights that a replica has changed, as float16, and their sums of squared gradients."""
     n = 1 << groups.bits
     weights = np.zeros((n, WAYS), np.float32) if start is None else start.astype(np.float32)
-    squares, seen = np.ones(n, np.float32), np.zeros(n, np.int64)
+    squares = np.ones(n, np.float32)
     for words, starts, _ in _token_batches(batches, 4 * TOKENS):
         for _, _, rows, way, prior in _steps(words, starts, groups):
-            update(weights, squares, seen, rows, way, prior)
-    for first in range(0, len(weights), CHUNK_ROWS):
+            update(weights, squares, rows, way, prior)
+    for first in range(0, n, CHUNK_ROWS):
         part = slice(first, first + CHUNK_ROWS)
-        if len(own := np.flatnonzero(seen[part])):
-            yield first, own.astype(np.uint16).tobytes(), weights[part][own].astype(np.float16).tobytes(), seen[part][own].astype(np.uint32).tobytes()
+        if len(own := np.flatnonzero(squares[part] > 1)):
+            yield first, own.astype(np.uint16).tobytes(), weights[part][own].astype(np.float16).tobytes(), (squares[part][own] - 1).tobytes()
 
 
 def _averaged(batches):
-    """One row (start, rows, w) for each chunk of weights, from rows in order of chunk: their averages by use."""
+    """One row (start, rows, w) for each chunk of weights, from rows in order of chunk: averages by the sums of squares."""
     key, total, weight = None, None, None
 
     def finished():
@@ -445,9 +456,9 @@ def _averaged(batches):
             if key != start:
                 if key is not None:
                     yield finished()
-                key, total, weight = start, np.zeros((CHUNK_ROWS, WAYS)), np.zeros(CHUNK_ROWS, np.int64)
-            rows, n = np.frombuffer(rows, np.uint16), np.frombuffer(n, np.uint32)
-            total[rows] += np.frombuffer(w, np.float16).reshape(-1, WAYS) * n[:, None].astype(float)
+                key, total, weight = start, np.zeros((CHUNK_ROWS, WAYS)), np.zeros(CHUNK_ROWS)
+            rows, n = np.frombuffer(rows, np.uint16), np.frombuffer(n, np.float32).astype(float)
+            total[rows] += np.frombuffer(w, np.float16).reshape(-1, WAYS) * n[:, None]
             weight[rows] += n
     if key is not None:
         yield finished()

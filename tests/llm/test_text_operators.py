@@ -264,8 +264,8 @@ def test_summed_adds_the_rows_of_each_value():
     rng = np.random.default_rng(1)
     for n, most in ((0, 1), (1, 1), (7, 1), (300, 5), (999, 400), (64, 1), (500, 1 << 30)):
         g, r = rng.normal(size=(n, 3)), rng.integers(0, most, n)
-        own, count, step = language_model.summed(g, r)
-        assert own.tolist() == sorted(set(r.tolist())) and count.tolist() == [int((r == k).sum()) for k in own]
+        own, step = language_model.summed(g, r)
+        assert own.tolist() == sorted(set(r.tolist()))
         assert np.allclose(step, [g[r == k].sum(0) for k in own] or np.zeros((0, 3)))
 
 
@@ -285,10 +285,10 @@ def test_probabilities_of_all_words_add_up_to_one():
         p = np.exp(p + np.where(way[: len(words)] == 0, np.log(0.5) if groups.once else 0.0, 0.0))
         assert abs(p.sum() - 1) < 1e-4
         mine = token == len(words) // 2
-        squares, seen = np.ones(len(weights), np.float32), np.zeros(len(weights), np.int64)
-        before = language_model.log_taken(weights, cells[:, mine], way[mine], prior[mine]).sum()
-        language_model.update(weights, squares, seen, cells[:, mine], way[mine], prior[mine])
-        assert language_model.log_taken(weights, cells[:, mine], way[mine], prior[mine]).sum() >= before and seen.sum() == 3 * mine.sum()
+        squares, cells = np.ones(len(weights), np.float32), [c[mine[: len(c)]] for c in cells]
+        before = language_model.log_taken(weights, cells, way[mine], prior[mine]).sum()
+        language_model.update(weights, squares, cells, way[mine], prior[mine])
+        assert language_model.log_taken(weights, cells, way[mine], prior[mine]).sum() >= before
 
 
 def test_scores_agree_with_a_plain_implementation(spark, docs, rows):
@@ -312,7 +312,7 @@ def test_scores_agree_with_a_plain_implementation(spark, docs, rows):
         for w in kept["words"][i]:
             _, nodes, ways, priors = groups.decisions(np.array([w], np.uint32))
             for node, way, prior in zip(nodes, ways, priors):
-                z = sum(weights[r[0]] for r in module.node_rows(np.array([node]), np.array([last]), np.array([skip]), groups.bits)) + prior
+                z = sum(weights[r[0]] for r in module.node_rows(np.array([node]), np.array([last]), np.array([skip]), groups.bits) if len(r)) + prior
                 total += z[way] - z.max() - np.log(np.exp(z - z.max()).sum())
             total += np.log(0.5) if ways[0] == 0 and groups.once else 0.0
             skip, last = last, w + 1
