@@ -6,9 +6,11 @@ the interval of its tokens in the sequence, the position of its first token with
 the intervals that its tokens attend to: those of its ancestors and its own. As positions run on within a
 node, (first position, length) stands for all position ids.
 
-Depth-first order is the order of the nodes' paths, so a range-partitioned sort yields it at any size:
-each range is one sequence. What a sequence's first node inherits from earlier ranges is emitted again at
-its start; no other node can lack an ancestor, as a subtree is one stretch of the order.
+Depth-first order is the order of the nodes' paths and depths, so a range-partitioned sort yields it at any
+size: each range is one sequence. A path names only the turns that follow a branch of the tree, as turns
+between branches are ordered by their depth; a node with m branches above it so has m names, and the
+input has as many conversations that leave there. What a sequence's first node inherits from earlier ranges
+is emitted again at its start; no other node can lack an ancestor, as a subtree is one stretch of the order.
 """
 
 import hashlib
@@ -53,11 +55,10 @@ def parse(formatted):
 
 
 def turn_nodes(conversations, id="conv_id", turn="turn", role="role", text="text"):
-    """One row per turn: conv_id, k (place from 0), node, parent, path, segment, and mask (of an assistant).
+    """One row per turn: conv_id, k (place from 0), node, parent, segment, and mask (of an assistant).
 
     Turns are ordered by turn, then role and text, null turns first; null roles and texts are empty.
-    Rows with a null conv_id are one conversation. path joins the names of the ancestors and the node,
-    8 bytes each; it orders nodes depth-first. mask is the interval of the segment that bears loss.
+    Rows with a null conv_id are one conversation. mask is the interval of the segment that bears loss.
     """
     rows = conversations.select(
         F.col(id).cast("long").alias("conv_id"),
@@ -67,22 +68,40 @@ def turn_nodes(conversations, id="conv_id", turn="turn", role="role", text="text
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                out = {c: [] for c in ("conv_id", "k", "node", "parent", "path", "segment", "mask_start", "mask_end")}
+                out = {c: [] for c in ("conv_id", "k", "node", "parent", "segment", "mask_start", "mask_end")}
                 for r in batch.slice(start, 64).to_pylist():
-                    parent, path = b"", b""
+                    parent = b""
                     for k, t in enumerate(r["turns"]):
                         segment = format_turn(t["role"], t["text"])
                         node = hashlib.sha256(parent + segment.encode()).digest()
-                        path += node[:8]
                         first = len(OPEN) + len(escape(t["role"])) + 2
                         mask = (first, len(segment) - len(CLOSE)) if t["role"] == "assistant" else (0, 0)
-                        for c, v in zip(out, (r["conv_id"], k, node, parent, path, segment, *mask)):
+                        for c, v in zip(out, (r["conv_id"], k, node, parent, segment, *mask)):
                             out[c].append(v)
                         parent = node
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in zip(out, kinds)], list(out))
 
-    return rows.mapInArrow(run, "conv_id long, k int, node binary, parent binary, path binary, segment string, mask_start int, mask_end int")
+    return rows.mapInArrow(run, "conv_id long, k int, node binary, parent binary, segment string, mask_start int, mask_end int")
+
+
+#: Hex digits of a node's name in a path.
+NAME = 16
+
+
+def with_paths(turns):
+    """The nodes of ``turn_nodes``, once each, with k and path: the names of the turns up to the node that follow a branch."""
+    branches = turns.where("k > 0").select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent")
+    name = F.substring(F.hex("node"), 1, NAME).alias("name")
+    marked = turns.where("k = 0").select("conv_id", "k", name).unionByName(turns.where("k > 0").join(branches, "parent").select("conv_id", "k", name))
+    marks = marked.groupBy(F.col("conv_id").alias("__conv")).agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("marks"))
+    # a node's path is that of any conversation with it; segments are not moved for this
+    owners = turns.groupBy("node").agg(F.min(F.struct("conv_id", "k")).alias("o")).select("node", "o.conv_id", "o.k")
+    named = owners.join(marks, owners["conv_id"].eqNullSafe(marks["__conv"]))
+    path = F.array_join(F.transform(F.filter("marks", lambda m: m["k"] <= F.col("k")), lambda m: m["name"]), "")
+    cols = ["parent", "segment", "mask_start", "mask_end"]
+    nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in cols))
+    return nodes.join(named.select("node", "k", path.alias("path")), "node")
 
 
 def prefix_tree(turns, sequence_chars=1 << 22):
@@ -92,19 +111,17 @@ def prefix_tree(turns, sequence_chars=1 << 22):
     attends: intervals [start, end) of the sequence, from the root to the node itself. A node is emitted
     once; only what a sequence's first node inherits is emitted again in that sequence.
     """
-    cols = ["node", "parent", "path", "segment", "mask_start", "mask_end"]
-    nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in cols[1:]))
-    chars = stored(nodes.withColumn("n", F.length("segment")), "nodes")
+    chars = stored(with_paths(turns).withColumn("n", F.length("segment")), "nodes")
     total = chars.agg(F.sum("n")).first()[0] or 0
-    ordered = chars.repartitionByRange(max(1, -(-total // sequence_chars)), "path").withColumn("sequence", F.spark_partition_id())
+    ordered = chars.repartitionByRange(max(1, -(-total // sequence_chars)), "path", "k").withColumn("sequence", F.spark_partition_id())
     own = stored(ordered, "ordered")
-    # what each sequence's first node inherits
-    firsts = own.groupBy("sequence").agg(F.min("path").alias("path"))
-    levels = firsts.select("sequence", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.length("path") / 8 - 1, F.lit(1)).cast("int"))).alias("level"))
-    above = levels.where(F.length("path") > 8 * F.col("level")).select(F.col("sequence").alias("into"), F.expr("substring(path, 1, 8 * level)").alias("path"))
-    again = own.join(above, "path").where("sequence <> into").drop("sequence").withColumnRenamed("into", "sequence")
+    # what each sequence's first node inherits: the nodes whose paths begin its own, and those before it with the same
+    firsts = own.groupBy("sequence").agg(F.min(F.struct("path", "k")).alias("x")).select("sequence", F.col("x.path").alias("whole"), F.col("x.k").alias("first_k"))
+    levels = firsts.select("*", F.explode(F.sequence(F.lit(1), (F.length("whole") / NAME).cast("int"))).alias("level"))
+    above = levels.select(F.col("sequence").alias("into"), "first_k", (F.length("whole") > NAME * F.col("level")).alias("shorter"), F.expr(f"substring(whole, 1, {NAME} * level)").alias("path"))
+    again = own.join(above, "path").where("sequence <> into and (shorter or k < first_k)").drop("sequence", "first_k", "shorter").withColumnRenamed("into", "sequence")
     both = own.unionByName(again)
-    by = Window.partitionBy("sequence").orderBy("path", "node")
+    by = Window.partitionBy("sequence").orderBy("path", "k", "node")
     placed = both.withColumn("at", F.sum("n").over(by) - F.col("n"))
 
     def run(tables):
@@ -133,7 +150,7 @@ def prefix_tree(turns, sequence_chars=1 << 22):
                 [*names, "position", "attends"],
             )
 
-    ddl = "sequence int, node binary, path binary, segment string, mask_start int, mask_end int, at long, n int, position long, attends array<struct<start:bigint,end:bigint>>"
+    ddl = "sequence int, node binary, path string, segment string, mask_start int, mask_end int, at long, n int, position long, attends array<struct<start:bigint,end:bigint>>"
     return stored(placed.select("sequence", "node", "parent", "path", "segment", "mask_start", "mask_end", "at", "n").mapInArrow(run, ddl), "tree")
 
 
