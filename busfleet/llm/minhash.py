@@ -6,13 +6,14 @@ keeps its least value and the rounds end once every bin is filled, so no coordin
 agreement of two sketches is concentrated about their similarity. Bands of r coordinates bring together
 texts that may be similar; links are confirmed on the full sets.
 
-Components, not pairs, are the aim, so a bucket costs no pairs of its members. Equal sets are one class
-from the start. Each member is first compared with the bucket's least member alone; whatever the links
+Components, not pairs, are the aim, so a bucket costs no pairs of its members. Texts with the same words in
+the same order, told by SHA-256, are one class from the start. Each member is first compared with the bucket's least member alone; whatever the links
 found so far have joined needs no further comparison. Buckets that still hold several components compare
 the members outside the main one with another of its members (ROUNDS times). What is left outside the
 main component then is compared with the whole bucket, in blocks of bounded size within a task.
 """
 
+import hashlib
 import math
 import zlib
 
@@ -95,7 +96,7 @@ def band_keys(coordinates, bands, rows):
 
 
 def sketches(docs, k, percent, text="text", id="doc_id"):
-    """doc_id, n (size of the set), s1 and s2 (its 128-bit signature), keys (of the bands; null if empty)."""
+    """doc_id, n (size of the set), words (SHA-256 of the words in order), keys (of the bands; null if empty)."""
     bands, rows = banding(percent)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
@@ -106,16 +107,13 @@ def sketches(docs, k, percent, text="text", id="doc_id"):
                 doc, values, n = (keys >> np.uint64(52)).astype(np.int64), keys & np.uint64(2**52 - 1), part.num_rows
                 size = np.bincount(doc, minlength=n)
                 full = np.flatnonzero(size)
-                s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                if len(full):
-                    cut = np.searchsorted(doc, full)
-                    s1[full], s2[full] = (np.add.reduceat(mix(values * odd), cut) for odd in _ODD[60:62])
+                digests = [hashlib.sha256(b" ".join(t.encode().lower().split())).digest() for t in part.column("__text").to_pylist()]
                 found = band_keys(sketch(values, doc, n, bands * rows)[full], bands, rows).view(np.int64)
                 sizes = np.where(size > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], ["doc_id", "n", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "words", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, words binary, keys array<long>")
 
 
 def _packed(docs, text, id):
@@ -182,8 +180,25 @@ def common_sizes(xs, ys, most_cells=4_000_000):
     return total
 
 
+def forest(xs, ys):
+    """The places of the links (x, y) that join what was not yet joined by those before."""
+    root, keep = {}, []
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return keep
+
+
 def _compared_blocks(units, k, percent):
-    """All links between different components from the x rows to the y rows of each unit."""
+    """Links between different components from the x rows to the y rows of each unit: as few as join what all links join."""
 
     def run(table):
         ids, comps, x = (table.column(c).to_numpy() for c in ("cid", "comp", "x"))
@@ -193,7 +208,8 @@ def _compared_blocks(units, k, percent):
         nx, ny = (np.array([len(s) for s in side]) for side in (xs, ys))
         common = common_sizes(xs, ys) if xs and ys else np.zeros((len(xs), len(ys)))
         a, b = np.nonzero(_linked(common, nx[:, None], ny[None, :], percent) & (comps[px][:, None] != comps[py][None, :]))
-        return pa.table({"a": pa.array(ids[px[a]], pa.int64()), "b": pa.array(ids[py[b]], pa.int64())})
+        keep = forest(comps[px[a]].tolist(), comps[py[b]].tolist())
+        return pa.table({"a": pa.array(ids[px[a]][keep], pa.int64()), "b": pa.array(ids[py[b]][keep], pa.int64())})
 
     return units.select("key", "i", "j", "x", "cid", "comp", "z").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -229,13 +245,14 @@ def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
     """Per row: doc_id, n_shingles, component_id, kept; linked where 100 * common >= percent * union.
 
     component_id is the least id reachable by links; kept marks it. Null and empty texts have an empty
-    set and are linked with nothing. Equal sets are linked by their signatures. Rows that repeat an id
+    set and are linked with nothing. Texts of the same words in the same order are linked as they are, all
+    others by comparing their full sets. Rows that repeat an id
     are one document to the links. A row without an id links nothing and is kept. Other columns are
     left out. An empty table gives no rows.
     """
     rows = stored(sketches(docs, k, percent, text, id), "sketches")
     sets = rows.where("n > 0 and doc_id is not null")
-    classes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("s1", "s2", "n", F.col("x.doc_id").alias("cid"), F.col("x.keys").alias("keys"))
+    classes = sets.groupBy("words").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("words", F.col("x.doc_id").alias("cid"), F.col("x.keys").alias("keys"))
     bands = classes.select("cid", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("leader"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("mark")).where("m > 1")
     # both sides of the join are plain shuffles of tables, so AQE can split a key that many members share
@@ -262,8 +279,8 @@ def near_duplicates(docs, k=5, percent=80, text="text", id="doc_id"):
     if not more.isEmpty():
         label = joined_by(more)
 
-    named = classes.select("s1", "s2", "n", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "n", F.coalesce("component", "cid").alias("component"))
-    joined = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("doc_id", "n", F.col("component").alias("component_id"))
+    named = classes.select("words", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("words", F.coalesce("component", "cid").alias("component"))
+    joined = sets.select("doc_id", "n", "words").join(named, "words").select("doc_id", "n", F.col("component").alias("component_id"))
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
