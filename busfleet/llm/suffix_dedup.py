@@ -14,7 +14,9 @@ Spark deals the work by content, in three steps.
 
 Equal stretches are combined within a task, so a passage costs one stretch per task however often it
 occurs. Around it stretches differ; anchors of so many stretches that a task could not hold them (a set
-bounded by 1/HOT_SHARE of all anchors, hence of bounded size) are dealt window by window instead.
+bounded by 1/HOT_SHARE of all anchors, hence of bounded size) are split further: their windows meet by a
+digest of their bytes. What meets is sorted by the same deep-shallow sorting of the bytes themselves; equal
+neighbours in that order, byte for byte, are the classes. Digests only choose the task.
 """
 
 import hashlib
@@ -91,9 +93,16 @@ def _unpack(blob, *kinds, tail=False):
 def _dealt(rid, values, buckets):
     """(bucket, blob) rows that bring values (int64, one or more for each entry) to their documents' buckets."""
     bucket = (mix(rid.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((rid, bucket))
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(b, _pack(rid[i], values[i])) for b in range(buckets) if len(i := order[cut[b] : cut[b + 1]])]
+    return [(b, _pack(rid[i], values[i])) for b, i in _by_bucket(bucket, np.lexsort((rid, bucket)))]
+
+
+def _by_bucket(bucket, order):
+    """(bucket, its places in order) of each bucket that occurs; ``order`` sorts by bucket."""
+    if not len(order):
+        return
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for i, part in zip(first, np.split(order, first[1:])):
+        yield int(bucket[order[i]]), part
 
 
 def _regrouped(batches, width):
@@ -137,8 +146,7 @@ def _anchor_blobs(batches, buckets):
         h1, rid1, a1 = h[first], rid[first], a[first]
         bucket = (h1 % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((a1, rid1, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, 0, _pack(h1[i], rid1[i], a1[i], count[i].astype(np.int32))) for b in range(buckets) if len(i := order[cut[b] : cut[b + 1]])]
+        rows = [(b, 0, _pack(h1[i], rid1[i], a1[i], count[i].astype(np.int32))) for b, i in _by_bucket(bucket, order)]
         if rest.any():
             rid2, a2 = rid[rest], a[rest]
             order = np.lexsort((a2, rid2))
@@ -214,18 +222,17 @@ def _stretches(batches, buckets, hot):
         rows = []
         keep.sort(key=lambda x: x[0])
         cut = np.searchsorted(np.array([x[0] for x in keep], np.int64), np.arange(buckets + 1)) if keep else np.zeros(buckets + 1, int)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(cut)).tolist():
             own = keep[cut[b] : cut[b + 1]]
             if own:
                 _, h, rid, lo, off, seg = zip(*own)
                 rows.append((b, 0, _pack(np.array([len(own)], np.int64), np.array(h, np.uint64), np.array(rid, np.int64), np.array(lo, np.int64), np.array(off, np.int32), np.array([*map(len, seg)], np.int32), np.frombuffer(b"".join(seg), np.uint8))))
         if windows:
-            sums = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in windows), np.uint64).reshape(-1, 2)
+            sums = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in windows), np.uint64)
+            texts = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, LENGTH)
             places = np.array(list(windows.values()), np.int64)
-            bucket = (sums[:, 0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(b, 2, _pack(sums[i, 0], sums[i, 1], places[i, 0], places[i, 1])) for b in range(buckets) if len(i := order[cut[b] : cut[b + 1]])]
+            bucket = (sums % np.uint64(buckets)).astype(np.int64)
+            rows += [(b, 2, _pack(np.array([len(i)], np.int64), places[i, 0], places[i, 1], texts[i])) for b, i in _by_bucket(bucket, np.argsort(bucket, kind="stable"))]
         if covered:
             c = np.array(covered, np.int64)
             rows += [(i % buckets, 1, _pack(part)) for i, part in enumerate(np.array_split(c, max(1, len(c) // 20000)))]
@@ -380,6 +387,19 @@ def covered_windows(h, off, segs):
             yield own[later], np.full(len(later), s)
 
 
+def repeats(matrix, rid, place):
+    """Of some windows, rows of a byte matrix, those equal to one with a smaller (rid, place); ties keep the first."""
+    order = deep_shallow_order(matrix, np.zeros(len(matrix), np.int64))
+    new = np.ones(len(order), bool)
+    for start in range(1, len(order), 100_000):
+        i, j = order[start - 1 : start + 99_999], order[start : start + 100_000]
+        new[start : start + len(j)] = (matrix[i[: len(j)]] != matrix[j]).any(1)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new)
+    by = np.lexsort((place, rid, kind))
+    return by[np.r_[False, kind[by][1:] == kind[by][:-1]]] if len(by) else by
+
+
 def _covered(batches, buckets):
     """Rows (bucket, blob) of covered intervals, dealt by document, from what meets in a partition."""
     held, windows, rids, spans = [], [], [], []
@@ -394,16 +414,16 @@ def _covered(batches, buckets):
                 c = _unpack(blob, np.int64)[0].reshape(-1, 3)
                 out(c[:, 0], c[:, 1:])
             elif kind == 2:
-                windows.append(_unpack(blob, np.uint64, np.uint64, np.int64, np.int64))
+                windows.append(_unpack(blob, np.int64, np.int64, tail=True))
             else:
                 h, rid, lo, off, size, raw = _unpack(blob, np.uint64, np.int64, np.int64, np.int32, np.int32, tail=True)
                 end = np.cumsum(size).tolist()
                 held += zip(h.tolist(), rid.tolist(), lo.tolist(), off.tolist(), [raw[b - n : b] for b, n in zip(end, size.tolist())])
     if windows:
-        x, y, rid, p = (np.concatenate(c) for c in zip(*windows))
-        order = np.lexsort((p, rid, y, x))
-        x, y, rid, p = x[order], y[order], rid[order], p[order]
-        again = np.r_[False, (x[1:] == x[:-1]) & (y[1:] == y[:-1])]
+        rid, p = (np.concatenate([w[k] for w in windows]) for k in (0, 1))
+        matrix = np.frombuffer(b"".join(w[2] for w in windows), np.uint8).reshape(-1, LENGTH)
+        windows.clear()
+        again = repeats(matrix, rid, p)
         out(rid[again], np.stack([p[again], p[again] + LENGTH], 1))
     held.sort(key=lambda x: (x[1], x[2]))
     seen, count, keep, whole = set(), {}, [], []
