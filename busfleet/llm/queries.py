@@ -71,7 +71,32 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
+#: Base32 of a SHA-1 in SQL: every five hex digits give four characters.
+BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, {5 * j + 1}, 5) as int) >> {shift}) & 31), 1)" for j in range(8) for shift in (15, 10, 5, 0))
+
 ORACLE = {
+    "op1_warc": f"""
+        with p as (select page_id, coalesce(html, '') as t from pages),
+        d as (select page_id, octet_length(encode(t)) as n, sha1(t) as h, min(page_id) over (partition by t) as f from p)
+        select page_id, cast(n as bigint) as payload_bytes, {BASE32} as payload_digest,
+            case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to
+        from d""",
+    "op10_minhash": r"""
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+            from documents),
+        s as (
+            select distinct doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as shingle
+            from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+            union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 2),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+        l as (
+            select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+        both_ways as (select x, y from l union all select y, x from l),
+        reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y from reach r join both_ways e on e.x = r.y)
+        select r.x as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.y) as component_id, min(r.y) = r.x as kept
+        from reach r left join n on n.doc_id = r.x group by r.x""",
     "op9_chat": r"""
         with c as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

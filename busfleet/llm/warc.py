@@ -64,15 +64,15 @@ def with_revisits(pages, least_bytes=0, payload="html", id="page_id", url="url")
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the least page_id are
     responses and the others revisit it; smaller payloads are all responses. A row without an id is a
-    revisit where its group has an id, else a response. Groups are told apart by SHA-1 and length, and
+    revisit where its group has an id, else a response. Groups are told apart by SHA-1 and SHA-256, and
     found by an aggregation that combines before its shuffle; AQE splits the join of a hot payload.
     """
     rows = pages.select(
         F.col(id).cast("long").alias("page_id"), (F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")).alias("url"),
         F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumns({"sha1": F.sha1("payload"), "n": F.octet_length("payload")})
-    first = rows.where(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["sha1", "n"], "left")
+    ).withColumns({"sha1": F.sha1("payload"), "sha256": F.unhex(F.sha2("payload", 256))})
+    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1", "sha256").agg(F.min("page_id").alias("first"))
+    joined = rows.join(first, ["sha1", "sha256"], "left")
     return joined.select("page_id", "url", "payload", "sha1", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
