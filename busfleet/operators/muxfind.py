@@ -76,13 +76,13 @@ def _scores(rows, key, cfg, bitfields=()):
     """Decode candidates of each key with their scores, ranked, at most max_decodes; rows have ``start``."""
     names = ("label", "kind", "a", "b", "s", "n", "le")
     specs = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, d))) for d in _decodes(bitfields)))
-    one = rows.select(*key, "start", "LEN", "TS", "seq", packed_le().alias("w"), packed_be().alias("v"))
-    one = one.withColumn("d", F.explode(specs)).where("d.a >= start and d.b < LEN")
-    value = physical(raw_bits("w", "v", F.col("d.s"), F.col("d.n"), F.col("d.le")), F.col("d.n"), F.col("d.kind"))
-    one = one.withColumn("d", F.struct("d.label", "d.kind", value.alias("x")))
-    one = one.select(*key, "TS", "seq", "d.label", "d.kind", F.bround("d.x", 6).alias("x"))
-    by = Window.partitionBy(*key, "label").orderBy("TS", "seq")
-    one = one.withColumn("moved", (F.abs(F.col("x") - F.lag("x").over(by)) > 1e-9).cast("int"))
+    # the lag is taken on the packed words of a frame, once; decodes multiply the rows within a task after it
+    by = Window.partitionBy(*key).orderBy("TS", "seq")
+    words = rows.select(*key, "start", "LEN", "TS", "seq", packed_le().alias("w"), packed_be().alias("v")).withColumns({"pw": F.lag("w").over(by), "pv": F.lag("v").over(by)})
+    one = words.withColumn("d", F.explode(specs)).where("d.a >= start and d.b < LEN")
+    value = lambda w, v: F.bround(physical(raw_bits(w, v, F.col("d.s"), F.col("d.n"), F.col("d.le")), F.col("d.n"), F.col("d.kind")), 6)
+    one = one.select(*key, "d.label", "d.kind", value("w", "v").alias("x"), F.when(F.col("pw").isNotNull(), value("pw", "pv")).alias("p"))
+    one = one.withColumn("moved", (F.abs(F.col("x") - F.col("p")) > 1e-9).cast("int"))
     counts = one.groupBy(*key, "label", "kind", "x").agg(F.count("*").alias("c"), F.sum("moved").alias("moved"))
     s = counts.groupBy(*key, "label", "kind").agg(
         F.sum("c").alias("n"), F.count("*").alias("distinct_values"), F.max("c").alias("most"), F.sum(F.col("c") * F.log2("c")).alias("clogc"), F.sum("moved").alias("moved"), F.max(F.abs("x")).alias("top"),

@@ -115,11 +115,11 @@ def frames_from_records(rows, log_id="records"):
 
 
 def merge_logs(base, incoming, shift=False):
-    """Both logs as one; incoming rows come after the base's in seq.
+    """Both logs as one, named as the base's first row; incoming rows come after the base's in seq.
 
     shift: times of the incoming log become relative to the base's original first time.
     """
-    top = base.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("__top"), F.min_by("TS", "seq").alias("__t0"), F.first("log_id").alias("__log"))
+    top = base.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("__top"), F.min_by("TS", "seq").alias("__t0"), F.min_by("log_id", "seq").alias("__log"))
     moved = incoming.crossJoin(F.broadcast(top))  # one row
     moved = moved.withColumns({"seq": F.col("seq") + F.col("__top"), "log_id": F.coalesce("__log", "log_id"), "TS": F.col("TS") - F.coalesce("__t0", F.lit(0.0)) if shift else F.col("TS")})
     return base.unionByName(moved.select(*base.columns))
