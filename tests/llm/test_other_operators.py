@@ -209,3 +209,44 @@ def test_pipeline(spark):
     assert {i for i, _ in rows[3]} <= {i for i, t in rows[2] if not any(p in (t or "") for p in passages)}
     assert {r["doc_id"] for r in after[4].collect()} == {i for i, _ in rows[3]}
     assert corpus_pipeline.run(spark, sf).count() == len(rows[3])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null, empty and very long texts, ties, repeated rows, clashing columns, and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    good = lambda n: " ".join(rng.choice(["the", "river", "runs", "deep", "under", "stone", "bridges"]) + str(rng.randrange(50)) for _ in range(n))
+    long_text = good(60_000)
+    rows = [(i, good(60) if i % 3 else "$$$ BUY ### now!! " * 9) for i in range(120)] + [(200, None), (201, ""), (202, " \n "), (203, long_text), (204, long_text + " end"), (205, good(30)), (205, good(30)), (None, good(40)), (None, None)]
+    item = good(25)
+    rows += [(300, f"{good(20)} {item} {good(20)}"), (301, rows[1][1]), (302, rows[1][1].replace(" ", "  "))]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, n long"
+    docs = spark.createDataFrame([(i, t, "xx", None, len(t or ""), 0.5, "x", 3) for i, t in rows], ddl)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(120)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item)], "item_id long, text string")
+    for name, (d, b) in {"full": (docs, items), "no_items": (docs, items.limit(0)), "empty": (docs.limit(0), items)}.items():
+        for table, rows_of in (("documents", d), ("labels", labels), ("benchmark", b)):
+            rows_of.write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()}
+    assert 203 in got and not {204, 300, 301, 302} & set(got) and not [i for i in got if i is not None and i < 120 and i % 3 == 0]
+    assert {i for i in got if i is not None and i < 120} == {i for i in range(120) if i % 3}
+    assert 300 in {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "no_items")).collect()}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_long_conversations_with_branches(spark):
+    """Paths do not grow with depth: one conversation of many turns, and two that leave it."""
+    n = 1500
+    rows = [(1, k, "user", f"t{k}") for k in range(n)] + [(2, k, "user", f"t{k}" if k < 700 else f"x{k}") for k in range(900)] + [(3, k, "assistant" if k > 1000 else "user", f"t{k}" if k < 1001 else "z") for k in range(1010)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.stored(chat.turn_nodes(table), "turns")
+    assert chat.with_paths(turns).agg({"path": "max"}).count() == 1
+    longest = chat.with_paths(turns).selectExpr("max(length(path)) as n").first()["n"]
+    assert longest <= 4 * chat.NAME
+    for size in (1 << 22, 3000):
+        got = {r["conv_id"]: r for r in chat.digests(chat.read_back(turns, chat.prefix_tree(turns, size))).collect()}
+        for c in (1, 2, 3):
+            own = [(role, t) for i, _, role, t in rows if i == c]
+            assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+            assert got[c]["loss_sha256"] == hashlib.sha256("".join(t for role, t in own if role == "assistant").encode()).hexdigest()

@@ -370,3 +370,63 @@ def test_short_benchmark_items_are_searched(spark):
         part = words(texts[i].encode()[r["start"] : r["end"]].decode())
         assert r["distance"] == least(words(item_of[k]), part)
     assert {r["doc_id"] for r in decontaminate.clean(docs, table).collect()} == {i for i, _ in rows} - {r["doc_id"] for r in found}
+
+
+def test_recall_of_near_duplicates(spark):
+    """Pairs planted just at and above the threshold of 85 % are all found."""
+    rng = random.Random(12)
+    rows, close = [], 0
+    for i in range(400):
+        words = [f"v{rng.randrange(100_000)}" for _ in range(200)]
+        twin = list(words)
+        for at in rng.sample(range(0, 195, 6), rng.choice((1, 3, 4, 5))):
+            twin[at] = "changed"
+        a, b = ({tuple(w[j : j + 3]) for j in range(198)} for w in (words, twin))
+        close += 100 * len(a & b) >= 85 * len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(twin))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).where("not kept")
+    assert got.count() == close > 200 and got.where("component_id <> doc_id - 1").count() == 0
+
+
+def test_forest_joins_what_all_links_join():
+    rng = random.Random(3)
+    for _ in range(50):
+        links = [(rng.randrange(12), rng.randrange(12)) for _ in range(20)]
+        groups = lambda pairs: {frozenset(g) for g in _joined(pairs)}
+        kept = [links[i] for i in minhash.forest(*zip(*links))]
+        assert groups(kept) == groups([(a, b) for a, b in links if a != b]) and len(kept) == sum(len(g) - 1 for g in _joined(kept))
+
+
+def _joined(pairs):
+    groups = []
+    for a, b in pairs:
+        own = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in own] + [{a, b}.union(*own)]
+    return groups
+
+
+def test_repeated_windows_by_suffix_order():
+    rng = random.Random(7)
+    base = [bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(6)] + [b"a" * 99 + b"b", b"a" * 100, b"a" * 98 + b"bb"]
+    windows = [(rng.choice(base), rng.randrange(4), rng.randrange(50)) for _ in range(300)]
+    matrix = np.frombuffer(b"".join(w for w, *_ in windows), np.uint8).reshape(-1, 100)
+    rid, place = (np.array([w[k] for w in windows]) for k in (1, 2))
+    got = suffix_dedup.repeats(matrix, rid, place)
+    first = {}
+    for w, r, p in windows:
+        first[w] = min(first.get(w, (9, 99)), (r, p))
+    assert len(got) == len(windows) - len(first)
+    left = np.setdiff1d(np.arange(len(windows)), got)
+    assert {windows[i][0]: windows[i][1:] for i in left} == first
+    assert len(suffix_dedup.repeats(matrix[:0], rid[:0], place[:0])) == 0
+
+
+def test_decontamination_of_odd_rows(spark):
+    rng = random.Random(4)
+    item = prose(rng, 30)
+    rows = [(1, f"{prose(rng, 5)} {item}"), (1, f"{prose(rng, 5)} {item}"), (2, prose(rng, 40_000) + " " + item), (None, item), (3, "x")]
+    items = spark.createDataFrame([("a", item), ("a", item), ("b", None), (None, "")], "item_id string, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in decontaminate.matches(docs, items).collect())
+    assert got == sorted([(0, "a", 0), (1, "a", 0), (1, "a", 0), (2, "a", 0)] * 2)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [3]
