@@ -1,7 +1,10 @@
-"""Bounded, repeatable samples of labelled rows for fitting a classifier."""
+"""Bounded, repeatable samples of labelled rows, and classifiers fitted on them."""
 
 import math
+import pickle
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,3 +48,23 @@ def labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes,
     placed = sizes.withColumns({"upto": F.sum("size").over(by), "place": F.row_number().over(by)})
     within = placed.where((F.col("upto") <= class_bytes) | (F.col("place") == 1)).select("doc_id")
     return sample.join(F.broadcast(within), "doc_id"), math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) if counts else 0.0
+
+
+def fitted(rows, fit):
+    """fit(list of (y, arrays ...)) of the features of a bounded sample, in order of doc_id; it runs in one task.
+
+    rows: doc_id, y and binary columns, whose arrays have the types in their names (b_int32, say). Only the
+    fitted model, a dict of arrays and numbers, comes to the driver.
+    """
+    names = rows.columns[2:]
+    kinds = [np.dtype(n.rsplit("_", 1)[1]) for n in names]
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            ys, sets = batch.column("y").to_pylist(), [batch.column(n) for n in names]
+            held += [(y, *(np.frombuffer(c[i].as_py(), k) for c, k in zip(sets, kinds))) for i, y in enumerate(ys)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([])

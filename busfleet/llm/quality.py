@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from busfleet.llm._labels import held_out, labelled_sample
+from busfleet.llm._labels import fitted, held_out, labelled_sample
 from busfleet.llm._text import Bytes, pieces, plus, utf8
 
 WORDS, PAIRS, GRAMS, ORDERS, DIM = 1 << 16, 1 << 16, 1 << 17, (3, 5), 8
@@ -108,8 +108,8 @@ def logits(data, at, model):
 def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, class_bytes=16_000_000, **names):
     """The model of ``docs`` and ``labels``.
 
-    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text; the
-    driver gets their distinct features, at most six bytes for each.
+    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text. Features
+    are taken where the rows are; one task fits the model on them.
     """
     sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes, **names)
 
@@ -117,16 +117,16 @@ def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, clas
         for batch in batches:
             for part in pieces(batch, most=PIECE):
                 got = list(counts(*utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b", "c"])
-
-    schema = plus(sample.select("doc_id", "y").schema, "b binary, c binary")
-    rows = sample.mapInArrow(run, schema).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    ys = rows.column("y").to_numpy()
-    b, c = (rows.column(k) for k in ("b", "c"))
-    model = fit([(int(ys[i]), np.frombuffer(b[i].as_buffer(), np.int32), np.frombuffer(c[i].as_buffer(), np.uint16)) for i in order.tolist()], prior)
-    del model["layers"]
-    return model
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b_int32", "c_uint16"])
+
+    rows = sample.select("doc_id", "y", "text").mapInArrow(run, plus(sample.select("doc_id", "y").schema, "b_int32 binary, c_uint16 binary"))
+
+    def whole(rows):
+        model = fit(rows, prior)
+        del model["layers"]
+        return model
+
+    return fitted(rows, whole)
 
 
 def score(docs, model, text="text", id="doc_id", modulus=5, rest=0, threshold=0.3, keep=()):

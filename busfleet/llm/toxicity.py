@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from busfleet.llm._labels import held_out, labelled_sample
+from busfleet.llm._labels import fitted, held_out, labelled_sample
 from busfleet.llm._text import MARKS, Bytes, pieces, plus, utf8
 
 #: Names of groups of people, in lower case; a term is swapped for another of its row.
@@ -135,8 +135,8 @@ def fit(rows, prior, penalty=4.0, ridge=1e-4, least=4, z=4.0, rounds=300):
 def train(docs, labels, label="toxic", modulus=4, rest=2, per_class=4000, class_bytes=16_000_000, terms=IDENTITY_TERMS, penalty=4.0, **names):
     """The model of ``docs`` and ``labels``; its ``acting`` is the share of rows whose counterfactual differs in chosen features.
 
-    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text; the
-    driver gets their distinct features, four bytes for each.
+    ``per_class`` and ``class_bytes`` bound the labelled rows used of each class, and their text. Features
+    are taken where the rows are; one task fits the model on them.
     """
     sample, prior = labelled_sample(docs, labels, label, modulus, rest, per_class, class_bytes, **names)
 
@@ -146,13 +146,10 @@ def train(docs, labels, label="toxic", modulus=4, rest=2, per_class=4000, class_
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 got = [sampled(t or "", others) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1, 2))], ["doc_id", "y", "b", "added", "lost"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1, 2))], ["doc_id", "y", "b_int32", "added_int32", "lost_int32"])
 
-    schema = plus(sample.select("doc_id", "y").schema, "b binary, added binary, lost binary")
-    rows = sample.mapInArrow(run, schema).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    ys, sets = rows.column("y").to_numpy(), [rows.column(k) for k in ("b", "added", "lost")]
-    return fit([(ys[i], *(np.frombuffer(c[i].as_buffer(), np.int32) for c in sets)) for i in order.tolist()], prior, penalty)
+    rows = sample.select("doc_id", "y", "text").mapInArrow(run, plus(sample.select("doc_id", "y").schema, "b_int32 binary, added_int32 binary, lost_int32 binary"))
+    return fitted(rows, lambda rows: fit(rows, prior, penalty))
 
 
 def logits(data, at, weights, bias):
