@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -26,25 +27,26 @@ def encoding(rank_file, pattern):
     return _encodings[key]
 
 
+#: White space of the pattern.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Some characters that are surely letters, and some that are surely neither letters nor white space, the apostrophe aside.
+_LETTERS, _OTHERS = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3", "!-&(-@\\[-`{-~\u3001\u3002\u300c-\u300f\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_SAFE = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])|(?<=[{_LETTERS}])(?=[{_OTHERS}])")
+
+
 def safe_pieces(text, most=PIECE_CHARS):
-    """Cuts a text before single blanks that stand between two characters other than white space.
+    """Cuts a text where no match of the pattern can run over: before white space, and between letters and other marks.
 
-    No match of the pattern runs over such a place: a blank opens a match or lies in a run of white
-    space, and this one follows no white space; the look-ahead of the white-space rule sees white space
-    only at the end of a run, which the cut does not touch. So the pieces encode as the whole does. A
-    stretch without such a place stays whole.
+    White space opens a match or lies in a run of white space; a cut before the whole run leaves that run,
+    and the look-ahead after it, as they are. A run of letters is one match as far as it goes, whatever
+    follows. A stretch without such a place, such as one endless word, stays whole.
     """
     start, n = 0, len(text)
     while n - start > most:
-        at = start + most
-        while True:
-            at = text.find(" ", at)
-            if at < 0 or at + 1 >= n:
-                at = n
-                break
-            if not text[at - 1].isspace() and not text[at + 1].isspace() and text[at - 1] not in "\x1c\x1d\x1e\x1f" and text[at + 1] not in "\x1c\x1d\x1e\x1f":
-                break
-            at += 1
+        found = _SAFE.search(text, start + most)
+        at = found.start() if found else n
+        if at >= n:
+            break
         yield text[start:at]
         start = at
     yield text[start:]

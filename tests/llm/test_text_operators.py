@@ -239,9 +239,13 @@ def test_safe_pieces():
     import public_tokenizers
 
     enc, rng = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(5)
-    for _ in range(200):
-        text = "".join(rng.choice(["a", "é", " ", "  ", "\n", " \n", " ", "'s", "1", "!", "<|endoftext|>", " ", "\x1c", "日"]) for _ in range(80))
+    marks = ["a", "é", " ", "  ", "\n", " \n", "\u3000", "\x85", "'s", "'", "1", "!", "<|endoftext|>", "_", "\x1c", "日", "本。", "、", "カ", "（", "ｘ", "½"]
+    for _ in range(600):
+        text = "".join(rng.choice(marks) for _ in range(80))
         assert "".join(byte_bpe.safe_pieces(text, 7)) == text and byte_bpe.encode(text, enc, 7) == enc.encode_ordinary(text)
+    for text in ("word\n" * 30_000, "日本語の文です。" * 20_000, "f(x)=y;" * 20_000, "x" * 200_000):
+        assert byte_bpe.encode(text, enc) == enc.encode_ordinary(text)
+        assert max(map(len, byte_bpe.safe_pieces(text))) < byte_bpe.PIECE_CHARS + 20 or set(text) == {"x"}
 
 
 def test_language_model(spark, docs, rows, tmp_path):
