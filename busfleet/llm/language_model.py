@@ -512,7 +512,7 @@ def scored(texts, groups, weights):
     return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bits=20, replica_tokens=8_000_000):
+def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bits=20, replica_tokens=12_000_000):
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id modulo ``modulus`` is not ``rest``; a null id is learned
