@@ -38,7 +38,7 @@ def clean_text(text):
 def display_line(name, value, unit):
     """'name: value unit'."""
     u = F.coalesce(_n(unit), F.lit(""))
-    return F.concat(_n(name), F.lit(": "), value_text(value), F.when(u != "", F.concat(F.lit(" "), u)).otherwise(""))
+    return F.concat(_n(name), F.lit(": "), F.coalesce(value_text(value), F.lit("")), F.when(u != "", F.concat(F.lit(" "), u)).otherwise(""))
 
 
 def time_text(ts, zone=None):

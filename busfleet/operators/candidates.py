@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busfleet.functions.bits import packed_be, packed_le, physical, raw_bits
+from busfleet.operators.decode import bounded
 from busfleet.operators.series import minmax_downsample, nearest, value_at
 
 KEY = ["log_id", "ID", "LEN", "mux_label"]
@@ -151,7 +152,7 @@ def per_id(candidates):
 
 def spec_series(frames, chosen):
     """The series of chosen candidates (log_id, ID, start_bit, length, le, type): one per candidate."""
-    rows = frames.withColumns({"w": packed_le(), "v": packed_be()}).join(F.broadcast(chosen.select("log_id", "ID", "spec_id", "start_bit", "length", "le", "type").distinct()), ["log_id", "ID"])
+    rows = frames.withColumns({"w": packed_le(), "v": packed_be()}).join(bounded(chosen.select("log_id", "ID", "spec_id", "start_bit", "length", "le", "type").distinct()), ["log_id", "ID"])
     return rows.select("log_id", F.concat_ws(":", "ID", "spec_id").alias("series_id"), "TS", "seq", physical(raw_bits("w", "v", "start_bit", "length", "le"), "length", "type").alias("value"))
 
 
@@ -171,7 +172,7 @@ def search_values(series, constraints):
     c = constraints.withColumn("target", F.least(F.greatest("target", F.lit(0.0)), F.lit(1.0)))
     ranges = series.groupBy(*key).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.min("TS").alias("t0"), F.max("TS").alias("t1"))
     near = nearest(series, c).select(*key, "probe", F.col("TS").alias("near_TS"), F.col("value").alias("near_value"))
-    at = value_at(series, c).withColumnRenamed("value", "inter").join(near, [*key, "probe"]).join(F.broadcast(c), "probe").join(ranges, key)
+    at = value_at(series, c).withColumnRenamed("value", "inter").join(near, [*key, "probe"]).join(bounded(c), "probe").join(ranges, key)
     missing = F.abs(F.col("near_TS") - F.col("probe")) > F.col("precision")
     value = F.when(F.col("probe").between(F.col("t0"), F.col("t1")), F.col("inter")).otherwise(F.col("near_value"))
     off = F.abs((value - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) - F.col("target")) > F.col("tolerance")

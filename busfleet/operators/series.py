@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from busfleet.operators.decode import bounded
+
 SERIES = ["log_id", "series_id"]
 
 
@@ -155,7 +157,7 @@ def _around(series, probes):
     ids = series.select(*SERIES).distinct()
     rows = series.select(*SERIES, "TS", "seq", F.struct("TS", "value").alias("s"), F.lit(None).cast("double").alias("probe"), F.lit(0).alias("side"))
     asks = probes.select(F.col("probe").cast("double").alias("probe")).distinct()
-    asked = ids.crossJoin(F.broadcast(asks)).select(*SERIES, F.col("probe").alias("TS"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("struct<TS:double,value:double>").alias("s"), "probe", F.lit(1).alias("side"))
+    asked = ids.crossJoin(bounded(asks)).select(*SERIES, F.col("probe").alias("TS"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("struct<TS:double,value:double>").alias("s"), "probe", F.lit(1).alias("side"))
     both = rows.unionByName(asked)
     before = Window.partitionBy(*SERIES).orderBy("TS", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*SERIES).orderBy("TS", F.desc("side"), "seq").rowsBetween(0, Window.unboundedFollowing)
