@@ -154,8 +154,8 @@ ORACLE = {
     "groups_present": _events(f"select p as pgn, count(*) as frames from (select {PGN} as p from frames) where p is not null group by all"),
     "dictionary_listing": _events("select distinct dict_name, message_name, signal_name, unit from dict", DICTIONARY),
     "decode_all": _events("select seq, ID, message_name, signal_name, value, raw, unit from dec", DICTIONARY),
-    "coverage": _events("""select ID, message_name, signal_name, count(*) as frames, count(distinct value) as "unique", min(value) as low, max(value) as high, round(avg(value), 6) as mean, arg_max(value, (TS, seq)) as last,
-        count(*) filter (r) as real_frames, count(distinct value) filter (r) as real_unique, min(value) filter (r) as real_low, max(value) filter (r) as real_high, round(avg(value) filter (r), 6) as real_mean, arg_max(value, (TS, seq)) filter (r) as real_last,
+    "coverage": _events("""select ID, message_name, signal_name, count(*) as frames, count(distinct value) as "unique", min(value) as low, max(value) as high, round(avg(value), 9) as mean, arg_max(value, (TS, seq)) as last,
+        count(*) filter (r) as real_frames, count(distinct value) filter (r) as real_unique, min(value) filter (r) as real_low, max(value) filter (r) as real_high, round(avg(value) filter (r), 9) as real_mean, arg_max(value, (TS, seq)) filter (r) as real_last,
         count(distinct value) > 1 as is_changing, case when count(*) filter (r) > 0 then count(distinct value) filter (r) > 1 end as real_is_changing
         from (select *, raw <> (1::hugeint << length) - 1 as r from dec) group by all""", DICTIONARY),
     "present_messages": _events(f"select distinct message_name from dict where {PRESENT}", WIDER_DICTIONARY),

@@ -137,7 +137,8 @@ def q_byte_diff(spark, sf):
 
 def q_coverage(spark, sf):
     c = coverage.coverage(events_frames(spark, sf), dictionary(spark, sf))
-    return _round(c, "mean", "real_mean").drop("log_id")
+    # nine decimals: means of amounts in cents lie on ties at six
+    return c.withColumns({m: F.round(m, 9) for m in ("mean", "real_mean")}).drop("log_id")
 
 
 def q_decode_all(spark, sf):

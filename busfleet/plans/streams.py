@@ -59,11 +59,11 @@ def _latest(spark, sf):
 
 
 def q_live_latest(spark, sf):
-    return _latest(spark, sf).select("ID", "LEN", "mux_label", "seq", "received", "frames", "periods", F.round("period_mean", 6).alias("period_mean"), "period_min", "period_max", "ever_changed", F.array_join("uniques", ",").alias("uniques"))
+    return _latest(spark, sf).select("ID", "LEN", "mux_label", "seq", "received", "frames", "periods", F.round("period_mean", 9).alias("period_mean"), "period_min", "period_max", "ever_changed", F.array_join("uniques", ",").alias("uniques"))
 
 
 def q_live_rollup(spark, sf):
-    return live.rollup(_latest(spark, sf)).select("ID", "entries", "frames", "periods", F.round("period_mean", 6).alias("period_mean"), "period_min", "period_max", F.array_join("uniques", ",").alias("uniques"))
+    return live.rollup(_latest(spark, sf)).select("ID", "entries", "frames", "periods", F.round("period_mean", 9).alias("period_mean"), "period_min", "period_max", F.array_join("uniques", ",").alias("uniques"))
 
 
 def q_live_highlights(spark, sf):
@@ -90,7 +90,7 @@ def q_live_summary(spark, sf):
     f = feed(spark, sf)
     rows = f.present("running", live.running, live.RUNNING, RUNNING_KEY)
     payloads = f.present("payloads", live.payload_counts, PAYLOAD, ["log_id", "ID", "DATA"])
-    return live.summary(rows, payloads)
+    return live.summary(rows, payloads).withColumn("period_mean", F.round("period_mean", 9))
 
 
 def q_live_difference(spark, sf):
@@ -181,13 +181,13 @@ LAST_CHANGE = ", ".join(f"max(TS) filter (c{i}) as t{i}" for i in range(8))
 CHANGED = ", ".join(f"D{i} <> lag(D{i}) over w and {'LEN <> 8' if i == 2 else 'true'} as c{i}" for i in range(8))
 
 ORACLE = {
-    "live_latest": oracle._events(f"select ID, LEN, mux_label, seq, received, frames, periods, round(m, 6) as period_mean, lo as period_min, hi as period_max, ever as ever_changed, {UNIQUES} as uniques from per", CASES),
-    "live_rollup": oracle._events(f"""select p.ID, count(*) as entries, cast(sum(frames) as bigint) as frames, cast(sum(periods) as bigint) as periods, round(sum(m * periods) / nullif(sum(periods), 0), 6) as period_mean, min(lo) as period_min, max(hi) as period_max,
+    "live_latest": oracle._events(f"select ID, LEN, mux_label, seq, received, frames, periods, round(m, 9) as period_mean, lo as period_min, hi as period_max, ever as ever_changed, {UNIQUES} as uniques from per", CASES),
+    "live_rollup": oracle._events(f"""select p.ID, count(*) as entries, cast(sum(frames) as bigint) as frames, cast(sum(periods) as bigint) as periods, round(sum(m * periods) / nullif(sum(periods), 0), 9) as period_mean, min(lo) as period_min, max(hi) as period_max,
         any_value(u) as uniques from per p join (select ID, concat_ws(',', {', '.join(f"count(distinct D{i}) filter ({'LEN <> 8' if i == 2 else 'true'})" for i in range(8))}) as u from frames group by ID) x on x.ID = p.ID group by p.ID""", CASES),
     "live_highlights": oracle._events(f"""select ID, LEN, mux_label, concat_ws(',', {', '.join(f"case when t{i} >= now - 3 * {DAY} then '{i}' end" for i in range(8))}) as bytes from (select ID, LEN, mux_label, {LAST_CHANGE} from (
         select ID, LEN, mux_label, TS, {CHANGED} from lab window w as (partition by ID, LEN, mux_label order by TS, seq)) group by all), (select max(TS) as now from frames)""", CASES),
     "live_changing": oracle._events(f"select distinct ID from (select ID, coalesce({MOVED}, false) as moved from parts where part > 0 window w as (partition by ID, LEN order by TS, seq)) where moved", THIRDS),
-    "live_summary": oracle.ORACLE["frame_summary"],
+    "live_summary": oracle.ORACLE["frame_summary"].replace("round(avg(dt), 6)", "round(avg(dt), 9)"),
     "live_difference": oracle._events("""select sc.ID, sc.byte, class, n_a, n_b, round(mb - ma, 6) as mean_delta, ca as counter_a, cb as counter_b, first_a, last_b, round(score, 6) as score,
         case when n_a >= 2 and n_b >= 2 and len(list_distinct(list_concat(va, vb))) > 1 then round(greatest(abs(ra - n_a * (n_a + 1) / 2.0 - n_a * n_b / 2.0) - 0.5, 0) / sqrt(n_a * n_b / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))), 6) end as z
         from sc join us on sc.ID = us.ID and sc.byte = us.byte""", THIRDS, "sided as (select *, 'a' as side from parts where part = 0 union all select *, 'b' from parts)", oracle.OBSERVED),

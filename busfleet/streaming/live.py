@@ -218,7 +218,7 @@ def running(frames):
                 s |= {"ts": row.TS, "data": data, "size": size, "frames": s["frames"] + 1, "lengths": s["lengths"] | 1 << size}
         state.update(tuple(s.values()))
         values = _values(s["seen"])
-        out = {"log_id": key[0], "ID": key[1], "frames": s["frames"], "lengths": ",".join(str(i) for i in range(9) if s["lengths"] >> i & 1), "payload_changes": int(s["payload_changes"]), "period_mean": round(s["psum"] / s["pn"], 6) if s["pn"] else None}
+        out = {"log_id": key[0], "ID": key[1], "frames": s["frames"], "lengths": ",".join(str(i) for i in range(9) if s["lengths"] >> i & 1), "payload_changes": int(s["payload_changes"]), "period_mean": s["psum"] / s["pn"] if s["pn"] else None}
         out |= {"period_min": s["pmin"], "period_max": s["pmax"], "uniques": [sum(v // 256 == i for v in values) for i in range(8)]}
         yield pd.DataFrame([out | {c: s[c] for c in ("changes", "steps", "moved", "up", "first", "last", "wraps", "carries")}])[names_of(RUNNING)]
 
