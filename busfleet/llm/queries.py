@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, language_model, minhash, quality, suffix_dedup, toxicity, warc
+from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, language_model, merkle, minhash, quality, suffix_dedup, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,6 +52,10 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op12_merkle(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"), merkle.lower_cased())
+
+
 def op9_chat(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, k, role, ODD_TEXT) for k, role in enumerate(("user", "assistant"))], conversations.schema)
@@ -69,12 +73,52 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat": op9_chat,
     "op10_minhash": op10_minhash,
+    "op12_merkle": op12_merkle,
 }
 
 #: Base32 of a SHA-1 in SQL: every five hex digits give four characters.
 BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, {5 * j + 1}, 5) as int) >> {shift}) & 31), 1)" for j in range(8) for shift in (15, 10, 5, 0))
 
+#: The fields of a leaf in SQL.
+FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
 ORACLE = {
+    "op12_merkle": f"""
+        with recursive d as (
+            select *, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+                lambda v, c: list_reduce([xor(v, c)] || range(8), lambda w, i: xor(w >> 1, 3988292384 * (w & 1))))) as crc
+            from documents),
+        l as (
+            select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as pos, dense_rank() over (order by source nulls first) - 1 as sid,
+                sha256({FIELDS.replace("{text}", "text")}) as leaf,
+                sha256({FIELDS.replace("{text}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) as lowered, crc
+            from d),
+        t as (
+            select 0 as level, sid, pos, leaf as h, count(*) over (partition by sid) as n from l
+            union all
+            select level + 1, sid, pos // 16, sha256(string_agg(h, '' order by pos)), (any_value(n) + 15) // 16 from t where n > 1 group by level, sid, pos // 16),
+        s as (select sid, h as subroot, level as height from t where n = 1),
+        u as (
+            select 0 as level, sid as pos, subroot as h, count(*) over () as n from s
+            union all
+            select level + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (any_value(n) + 15) // 16 from u where n > 1 group by level, pos // 16),
+        node as (
+            select sid, level, pos, h from t where n > 1
+            union all select s.sid, s.height + u.level, u.pos, u.h from u, s where u.n > 1),
+        want as (
+            select l.doc_id, level, sid, (l.pos // cast(pow(16, level) as bigint)) as pos from l join s using (sid), unnest(range(height)) as r(level)
+            union all
+            select l.doc_id, s.height + k, sid, sid // cast(pow(16, k) as bigint) from l join s using (sid), (select distinct level as k from u where n > 1)),
+        step as (
+            select w.doc_id, w.level, coalesce(string_agg(n.h, '' order by n.pos) filter (n.pos < w.pos), '') as a, coalesce(string_agg(n.h, '' order by n.pos) filter (n.pos > w.pos), '') as b
+            from want w join node n on n.sid = w.sid and n.level = w.level and n.pos // 16 = w.pos // 16 group by all),
+        f as (
+            select doc_id, 0 as level, case when crc % 5 = 0 then coalesce(lowered, leaf) else leaf end as h from l
+            union all select f.doc_id, f.level + 1, sha256(a || h || b) from f join step using (doc_id, level))
+        select l.doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, x.h as folded_root, x.h = root as verified
+        from l join s using (sid) cross join (select h as root from u where n = 1)
+        left join (select doc_id, sha256(string_agg(a || b, '' order by level)) as proof from step group by doc_id) using (doc_id)
+        join (select doc_id, arg_max(h, level) as h from f group by doc_id) x using (doc_id)""",
     "op1_warc": f"""
         with p as (select page_id, coalesce(html, '') as t from pages),
         d as (select page_id, octet_length(encode(t)) as n, sha1(t) as h, min(page_id) over (partition by t) as f from p)
