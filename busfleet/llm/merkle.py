@@ -14,7 +14,7 @@ no window holds a source; the driver learns the number of levels and of partitio
 
 from pyspark.sql import functions as F
 
-from busfleet.llm._text import stored
+from busfleet.llm._text import numbered, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,18 +40,6 @@ def leaves(docs, fields=FIELDS, source="source", id="doc_id", altered=None):
     return docs.select(F.col(source).alias("source"), F.col(id).alias("doc_id"), leaf_digest(kept).alias("leaf"), leaf_digest(shown).alias("shown"))
 
 
-def _placed(rows, *order):
-    """The rows with ``pos``, their number from 0 in this order: a sorted table and the sizes of its partitions."""
-    rows = stored(rows.orderBy(*order).withColumn("mid", F.monotonically_increasing_id()), "sorted")
-    rows = rows.withColumn("part", F.shiftright("mid", 33))
-    starts, total = [], 0
-    for part, n in sorted(rows.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each partition of the sort
-        starts.append((part, total))
-        total += n
-    before = F.broadcast(rows.sparkSession.createDataFrame(starts, "part long, before long"))
-    return rows.join(before, "part").withColumn("pos", F.col("before") + F.expr(f"mid & {(1 << 33) - 1}L")).drop("mid", "part", "before")
-
-
 def _levels(most, fan):
     """How many folds turn ``most`` nodes into one."""
     count = 0
@@ -96,8 +84,8 @@ def manifest(rows, fan=16):
     table. Leaves of a source ascend by doc_id (null first), those of one id by their digest; sources
     ascend by their bytes, null first.
     """
-    ranked = _placed(rows, F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "leaf")
-    sources = _placed(ranked.groupBy("source").agg(F.min("pos").alias("start"), F.count("*").alias("n")), F.col("source").asc_nulls_first())
+    ranked = numbered(rows, F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "leaf")
+    sources = numbered(ranked.groupBy("source").agg(F.min("pos").alias("start"), F.count("*").alias("n")), F.col("source").asc_nulls_first())
     sources = stored(sources.select(F.col("source").alias("its"), "start", "n", F.col("pos").alias("key")), "sources")
     count, most = sources.agg(F.count("*"), F.max("n")).first()
     if not count:

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, language_model, merkle, minhash, quality, suffix_dedup, toxicity, warc
+from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, language_model, merkle, minhash, quality, suffix_dedup, toxicity, vectors, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -56,6 +56,10 @@ def op12_merkle(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"), merkle.lower_cased())
 
 
+def op13_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op9_chat(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, k, role, ODD_TEXT) for k, role in enumerate(("user", "assistant"))], conversations.schema)
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_minhash": op10_minhash,
     "op12_merkle": op12_merkle,
+    "op13_vectors": op13_vectors,
 }
 
 #: Base32 of a SHA-1 in SQL: every five hex digits give four characters.
@@ -83,6 +88,12 @@ BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x
 FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
 
 ORACLE = {
+    "op13_vectors": """
+        with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+        links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach as (select vec_id as x, vec_id as y from v union select r.x, l.y from reach r join links l on l.x = r.y)
+        select r.x as vec_id, (select count(*) from links l where l.x = r.x) as n_links, min(r.y) as component_id, min(r.y) = r.x as kept
+        from reach r group by r.x""",
     "op12_merkle": f"""
         with recursive d as (
             select *, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
