@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from busfleet.llm import byte_bpe, chat, decontaminate, exact_dedup, language_model, merkle, minhash, quality, suffix_dedup, toxicity, vectors, warc
+from busfleet.llm import byte_bpe, chat, cross_tokenizer, decontaminate, exact_dedup, language_model, merkle, minhash, quality, suffix_dedup, toxicity, vectors, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,6 +52,11 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_cross_tokenizer(spark, sf_dir):
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return cross_tokenizer.aligned(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 def op12_merkle(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"), merkle.lower_cased())
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat": op9_chat,
     "op10_minhash": op10_minhash,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_merkle": op12_merkle,
     "op13_vectors": op13_vectors,
 }
