@@ -64,12 +64,13 @@ def numbered(rows, *order):
 
 
 def located(docs, *columns):
-    """``docs`` if its rows have a file of their own; else these columns of it (a joined input, say), stored."""
+    """``docs`` if its rows have a file of their own; else these columns of it (of a join or of rows in memory, say), stored."""
     try:
         docs.select(F.input_file_name())
-        return docs
+        own = bool(docs.inputFiles())
     except AnalysisException:
-        return stored(docs.select(*columns), "input")
+        own = False
+    return docs if own else stored(docs.select(*columns), "input")
 
 
 def plus(schema, ddl):

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings averaged over a document, softmax output.
 
-Features of a text are its words and pairs of neighbouring words (hashed; all pairs of a word with itself
-are one feature), and the character n-grams of its bytes (hashed). Each bucket has a learned vector; the document's vector is the mean over all its
+Features of a text are its words and pairs of neighbouring words (hashed), and the character n-grams of
+its bytes (hashed). Each bucket has a learned vector; the document's vector is the mean over all its
 features, times one constant that belongs to the model; a softmax layer gives the class. Both are trained
 by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output is linear in
 the mean, a bucket's vector folds into one number for scoring: all of a text is scored by hashing, one
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from busfleet.llm._labels import fitted, held_out, labelled_sample
-from busfleet.llm._text import Bytes, pieces, plus, utf8
+from busfleet.llm._text import Bytes, mix, pieces, plus, utf8
 
 WORDS, PAIRS, GRAMS, ORDERS, DIM = 1 << 16, 1 << 16, 1 << 17, (3, 5), 8
 BUCKETS = WORDS + PAIRS + GRAMS
@@ -30,8 +30,7 @@ def features(data, at):
     words = text.words()
     yield (words % np.uint64(WORDS)).astype(np.int64), text.doc
     pairs = np.flatnonzero(text.doc[1:] == text.doc[:-1])
-    hashed = 1 + ((words[pairs] * _ODD ^ words[pairs + 1]) % np.uint64(PAIRS - 1)).astype(np.int64)
-    yield WORDS + np.where(words[pairs] == words[pairs + 1], 0, hashed), text.doc[pairs]
+    yield WORDS + (mix(words[pairs] * _ODD + words[pairs + 1]) % np.uint64(PAIRS)).astype(np.int64), text.doc[pairs]
     doc = np.repeat(np.arange(text.n, dtype=np.int32), np.diff(at))
     for n in ORDERS:
         if len(data) < n:
@@ -63,7 +62,7 @@ def gain_of(rows):
     return float(np.median(spread)) if spread else 1.0
 
 
-def fit(rows, prior, epochs=4, rate=0.3, seed=1):
+def fit(rows, prior, epochs=4, rate=1.0, seed=1):
     """The folded weights of the buckets, the gain and the bias, from (y, buckets, counts) rows; with no row, weights of 0."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -118,9 +117,9 @@ def train(docs, labels, label="quality", modulus=5, rest=0, per_class=3000, clas
         for batch in batches:
             for part in pieces(batch, most=PIECE):
                 got = list(counts(*utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b_int32", "c_uint16"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([b.astype(np.int32).tobytes() for b, _ in got], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "b_int32", "c_uint32"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(run, plus(sample.select("doc_id", "y").schema, "b_int32 binary, c_uint16 binary"))
+    rows = sample.select("doc_id", "y", "text").mapInArrow(run, plus(sample.select("doc_id", "y").schema, "b_int32 binary, c_uint32 binary"))
 
     def whole(rows):
         model = fit(rows, prior)

@@ -132,6 +132,22 @@ def test_exact_dedup(spark, docs, rows):
     assert exact_dedup.decisions(empty(spark)).count() == 0
 
 
+def test_exact_dedup_across_runs(spark, tmp_path, monkeypatch):
+    """A forged equal digest is told apart by the bytes of a text of an earlier run, read through its locator."""
+    folder, runs = str(tmp_path / "state"), {1: [(5, "a b"), (6, "c")], 2: [(7, "a  b"), (3, "other"), (8, "other")], 3: [(9, "other"), (4, "a b"), (2, "new")]}
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.when(F.length(text) != 1, F.lit("forged")).otherwise(F.sha2(F.col(text), 256)))
+    seen = {}
+    for run, rows in runs.items():
+        spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string").write.parquet(f"{tmp_path}/in{run}")
+        docs = spark.read.parquet(f"{tmp_path}/in{run}")
+        for _ in range(2):  # the same call again, after a failure say, changes nothing
+            got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decisions(docs, folder=folder).collect()}
+            assert seen.setdefault(run, got) == got
+    assert seen[1] == {"5": ("5", 1, True), "6": ("6", 1, True)}
+    assert seen[2] == {"7": ("5", 2, False), "3": ("3", 2, True), "8": ("3", 2, False)}
+    assert seen[3] == {"9": ("3", 3, False), "4": ("4", 3, True), "2": ("2", 1, True)}
+
+
 def test_exact_dedup_state_goes_on(spark, tmp_path):
     a = spark.createDataFrame([(5, "x"), (6, "y"), (None, "z"), (6, "y")], "doc_id long, text string")
     b = spark.createDataFrame([(3, "x"), (9, "y")], "doc_id long, text string")
