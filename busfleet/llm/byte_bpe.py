@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from busfleet.llm._text import plus
+from busfleet.llm._text import pieces, plus
 
 #: Texts longer than this many characters are encoded in pieces cut at safe boundaries.
 PIECE_CHARS = 1 << 16
@@ -34,8 +34,12 @@ _LETTERS, _OTHERS = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
 _SAFE = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])|(?<=[{_LETTERS}])(?=[{_OTHERS}])")
 
 
+#: The pattern that the cuts are derived from; with others a long text is encoded as one.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def safe_pieces(text, most=PIECE_CHARS):
-    """Cuts a text where no match of the pattern can run over: before white space, and between letters and other marks.
+    """Cuts a text where no match of CUT_PATTERN can run over: before white space, and between letters and other marks.
 
     White space opens a match or lies in a run of white space; a cut before the whole run leaves that run,
     and the look-ahead after it, as they are. A run of letters is one match as far as it goes, whatever
@@ -54,7 +58,7 @@ def safe_pieces(text, most=PIECE_CHARS):
 
 def encode(text, enc, most=PIECE_CHARS):
     """Ids of a whole text; special-token strings count as plain text."""
-    if len(text) <= most:
+    if len(text) <= most or enc._pat_str != CUT_PATTERN:
         return enc.encode_ordinary(text)
     ids = []
     for piece in safe_pieces(text, most):
@@ -75,8 +79,7 @@ def encode_documents(docs, rank_file, pattern, text="text", id="doc_id", keep=()
     def run(batches):
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in pieces(batch, "__text", rows=256):
                 ids = [encode(t or "", enc) for t in part.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*names, "n_tokens", "ids"])
 
@@ -117,8 +120,7 @@ def encode_digests(docs, rank_file, pattern, text="text", id="doc_id"):
         decimal = [str(i) for i in range(enc.n_vocab)].__getitem__
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in pieces(batch, "__text", rows=256):
                 sizes, digests, decoded = [], [], []
                 for t in part.column("__text").to_pylist():
                     ids = encode(t or "", enc)

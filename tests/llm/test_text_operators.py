@@ -264,6 +264,14 @@ def test_safe_pieces():
         assert max(map(len, byte_bpe.safe_pieces(text))) < byte_bpe.PIECE_CHARS + 20 or set(text) == {"x"}
 
 
+def test_byte_bpe_of_other_patterns():
+    """The cuts hold for one pattern only; with another a long text is not cut."""
+    enc = byte_bpe.encoding(RANKS, r"[^\r\n]+[\r\n]*|[\r\n]+")
+    text = "ab, cd!\n" * 20_000
+    assert byte_bpe.encode(text, enc) == enc.encode_ordinary(text)
+    assert byte_bpe.CUT_PATTERN == public_tokenizers.PATTERN
+
+
 def test_language_model(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     for table in (docs, spark.read.parquet(str(tmp_path / "d"))):
