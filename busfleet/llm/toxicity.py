@@ -1,8 +1,8 @@
 """Toxicity: a logistic classifier that is regularised by counterfactuals.
 
 Features of a text are the presence of its words and of its words' beginnings, hashed; words are runs of
-letters and digits in lower case. Features tied to a class are chosen on a bounded labelled sample, and
-their weights minimise the log loss plus ``penalty`` times the squared change of the score between each
+letters and digits in lower case. Features tied to a class, and all that a counterfactual changes, are
+chosen on a bounded labelled sample, and their weights minimise the log loss plus ``penalty`` times the squared change of the score between each
 labelled text and its counterfactual. That is the text with its identity terms swapped for others of
 their group; a text without such terms gets one put in after one of its words. So a term that only names
 a group, or a beginning it shares with other words, gets no weight of its own, and a neutral mention of it
@@ -102,7 +102,8 @@ def fit(rows, prior, penalty=4.0, ridge=1e-4, least=4, z=4.0, rounds=300):
     pos, neg = np.bincount(flat, ys[row], BUCKETS), np.bincount(flat, 1 - ys[row], BUCKETS)
     p, q, r = pos / n1, neg / n0, (pos + neg) / len(ys)
     apart = np.abs(p - q) / np.sqrt(r * (1 - r) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = np.flatnonzero((pos + neg >= least) & (apart >= z))
+    changed = np.bincount(np.concatenate([x for r in rows for x in r[2:]]), minlength=BUCKETS)
+    chosen = np.flatnonzero((pos + neg >= least) & (apart >= z) | (changed >= least))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
