@@ -1,7 +1,8 @@
 """Search for unknown signals: every plausible field of a payload is decoded, measured and ranked.
 
-The lag is taken on the two packed words of a frame, once; then specs multiply the rows within a task and
-all lag-based statistics are partial aggregates: one shuffle for the lag, one for the sums, one for values.
+The lag is taken on the two packed words of a frame, once, by stretches of time; then specs multiply the rows
+within a task and all lag-based statistics are partial aggregates: one shuffle for the lag, one for the sums,
+one for values. Values are told apart among the distinct words of a group, not among its frames.
 """
 
 from pyspark.sql import Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from busfleet.functions.bits import packed_be, packed_le, physical, raw_bits
 from busfleet.operators.decode import bounded
 from busfleet.operators.series import minmax_downsample, nearest, value_at
+from busfleet.operators.stretches import running, spans
 
 KEY = ["log_id", "ID", "LEN", "mux_label"]
 SPEC_DDL = "spec_id int, spec_len int, start_bit int, length int, le boolean, type string"
@@ -58,10 +60,9 @@ def scan(frames, spec_table=None, samples=6):
     if "mux_label" not in frames.columns:
         frames = frames.withColumn("mux_label", F.lit(""))
     spec_table = specs(frames.sparkSession, payload_lengths(frames)) if spec_table is None else spec_table
-    by = Window.partitionBy(*KEY).orderBy("TS", "seq")
-    words = frames.withColumns({"w": packed_le(), "v": packed_be()}).withColumns({
-        "pw": F.lag("w").over(by), "pv": F.lag("v").over(by), "w0": F.first("w").over(by), "v0": F.first("v").over(by), "place": F.row_number().over(by),
-    })
+    slim = frames.select(*KEY, "TS", "seq", packed_le().alias("w"), packed_be().alias("v"))
+    w, v = F.col("w"), F.col("v")
+    words = running(slim, KEY, lag={"pw": w, "pv": v}, first={"w0": w, "v0": v}, total={"place": F.lit(1)}, found=spans(frames))
     # the specs are made on the driver: 57 for each byte of payload at most
     rows = words.join(F.broadcast(spec_table), F.col("LEN") == F.col("spec_len"))
     at = lambda w, v: physical(raw_bits(w, v, "start_bit", "length", "le"), "length", "type")
@@ -75,7 +76,7 @@ def scan(frames, spec_table=None, samples=6):
     )
     field = F.struct("spec_len", (F.col("type") == "float32").alias("f"), "length", F.when(F.col("length") == 8, F.floor(F.col("start_bit") / 8) * 8).otherwise(F.col("start_bit")).alias("s"), (F.col("le") | (F.col("length") == 8)).alias("l"))
     fields = spec_table.withColumn("field", F.min(F.struct((F.col("type") == "int").alias("i"), "spec_id")).over(Window.partitionBy(field))["spec_id"])
-    counted = frames.withColumns({"w": packed_le(), "v": packed_be()}).join(F.broadcast(fields.where("field = spec_id")), F.col("LEN") == F.col("spec_len"))
+    counted = slim.select(*KEY, "w", "v").distinct().join(F.broadcast(fields.where("field = spec_id")), F.col("LEN") == F.col("spec_len"))
     seen = counted.select(*KEY, "field", F.bround(at("w", "v"), 6).alias("x")).where("x is not null").distinct()
     distinct = seen.groupBy(*KEY, "field").agg(F.count("*").alias("distinct_values"))
     named = out.join(F.broadcast(fields.drop("spec_len")), "spec_id").join(distinct, [*KEY, "field"], "left").drop("field")

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from busfleet.functions.bits import BYTES
 from busfleet.functions.numeric import divide
+from busfleet.operators.stretches import running
 
 #: Weights of the classes of change; a counter on both sides damps the score.
 WEIGHTS = {"const_shift": 1.0, "new_territory": 0.8, "range_shift": 0.5, "same_oscillation": 0.1, "unchanged": 0.0}
@@ -41,8 +42,7 @@ def byte_observations(tagged):
 
     The lag is taken on the frame: the last value of each byte in frames that cover it.
     """
-    by = Window.partitionBy(*KEY, "side").orderBy("TS", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    lagged = tagged.withColumns({f"p{i}": F.last(F.when(F.col("LEN") > i, F.col(c)), ignorenulls=True).over(by) for i, c in enumerate(BYTES)})
+    lagged = running(tagged.select(*KEY, "side", "TS", "seq", "LEN", *BYTES), [*KEY, "side"], prior={f"p{i}": F.when(F.col("LEN") > i, F.col(c)) for i, c in enumerate(BYTES)})
     pairs = ", ".join(f"{i}, {c}, {c} - p{i}" for i, c in enumerate(BYTES))
     rows = lagged.select(*KEY, "side", "TS", "seq", "LEN", F.expr(f"stack(8, {pairs}) as (byte, value, step)")).where("byte < LEN")
     place = F.struct("TS", "seq")

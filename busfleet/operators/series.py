@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busfleet.operators.decode import bounded
+from busfleet.operators.stretches import running
 
 SERIES = ["log_id", "series_id"]
 
@@ -109,8 +110,8 @@ def stride_sample(series, most, low=None, high=None):
         rows = rows.where(F.col("TS") >= low)
     if high is not None:
         rows = rows.where(F.col("TS") <= high)
-    rows = rows.withColumns({"__r": F.row_number().over(by_time()) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*SERIES))})
-    return rows.where(F.col("__r") % F.ceil(F.col("__n") / most) == 0).drop("__r", "__n")
+    rows = running(rows, SERIES, total={"__r": F.lit(1)}, size="__n")
+    return rows.where((F.col("__r") - 1) % F.ceil(F.col("__n") / most) == 0).drop("__r", "__n")
 
 
 def minmax_downsample(series, points):
@@ -118,8 +119,8 @@ def minmax_downsample(series, points):
 
     Of equal values the earliest counts; a bucket of one value gives one row.
     """
-    rows = series.withColumns({"__r": F.row_number().over(by_time()) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*SERIES))})
-    rows = rows.withColumn("bucket", F.floor(F.col("__r") / F.greatest(F.ceil(F.col("__n") / points), F.lit(1))))
+    rows = running(series, SERIES, total={"__r": F.lit(1)}, size="__n")
+    rows = rows.withColumn("bucket", F.floor((F.col("__r") - 1) / F.greatest(F.ceil(F.col("__n") / points), F.lit(1))))
     row = F.struct("TS", "seq", "value")
     ends = rows.groupBy(*SERIES, "bucket").agg(F.min_by(row, F.struct("value", "TS", "seq")).alias("a"), F.min_by(row, F.struct(-F.col("value"), "TS", "seq")).alias("b"))
     return ends.select(*SERIES, "bucket", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select(*SERIES, "bucket", "x.TS", "x.seq", "x.value")

@@ -1,7 +1,7 @@
 """What each id does: periods, changes, distinct bytes, entropy, multiplexer cases; ranges and selections.
 
-Order is (TS, seq) within a log. Work is keyed by (log_id, ID): one shuffle puts an id's frames in order,
-what follows aggregates partially. Tables of byte statistics are long: one row for each byte.
+Order is (TS, seq) within a log. Work is keyed by (log_id, ID) and, where it needs the frame before, by
+stretches of time, so no id is one task; what follows aggregates partially. Tables of byte statistics are long: one row for each byte.
 """
 
 from functools import reduce
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from busfleet.functions.bits import BYTES
 from busfleet.functions.ids import by_id
+from busfleet.operators.stretches import running, spans
 
 KEY = ["log_id", "ID"]
 
@@ -75,7 +76,8 @@ def id_lengths(frames):
 
 def periods(frames, *key):
     """Each frame with delta_t: seconds since the frame before it, rounded to 6; null for the first."""
-    return frames.withColumn("delta_t", F.round(F.col("TS") - F.lag("TS").over(ordered(*key)), 6))
+    rows = running(frames, key or KEY, lag={"__before": F.col("TS")})
+    return rows.withColumn("delta_t", F.round(F.col("TS") - F.col("__before"), 6)).drop("__before")
 
 
 def frame_summary(frames, *key):
@@ -84,20 +86,22 @@ def frame_summary(frames, *key):
     Ordering by time first leaves no negative period. Further columns of ``key``, such as a multiplexer
     case, split an id.
     """
-    by = ordered(*(key or KEY))
-    steps = frames.withColumns({"delta_t": F.round(F.col("TS") - F.lag("TS").over(by), 6), "before": F.lag("DATA").over(by)})
-    return steps.groupBy(*(key or KEY)).agg(
-        F.count("*").alias("frames"), F.array_join(F.array_sort(F.collect_set("LEN")), ",").alias("lengths"), F.count_distinct("DATA").alias("distinct_payloads"),
-        F.count_if(F.col("before") != F.col("DATA")).alias("payload_changes"), F.round(F.avg("delta_t"), 6).alias("period_mean"),
-        F.min("delta_t").alias("period_min"), F.max("delta_t").alias("period_max"),
+    key = key or KEY
+    frames = frames.select(*key, "TS", "seq", *(c for c in ("LEN", "DATA") if c not in key))
+    steps = running(frames, key, lag={"at": F.col("TS"), "before": F.col("DATA")}).withColumn("delta_t", F.round(F.col("TS") - F.col("at"), 6))
+    sums = steps.groupBy(*key).agg(
+        F.count("*").alias("frames"), F.array_join(F.array_sort(F.collect_set("LEN")), ",").alias("lengths"), F.count_if(F.col("before") != F.col("DATA")).alias("payload_changes"),
+        F.round(F.avg("delta_t"), 6).alias("period_mean"), F.min("delta_t").alias("period_min"), F.max("delta_t").alias("period_max"),
     )
+    # counted apart, so that means are summed in the order of time within each task
+    distinct = frames.groupBy(*key).agg(F.count_distinct("DATA").alias("distinct_payloads"))
+    return sums.join(distinct, key).select(*key, "frames", "lengths", "distinct_payloads", "payload_changes", "period_mean", "period_min", "period_max")
 
 
 def byte_changes(frames, *key):
     """Per id and byte: changes and uniques. The lag is taken on the frame, before bytes become rows."""
     key = key or KEY
-    by = ordered(*key)
-    steps = frames.withColumns({f"p{i}": F.lag(c).over(by) for i, c in enumerate(BYTES)})
+    steps = running(frames.select(*key, "TS", "seq", *BYTES), key, lag={f"p{i}": F.col(c) for i, c in enumerate(BYTES)})
     pairs = ", ".join(f"{i}, {c}, p{i}" for i, c in enumerate(BYTES))
     rows = steps.select(*key, F.expr(f"stack(8, {pairs}) as (byte, value, before)"))
     counts = rows.groupBy(*key, "byte", "value").agg(F.count_if(F.col("before") != F.col("value")).alias("c"))
@@ -115,9 +119,11 @@ def byte_entropy(frames, *key):
 def byte_update_periods(frames, *key):
     """Per id and byte that changes twice or more: mean, least and largest time between its changes."""
     key = key or KEY
-    by = ordered(*key, "byte")
-    changed = byte_rows(frames, key).withColumn("before", F.lag("value").over(by)).where("before <> value")
-    gaps = changed.withColumn("gap", F.round(F.col("TS") - F.lag("TS").over(by), 6)).where("gap is not null")
+    pairs = ", ".join(f"{i}, {c}, p{i}" for i, c in enumerate(BYTES))
+    logs = spans(frames)
+    steps = running(frames.select(*key, "TS", "seq", *BYTES), key, lag={f"p{i}": F.col(c) for i, c in enumerate(BYTES)}, found=logs)
+    changed = steps.select(*key, "TS", "seq", F.expr(f"stack(8, {pairs}) as (byte, value, before)")).where("before <> value")
+    gaps = running(changed, [*key, "byte"], lag={"at": F.col("TS")}, found=logs).withColumn("gap", F.round(F.col("TS") - F.col("at"), 6)).where("gap is not null")
     return gaps.groupBy(*key, "byte").agg(F.round(F.avg("gap"), 6).alias("update_mean"), F.min("gap").alias("update_min"), F.max("gap").alias("update_max"))
 
 
@@ -130,9 +136,9 @@ def mux_cases(frames, mux_bytes=None):
 
 def changed_bytes(frames, mux_bytes=(), *key):
     """Each frame with changed_bytes: the bytes that differ from the frame before, selector bytes aside."""
-    by = ordered(*key)
-    parts = [F.when(F.lag(c).over(by) != F.col(c), F.lit(i)) for i, c in enumerate(BYTES) if i not in mux_bytes]
-    return frames.withColumn("changed_bytes", F.array_compact(F.array(*parts)))
+    lag = {f"__p{i}": F.col(c) for i, c in enumerate(BYTES) if i not in mux_bytes}
+    parts = [F.when(F.col(f"__p{i}") != F.col(c), F.lit(i)) for i, c in enumerate(BYTES) if i not in mux_bytes]
+    return running(frames, key or KEY, lag=lag).withColumn("changed_bytes", F.array_compact(F.array(*parts))).drop(*lag)
 
 
 def matrix(frames, points=400):

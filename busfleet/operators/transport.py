@@ -1,11 +1,11 @@
 """J1939 transport (broadcast announce): reassembly of multi-packet messages and what they carry."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busfleet.functions.bits import BYTES, float32, signed, typed_read, unsigned_double
 from busfleet.functions.ids import pdu_format, source_address
 from busfleet.operators.decode import bounded
+from busfleet.operators.stretches import running, spans
 
 ANNOUNCE, DATA = 0xEC, 0xEB
 
@@ -28,14 +28,13 @@ def bam_messages(frames):
     Any announcement of a source opens a session and closes the one before. It completes with the frame
     by which as many distinct packet numbers (1..255) as announced have come; a repeated number before
     that overwrites, frames after it and sessions that stay incomplete are ignored. Missing segments of
-    an odd numbering are zeros. One sort by source orders all; a session then is its numbers, 255 at most,
-    each with its first and last frame. Only sessions in which a number comes again after the end are read
-    a second time, up to that end.
+    an odd numbering are zeros. Sessions are numbered by a prefix scan over stretches of a source's time; a
+    session then is its numbers, 255 at most, each with its first and last frame. Only sessions in which a
+    number comes again after the end are read a second time, up to that end.
     """
     key = ["log_id", "sa", "session"]
-    by = Window.partitionBy("log_id", "sa").orderBy("TS", "seq")
     head = F.when(F.col("opens"), F.struct("size", "packets", "pgn"))
-    rows = transport_rows(frames).withColumns({"session": F.sum(F.col("opens").cast("int")).over(by), "head": F.last(head, ignorenulls=True).over(by)})
+    rows = running(transport_rows(frames), ["log_id", "sa"], total={"session": F.col("opens").cast("long")}, last={"head": head}, found=spans(frames))
     rows = rows.where("not opens and session > 0 and number between 1 and 255 and head.packets > 0").withColumn("at", F.struct("TS", "seq"))
     numbers = rows.groupBy(*key, "head", "number").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("part", "at").alias("part"))
     whole = numbers.groupBy(*key, "head").agg(F.array_sort(F.collect_list(F.struct("first", "number", "last", "part"))).alias("found"))
@@ -45,9 +44,13 @@ def bam_messages(frames):
     clean = ended.where(~late).select(*key, "head", "end", F.transform("used", lambda x: F.struct(x["number"].alias("number"), x["part"].alias("part"))).alias("used"))
     again = rows.join(ended.where(late).select(*key, "end"), key).where("at <= end").groupBy(*key, "head", "end", "number").agg(F.max_by("part", "at").alias("part"))
     again = again.groupBy(*key, "head", "end").agg(F.collect_list(F.struct("number", "part")).alias("used"))
-    segments = clean.unionByName(again).withColumn("segments", F.map_from_entries("used"))
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("head.size") / 7), F.lit(1)).cast("int")), lambda i: F.coalesce(F.element_at("segments", i), F.lit("0" * 14))), "")
-    return segments.select("log_id", F.col("end.TS").alias("TS"), "sa", F.col("head.pgn").alias("pgn"), F.unhex(F.substring(digits, F.lit(1), 2 * F.col("head.size").cast("int"))).alias("data"))
+    used = clean.unionByName(again).withColumn("used", F.array_sort("used"))
+    # each part with zeros for the numbers missing before it; both arrays are made once for a message
+    numbers = F.transform("used", lambda x: x["number"])
+    gaps = F.zip_with(F.concat(F.array(F.lit(0)), numbers), numbers, lambda a, b: b - a - 1)
+    digits = F.array_join(F.zip_with("used", gaps, lambda x, gap: F.concat(F.repeat(F.lit("0" * 14), gap), x["part"])), "")
+    width = 2 * F.col("head.size").cast("int")
+    return used.select("log_id", F.col("end.TS").alias("TS"), "sa", F.col("head.pgn").alias("pgn"), F.unhex(F.rpad(digits, width, "0")).alias("data"))
 
 
 def announced_groups(frames):
@@ -115,8 +118,8 @@ def decode_messages(messages, dictionary):
 
 def frame_groups(frames):
     """Transport frames with the group that the source announced last, at or before the frame."""
-    by = Window.partitionBy("log_id", "sa").orderBy("TS", "seq")
-    return transport_rows(frames).withColumn("announced", F.last("pgn", ignorenulls=True).over(by)).select("log_id", "sa", "TS", "seq", "opens", "announced")
+    rows = running(transport_rows(frames), ["log_id", "sa"], last={"announced": F.col("pgn")}, found=spans(frames))
+    return rows.select("log_id", "sa", "TS", "seq", "opens", "announced")
 
 
 def chunks(messages, size, first=0):

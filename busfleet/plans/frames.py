@@ -90,21 +90,18 @@ def transport_frames(spark, sf_dir):
     """D: the whole text of each document as successive messages: an announcement and its packets each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 0)
     count = F.ceil(F.length("b") / MESSAGE_BYTES).cast("int")
-    m = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), count - 1)).alias("message")).select(
-        "doc_id", "message", F.hex(F.substring("b", F.col("message") * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES))).alias("h"),
-    )
-    m = m.withColumn("n", F.length("h") / 2).withColumn("packets", F.ceil(F.col("n") / 7).cast("int"))
+    hexes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.hex(F.substring("b", i * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES))))
+    m = docs.select("doc_id", F.posexplode(hexes).alias("message", "h"))
+    n, packets = F.length("h") / 2, F.ceil(F.length("h") / 14).cast("int")
     le = lambda x, k: F.lpad(F.hex((F.floor(x / 256**k) % 256).cast("long")), 2, "0")
-    rows = m.select("doc_id", "message", F.explode(F.sequence(F.lit(0), "packets")).alias("k"), "h", "n", "packets", (F.col("doc_id") % 254).alias("sa"))
     pgn = F.lit(0xFE00) + F.col("doc_id") % 256
-    data = F.when(
-        F.col("k") == 0,
-        F.concat(F.lit("20"), le(F.col("n"), 0), le(F.col("n"), 1), le(F.col("packets"), 0), F.lit("FF"), le(pgn, 0), le(pgn, 1), le(pgn, 2)),
-    ).otherwise(F.concat(le(F.col("k"), 0), F.rpad(F.col("h").substr((F.col("k") - 1) * 14 + 1, F.lit(14)), 14, "F")))
+    announcement = F.concat(F.lit("20"), le(n, 0), le(n, 1), le(packets, 0), F.lit("FF"), le(pgn, 0), le(pgn, 1), le(pgn, 2))
+    parts = F.transform(F.sequence(F.lit(1), packets), lambda k: F.concat(le(k, 0), F.rpad(F.substring("h", (k - 1) * 14 + 1, F.lit(14)), 14, "F")))
+    rows = m.select("doc_id", "message", (F.col("doc_id") % 254).alias("sa"), F.posexplode(F.concat(F.array(announcement), parts)).alias("k", "data"))
     at = F.col("doc_id") * PER_DOCUMENT + F.col("message") * PER_MESSAGE + F.col("k")
     out = rows.select(
         F.lit("documents").alias("log_id"), at.cast("long").alias("seq"), at.cast("double").alias("TS"),
-        F.lit("can0").alias("Bus"), (F.when(F.col("k") == 0, 0x18ECFF00).otherwise(0x18EBFF00) + F.col("sa")).cast("long").alias("id_int"), F.lit(8).alias("LEN"), data.alias("data"),
+        F.lit("can0").alias("Bus"), (F.when(F.col("k") == 0, 0x18ECFF00).otherwise(0x18EBFF00) + F.col("sa")).cast("long").alias("id_int"), F.lit(8).alias("LEN"), "data",
     )
     return _finish(out.withColumns({c: F.conv(F.col("data").substr(2 * i + 1, 2), 16, 10) for i, c in enumerate(BYTES)}).drop("data"))
 
