@@ -4,8 +4,8 @@ A configuration is a dict: branches, a list of {source, transforms}; ops, the na
 from left to right ('add' where absent); output, transforms of the result.
 
 Sources: {'kind': 'signal', 'series_id'}; {'kind': 'raw', signal fields as in decode.decode_signal};
-{'kind': 'bam', 'pgn', 'start_bit', 'length', 'type', 'scale', 'offset', optional 'mux_start', 'mux_bytes',
-'mux_value'}; {'kind': 'chunks', 'pgn', 'size', 'first', 'offset', 'dtype'}; {'kind': 'read', 'pgn',
+{'kind': 'bam', 'pgn', 'start_bit', 'length' up to 64, optional 'le' (else big-endian), 'type' (also float64), 'scale',
+'offset', 'mux_start', 'mux_bytes', 'mux_value', 'source' (an address)}; {'kind': 'chunks', 'pgn', 'size', 'first', 'offset', 'dtype'}; {'kind': 'read', 'pgn',
 'offset', 'dtype'}.
 """
 
@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from busfleet.functions.bits import float32, signed, unsigned_double
+from busfleet.functions.bits import BYTES, float32, float64, signed, unsigned_double
+from busfleet.functions.ids import pgn_of
 from busfleet.functions.numeric import COMBINE, transform
 from busfleet.operators.decode import decode_signal
 from busfleet.operators.series import align
-from busfleet.operators.transport import chunks, long_bits, read_field
+from busfleet.operators.transport import chunks, long_raw, read_field, selector_value
 
 COLUMNS = ["log_id", "series_id", "TS", "seq", "value"]
 
@@ -30,11 +31,15 @@ def source(config, name, frames=None, series=None, messages=None):
     if kind == "raw":
         return decode_signal(frames, {**config, "signal_name": name})
     rows = messages.where(F.col("pgn") == config["pgn"])
+    if config.get("source") is not None:
+        rows = rows.where(F.col("sa") == config["source"])
     if kind == "bam":
         if config.get("mux_bytes"):
-            rows = rows.where(long_bits("data", 8 * config["mux_start"], 8 * config["mux_bytes"]) == config["mux_value"])
-        raw = long_bits("data", config["start_bit"], config["length"])
-        number = {"float32": float32(raw), "int": signed(raw, config["length"]).cast("double"), "uint": unsigned_double(raw)}[config.get("type", "uint")]
+            rows = rows.where(selector_value("data", config["mux_start"], config["mux_bytes"]) == config["mux_value"])
+        field = {"__start": F.lit(config["start_bit"]), "__length": F.lit(config["length"]), "__le": F.lit(config.get("le", True))}
+        raw, length = F.col("__raw"), config["length"]
+        number = {"float32": float32(raw), "float64": float64(raw), "int": signed(raw, length).cast("double"), "uint": unsigned_double(raw)}[config.get("type", "uint")]
+        rows = rows.withColumns(field).withColumn("__raw", long_raw("data", "__start", "__length", "__le"))
         rows = rows.withColumn("value", number * float(config.get("scale", 1.0)) + float(config.get("offset", 0.0))).where("value is not null").withColumn("seq", F.lit(0).cast("long"))
     elif kind == "chunks":
         rows = read_field(chunks(rows, config["size"], config.get("first", 0)), config.get("offset", 0), config["dtype"], "record").withColumn("seq", F.col("chunk").cast("long"))
@@ -68,26 +73,77 @@ def derive(config, name="derived", frames=None, series=None, messages=None):
     return rows.select("log_id", F.lit(name).alias("series_id"), "TS", "seq", reduce(transform, config.get("output", ()), F.col("value")).alias("value"))
 
 
-def formula(series, names, function, name="formula"):
-    """A user's row-wise formula on aligned series: function(dict of columns) -> column; rows without a value go."""
-    wide = align(series, names)
-    value = function({n: F.col(n) for n in names})
+def formula(series, names, function, name="formula", sources=None, frames=None, messages=None):
+    """A user's row-wise formula on aligned series: function(dict of columns) -> column; rows without a value go.
+
+    ``sources`` adds columns of other kinds, fields of raw frames or of transport messages, as name -> source.
+    """
+    parts = [series.where(F.col("series_id").isin(list(names))).select(COLUMNS)] if names else []
+    parts += [source(config, n, frames, series, messages) for n, config in (sources or {}).items()]
+    every = [*names, *(sources or {})]
+    wide = align(reduce(lambda a, b: a.unionByName(b), parts), every)
+    value = function({n: F.col(n) for n in every})
     return wide.select("log_id", F.lit(name).alias("series_id"), "TS", F.lit(0).cast("long").alias("seq"), value.cast("double").alias("value")).where("value is not null")
 
 
-def formula_grouped(series, function, name="formula"):
-    """A user's formula on whole series of one log: function(dict of (ts, values) arrays) -> (ts, values).
+class Inputs(dict):
+    """What a grouped formula gets: series by name as (ts, values) arrays, raw frames and transport messages."""
+
+    def __init__(self, samples, frames):
+        own = samples[samples["series_id"].notna()]
+        super().__init__({n: (g["TS"].to_numpy(), g["value"].to_numpy()) for n, g in own.groupby("series_id")})
+        self._messages, self._frames = samples[samples["series_id"].isna()], frames
+
+    def signal(self, name):
+        """A series; an error that names those there are, if it is missing."""
+        if name not in self:
+            raise KeyError(f"no series {name!r} here; there are {sorted(self)}")
+        return self[name]
+
+    def raw_frames(self, id=None, pgn=None):
+        """(ts, bytes of n frames as an (n, 8) array, their lengths) of an id or a group."""
+        f = self._frames
+        f = f[(f["id_int"] == id) if id is not None else (f["pgn"] == pgn)]
+        return f["TS"].to_numpy(), f[list(BYTES)].to_numpy(), f["LEN"].to_numpy()
+
+    def messages(self, pgn, source=None):
+        """(ts, payloads) of the transport messages of a group, of one source if given."""
+        m = self._messages
+        m = m[(m["pgn"] == pgn) & ((m["sa"] == source) if source is not None else True)]
+        return m["TS"].to_numpy(), list(m["data"])
+
+
+def formula_grouped(series, function, name="formula", frames=None, messages=None, stretch=None, lead=0.0):
+    """A user's formula on whole arrays: function(Inputs) -> (ts, values).
 
-    It runs once per log on that log's series; results of unequal lengths or other shapes fail.
+    It sees a log's series and, if given, its frames and transport messages. With ``stretch`` it runs for
+    each so many seconds of a log, in tasks of their own, on what lies there and ``lead`` seconds before;
+    its results within the stretch count. A formula that looks back no further gives the same as on the
+    whole log. Without it, a log is one task. Results of unequal lengths or other shapes fail.
     """
     import numpy as np
     import pandas as pd
 
-    def run(key, part):
-        given = {n: (g["TS"].to_numpy(), g["value"].to_numpy()) for n, g in part.sort_values(["TS", "seq"]).groupby("series_id")}
+    spark = series.sparkSession
+    part = F.floor(F.col("TS") / stretch).cast("long") if stretch else F.lit(0).cast("long")
+    reach = F.floor((F.col("TS") + lead) / stretch).cast("long") if stretch else part
+    cut = lambda rows: rows.withColumn("part", F.explode(F.sequence(part, reach)))
+    samples = series.select(*COLUMNS, F.lit(None).cast("long").alias("pgn"), F.lit(None).cast("int").alias("sa"), F.lit(None).cast("binary").alias("data"))
+    if messages is not None:
+        samples = samples.unionByName(messages.select("log_id", F.lit(None).cast("string").alias("series_id"), "TS", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"), F.col("pgn").cast("long").alias("pgn"), F.col("sa").cast("int").alias("sa"), "data"))
+    if frames is None:
+        frames = spark.createDataFrame([], "log_id string, TS double, seq long, id_int long, LEN int, " + ", ".join(f"{c} int" for c in BYTES))
+    raw = frames.select("log_id", "TS", "seq", "id_int", pgn_of("id_int").alias("pgn"), "LEN", *BYTES)
+
+    def run(key, samples, raw):
+        given = Inputs(samples.sort_values(["TS", "seq"]), raw.sort_values(["TS", "seq"]))
         ts, values = (np.asarray(x, dtype=float) for x in function(given))
         if ts.ndim != 1 or ts.shape != values.shape:
             raise ValueError(f"a formula must return two arrays of one length, not {ts.shape} and {values.shape}")
+        if stretch:
+            own = np.floor(ts / stretch) == key[1]
+            ts, values = ts[own], values[own]
         return pd.DataFrame({"log_id": key[0], "series_id": name, "TS": ts, "seq": range(len(ts)), "value": values})
 
-    return series.select(COLUMNS).groupBy("log_id").applyInPandas(run, "log_id string, series_id string, TS double, seq long, value double")
+    grouped = cut(samples).groupBy("log_id", "part").cogroup(cut(raw).groupBy("log_id", "part"))
+    return grouped.applyInPandas(run, "log_id string, series_id string, TS double, seq long, value double")

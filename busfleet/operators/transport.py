@@ -87,6 +87,13 @@ def long_bits(data, start, length):
     return F.when(F.length(d) * 8 >= s + k, cut)
 
 
+def selector_value(data, start, count):
+    """The big-endian number of ``count`` bytes (7 at most) from byte ``start``; bytes beyond the payload are 0."""
+    d, s, k = F.col(data), F.lit(start) if isinstance(start, int) else F.col(start), F.lit(count) if isinstance(count, int) else F.col(count)
+    digits = F.rpad(F.hex(F.substring(d, s + 1, k)), 2 * k, "0")
+    return F.when(k > 0, F.conv(digits, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def long_raw(data, start, length, le):
     """Up to 64 bits of a payload of any length as a signed long; null beyond its end.
 
@@ -110,8 +117,7 @@ def decode_messages(messages, dictionary):
     """
     s = dictionary.where("active and mode = 'j1939' and message_len > 8 and length <= 64").select("pgn", "message_name", "message_len", "signal_name", "start_bit", "length", "le", "type", "scale", "offset", "unit", "mux_start", "mux_bytes", "mux_value")
     rows = messages.join(bounded(s), "pgn").withColumn("data", F.expr("rpad(data, message_len, x'00')"))
-    case = long_bits("data", F.col("mux_start") * 8, F.greatest(F.col("mux_bytes"), F.lit(1)) * 8)
-    rows = rows.where(F.col("mux_value").isNull() | (case == F.col("mux_value"))).withColumn("raw", long_raw("data", "start_bit", "length", "le")).where("raw is not null")
+    rows = rows.where(F.col("mux_value").isNull() | (selector_value("data", "mux_start", "mux_bytes") == F.col("mux_value"))).withColumn("raw", long_raw("data", "start_bit", "length", "le")).where("raw is not null")
     number = F.when(F.col("type") == "float32", float32("raw")).when(F.col("type") == "int", signed("raw", "length").cast("double")).otherwise(unsigned_double("raw"))
     return rows.select("log_id", "TS", "sa", "pgn", "message_name", "signal_name", (number * F.col("scale") + F.col("offset")).alias("value"), "unit", "raw", "length")
 

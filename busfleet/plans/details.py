@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from busfleet.functions import text
-from busfleet.operators import coverage, decode, diff, series, summary, transport
+from busfleet.operators import coverage, decode, derive, diff, series, summary, transport
+from busfleet.plans import frames as frames_sql
 from busfleet.plans import oracle
 from busfleet.plans.frames import MESSAGE_BYTES, events_frames, lineitem_frames, table, transport_frames, transport_place
 from busfleet.plans.queries import dictionary, halves, kind_series
@@ -116,6 +117,68 @@ def q_message_signals(spark, sf):
     return out.select(*transport_place(), "signal_name", "raw", "value")
 
 
+#: Fields of whole messages as sources of derived signals: name -> field.
+FIELDS = {
+    "motorola": {"start_bit": 39, "length": 24, "le": False, "type": "uint", "scale": 0.5}, "wide": {"start_bit": 128, "length": 64, "type": "int", "offset": 1.0},
+    "cased": {"start_bit": 16, "length": 16, "type": "int", "mux_start": 0, "mux_bytes": 2, "mux_value": 0x5468}, "double": {"start_bit": 8, "length": 64, "type": "float64"},
+}
+
+
+def q_derived_bam(spark, sf):
+    """Big-endian, 64-bit, multiplexed and float fields of the long messages of a group."""
+    m, out = timed_messages(spark, sf), None
+    for name, field in FIELDS.items():
+        rows = derive.derive({"branches": [{"source": {"kind": "bam", "pgn": 0xFE00, **field}}]}, name, messages=m)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("series_id", "TS", "value")
+
+
+#: Stretches of a log and how far formulas look back, in seconds.
+DAY, LOOK_BACK = 86400.0, 43200.0
+
+
+def timed_messages(spark, sf):
+    """Each document as one message of the log ``events``: a message an hour, then the hours again, a second later."""
+    docs = table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+    hour, round_ = F.col("doc_id") % 700, F.floor(F.col("doc_id") / 700)
+    return docs.select(F.lit("events").alias("log_id"), (F.lit(1704067200.0) + hour * 3600.0 + round_).alias("TS"), (F.col("doc_id") % 254).cast("int").alias("sa"), (F.lit(0xFE00) + F.col("doc_id") % 2).cast("long").alias("pgn"), "b").withColumnRenamed("b", "data")
+
+
+def reads_all(given):
+    """At each message of a group: its third byte, the frames of an id in the twelve hours before, the last click in them."""
+    import numpy as np
+
+    ts, payloads = given.messages(0xFE00)
+    frames, _, lengths = given.raw_frames(id=261)
+    clicks, values = given.get("click", (np.zeros(0), np.zeros(0)))
+    count = np.searchsorted(frames, ts, "right") - np.searchsorted(frames, ts - LOOK_BACK, "left")
+    last = np.searchsorted(clicks, ts, "right") - 1
+    fresh = (last >= 0) & (np.append(clicks, np.nan)[last] >= ts - LOOK_BACK)
+    third = np.array([p[2] if len(p) > 2 else 0 for p in payloads], float)
+    return ts, third + 1000.0 * count + np.where(fresh, np.append(values, 0.0)[last], 0.0)
+
+
+def q_formula_all(spark, sf):
+    out = derive.formula_grouped(kind_series(spark, sf), reads_all, frames=events_frames(spark, sf), messages=timed_messages(spark, sf), stretch=DAY, lead=LOOK_BACK)
+    return out.select(F.round("TS", 6).alias("TS"), F.round("value", 6).alias("value"))
+
+
+def q_formula_columns(spark, sf):
+    """A formula of columns: a series, a field of raw frames and one of messages, aligned."""
+    sources = {"raw": {"kind": "raw", "mode": "exact", "frame_id": 261, "start_bit": 0, "length": 16, "type": "uint"}, "long": {"kind": "bam", "pgn": 0xFE00, "start_bit": 7, "length": 16, "le": False}}
+    out = derive.formula(kind_series(spark, sf), ["click"], lambda c: c["click"] + c["raw"] + c["long"] * 10.0, sources=sources, frames=events_frames(spark, sf), messages=timed_messages(spark, sf))
+    return out.select(F.round("TS", 6).alias("TS"), F.round("value", 6).alias("value"))
+
+
+#: Names that meet each other's numbered forms.
+CLASHING = "concat('n', cast(p_partkey % 97 as string), element_at(array('', '', '_2', '_2_2', '_3'), cast(p_partkey % 5 as int) + 1))"
+
+
+def q_unique_names(spark, sf):
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 10).cast("string").alias("dict_name"), F.col("p_partkey").cast("long").alias("line"), F.expr(CLASHING).alias("name"))
+    return dictionaries.unique_names(p, "name", ["line"])
+
+
 def q_dictionary_dbc(spark, sf):
     """Dictionary files made from ``part``, 20 messages each, in UTF-8 or cp1252, read back."""
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"))
@@ -134,7 +197,8 @@ def q_dictionary_dbc(spark, sf):
 QUERIES = {
     "date_bounds": q_date_bounds, "clock_times": q_clock, "select_ids": q_select_ids, "coverage_display": q_coverage_display, "diff_display": q_diff_display, "decoding_texts": q_decoding_texts,
     "common_zero": q_common_zero, "neighbours": q_neighbours, "union_logs": q_union_logs, "set_delta": q_set_delta, "ids_of_group": q_ids_of_group, "distinct_ids": q_distinct_ids,
-    "decode_columns": q_byte_columns, "summary_texts": q_summary_texts, "bam_texts": q_bam_texts, "message_signals": q_message_signals, "dictionary_dbc": q_dictionary_dbc,
+    "decode_columns": q_byte_columns, "summary_texts": q_summary_texts, "bam_texts": q_bam_texts, "message_signals": q_message_signals, "dictionary_dbc": q_dictionary_dbc, "derived_bam": q_derived_bam, "formula_all": q_formula_all, "formula_columns": q_formula_columns,
+    "unique_names": q_unique_names,
 }
 
 TEXT = "regexp_replace(printf('%.4f', {}), '\\.?0+$', '')"
@@ -144,6 +208,9 @@ HEX_PARTS = f"""parts as (select doc_id, cast(k as int) as message, substr(hex(e
     from documents, lateral (select unnest(range(cast(ceil(octet_length(encode(text)) / {MESSAGE_BYTES}.0) as bigint))) as k) where octet_length(encode(text)) > 0)"""
 
 
+EVENT_FRAMES = frames_sql.EVENTS_SQL.strip()
+
+
 def _byte(i):
     return f"cast('0x' || substr(p, {2 * i + 1}, 2) as hugeint)"
 
@@ -197,4 +264,29 @@ ORACLE = {
             0 as mux_start, case when s.signal_name = 'A' then 1 else 0 end as mux_bytes, case when s.signal_name = 'A' then 3 end::bigint as mux_value,
             case when s.signal_name = 'A' then chr(176) || 'C ' || chr(8364) else '' end as unit, case when s.signal_name = 'A' then 'note ' || k end as description
         from p, (values ('Sel', 0, 8, true, 1.0::double, 'uint'), ('A', 16, 16, true, 0.5, 'int'), ('B', 39, 8, false, 1.0, 'float32')) s(signal_name, start_bit, length, le, scale, type)""",
+    "derived_bam": f"""with m as (select 1704067200.0::double + (doc_id % 700) * 3600.0 + floor(doc_id / 700) as TS, hex(encode(coalesce(text, ''))) as p from documents where doc_id % 2 = 0),
+        v as (select *, {_byte(0)} * 256 + {_byte(1)} as sel, {_byte(2)} + {_byte(3)} * 256 as c, {" + ".join(f"{_byte(16 + i)}::hugeint * {256 ** i}::hugeint" for i in range(8))} as w,
+            {" + ".join(f"{_byte(1 + i)}::hugeint * {256 ** i}::hugeint" for i in range(8))} as d from (select TS, length(p) // 2 as n, rpad(p, 48, '0') as p from m)),
+        f as (select *, d // 9223372036854775808 as neg, (d // 4503599627370496) % 2048 as ex, (d % 4503599627370496)::double as part from v)
+        select 'motorola' as series_id, TS, ({_byte(4)} * 65536 + {_byte(5)} * 256 + {_byte(6)})::double * 0.5 as value from v where n >= 7
+        union all select 'wide', TS, (case when w >= 9223372036854775808 then w - 18446744073709551616 else w end)::double + 1.0 from v where n >= 24
+        union all select 'cased', TS, (case when c >= 32768 then c - 65536 else c end)::double from v where n >= 4 and sel = 21608
+        union all select 'double', TS, case when ex = 2047 then 0.0 when ex = 0 then part * pow(2.0, -1074) else (case when neg = 1 then -1.0 else 1.0 end) * (part / pow(2.0, 52) + 1.0) * pow(2.0, ex::double - 1023) end from f where n >= 9""",
+    "formula_all": f"""with {oracle.KINDS}, {EVENT_FRAMES}, m as (select doc_id, 1704067200.0::double + (doc_id % 700) * 3600.0 + floor(doc_id / 700) as TS, hex(encode(coalesce(text, ''))) as h from documents where doc_id % 2 = 0)
+        select round(TS, 6) as TS, round(cast('0x' || rpad(substr(h, 5, 2), 2, '0') as int)::double + 1000.0 * (select count(*) from frames f where f.id_int = 261 and f.TS between m.TS - 43200.0 and m.TS)
+            + coalesce((select arg_max(value, (s.TS, s.seq)) from s where series_id = 'click' and s.TS between m.TS - 43200.0 and m.TS), 0.0), 6) as value from m""",
+    "formula_columns": f"""with {oracle.KINDS}, {EVENT_FRAMES}, m as (select doc_id, 1704067200.0::double + (doc_id % 700) * 3600.0 + floor(doc_id / 700) as TS, hex(encode(coalesce(text, ''))) as h from documents where doc_id % 2 = 0),
+        u as (select TS, value as c, null::double as r, null::double as g from s where series_id = 'click' union all select TS, null, (D0 + 256 * D1)::double, null from frames where id_int = 261
+            union all select TS, null, null, cast('0x' || substr(h, 1, 4) as int)::double from m where length(h) >= 4),
+        w as (select TS, max(c) as c, max(r) as r, max(g) as g from u group by TS),
+        v as (select TS, last_value(c ignore nulls) over (order by TS) as c, last_value(r ignore nulls) over (order by TS) as r, last_value(g ignore nulls) over (order by TS) as g from w)
+        select round(TS, 6) as TS, round(c + r + g * 10.0, 6) as value from v where c is not null and r is not null and g is not null""",
+    "unique_names": r"""with recursive p as (select cast(p_partkey % 10 as varchar) as dict_name, cast(p_partkey as bigint) as line, concat('n', cast(p_partkey % 97 as varchar), ['', '', '_2', '_2_2', '_3'][cast(p_partkey % 5 as int) + 1]) as name from part),
+        f as (select *, regexp_replace(name, '(_[0-9]+)+$', '') as stem, row_number() over (partition by dict_name, regexp_replace(name, '(_[0-9]+)+$', '') order by line) as k from p),
+        r as (select dict_name, stem, k, line, name as given, [name] as used from f where k = 1
+            union all
+            select dict_name, stem, k, line, given, list_append(used, given) from (select f.dict_name, f.stem, f.k, f.line, r.used,
+                case when not list_contains(r.used, f.name) then f.name else list_filter(list_transform(range(2, f.k + 3), lambda i: f.name || '_' || i), lambda x: not list_contains(r.used, x))[1] end as given
+                from r join f on f.dict_name = r.dict_name and f.stem = r.stem and f.k = r.k + 1))
+        select dict_name, line, given as name from r""",
 }

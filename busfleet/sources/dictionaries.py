@@ -23,11 +23,25 @@ def sanitized(text, fallback):
 
 
 def unique_names(rows, name, order, scope=("dict_name",)):
-    """Repeated names get _2, _3, ... in order; a second pass settles clashes with names that end so already."""
-    for _ in range(2):
-        k = F.row_number().over(Window.partitionBy(*scope, name).orderBy(*order))
-        rows = rows.withColumn(name, F.when(k == 1, F.col(name)).otherwise(F.concat(name, F.lit("_"), k.cast("string"))))
-    return rows
+    """In order, a name that is taken gets the first of _2, _3, ... that makes it free, within its scope.
+
+    A name given so may take a later one's, which then gets a number itself. Only names that differ in
+    numbers at their ends can meet, so each such family of a dictionary is settled by itself.
+    """
+
+    def settle(family):
+        taken, upto, out = set(), {}, []
+        for base in family.sort_values(list(order))[name]:
+            found, k = base, upto.get(base, 2)
+            while found in taken:
+                found, k = f"{base}_{k}", k + 1
+            upto[base] = k
+            taken.add(found)
+            out.append(found)
+        return family.sort_values(list(order)).assign(**{name: out})
+
+    stem = F.regexp_replace(name, "(_[0-9]+)+$", "")
+    return rows.groupBy(*scope, stem).applyInPandas(settle, rows.schema)
 
 
 def with_mux(signals):
