@@ -1,18 +1,23 @@
 """Multiplexer discovery: which leading bytes of a payload select its meaning, and how well the rest then decodes.
 
-Frames become rows per prefix length, so states, supports, entropies and decode statistics of all ids and
-lengths come from grouped aggregates; the payload decodes are columns of one projection per frame.
+Frames are counted once by their longest prefix; the counts roll up to shorter ones as a trie. The frames
+of a longer prefix are those of a state of its own, so each state is scored once, and what longer prefixes
+would add is a join of states. Signed and unsigned readings of a field share their counts of values.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from busfleet.functions.bits import BYTES, packed_be, packed_le, physical, raw_bits
+from busfleet.functions.bits import BYTES, float32, packed_be, packed_le, raw_bits, signed
+from busfleet.operators.stretches import running, spans
 
 GROUP = ["log_id", "ID", "LEN"]
 STATE = [*GROUP, "prefix_len", "prefix"]
 
 
+# The weights and bounds of this module are fixed values, as are those of the thresholds.
+
+
 def thresholds(strictness=50):
     """Settings from one number 0..100; halves round to even."""
     s = min(max(strictness / 100, 0.0), 1.0)
@@ -28,13 +33,25 @@ def _prefix_rows(frames, lengths):
     return rows.where("prefix_len <= LEN").withColumn("prefix", F.expr("substring(payload, 1, 2 * prefix_len)"))
 
 
+def _counted(frames, cfg):
+    """Every state of the prefix lengths with its support, ratio and the group's total."""
+    longest = max(cfg["prefix_lengths"])
+    digits = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in BYTES[:longest]))
+    leaves = frames.where("LEN > 0").groupBy(*GROUP, digits.alias("payload")).agg(F.count("*").alias("c"))
+    rolled = leaves.withColumn("prefix_len", F.explode(F.array(*(F.lit(n) for n in cfg["prefix_lengths"])))).where("prefix_len <= LEN")
+    counts = rolled.groupBy(*GROUP, "prefix_len", F.expr("substring(payload, 1, 2 * prefix_len)").alias("prefix")).agg(F.sum("c").alias("support"))
+    totals = leaves.groupBy(*GROUP).agg(F.sum("c").alias("total"))
+    return counts.join(totals, GROUP).withColumn("ratio", F.col("support") / F.col("total"))
+
+
+def _passing(counts, cfg):
+    return counts.where((F.col("support") >= cfg["min_support"]) | (F.col("ratio") >= cfg["min_ratio"]))
+
+
 def prefixes(frames, cfg=None):
     """States of each prefix length that pass: support and ratio; dropped only if below both thresholds."""
     cfg = cfg or thresholds()
-    totals = frames.where("LEN > 0").groupBy(*GROUP).agg(F.count("*").alias("total"))
-    counts = _prefix_rows(frames, cfg["prefix_lengths"]).groupBy(*STATE).agg(F.count("*").alias("support")).join(totals, GROUP)
-    counts = counts.withColumn("ratio", F.col("support") / F.col("total"))
-    return counts.where((F.col("support") >= cfg["min_support"]) | (F.col("ratio") >= cfg["min_ratio"]))
+    return _passing(_counted(frames, cfg), cfg)
 
 
 def _state_entropy(rows, key, start):
@@ -72,33 +89,40 @@ def _decodes(bitfields=()):
     return out
 
 
-def _scores(rows, key, cfg, bitfields=()):
-    """Decode candidates of each key with their scores, ranked, at most max_decodes; rows have ``start``."""
-    names = ("label", "kind", "a", "b", "s", "n", "le")
-    specs = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, d))) for d in _decodes(bitfields)))
-    # the lag is taken on the packed words of a frame, once; decodes multiply the rows within a task after it
-    by = Window.partitionBy(*key).orderBy("TS", "seq")
-    words = rows.select(*key, "start", "LEN", "TS", "seq", packed_le().alias("w"), packed_be().alias("v")).withColumns({"pw": F.lag("w").over(by), "pv": F.lag("v").over(by)})
-    one = words.withColumn("d", F.explode(specs)).where("d.a >= start and d.b < LEN")
-    value = lambda w, v: F.bround(physical(raw_bits(w, v, F.col("d.s"), F.col("d.n"), F.col("d.le")), F.col("d.n"), F.col("d.kind")), 6)
-    one = one.select(*key, "d.label", "d.kind", value("w", "v").alias("x"), F.when(F.col("pw").isNotNull(), value("pw", "pv")).alias("p"))
-    one = one.withColumn("moved", (F.abs(F.col("x") - F.col("p")) > 1e-9).cast("int"))
-    counts = one.groupBy(*key, "label", "kind", "x").agg(F.count("*").alias("c"), F.sum("moved").alias("moved"))
-    s = counts.groupBy(*key, "label", "kind").agg(
-        F.sum("c").alias("n"), F.count("*").alias("distinct_values"), F.max("c").alias("most"), F.sum(F.col("c") * F.log2("c")).alias("clogc"), F.sum("moved").alias("moved"), F.max(F.abs("x")).alias("top"),
-    ).where("n >= 4 and distinct_values >= 2")
+def _scores(rows, logs, cfg, bitfields=()):
+    """Decode candidates of each state with their scores, ranked, at most max_decodes; rows are prefix rows,
+    ``logs`` the spans of their logs."""
+    fields = {}
+    for label, kind, *place in _decodes(bitfields):
+        fields.setdefault(tuple(place), []).append((label, kind))
+    specs = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("f", "a", "b", "s", "n", "le"), (f, *place)))) for f, place in enumerate(fields)))
+    names = rows.sparkSession.createDataFrame([(f, place[3], *d) for f, (place, decodes) in enumerate(fields.items()) for d in decodes], "f int, n_bits int, label string, kind string")
+    # the frame before is found once, on the packed words; fields multiply the rows within a task after it
+    w, v = F.col("w"), F.col("v")
+    words = running(rows.select(*STATE, "TS", "seq", packed_le().alias("w"), packed_be().alias("v")), STATE, lag={"pw": w, "pv": v}, found=logs)
+    one = words.withColumn("d", F.explode(specs)).where("d.a >= prefix_len and d.b < LEN")
+    raw = lambda w, v: raw_bits(w, v, F.col("d.s"), F.col("d.n"), F.col("d.le"))
+    one = one.select(*STATE, "d.f", "d.n", raw("w", "v").alias("r"), F.when(F.col("pw").isNotNull(), raw("pw", "pv")).alias("p"))
+    real = lambda c: F.when(F.col("n") == 32, F.bround(float32(c), 6))
+    one = one.withColumns({"moved": (F.col("r") != F.col("p")).cast("int"), "moved_real": (F.abs(real("r") - real("p")) > 1e-9).cast("int")})
+    counts = one.groupBy(*STATE, "f", "n", "r").agg(F.count("*").alias("c"), F.sum("moved").alias("moved"), F.sum("moved_real").alias("moved_real"))
+    sums = lambda top: [F.sum("c").alias("n"), F.count("*").alias("distinct_values"), F.max("c").alias("most"), F.sum(F.col("c") * F.log2("c")).alias("clogc"), F.sum("moved").alias("moved"), *top]
+    whole = counts.groupBy(*STATE, "f").agg(*sums([F.max("r").alias("top"), F.max(F.abs(signed("r", "n"))).alias("top_signed")])).join(F.broadcast(names.where("kind <> 'float32'")), "f")
+    whole = whole.withColumn("top", F.when(F.col("kind") == "int", F.col("top_signed")).otherwise(F.col("top")).cast("double")).drop("top_signed")
+    by_real = counts.where("n = 32").groupBy(*STATE, "f", real("r").alias("x")).agg(F.sum("c").alias("c"), F.sum("moved_real").alias("moved"))
+    floats = by_real.groupBy(*STATE, "f").agg(*sums([F.max(F.abs("x")).alias("top")])).join(F.broadcast(names.where("kind = 'float32'")), "f")
+    s = whole.unionByName(floats).where("n >= 4 and distinct_values >= 2")
     entropy = F.greatest(F.log2("n") - F.col("clogc") / F.col("n"), F.lit(0.0))
     plausible = F.when(F.col("kind") == "float32", F.when(F.col("top") < 1e4, 0.8).when(F.col("top") < 1e6, 0.65).otherwise(0.0)).otherwise(F.when(F.col("top") > 1e8, -0.5).when(F.col("top") > 1e6, -0.25).otherwise(0.0))
     score = 1.1 * F.col("moved") / F.greatest(F.col("n") - 1, F.lit(1)) + 0.8 * (1 - F.col("most") / F.col("n")) + 0.4 * entropy / F.greatest(F.lit(1.0), F.log2(F.greatest(F.col("distinct_values"), F.lit(2)))) + plausible
-    ranked = s.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "label")))
-    return ranked.where(F.col("rank") <= cfg["max_decodes"]).select(*key, "label", "kind", "n", "distinct_values", "score", "rank")
+    ranked = s.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(Window.partitionBy(*STATE).orderBy(F.desc("score"), "label")))
+    return ranked.where(F.col("rank") <= cfg["max_decodes"]).select(*STATE, "label", "kind", "n", "distinct_values", "score", "rank")
 
 
 def decode_candidates(frames, cfg=None, bitfields=()):
     """Ranked decodes of the bytes behind each accepted prefix."""
     cfg = cfg or thresholds()
-    rows = _prefix_rows(frames, cfg["prefix_lengths"]).join(prefixes(frames, cfg).select(*STATE), STATE).withColumn("start", F.col("prefix_len"))
-    return _scores(rows, STATE, cfg, bitfields)
+    return _scores(_prefix_rows(frames, cfg["prefix_lengths"]).join(prefixes(frames, cfg).select(*STATE), STATE, "left_semi"), spans(frames), cfg, bitfields)
 
 
 def patterns(frames, cfg=None, bitfields=(), samples=3):
@@ -107,9 +131,14 @@ def patterns(frames, cfg=None, bitfields=(), samples=3):
     At most max_patterns per (log, ID, LEN): recommended first, then shorter, semantic, decode, support, gain.
     """
     cfg = cfg or thresholds()
-    base = entropies(frames, cfg)
-    best = decode_candidates(frames, cfg, bitfields).where("rank = 1").select(*STATE, F.col("label").alias("best_decode"), F.col("score").alias("decode_score"))
-    out = base.join(best, STATE, "left").withColumn("decode_score", F.coalesce("decode_score", F.lit(0.0))).join(_gains(frames, base, best, cfg, bitfields), STATE, "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    counts = _counted(frames, cfg)
+    accepted, pairs = _passing(counts, cfg), _refinements(counts, cfg)
+    needed = accepted.select(*STATE).union(pairs.select(*GROUP, F.col("next_len").alias("prefix_len"), F.col("next").alias("prefix"))).distinct()
+    rows = _prefix_rows(frames, cfg["prefix_lengths"]).join(needed, STATE, "left_semi")
+    entropy = _state_entropy(rows, STATE, "prefix_len")
+    best = _scores(rows, spans(frames), cfg, bitfields).where("rank = 1").select(*STATE, F.col("label").alias("best_decode"), F.col("score").alias("decode_score"))
+    base = accepted.join(entropy, STATE, "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0))).withColumn("stability", F.greatest(F.lit(0.0), 1 - F.col("entropy") / 8))
+    out = base.join(best, STATE, "left").withColumn("decode_score", F.coalesce("decode_score", F.lit(0.0))).join(_gains(pairs, base, entropy, best, cfg), STATE, "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     semantic = 0.45 * F.col("stability") + 0.45 * F.least(F.greatest(F.col("decode_score") / 1.25, F.lit(0.0)), F.lit(1.0)) + 0.10 * F.least(F.col("ratio") / 0.25, F.lit(1.0))
     out = out.withColumn("semantic", semantic)
     ready, clear, settled = F.col("decode_score") >= cfg["min_decode"], F.col("semantic") >= cfg["min_semantic"], F.col("gain") <= cfg["gain_threshold"]
@@ -125,17 +154,19 @@ def patterns(frames, cfg=None, bitfields=(), samples=3):
     return out.join(shown, STATE, "left")
 
 
-def _gains(frames, base, best, cfg, bitfields):
+def _refinements(counts, cfg):
+    """(state, next_len, next, n, support): the longer states of each accepted one that pass, measured against it."""
+    shorter = F.explode(F.array(*(F.lit(n) for n in cfg["prefix_lengths"])))
+    longer = counts.select(*GROUP, F.col("prefix_len").alias("next_len"), F.col("prefix").alias("next"), F.col("support").alias("n"), shorter.alias("prefix_len")).where("prefix_len < next_len")
+    pairs = longer.withColumn("prefix", F.expr("substring(next, 1, 2 * prefix_len)")).join(_passing(counts, cfg).select(*STATE, "support"), STATE)
+    return pairs.where((F.col("n") >= cfg["min_support"]) | (F.col("n") / F.col("support") >= cfg["min_ratio"]))
+
+
+def _gains(pairs, base, entropy, best, cfg):
     """What longer prefixes of each state would add: the largest gain and the length that has it."""
-    longer = _prefix_rows(frames, cfg["prefix_lengths"]).join(base.select(*STATE, "support"), STATE)
-    longer = longer.withColumn("next_len", F.explode(F.array(*(F.lit(n) for n in cfg["prefix_lengths"])))).where("next_len > prefix_len and next_len <= LEN").withColumn("next", F.expr("substring(payload, 1, 2 * next_len)"))
-    key = [*STATE, "next_len", "next"]
-    counts = longer.groupBy(*key).agg(F.count("*").alias("n"), F.first("support").alias("support"))
-    counts = counts.where((F.col("n") >= cfg["min_support"]) | (F.col("n") / F.col("support") >= cfg["min_ratio"]))
-    rows = longer.join(counts.select(*key), key).withColumn("start", F.col("next_len"))
-    entropy = _state_entropy(rows, key, "next_len")
-    top = _scores(rows, key, cfg, bitfields).where("rank = 1").select(*key, F.col("score").alias("top"))
-    parts = counts.join(entropy, key, "left").join(top, key, "left")
+    as_next = lambda rows, *columns: rows.select(*GROUP, F.col("prefix_len").alias("next_len"), F.col("prefix").alias("next"), *columns)
+    key = [*GROUP, "next_len", "next"]
+    parts = pairs.join(as_next(entropy, "entropy"), key, "left").join(as_next(best, F.col("decode_score").alias("top")), key, "left")
     w = F.col("n") / F.col("support")
     sums = parts.groupBy(*STATE, "next_len").agg(
         F.sum(w * F.coalesce("entropy", F.lit(0.0))).alias("we"), F.sum(w * F.coalesce("top", F.lit(0.0))).alias("wd"), F.sum("n").alias("used"), F.count("*").alias("k"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"),

@@ -76,6 +76,35 @@ PREFIX = """pre as (select f.*, prefix_len, substr(printf('%02X%02X%02X%02X%02X%
         from (select * replace (D2 as D0, D0 as D2) from frames) f, (values (1), (2), (3), (4)) p(prefix_len) where prefix_len <= LEN),
     tot as (select ID, LEN, count(*) as total from frames group by all),
     st as (select ID, LEN, prefix_len, prefix, count(*) as support, any_value(total) as total, count(*) / any_value(total)::double as ratio from pre join tot using (ID, LEN) group by all having count(*) >= 6 or count(*) / any_value(total)::double >= 0.02)"""
+#: Decodes of a payload's bytes: label, kind, first and last byte, and the value's expression over the bytes D0 to D7.
+def mux_decode_rows():
+    for size in (1, 2, 4):
+        for at in range(9 - size):
+            for order in ("be", "le") if size > 1 else ("le",):
+                places = range(at, at + size) if order == "le" else range(at + size - 1, at - 1, -1)
+                raw = " + ".join(f"D{p}::bigint * {256 ** i}" for i, p in enumerate(places))
+                tail = f"{8 * size}_{order}" if size > 1 else "8"
+                yield f"u{tail}[{at}]", "uint", at, at + size - 1, f"({raw})::double"
+                yield f"i{tail}[{at}]", "int", at, at + size - 1, f"(case when {raw} >= {1 << (8 * size - 1)} then {raw} - {1 << (8 * size)} else {raw} end)::double"
+                if size == 4:
+                    exponent, part = f"((({raw}) >> 23) & 255)", f"(({raw}) & 8388607)::double"
+                    sign = f"(case when ({raw}) >= 2147483648 then -1.0 else 1.0 end)"
+                    yield f"f32_{order}[{at}]", "float32", at, at + 3, f"round_even(case when {exponent} = 255 then 0.0 when {exponent} = 0 then {sign} * {part} * pow(2.0, -149) else {sign} * ({part} + 8388608.0) * pow(2.0, {exponent} - 150) end, 6)"
+
+
+def mux_scores(states, key="ID, LEN, prefix_len, prefix"):
+    """``sc``: the ranked decodes of the states of a table, over ``pre``."""
+    cells = ", ".join(f"{{'label': '{label}', 'kind': '{kind}', 'a': {a}, 'b': {b}, 'x': {value}}}" for label, kind, a, b, value in mux_decode_rows())
+    return f"""dec as (select {key}, TS, seq, unnest([{cells}]) as d from pre semi join {states} using ({key})),
+        own as (select {key}, TS, seq, d.label as label, d.kind as kind, d.x as x from dec where d.a >= prefix_len and d.b < LEN),
+        lagged as (select *, case when abs(x - lag(x) over (partition by {key}, label order by TS, seq)) > 1e-9 then 1 else 0 end as moved from own),
+        vals as (select {key}, label, kind, x, count(*) as c, sum(moved) as moved from lagged group by all),
+        agg as (select {key}, label, kind, cast(sum(c) as bigint) as n, count(*) as distinct_values, max(c) as most, sum(c * log2(c)) as clogc, sum(moved) as moved, max(abs(x)) as top from vals group by all having sum(c) >= 4 and count(*) >= 2),
+        sc as (select *, row_number() over (partition by {key} order by score desc, label) as rank from (select *, round(1.1 * moved / greatest(n - 1, 1) + 0.8 * (1 - most / n)
+            + 0.4 * greatest(log2(n) - clogc / n, 0.0) / greatest(1.0, log2(greatest(distinct_values, 2)))
+            + case when kind = 'float32' then case when top < 1e4 then 0.8 when top < 1e6 then 0.65 else 0.0 end else case when top > 1e8 then -0.5 when top > 1e6 then -0.25 else 0.0 end end, 9) as score from agg))"""
+
+
 #: The messages that carry each document: (doc_id, message, h: hex digits, n: bytes).
 BAM = f"""x as (select doc_id, cast(k as int) as message, substr(hex(encode(text)), 2 * {MESSAGE_BYTES} * k + 1, 2 * {MESSAGE_BYTES}) as h, least({MESSAGE_BYTES}, octet_length(encode(text)) - {MESSAGE_BYTES} * k) as n
     from documents, lateral (select unnest(range(cast(ceil(octet_length(encode(text)) / {MESSAGE_BYTES}.0) as bigint))) as k) where octet_length(encode(text)) > 0)"""
@@ -199,6 +228,7 @@ ORACLE = {
     "candidate_tags": _events("select ID, LEN, start_bit, 'level' as tag from cand where start_bit = 24 group by all having count(*) >= 5 and max(x) - min(x) >= 1", f"cand as ({_candidate_cells(('uint',), (8,), ('true',))})"),
     "mux_prefix": _events("select ID, LEN, prefix_len, prefix, support, round(ratio, 6) as ratio from st", PREFIX),
     "mux_entropy": _events("select ID, LEN, prefix_len, prefix, round(coalesce(entropy, 0), 6) as entropy, round(greatest(0.0, 1 - coalesce(entropy, 0) / 8), 6) as stability from st left join en using (ID, LEN, prefix_len, prefix)", PREFIX, _entropy("prefix_len")),
+    "mux_decodes": _events(f"""select ID, LEN, prefix_len, prefix, label, n, distinct_values, round(score, 6) as score, cast(rank as int) as rank from sc where rank <= 12""", PREFIX, mux_scores("st")),
     "derived_signal": f"""with {KINDS}, w as (select TS, arg_max(2.0 * value + 1.0, seq) filter (series_id = 'click') as c, arg_max(least(greatest(value, 10.0), 400.0), seq) filter (series_id = 'purchase') as p from s where series_id in ('click', 'purchase') group by TS),
         v as (select TS, last_value(c ignore nulls) over (order by TS) as c, last_value(case when p > 100 then p else p * 0.5 + 5.0 end ignore nulls) over (order by TS) as p from w)
         select TS, round_even(sqrt(abs(c - p)), 4) as value from v where c is not null and p is not null""",
