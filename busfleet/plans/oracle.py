@@ -76,6 +76,28 @@ PREFIX = """pre as (select f.*, prefix_len, substr(printf('%02X%02X%02X%02X%02X%
         from (select * replace (D2 as D0, D0 as D2) from frames) f, (values (1), (2), (3), (4)) p(prefix_len) where prefix_len <= LEN),
     tot as (select ID, LEN, count(*) as total from frames group by all),
     st as (select ID, LEN, prefix_len, prefix, count(*) as support, any_value(total) as total, count(*) / any_value(total)::double as ratio from pre join tot using (ID, LEN) group by all having count(*) >= 6 or count(*) / any_value(total)::double >= 0.02)"""
+#: Longer states of each accepted one, and all states that need scores.
+MUX_PAIRS = """cn as (select ID, LEN, prefix_len, prefix, count(*) as n from pre group by all),
+    pairs as (select s.ID, s.LEN, s.prefix_len, s.prefix, s.support, c.prefix_len as next_len, c.prefix as next, c.n, c.n / s.support::double as w
+        from st s join cn c on c.ID = s.ID and c.LEN = s.LEN and c.prefix_len > s.prefix_len and substr(c.prefix, 1, 2 * s.prefix_len) = s.prefix where c.n >= 6 or c.n / s.support::double >= 0.02),
+    needed as (select ID, LEN, prefix_len, prefix from st union select ID, LEN, next_len, next from pairs)"""
+MUX_GAINS = """best as (select ID, LEN, prefix_len, prefix, label as best_decode, score as decode_score from sc where rank = 1),
+    base as (select st.*, coalesce(entropy, 0.0) as entropy, greatest(0.0, 1 - coalesce(entropy, 0.0) / 8) as stability, best_decode, coalesce(decode_score, 0.0) as decode_score
+        from st left join en using (ID, LEN, prefix_len, prefix) left join best using (ID, LEN, prefix_len, prefix)),
+    parts as (select p.*, coalesce(e.entropy, 0.0) as e, coalesce(b.decode_score, 0.0) as top from pairs p
+        left join en e on e.ID = p.ID and e.LEN = p.LEN and e.prefix_len = p.next_len and e.prefix = p.next left join best b on b.ID = p.ID and b.LEN = p.LEN and b.prefix_len = p.next_len and b.prefix = p.next),
+    sums as (select ID, LEN, prefix_len, prefix, next_len, sum(w * e) as we, sum(w * top) as wd, sum(n) as used,
+        case when count(*) > 1 then greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0.0) / greatest(1.0, log2(count(*))) else 0.0 end as split from parts group by all having sum(n) >= 6),
+    weighed as (select s.*, greatest(wd - decode_score, 0.0) as dg, greatest(entropy - we, 0.0) as eg, wd < greatest(0.35, 0.55 * decode_score) as weak from sums s join base using (ID, LEN, prefix_len, prefix)),
+    gains as (select ID, LEN, prefix_len, prefix, max(gain) as gain, arg_max(next_len, (gain, -next_len)) as better_len from (
+        select *, eg * case when weak then 0.15 else 1.0 end + 0.6 * dg + 0.35 * split * case when weak then 0.10 else 1.0 end as gain from weighed
+        where not (we = 0 and wd = 0 and split = 0) and not (weak and dg <= 0)) where gain > 0 group by all),
+    rated as (select base.*, coalesce(gain, 0.0) as gain, better_len, 0.45 * stability + 0.45 * least(greatest(decode_score / 1.25, 0.0), 1.0) + 0.10 * least(ratio / 0.25, 1.0) as semantic
+        from base left join gains using (ID, LEN, prefix_len, prefix)),
+    told as (select *, decode_score >= 0.55 and semantic >= 0.5 and gain <= 0.1 as recommended, case when best_decode is null then 'no decode of the payload' when decode_score < 0.55 then 'the best decode is weak'
+        when semantic < 0.5 then 'the meaning is mixed' when gain > 0.1 then 'a prefix of ' || coalesce(better_len, 0) || ' bytes tells more' else 'the shortest stable prefix' end as reason from rated)"""
+
+
 #: Decodes of a payload's bytes: label, kind, first and last byte, and the value's expression over the bytes D0 to D7.
 def mux_decode_rows():
     for size in (1, 2, 4):
@@ -229,6 +251,9 @@ ORACLE = {
     "mux_prefix": _events("select ID, LEN, prefix_len, prefix, support, round(ratio, 6) as ratio from st", PREFIX),
     "mux_entropy": _events("select ID, LEN, prefix_len, prefix, round(coalesce(entropy, 0), 6) as entropy, round(greatest(0.0, 1 - coalesce(entropy, 0) / 8), 6) as stability from st left join en using (ID, LEN, prefix_len, prefix)", PREFIX, _entropy("prefix_len")),
     "mux_decodes": _events(f"""select ID, LEN, prefix_len, prefix, label, n, distinct_values, round(score, 6) as score, cast(rank as int) as rank from sc where rank <= 12""", PREFIX, mux_scores("st")),
+    "mux_patterns": _events("""select ID, LEN, prefix_len, prefix, support, best_decode, round(decode_score, 6) as decode_score, round(gain, 6) as gain, round(semantic, 6) as semantic, recommended, reason
+        from (select *, row_number() over (partition by ID, LEN order by recommended desc, prefix_len, round(semantic, 9) desc, decode_score desc, support desc, round(gain, 9), prefix) as position from told) where position <= 25""",
+        PREFIX, _entropy("prefix_len"), MUX_PAIRS, mux_scores("needed"), MUX_GAINS),
     "derived_signal": f"""with {KINDS}, w as (select TS, arg_max(2.0 * value + 1.0, seq) filter (series_id = 'click') as c, arg_max(least(greatest(value, 10.0), 400.0), seq) filter (series_id = 'purchase') as p from s where series_id in ('click', 'purchase') group by TS),
         v as (select TS, last_value(c ignore nulls) over (order by TS) as c, last_value(case when p > 100 then p else p * 0.5 + 5.0 end ignore nulls) over (order by TS) as p from w)
         select TS, round_even(sqrt(abs(c - p)), 4) as value from v where c is not null and p is not null""",
