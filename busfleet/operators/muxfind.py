@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from busfleet.functions.bits import BYTES, float32, packed_be, packed_le, raw_bits, signed
 from busfleet.operators.stretches import running, spans
+from busfleet.streaming.folders import stored
 
 GROUP = ["log_id", "ID", "LEN"]
 STATE = [*GROUP, "prefix_len", "prefix"]
@@ -122,7 +123,7 @@ def _scores(rows, logs, cfg, bitfields=()):
 def decode_candidates(frames, cfg=None, bitfields=()):
     """Ranked decodes of the bytes behind each accepted prefix."""
     cfg = cfg or thresholds()
-    return _scores(_prefix_rows(frames, cfg["prefix_lengths"]).join(prefixes(frames, cfg).select(*STATE), STATE, "left_semi"), spans(frames), cfg, bitfields)
+    return _scores(_prefix_rows(frames, cfg["prefix_lengths"]).join(stored(prefixes(frames, cfg), "states").select(*STATE), STATE, "left_semi"), spans(frames), cfg, bitfields)
 
 
 def patterns(frames, cfg=None, bitfields=(), samples=3):
@@ -131,12 +132,14 @@ def patterns(frames, cfg=None, bitfields=(), samples=3):
     At most max_patterns per (log, ID, LEN): recommended first, then shorter, semantic, decode, support, gain.
     """
     cfg = cfg or thresholds()
-    counts = _counted(frames, cfg)
-    accepted, pairs = _passing(counts, cfg), _refinements(counts, cfg)
+    # what several later steps read is kept as small tables of states, so that no step counts the frames anew
+    counts = stored(_counted(frames, cfg), "states")
+    accepted, pairs = _passing(counts, cfg), stored(_refinements(counts, cfg), "refinements")
     needed = accepted.select(*STATE).union(pairs.select(*GROUP, F.col("next_len").alias("prefix_len"), F.col("next").alias("prefix"))).distinct()
     rows = _prefix_rows(frames, cfg["prefix_lengths"]).join(needed, STATE, "left_semi")
-    entropy = _state_entropy(rows, STATE, "prefix_len")
+    entropy = stored(_state_entropy(rows, STATE, "prefix_len"), "entropies")
     best = _scores(rows, spans(frames), cfg, bitfields).where("rank = 1").select(*STATE, F.col("label").alias("best_decode"), F.col("score").alias("decode_score"))
+    best = stored(best, "best")
     base = accepted.join(entropy, STATE, "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0))).withColumn("stability", F.greatest(F.lit(0.0), 1 - F.col("entropy") / 8))
     out = base.join(best, STATE, "left").withColumn("decode_score", F.coalesce("decode_score", F.lit(0.0))).join(_gains(pairs, base, entropy, best, cfg), STATE, "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     semantic = 0.45 * F.col("stability") + 0.45 * F.least(F.greatest(F.col("decode_score") / 1.25, F.lit(0.0)), F.lit(1.0)) + 0.10 * F.least(F.col("ratio") / 0.25, F.lit(1.0))

@@ -16,3 +16,10 @@ def shared_folder(spark, name):
         base = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _own[app] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows, name):
+    """``rows`` written as a table in the shared folder and read again: computed once, and safe from lost executors."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
