@@ -184,7 +184,7 @@ def neighbours(series, probes):
     """The times of the samples strictly before and strictly after each probe time; null at the ends."""
     ids = series.select(*SERIES).distinct()
     rows = series.select(*SERIES, "TS", F.col("TS").alias("s"), F.lit(None).cast("double").alias("probe"))
-    asked = ids.crossJoin(probes.select(F.col("probe").cast("double").alias("probe")).distinct()).select(*SERIES, F.col("probe").alias("TS"), F.lit(None).cast("double").alias("s"), "probe")
+    asked = ids.crossJoin(bounded(probes.select(F.col("probe").cast("double").alias("probe")).distinct())).select(*SERIES, F.col("probe").alias("TS"), F.lit(None).cast("double").alias("s"), "probe")
     both = rows.unionByName(asked).groupBy(*SERIES, "TS").agg(F.max("s").alias("s"), F.max("probe").alias("probe"))
     strict = Window.partitionBy(*SERIES).orderBy("TS")
     found = both.withColumns({"previous": F.last("s", ignorenulls=True).over(strict.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first("s", ignorenulls=True).over(strict.rowsBetween(1, Window.unboundedFollowing))})

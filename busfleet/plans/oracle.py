@@ -222,6 +222,14 @@ ORACLE = {
         a as (select k.series_id, p.probe, s.TS, s.value from (k cross join p) asof left join s on k.series_id = s.series_id and p.probe >= s.TS), b as (select k.series_id, p.probe, s.TS, s.value from (k cross join p) asof left join s on k.series_id = s.series_id and p.probe <= s.TS)
         select series_id, probe, round(case when a.TS is null then b.value when b.TS is null then a.value when b.TS > a.TS then a.value + (b.value - a.value) * (probe - a.TS) / (b.TS - a.TS) else a.value end, 6) as value from a join b using (series_id, probe)""".replace("k.series_id, p.probe", "k.series_id as series_id, p.probe as probe"),
     "nearest_sample": f"""with {KINDS}, {PROBES} select series_id, probe, TS, value from (select series_id, probe, TS, value, row_number() over (partition by series_id, probe order by abs(TS - probe), TS) as r from s, p) where r = 1""",
+    "value_search": f"""with {USERS}, {PROBES}, k as (select series_id, count(*) as n, min(value) as low, max(value) as high, min(TS) as t0, max(TS) as t1 from s group by 1),
+        a as (select k.series_id as series_id, p.probe as probe, s.TS, s.value from (k cross join p) asof left join s on k.series_id = s.series_id and p.probe >= s.TS),
+        b as (select k.series_id as series_id, p.probe as probe, s.TS, s.value from (k cross join p) asof left join s on k.series_id = s.series_id and p.probe <= s.TS),
+        x as (select series_id, probe, case when a.TS is null then b.value when b.TS is null then a.value when b.TS > a.TS then a.value + (b.value - a.value) * (probe - a.TS) / (b.TS - a.TS) else a.value end as inter,
+            case when b.TS is null or probe - a.TS <= b.TS - probe then a.TS else b.TS end as near_ts, case when b.TS is null or probe - a.TS <= b.TS - probe then a.value else b.value end as near_value from a join b using (series_id, probe)),
+        y as (select series_id, probe, abs(near_ts - probe) > 432000.0 as missing, abs((case when probe between t0 and t1 then inter else near_value end - low) / nullif(high - low, 0.0) - 0.5) > 0.45 as off from x join k using (series_id)),
+        f as (select series_id, arg_min(case when missing then 'no_data_near_constraint' else 'outside_tolerance' end, probe) as why from y where missing or off group by 1)
+        select series_id, case when n < 2 then 'too_few_samples' when high = low then 'zero_variance' else coalesce(why, 'match') end as reason from k left join f using (series_id)""",
     "window_stats": f"""with {USERS}, q(lo, hi) as (values (1704067200.0::double + 3 * 86400, 1704067200.0::double + 9 * 86400)),
         e as (select series_id, t, (select arg_max(value, (TS, seq)) from s x where x.series_id = k.series_id and x.TS <= t) as va, (select max(TS) from s x where x.series_id = k.series_id and x.TS <= t) as ta,
                 (select arg_min(value, (TS, seq)) from s x where x.series_id = k.series_id and x.TS >= t) as vb, (select min(TS) from s x where x.series_id = k.series_id and x.TS >= t) as tb
