@@ -116,6 +116,13 @@ def q_live_decoded(spark, sf):
     return live.read_updates(spark, out, DECODED).select("seq", "ID", "message_name", "signal_name", "value", "unit")
 
 
+def q_live_replay(spark, sf):
+    """All frames with the times of a log that begins at 100 seconds."""
+    f = feed(spark, sf)
+    out = f.run("replay", lambda s: live.replay(s.select("log_id", "TS", "seq", "ID"), 100.0), "append")
+    return live.read_updates(spark, out, "log_id string, TS double, seq long, ID string").select("seq", "ID", "TS")
+
+
 def q_live_coverage(spark, sf):
     """A coverage of the first third with the last values of all frames so far."""
     f, d = feed(spark, sf), dictionary(spark, sf)
@@ -166,7 +173,7 @@ def q_live_bam(spark, sf):
 QUERIES = {
     "live_latest": q_live_latest, "live_rollup": q_live_rollup, "live_highlights": q_live_highlights, "live_changing": q_live_changing, "live_summary": q_live_summary, "live_difference": q_live_difference,
     "live_carries": q_live_carries, "live_decoded": q_live_decoded, "live_coverage": q_live_coverage, "live_new_ids": q_live_new_ids, "live_history": q_live_history, "live_rates": q_live_rates,
-    "live_matrix": q_live_matrix, "live_late": q_live_late, "live_bam": q_live_bam,
+    "live_matrix": q_live_matrix, "live_late": q_live_late, "live_bam": q_live_bam, "live_replay": q_live_replay,
 }
 
 LABEL = "case when LEN = 8 then printf('%02X', D2) else '' end"
@@ -201,5 +208,6 @@ ORACLE = {
         select ID, TS, {' + '.join(f"coalesce(cast(D{i} <> lag(D{i}) over w as int), 0)" for i in range(8))} as c from frames window w as (partition by ID order by TS, seq)) group by all"""),
     "live_matrix": f"select series_id, seq, value, has_movement from ({oracle.ORACLE['matrix']}) where split_part(series_id, ':', 1) in (select split_part(series_id, ':', 1) from ({oracle.ORACLE['matrix']}) where has_movement)",
     "live_late": oracle._events(f"""select seq, coalesce(TS < (select max(TS) from frames g where g.seq % {PARTS} < f.seq % {PARTS}) - 5 * {DAY}, false) as late from frames f"""),
+    "live_replay": oracle._events("select seq, ID, round(100.0 + TS - (select arg_min(TS, seq) from parts where part = 0), 6) as TS from frames", THIRDS),
     "live_bam": oracle.ORACLE["bam_messages"],
 }

@@ -148,6 +148,24 @@ def expired(latest_rows, now, hold):
     return latest_rows.withColumn("highlighted_bytes", F.filter(places, lambda i: F.coalesce(F.lit(now) - F.get("changed_at", i) <= hold, F.lit(False))))
 
 
+def replay(frames, offset=0.0):
+    """A stream's times moved so that each log's first frame stands at ``offset``, rounded to 6; append mode.
+
+    The first frame is the one of least seq in the first micro-batch that brings the log; its time is all
+    the state that a log has, so a frame that comes later, if from an earlier time, gets one below ``offset``.
+    """
+
+    def step(key, parts, state):
+        parts = list(parts)
+        if not state.exists:
+            state.update((float(min((p["seq"].min(), p.loc[p["seq"].idxmin(), "TS"]) for p in parts)[1]),))
+        (start,) = state.get
+        for part in parts:
+            yield part.assign(TS=(offset + part["TS"] - start).round(6))
+
+    return frames.groupBy("log_id").applyInPandasWithState(step, frames.schema, "start double", "append", GroupStateTimeout.NoTimeout)
+
+
 def rollup(latest_rows):
     """Entries of one id rolled up: period range and mean, frames, merged numbers of values by byte, ever_changed.
 
