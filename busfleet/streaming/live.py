@@ -45,6 +45,13 @@ def keyed(frames, rules=None, epoch=None):
     return rows.withColumn("mux_label", F.concat_ws("|", now.cast("string"), "mux_label"))
 
 
+def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a micro-batch in order of time; the engine hands over a large group in chunks without order."""
+    parts = [p for p in parts if len(p)]
+    part = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return part.sort_values(["TS", "seq"])
+
+
 def _counted(seen, data, masked):
     """The value sets of eight bytes, 32 bytes of bits each, with one more frame."""
     out = bytearray(seen)
@@ -74,27 +81,25 @@ def latest(frames, rules=None, hold=1.0, epoch=None, late=None):
         if state.hasTimedOut:
             yield row_of(key, s, [])
             return
-        for part in parts:
-            part = part.sort_values(["TS", "seq"])
-            for row in part.itertuples(index=False):
-                data, masked = bytes(getattr(row, c) for c in BYTES), set(row.mux_bytes if row.mux_bytes is not None else ())
-                if s is None:
-                    s = dict(zip(names_of(STATE), (row.TS, row.seq, data, None, 1, 1, 0.0, None, None, 0, bytes(256), False, [None] * 8, [])))
-                else:
-                    changed = [i for i in range(8) if i not in masked and s["data"][i] != data[i]]
-                    gap = round(row.TS - s["ts"], 6)
-                    s["received"] += 1
-                    if gap >= 0:
-                        s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
-                        s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
-                    if gap == 0 and not changed:
-                        continue
-                    s["frames"] += 1
-                    if gap >= 0:
-                        s |= {"ts": row.TS, "seq": row.seq, "data": data, "delta": gap, "last": changed}
-                        s["changed_at"] = [row.TS if i in changed else t for i, t in enumerate(s["changed_at"])]
-                        s["changed"] = s["changed"] or bool(changed)
-                s["seen"] = _counted(s["seen"], data, masked)
+        for row in in_order(parts).itertuples(index=False):
+            data, masked = bytes(getattr(row, c) for c in BYTES), set(row.mux_bytes if row.mux_bytes is not None else ())
+            if s is None:
+                s = dict(zip(names_of(STATE), (row.TS, row.seq, data, None, 1, 1, 0.0, None, None, 0, bytes(256), False, [None] * 8, [])))
+            else:
+                changed = [i for i in range(8) if i not in masked and s["data"][i] != data[i]]
+                gap = round(row.TS - s["ts"], 6)
+                s["received"] += 1
+                if gap >= 0:
+                    s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
+                    s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
+                if gap == 0 and not changed:
+                    continue
+                s["frames"] += 1
+                if gap >= 0:
+                    s |= {"ts": row.TS, "seq": row.seq, "data": data, "delta": gap, "last": changed}
+                    s["changed_at"] = [row.TS if i in changed else t for i, t in enumerate(s["changed_at"])]
+                    s["changed"] = s["changed"] or bool(changed)
+            s["seen"] = _counted(s["seen"], data, masked)
         state.update(tuple(s.values()))
         lit = [i for i, t in enumerate(s["changed_at"]) if t is not None and s["ts"] - t <= hold]
         if late is not None and lit:
@@ -209,31 +214,30 @@ def running(frames):
         empty = (None, b"", 0, 0, 0, 0, 0.0, None, None, 0, [0] * 8, bytes(256), [0] * 8, [0] * 8, [0] * 8, [None] * 8, [None] * 8, [0] * 14, [0] * 14)
         s = dict(zip(names_of(RUNNING_STATE), state.get if state.exists else empty))
         s |= {k: list(v) for k, v in s.items() if isinstance(v, (list, tuple))}
-        for part in parts:
-            for row in part.sort_values(["TS", "seq"]).itertuples(index=False):
-                data, size = bytes(getattr(row, c) for c in BYTES), int(row.LEN)
-                if s["frames"]:
-                    gap, before = round(row.TS - s["ts"], 6), s["data"]
-                    s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
-                    s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
-                    s["payload_changes"] += before[: s["size"]] != data[:size] or s["size"] != size
-                    for i in range(8):
-                        s["changes"][i] += before[i] != data[i]
-                    for k, (a, b) in enumerate(NEIGHBOURS):
-                        if size > max(a, b) and s["size"] > a and abs(data[a] - before[a]) >= CARRY_STEP:
-                            s["wraps"][k] += 1
-                            s["carries"][k] += s["size"] > b and abs(data[b] - before[b]) == 1
-                for i in range(size):
-                    if s["last"][i] is not None:
-                        d = data[i] - s["last"][i]
-                        s["steps"][i] += 1
-                        s["moved"][i] += d != 0
-                        s["up"][i] += d in (1, -255)
-                    else:
-                        s["first"][i] = data[i]
-                    s["last"][i] = data[i]
-                s["seen"] = _counted(s["seen"], data, ())
-                s |= {"ts": row.TS, "data": data, "size": size, "frames": s["frames"] + 1, "lengths": s["lengths"] | 1 << size}
+        for row in in_order(parts).itertuples(index=False):
+            data, size = bytes(getattr(row, c) for c in BYTES), int(row.LEN)
+            if s["frames"]:
+                gap, before = round(row.TS - s["ts"], 6), s["data"]
+                s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
+                s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
+                s["payload_changes"] += before[: s["size"]] != data[:size] or s["size"] != size
+                for i in range(8):
+                    s["changes"][i] += before[i] != data[i]
+                for k, (a, b) in enumerate(NEIGHBOURS):
+                    if size > max(a, b) and s["size"] > a and abs(data[a] - before[a]) >= CARRY_STEP:
+                        s["wraps"][k] += 1
+                        s["carries"][k] += s["size"] > b and abs(data[b] - before[b]) == 1
+            for i in range(size):
+                if s["last"][i] is not None:
+                    d = data[i] - s["last"][i]
+                    s["steps"][i] += 1
+                    s["moved"][i] += d != 0
+                    s["up"][i] += d in (1, -255)
+                else:
+                    s["first"][i] = data[i]
+                s["last"][i] = data[i]
+            s["seen"] = _counted(s["seen"], data, ())
+            s |= {"ts": row.TS, "data": data, "size": size, "frames": s["frames"] + 1, "lengths": s["lengths"] | 1 << size}
         state.update(tuple(s.values()))
         values = _values(s["seen"])
         out = {"log_id": key[0], "ID": key[1], "frames": s["frames"], "lengths": ",".join(str(i) for i in range(9) if s["lengths"] >> i & 1), "payload_changes": int(s["payload_changes"]), "period_mean": s["psum"] / s["pn"] if s["pn"] else None}
@@ -349,16 +353,15 @@ def rates(frames, width=10.0):
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n, changes, late, data = state.get if state.exists else (None, 0, 0, 0, None)
         out = {}
-        for part in parts:
-            for row in part.sort_values(["TS", "seq"]).itertuples(index=False):
-                own, now = row.TS // width * width, bytes(getattr(row, c) for c in BYTES)
-                if start is not None and own < start:
-                    late += 1
-                    continue
-                if own != start:
-                    start, n, changes = own, 0, 0
-                n, changes, data = n + 1, changes + (sum(a != b for a, b in zip(data, now)) if data is not None else 0), now
-                out[start] = (n, changes)
+        for row in in_order(parts).itertuples(index=False):
+            own, now = row.TS // width * width, bytes(getattr(row, c) for c in BYTES)
+            if start is not None and own < start:
+                late += 1
+                continue
+            if own != start:
+                start, n, changes = own, 0, 0
+            n, changes, data = n + 1, changes + (sum(a != b for a, b in zip(data, now)) if data is not None else 0), now
+            out[start] = (n, changes)
         state.update((start, n, changes, late, data))
         yield pd.DataFrame([(key[0], key[1], at, *counts, late) for at, counts in out.items()], columns=names_of(RATES))
 
@@ -432,16 +435,15 @@ def bam_messages(frames):
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         size, packets, pgn, numbers, segments = state.get if state.exists else (0, 0, None, [], [])
         held, done = dict(zip(numbers, segments)), []
-        for part in parts:
-            for r in part.sort_values(["TS", "seq"]).itertuples(index=False):
-                if r.opens:
-                    size, packets, pgn, held = int(r.size), int(r.packets), int(r.pgn), {}
-                elif packets > 0 and 1 <= r.number <= 255:
-                    held[int(r.number)] = bytes.fromhex(r.part)
-                    if len(held) == packets:
-                        data = b"".join(held.get(i, bytes(7)) for i in range(1, max(1, -(-size // 7)) + 1))[:size]
-                        done.append({"log_id": key[0], "TS": r.TS, "sa": int(key[1]), "pgn": pgn, "data": data})
-                        packets, held = 0, {}
+        for r in in_order(parts).itertuples(index=False):
+            if r.opens:
+                size, packets, pgn, held = int(r.size), int(r.packets), int(r.pgn), {}
+            elif packets > 0 and 1 <= r.number <= 255:
+                held[int(r.number)] = bytes.fromhex(r.part)
+                if len(held) == packets:
+                    data = b"".join(held.get(i, bytes(7)) for i in range(1, max(1, -(-size // 7)) + 1))[:size]
+                    done.append({"log_id": key[0], "TS": r.TS, "sa": int(key[1]), "pgn": pgn, "data": data})
+                    packets, held = 0, {}
         state.update((size, packets, pgn, list(held), list(held.values())))
         yield pd.DataFrame(done, columns=["log_id", "TS", "sa", "pgn", "data"])
 
