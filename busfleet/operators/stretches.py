@@ -21,10 +21,13 @@ def spans(rows, log="log_id"):
 
 
 def stretched(rows, found=None, log="log_id", name="__s"):
-    """Adds ``name``: which of the equal parts of its log's time a row is in. ``found``: the ``spans``, if known."""
+    """Adds ``name``: which of the equal parts of its log's time a row is in. ``found``: the ``spans``, if known.
+
+    Times beyond the span lie in the part before it, -1, or in the last one.
+    """
     place = F.floor((F.col("TS") - F.col("__t0")) / F.nullif(F.col("__t1") - F.col("__t0"), F.lit(0.0)) * F.col("__k"))
     rows = rows.join(spans(rows, log) if found is None else found, log)
-    return rows.withColumn(name, F.coalesce(place, F.lit(0)).cast("int")).drop("__t0", "__t1", "__k")
+    return rows.withColumn(name, F.greatest(F.least(F.coalesce(place, F.lit(0)), F.col("__k")), F.lit(-1)).cast("int")).drop("__t0", "__t1", "__k")
 
 
 def running(rows, key, lag=None, last=None, prior=None, total=None, first=None, size=None, found=None):
