@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busfleet.operators.decode import bounded
+from busfleet.streaming.folders import stored
 
 #: A log's time is cut into so many equal stretches that one has about this many of its rows.
 ROWS = 1 << 18
@@ -17,7 +18,8 @@ PLACE = ("TS", "seq")
 
 def spans(rows, log="log_id"):
     """Of each log its first and last time and the number of its stretches: a small table, broadcast within a bound."""
-    return bounded(rows.groupBy(log).agg(F.min("TS").alias("__t0"), F.max("TS").alias("__t1"), F.ceil(F.count("*") / ROWS).alias("__k")))
+    found = rows.groupBy(log).agg(F.min("TS").alias("__t0"), F.max("TS").alias("__t1"), F.ceil(F.count("*") / ROWS).alias("__k"))
+    return bounded(stored(found, "spans"))  # stored: the rows are read once for the count and the join
 
 
 def stretched(rows, found=None, log="log_id", name="__s"):

@@ -1,40 +1,99 @@
 """J1939 transport (broadcast announce): reassembly of multi-packet messages and what they carry."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from busfleet.functions.bits import BYTES, float32, signed, typed_read, unsigned_double
+from busfleet.functions.bits import BYTES, float32, packed_be, signed, typed_read, unsigned_double
 from busfleet.functions.ids import pdu_format, source_address
 from busfleet.operators.decode import bounded
-from busfleet.operators.stretches import running, spans
+from busfleet.operators.stretches import PLACE, running, spans, stretched
+from busfleet.streaming.folders import stored
 
 ANNOUNCE, DATA = 0xEC, 0xEB
 
 
-def transport_rows(frames):
-    """Announcements (control byte 0x20, 8 bytes) and data frames with sa, announced size, packets and group."""
+def transport_words(frames):
+    """Announcements (control byte 0x20, 8 bytes) and data frames: log_id, sa, TS, seq, opens, word (the eight bytes)."""
     rows = frames.where("LEN >= 8 and id_int > 2047").withColumns({"pf": pdu_format("id_int"), "sa": source_address("id_int")})
     announce = (F.col("pf") == ANNOUNCE) & (F.col("D0") == 0x20)
-    le = lambda *c: sum((F.col(x).cast("long") * 256**i for i, x in enumerate(c)), F.lit(0).cast("long"))
-    return rows.where(announce | (F.col("pf") == DATA)).select(
-        "log_id", "sa", "TS", "seq", announce.alias("opens"), F.when(announce, le("D1", "D2")).alias("size"), F.when(announce, F.col("D3")).alias("packets"),
-        F.when(announce, le("D5", "D6", "D7")).alias("pgn"), F.when(~announce, F.col("D0")).alias("number"),
-        F.when(~announce, F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in BYTES[1:]))).alias("part"),
+    return rows.where(announce | (F.col("pf") == DATA)).select("log_id", "sa", "TS", "seq", announce.alias("opens"), packed_be().alias("word"))
+
+
+def _byte(word, i):
+    return F.shiftrightunsigned(word, 56 - 8 * i).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _number(word, *places):
+    """The little-endian number of bytes of a word."""
+    return sum((_byte(word, x) * 256**i for i, x in enumerate(places)), F.lit(0).cast("long"))
+
+
+def _part(word):
+    """The seven bytes that a data frame carries, in hex."""
+    return F.lpad(F.hex(word), 16, "0").substr(3, 14)
+
+
+def _rows(words):
+    """Words with what they say: size, packets and group of an announcement, number and part of a data frame."""
+    w, opens = F.col("word"), F.col("opens")
+    return words.select(
+        "log_id", "sa", "TS", "seq", "opens", F.when(opens, _number(w, 1, 2)).alias("size"), F.when(opens, _byte(w, 3).cast("int")).alias("packets"),
+        F.when(opens, _number(w, 5, 6, 7)).alias("pgn"), F.when(~opens, _byte(w, 0).cast("int")).alias("number"), F.when(~opens, _part(w)).alias("part"),
     )
 
 
+def transport_rows(frames):
+    """Announcements and data frames with sa, announced size, packets and group."""
+    return _rows(transport_words(frames))
+
+
 def bam_messages(frames):
     """Complete messages: log_id, TS (of the completing frame), sa, pgn, data (binary).
 
     Any announcement of a source opens a session and closes the one before. It completes with the frame
     by which as many distinct packet numbers (1..255) as announced have come; a repeated number before
     that overwrites, frames after it and sessions that stay incomplete are ignored. Missing segments of
-    an odd numbering are zeros. Sessions are numbered by a prefix scan over stretches of a source's time; a
-    session then is its numbers, 255 at most, each with its first and last frame. Only sessions in which a
-    number comes again after the end are read a second time, up to that end.
+    an odd numbering are zeros. Frames move once, as words, to the stretch of their source's time. A session
+    whose first frames there are its packets, each once, is a message at once; its announcement, made void, and the
+    frames of all others go through ``_across``. The stretches' sessions are stored, so both come from one pass.
+    """
+    found, parts = spans(frames), ["log_id", "sa", "__s"]
+    cut = stretched(transport_words(frames), found)
+    upto = Window.partitionBy(*parts).orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("__n", F.sum(F.col("opens").cast("int")).over(upto))
+    # the window leaves the rows dealt as the sessions of a stretch need them
+    own = cut.groupBy(*parts, "__n").agg(F.max(F.when(F.col("opens"), F.struct(*PLACE, "word"))).alias("head"), F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct(*PLACE, "word")))).alias("rest"))
+    head = F.col("head.word")
+    packets = F.coalesce(_byte(head, 3).cast("int"), F.lit(0))
+    first = F.array_sort(F.transform(F.slice("rest", 1, packets), lambda x: F.struct(_byte(x["word"], 0).cast("int").alias("number"), x["word"].alias("word"))))
+    own = own.withColumn("first", F.when((packets > 0) & (F.size("rest") >= packets), first))
+    settled = F.coalesce(F.transform("first", lambda x: x["number"]) == F.when(packets > 0, F.sequence(F.lit(1), packets)), F.lit(False))
+    digits = F.array_join(F.transform("first", lambda x: _part(x["word"])), "")
+    data = F.unhex(F.rpad(digits, (2 * _number(head, 1, 2)).cast("int"), "0"))
+    own = own.withColumn("settled", settled).select(
+        "log_id", "sa", "head", "settled", F.when(F.col("settled"), F.get("rest", packets - 1)["TS"]).alias("TS"), F.when(F.col("settled"), _number(head, 5, 6, 7)).alias("pgn"),
+        F.when(F.col("settled"), data).alias("data"), F.when(~F.col("settled"), F.col("rest")).alias("rest"),
+    )
+    own = stored(own, "sessions")
+    heads = own.where("head is not null").select("log_id", "sa", "head.*", F.lit(True).alias("opens"), "settled")
+    rest = own.where("not settled").select("log_id", "sa", F.explode("rest").alias("x")).select("log_id", "sa", "x.*", F.lit(False).alias("opens"), F.lit(False).alias("settled"))
+    # a void announcement has no packets: byte 3 of its word is 0
+    void = F.when(F.col("settled"), F.col("word").bitwiseAND(F.lit(~(0xFF << 32)).cast("long"))).otherwise(F.col("word"))
+    left = _rows(heads.unionByName(rest).withColumn("word", void))
+    done = own.where("settled").select("log_id", "TS", "sa", "pgn", "data")
+    return done.unionByName(_across(left, found))
+
+
+def _across(rows, found):
+    """Messages of transport rows in general: sessions over several stretches, repeated and odd numbers.
+
+    Sessions are numbered by a prefix scan over stretches of a source's time; a session then is its numbers, 255
+    at most, each with its first and last frame. Only sessions in which a number comes again after the end are
+    read a second time, up to that end.
     """
     key = ["log_id", "sa", "session"]
     head = F.when(F.col("opens"), F.struct("size", "packets", "pgn"))
-    rows = running(transport_rows(frames), ["log_id", "sa"], total={"session": F.col("opens").cast("long")}, last={"head": head}, found=spans(frames))
+    rows = running(rows, ["log_id", "sa"], total={"session": F.col("opens").cast("long")}, last={"head": head}, found=found)
     rows = rows.where("not opens and session > 0 and number between 1 and 255 and head.packets > 0").withColumn("at", F.struct("TS", "seq"))
     numbers = rows.groupBy(*key, "head", "number").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("part", "at").alias("part"))
     whole = numbers.groupBy(*key, "head").agg(F.array_sort(F.collect_list(F.struct("first", "number", "last", "part"))).alias("found"))

@@ -90,20 +90,23 @@ def transport_frames(spark, sf_dir):
     """D: the whole text of each document as successive messages: an announcement and its packets each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 0)
     count = F.ceil(F.length("b") / MESSAGE_BYTES).cast("int")
-    hexes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.hex(F.substring("b", i * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES))))
-    m = docs.select("doc_id", F.posexplode(hexes).alias("message", "h"))
-    n, packets = F.length("h") / 2, F.ceil(F.length("h") / 14).cast("int")
-    le = lambda x, k: F.lpad(F.hex((F.floor(x / 256**k) % 256).cast("long")), 2, "0")
-    pgn = F.lit(0xFE00) + F.col("doc_id") % 256
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("b", i * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES)))
+    m = docs.select("doc_id", F.posexplode(pieces).alias("message", "p"))
+    n, packets = F.length("p"), F.ceil(F.length("p") / 7).cast("int")
+    # a row per frame first, so that its bytes are made in compiled code and only if they are asked for
+    rows = m.select("doc_id", "message", "p", n.alias("n"), packets.alias("packets"), F.explode(F.sequence(F.lit(0), packets)).alias("k"))
+    le = lambda x, i: F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0")
+    n, packets, pgn = F.col("n"), F.col("packets"), F.lit(0xFE00) + F.col("doc_id") % 256
     announcement = F.concat(F.lit("20"), le(n, 0), le(n, 1), le(packets, 0), F.lit("FF"), le(pgn, 0), le(pgn, 1), le(pgn, 2))
-    parts = F.transform(F.sequence(F.lit(1), packets), lambda k: F.concat(le(k, 0), F.rpad(F.substring("h", (k - 1) * 14 + 1, F.lit(14)), 14, "F")))
-    rows = m.select("doc_id", "message", (F.col("doc_id") % 254).alias("sa"), F.posexplode(F.concat(F.array(announcement), parts)).alias("k", "data"))
+    part = F.concat(le(F.col("k"), 0), F.rpad(F.hex(F.substring("p", (F.col("k") - 1) * 7 + 1, F.lit(7))), 14, "F"))
     at = F.col("doc_id") * PER_DOCUMENT + F.col("message") * PER_MESSAGE + F.col("k")
     out = rows.select(
         F.lit("documents").alias("log_id"), at.cast("long").alias("seq"), at.cast("double").alias("TS"),
-        F.lit("can0").alias("Bus"), (F.when(F.col("k") == 0, 0x18ECFF00).otherwise(0x18EBFF00) + F.col("sa")).cast("long").alias("id_int"), F.lit(8).alias("LEN"), "data",
+        F.lit("can0").alias("Bus"), (F.when(F.col("k") == 0, 0x18ECFF00).otherwise(0x18EBFF00) + F.col("doc_id") % 254).cast("long").alias("id_int"), F.lit(8).alias("LEN"),
+        F.conv(F.when(F.col("k") == 0, announcement).otherwise(part), 16, -10).cast("long").alias("word"),
     )
-    return _finish(out.withColumns({c: F.conv(F.col("data").substr(2 * i + 1, 2), 16, 10) for i, c in enumerate(BYTES)}).drop("data"))
+    byte = lambda i: F.shiftrightunsigned("word", 56 - 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    return _finish(out.withColumns({c: byte(i) for i, c in enumerate(BYTES)}).drop("word"))
 
 
 def transport_place(ts="TS"):
