@@ -35,11 +35,13 @@ def parse_lines(rows, format="auto"):
         .when(any_of("memorator") & F.col("value").rlike(MEMORATOR) & ~F.col("value").contains("Trigger"), "m")
     )
     pick = lambda g: F.when(F.col("form") == "c", _at(COMPACT, g)).when(F.col("form") == "s", _at(SPACED, g)).otherwise(_at(MEMORATOR, g))
-    rows = rows.withColumn("form", form).where("form is not null")
+    # generated, as filters on columns that are only computed would repeat every pattern below
+    rows = rows.withColumn("form", F.explode(F.array(form))).where("form is not null")
     data = F.when(F.col("form") == "c", _at(COMPACT, 4)).otherwise(F.regexp_replace(F.when(F.col("form") == "s", _at(SPACED, 5)).otherwise(_at(MEMORATOR, 5)), r"\s+", ""))
     declared = F.when(F.col("form") == "s", _at(SPACED, 4)).when(F.col("form") == "m", _at(MEMORATOR, 4)).cast("int")
-    rows = rows.withColumns({"TS": pick(1).try_cast("double"), "Bus": pick(2), "ID": pick(3), "DATA": data, "declared": declared})
-    return rows.where("TS is not null").drop("form", "value")
+    parts = {"TS": pick(1).try_cast("double"), "Bus": pick(2), "ID": pick(3), "DATA": data, "declared": declared}
+    rows = rows.withColumn("__parts", F.explode(F.array(F.struct(*(c.alias(n) for n, c in parts.items())))))
+    return rows.withColumns({n: F.col(f"__parts.{n}") for n in parts}).where("TS is not null").drop("form", "value", "__parts")
 
 
 def normalize_frames(rows):

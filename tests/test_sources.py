@@ -1,6 +1,7 @@
 """Logs and dictionaries from files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from busfleet.sources import dictionaries, logs, readings, sinks
 
@@ -74,3 +75,11 @@ def test_series_columns(spark):
     s = spark.createDataFrame([("l", "a", 0.0, 0, 1.0), ("l", "a", 1.0, 1, 2.0), ("l", "b", 0.5, 0, 3.0)], "log_id string, series_id string, TS double, seq long, value double")
     rows = sinks.series_columns(s, ["a", "b"]).sort("row").collect()
     assert rows[0]["b Value"] == 3.0 and rows[1]["b Value"] is None and rows[1]["a Timestamp"] == 1.0
+
+
+def test_each_pattern_of_a_line_is_matched_once(spark):
+    lines = spark.createDataFrame([("a", 0, "(1.500000) can0 1A [2] 0A FF"), ("a", 1, "(1.x) can0 1A [2] 0A FF"), ("a", 2, "noise")], "log_id string, seq long, line string")
+    out = logs.normalize_frames(logs.parse_lines(lines.select("log_id", "seq", F.concat("line", F.lit("")).alias("value")), "spaced"))
+    assert [(r["seq"], r["TS"], r["ID"], r["DATA"], r["LEN"], r["D1"]) for r in out.collect()] == [(0, 1.5, "1A", "0AFF", 2, 255)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(line") <= 1 and plan.count("RLIKE(") <= 2  # of the line and of its id
