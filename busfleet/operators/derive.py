@@ -11,9 +11,10 @@ Sources: {'kind': 'signal', 'series_id'}; {'kind': 'raw', signal fields as in de
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from busfleet.functions.bits import BYTES, float32, float64, signed, unsigned_double
+from busfleet.functions.bits import BYTES, float32, float64, packed_le, signed, unsigned_double
 from busfleet.functions.ids import pgn_of
 from busfleet.functions.numeric import COMBINE, transform
 from busfleet.operators.decode import decode_signal
@@ -91,8 +92,10 @@ class Inputs(dict):
 
     def __init__(self, samples, frames):
         own = samples[samples["series_id"].notna()]
-        super().__init__({n: (g["TS"].to_numpy(), g["value"].to_numpy()) for n, g in own.groupby("series_id")})
-        self._messages, self._frames = samples[samples["series_id"].isna()], frames
+        # only what is asked for is brought in order, so that frames are not copied whole
+        ordered = ((n, g.sort_values(["TS", "seq"])) for n, g in own[["series_id", "TS", "seq", "value"]].groupby("series_id"))
+        super().__init__({n: (g["TS"].to_numpy(), g["value"].to_numpy()) for n, g in ordered})
+        self._messages, self._frames = samples[samples["series_id"].isna()].sort_values(["TS", "seq"]), frames
 
     def signal(self, name):
         """A series; an error that names those there are, if it is missing."""
@@ -103,8 +106,9 @@ class Inputs(dict):
     def raw_frames(self, id=None, pgn=None):
         """(ts, bytes of n frames as an (n, 8) array, their lengths) of an id or a group."""
         f = self._frames
-        f = f[(f["id_int"] == id) if id is not None else (f["pgn"] == pgn)]
-        return f["TS"].to_numpy(), f[list(BYTES)].to_numpy(), f["LEN"].to_numpy()
+        f = f[(f["id_int"] == id) if id is not None else (f["pgn"] == pgn)].sort_values(["TS", "seq"])
+        data = np.ascontiguousarray(f["w"].to_numpy(np.int64)).astype("<i8").view(np.uint8).reshape(-1, 8)
+        return f["TS"].to_numpy(), data.astype(np.int32), f["LEN"].to_numpy(np.int32)
 
     def messages(self, pgn, source=None):
         """(ts, payloads) of the transport messages of a group, of one source if given."""
@@ -121,7 +125,6 @@ def formula_grouped(series, function, name="formula", frames=None, messages=None
     its results within the stretch count. A formula that looks back no further gives the same as on the
     whole log. Without it, a log is one task. Results of unequal lengths or other shapes fail.
     """
-    import numpy as np
     import pandas as pd
 
     spark = series.sparkSession
@@ -133,10 +136,11 @@ def formula_grouped(series, function, name="formula", frames=None, messages=None
         samples = samples.unionByName(messages.select("log_id", F.lit(None).cast("string").alias("series_id"), "TS", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"), F.col("pgn").cast("long").alias("pgn"), F.col("sa").cast("int").alias("sa"), "data"))
     if frames is None:
         frames = spark.createDataFrame([], "log_id string, TS double, seq long, id_int long, LEN int, " + ", ".join(f"{c} int" for c in BYTES))
-    raw = frames.select("log_id", "TS", "seq", "id_int", pgn_of("id_int").alias("pgn"), "LEN", *BYTES)
+    # a frame's bytes go as one word, which the inputs take apart for the frames asked for
+    raw = frames.select("log_id", "TS", "seq", "id_int", pgn_of("id_int").cast("int").alias("pgn"), F.col("LEN").cast("byte").alias("LEN"), packed_le().alias("w"))
 
     def run(key, samples, raw):
-        given = Inputs(samples.sort_values(["TS", "seq"]), raw.sort_values(["TS", "seq"]))
+        given = Inputs(samples, raw)
         ts, values = (np.asarray(x, dtype=float) for x in function(given))
         if ts.ndim != 1 or ts.shape != values.shape:
             raise ValueError(f"a formula must return two arrays of one length, not {ts.shape} and {values.shape}")

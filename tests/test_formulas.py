@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from busfleet.functions.bits import BYTES
@@ -71,3 +72,13 @@ def test_unique_names(spark):
         want.append((scope, k, found))
     got = dictionaries.unique_names(spark.createDataFrame(rows, "dict_name string, line long, name string"), "name", ["line"])
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_formula_frames_are_not_copied_whole():
+    """Frames come as they are, one word for their bytes; those asked for are put in order and taken apart."""
+    raw = pd.DataFrame({"TS": [2.0, 1.0, 1.0], "seq": [2, 1, 0], "id_int": [5, 5, 6], "pgn": [None, None, 1.0], "LEN": [8, 2, 8], "w": [-2, 0x0201, 0]})
+    given = derive.Inputs(pd.DataFrame({"series_id": ["s", "s"], "TS": [3.0, 1.0], "seq": [0, 1], "value": [7.0, 8.0]}), raw)
+    ts, data, sizes = given.raw_frames(id=5)
+    assert given._frames is raw and ts.tolist() == [1.0, 2.0] and sizes.tolist() == [2, 8]
+    assert data.tolist() == [[1, 2, 0, 0, 0, 0, 0, 0], [254, *[255] * 7]] and data.dtype == np.int32
+    assert given["s"][0].tolist() == [1.0, 3.0] and given["s"][1].tolist() == [8.0, 7.0]
