@@ -1,11 +1,14 @@
 """Live operators on streams of frames: latest row by key, summaries, differences, coverage, transport.
 
-State is keyed by (log_id, ID, LEN, selector bytes) or coarser, so it is bounded by the number of ids, not
+State is kept by (log_id, ID, LEN, selector bytes) or coarser, so it is bounded by the number of ids, not
 of frames. The engine keeps offsets and state in the checkpoint folder; the functions here only give plans.
 """
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +22,13 @@ LATEST = (
     "log_id string, ID string, LEN int, mux_label string, TS double, seq long, DATA string, delta_t double, changed_bytes array<int>, received long, frames long, "
     "periods long, period_mean double, period_min double, period_max double, uniques array<int>, byte_values array<int>, ever_changed boolean, changed_at array<double>, highlighted_bytes array<int>"
 )
-STATE = "ts double, seq long, data binary, delta double, received long, frames long, psum double, pmin double, pmax double, pn long, seen binary, changed boolean, changed_at array<double>, last array<int>"
+#: State of ``latest``: the keys of a bucket as JSON and a row of HELD for each. word and last are bits, NaN is none.
+STATE = "keys string, rows binary"
+HELD = np.dtype([
+    ("ts", "f8"), ("seq", "i8"), ("word", "i8"), ("delta", "f8"), ("received", "i8"), ("frames", "i8"), ("psum", "f8"), ("pmin", "f8"), ("pmax", "f8"), ("pn", "i8"),
+    ("seen", "u1", 256), ("changed", "?"), ("changed_at", "f8", 8), ("last", "u1"), ("until", "f8"),
+])
+BUCKETS = 512
 
 
 def names_of(ddl):
@@ -66,6 +75,62 @@ def _values(seen):
     return [8 * k + j for k, b in enumerate(seen) if b for j in range(8) if b >> j & 1]
 
 
+def _dealt(held, keys, new, hold):
+    """Takes a bucket's new frames into its ``held`` rows: (held, keys, which keys the frames have, their highlights).
+
+    Each key's frames follow its held row in order of time. A frame is compared with the last one before it that
+    counts as the key's newest; which ones do is settled from the front, and so found by repeating until it holds.
+    """
+    known = len(held)
+    code = pd.concat([keys, new[KEY]], ignore_index=True).groupby(KEY, sort=False, dropna=False).ngroup().to_numpy()
+    added = np.zeros(code.max() + 1 - known, HELD)
+    for c in ("delta", "pmin", "pmax", "changed_at", "until"):
+        added[c] = np.nan
+    keys = pd.concat([keys, new[KEY][code[known:] >= known].drop_duplicates()], ignore_index=True)
+    ts, seq, word = (np.concatenate([held[a], new[b].to_numpy()]) for a, b in (("ts", "TS"), ("seq", "seq"), ("word", "word")))
+    mask = np.concatenate([np.zeros(known, np.int32), new["masked"].to_numpy()])
+    held = np.concatenate([held, added])
+    real = np.arange(len(code)) >= known
+    order = np.lexsort((seq, ts, real, code))
+    code, ts, seq, word, mask, real = (x[order] for x in (code, ts, seq, word, mask, real))
+    data = word.astype("<i8").view(np.uint8).reshape(-1, 8)
+    open_bits = np.unpackbits(~mask.astype(np.uint8), bitorder="little").reshape(-1, 8).astype(bool)
+    first, place = np.diff(code, prepend=-1) != 0, np.arange(len(code))
+    newest = np.round(ts - ts[np.maximum.accumulate(np.where(first, place, 0))], 6) >= 0
+    while True:
+        upto = np.maximum.accumulate(np.where(newest, place, 0))
+        before = np.where(first, place, np.roll(upto, 1))
+        gap, moved = np.round(ts - ts[before], 6), (data != data[before]) & open_bits
+        again = first | (gap > 0) | (gap == 0) & moved.any(axis=1)
+        if (again == newest).all():
+            break
+        newest = again
+    shown = real & (newest | (gap < 0))
+    timed, step = real & ~first & (gap >= 0), real & ~first & newest
+    held["received"] += np.bincount(code[real], minlength=len(held))
+    held["frames"] += np.bincount(code[shown], minlength=len(held))
+    held["pn"] += np.bincount(code[timed], minlength=len(held))
+    held["psum"] += np.bincount(code[timed], gap[timed], len(held))
+    np.fmin.at(held["pmin"], code[timed], gap[timed])
+    np.fmax.at(held["pmax"], code[timed], gap[timed])
+    seen = held["seen"].reshape(-1).copy()
+    for i in range(8):
+        own = shown & open_bits[:, i]
+        np.bitwise_or.at(seen, 256 * code[own] + 32 * i + data[own, i] // 8, np.uint8(1) << data[own, i] % 8)
+        own = step & moved[:, i]
+        held["changed_at"][code[own], i] = ts[own]  # of a key's rows, in order of time, the last one stays
+    held["seen"] = seen.reshape(-1, 256)
+    held["changed"][code[step & moved.any(axis=1)]] = True
+    last = upto[np.append(first[1:], True)]  # of each key
+    last = last[real[last]]
+    own = code[last]
+    held["ts"][own], held["seq"][own], held["word"][own] = ts[last], seq[last], word[last]
+    held["delta"][own] = np.where(first[last], np.nan, gap[last])
+    held["last"][own] = np.packbits(moved[last] & ~first[last, None], axis=1, bitorder="little")[:, 0]
+    touched = np.unique(code[real])
+    return held, keys, touched, held["ts"][touched, None] - held["changed_at"][touched] <= hold
+
+
 def latest(frames, rules=None, hold=1.0, epoch=None, late=None):
     """One row per key in update mode: last frame, delta_t, changed bytes, counts, periods, values per byte.
 
@@ -74,53 +139,47 @@ def latest(frames, rules=None, hold=1.0, epoch=None, late=None):
     nothing. changed_at has the time of each byte's last change; highlighted_bytes are those changed
     within the last ``hold`` seconds. With ``late``, a delay for a watermark, a timer of event time gives
     the row again, without highlights, once the watermark has passed the end of the last one.
+
+    Keys are dealt into BUCKETS groups, each with one state of all its keys, as a call for each key costs
+    far more than its frames.
     """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(names_of(STATE), state.get)) if state.exists else None
-        if state.hasTimedOut:
-            yield row_of(key, s, [])
-            return
-        for row in in_order(parts).itertuples(index=False):
-            data, masked = bytes(getattr(row, c) for c in BYTES), set(row.mux_bytes if row.mux_bytes is not None else ())
-            if s is None:
-                s = dict(zip(names_of(STATE), (row.TS, row.seq, data, None, 1, 1, 0.0, None, None, 0, bytes(256), False, [None] * 8, [])))
-            else:
-                changed = [i for i in range(8) if i not in masked and s["data"][i] != data[i]]
-                gap = round(row.TS - s["ts"], 6)
-                s["received"] += 1
-                if gap >= 0:
-                    s["psum"], s["pn"] = s["psum"] + gap, s["pn"] + 1
-                    s["pmin"], s["pmax"] = min(gap, gap if s["pmin"] is None else s["pmin"]), max(gap, gap if s["pmax"] is None else s["pmax"])
-                if gap == 0 and not changed:
-                    continue
-                s["frames"] += 1
-                if gap >= 0:
-                    s |= {"ts": row.TS, "seq": row.seq, "data": data, "delta": gap, "last": changed}
-                    s["changed_at"] = [row.TS if i in changed else t for i, t in enumerate(s["changed_at"])]
-                    s["changed"] = s["changed"] or bool(changed)
-            s["seen"] = _counted(s["seen"], data, masked)
-        state.update(tuple(s.values()))
-        lit = [i for i, t in enumerate(s["changed_at"]) if t is not None and s["ts"] - t <= hold]
-        if late is not None and lit:
-            until = max(s["changed_at"][i] for i in lit) + hold
-            state.setTimeoutTimestamp(max(int(until * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield row_of(key, s, lit)
-
-    def row_of(key, s, lit):
-        values, size = _values(s["seen"]), int(key[2])
-        return pd.DataFrame([{
-            "log_id": key[0], "ID": key[1], "LEN": size, "mux_label": key[3], "TS": s["ts"], "seq": s["seq"], "DATA": bytes(s["data"])[:size].hex().upper(), "delta_t": s["delta"], "changed_bytes": list(s["last"]),
-            "received": s["received"], "frames": s["frames"], "periods": s["pn"], "period_mean": s["psum"] / s["pn"] if s["pn"] else None, "period_min": s["pmin"], "period_max": s["pmax"],
-            "uniques": [sum(v // 256 == i for v in values) for i in range(8)], "byte_values": values, "ever_changed": s["changed"], "changed_at": list(s["changed_at"]), "highlighted_bytes": lit,
-        }])
-
-    rows = keyed(frames, rules, epoch)
-    columns = [*KEY, "TS", "seq", "mux_bytes", *BYTES]
+        names, rows = state.get if state.exists else ("[]", b"")
+        held, keys = np.frombuffer(rows, HELD), pd.DataFrame(json.loads(names), columns=KEY)
+        out, lit = np.zeros(0, int), np.zeros((0, 8), bool)
+        if not state.hasTimedOut:
+            held, keys, out, lit = _dealt(held, keys, pd.concat([p for p in parts if len(p)], ignore_index=True), hold)
+        if late is not None:
+            held, now = held.copy(), state.getCurrentWatermarkMs()
+            held["until"][out] = np.where(lit.any(axis=1), np.where(lit, held["changed_at"][out], -np.inf).max(axis=1) + hold, np.nan)
+            ends = np.floor(held["until"] * 1000) + 1
+            due = np.setdiff1d(np.flatnonzero(ends < now), out)
+            out, lit = np.concatenate([out, due]), np.concatenate([lit, np.zeros((len(due), 8), bool)])
+            held["until"][due] = ends[due] = np.nan
+        state.update((json.dumps(keys.to_numpy(object).tolist()), held.tobytes()))
+        if late is not None and not np.isnan(ends).all():
+            state.setTimeoutTimestamp(max(int(np.nanmin(ends)), now + 1))
+        yield rows_of(keys.iloc[out], held[out], lit)
+
+    def rows_of(keys, held, lit):
+        bits = np.unpackbits(held["seen"], axis=1, bitorder="little")
+        places = lambda bits: [np.flatnonzero(x).astype(np.int32) for x in bits]
+        some = lambda x: [[None if t != t else t for t in row] for row in x.tolist()]
+        size, data = keys["LEN"].to_numpy(), held["word"].astype("<i8")
+        out = {c: keys[c].to_numpy() for c in KEY}
+        out |= {"TS": held["ts"], "seq": held["seq"], "DATA": [w.tobytes()[:n].hex().upper() for w, n in zip(data, size)], "delta_t": held["delta"], "changed_bytes": places(np.unpackbits(held["last"][:, None], axis=1, bitorder="little"))}
+        out |= {"received": held["received"], "frames": held["frames"], "periods": held["pn"], "period_mean": held["psum"] / np.where(held["pn"] > 0, held["pn"], np.nan), "period_min": held["pmin"], "period_max": held["pmax"]}
+        out |= {"uniques": list(bits.reshape(-1, 8, 256).sum(axis=2, dtype=np.int32)), "byte_values": places(bits), "ever_changed": held["changed"], "changed_at": some(held["changed_at"]), "highlighted_bytes": places(lit)}
+        return pd.DataFrame(out)
+
+    masked = reduce(lambda a, b: a + b, (F.when(F.array_contains("mux_bytes", i), 1 << i).otherwise(0) for i in range(8)))
+    rows = keyed(frames, rules, epoch).withColumns({"bucket": F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int"), "masked": masked, "word": packed_le()})
+    columns = ["bucket", *KEY, "TS", "seq", "masked", "word"]
     if late is None:
-        return rows.select(*columns).groupBy(*KEY).applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.NoTimeout)
+        return rows.select(*columns).groupBy("bucket").applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.NoTimeout)
     timed = with_event_time(rows).withWatermark("event_time", late).select(*columns, "event_time")
-    return timed.groupBy(*KEY).applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("bucket").applyInPandasWithState(step, LATEST, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upserted(folder_rows, key, version="batch"):
