@@ -1,6 +1,6 @@
 """Screen readings (given as a table of recognised values): reading, confidence against history, series."""
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 SCHEMA = "timestamp double, frame int, variable string, value double, unit string, confidence double, roi_id string, method string, raw_text string"
@@ -23,25 +23,31 @@ def penalised(readings):
     With three accepted values: baseline is the upper middle of the last five; within max(6, 18 %) nothing
     changes, from 2.5 times that the factor is 0.08, from 1.8 times 0.18, else 0.35. A value is accepted
     into the history from confidence 0.45 on. A region's readings (of one screen's variable) are folded in
-    order of time: whether a value joins the history depends on all before it.
+    order of time: whether a value joins the history depends on all before it. They lie sorted in one partition
+    and pass the worker batch by batch, so it holds a batch and the last five values, never a region.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["timestamp", "frame"], kind="stable")
-        history, out = [], []
-        for value, confidence in zip(part["value"], part["confidence"]):
-            if value == value and confidence == confidence and len(history) >= LEAST:
-                base = sorted(history[-HISTORY:])[len(history[-HISTORY:]) // 2]
-                allowed, jump = max(LEAST_ALLOWED, SHARE * abs(base)), abs(value - base)
-                if jump > allowed:
-                    confidence *= 0.08 if jump >= 2.5 * allowed else 0.18 if jump >= 1.8 * allowed else 0.35
-            if value == value and confidence >= ACCEPTED:
-                history.append(value)
-                history = history[-HISTORY:]
-            out.append(confidence)
-        return part.assign(confidence=out)
-
-    return readings.groupBy("roi_id", "variable").applyInPandas(fold, readings.schema)
+    key = ["roi_id", "variable"]
+
+    def fold(batches):
+        region, history = None, []
+        for batch in batches:
+            out = []
+            for own, value, confidence in zip(zip(*(batch[c].to_pylist() for c in key)), batch["value"].to_pylist(), batch["confidence"].to_pylist()):
+                if own != region:
+                    region, history = own, []
+                usable, known = value is not None and value == value, confidence is not None and confidence == confidence
+                if usable and known and len(history) >= LEAST:
+                    base = sorted(history)[len(history) // 2]
+                    allowed, jump = max(LEAST_ALLOWED, SHARE * abs(base)), abs(value - base)
+                    if jump > allowed:
+                        confidence *= 0.08 if jump >= 2.5 * allowed else 0.18 if jump >= 1.8 * allowed else 0.35
+                if usable and known and confidence >= ACCEPTED:
+                    history = [*history, value][-HISTORY:]
+                out.append(confidence)
+            yield batch.set_column(batch.schema.get_field_index("confidence"), "confidence", pa.array(out, pa.float64()))
+
+    ordered = readings.repartition(*key).sortWithinPartitions(*key, "timestamp", "frame")
+    return ordered.mapInArrow(fold, readings.schema)
 
 
 def to_series(readings, least_confidence=0.45):
