@@ -7,7 +7,7 @@ from busfleet.plans import oracle
 from busfleet.plans.frames import events_frames, transport_frames, transport_place
 from busfleet.plans.queries import dictionary, rules
 from busfleet.streaming import live
-from busfleet.streaming.folders import shared_folder
+from busfleet.streaming.folders import shared_folder, stored
 
 PARTS = 3
 DAY = 86400.0
@@ -110,8 +110,13 @@ def q_live_carries(spark, sf):
 DECODED = "log_id string, ID string, TS double, seq long, message_name string, signal_name string, value double, unit string"
 
 
+def stored_dictionary(spark, sf):
+    """The dictionary, made once for all micro-batches."""
+    return stored(dictionary(spark, sf), "dictionary")
+
+
 def q_live_decoded(spark, sf):
-    f, d = feed(spark, sf), dictionary(spark, sf)
+    f, d = feed(spark, sf), stored_dictionary(spark, sf)
     out = f.run("decoded", lambda s: live.decoded(s, d), "append")
     return live.read_updates(spark, out, DECODED).select("seq", "ID", "message_name", "signal_name", "value", "unit")
 
@@ -125,7 +130,7 @@ def q_live_replay(spark, sf):
 
 def q_live_coverage(spark, sf):
     """A coverage of the first third with the last values of all frames so far."""
-    f, d = feed(spark, sf), dictionary(spark, sf)
+    f, d = feed(spark, sf), stored_dictionary(spark, sf)
     now = f.present("last", lambda s: live.last_values(live.decoded(s, d)), "log_id string, ID string, message_name string, signal_name string, TS double, last double", ["log_id", "ID", "message_name", "signal_name"])
     return live.refreshed_coverage(coverage.coverage(f.part(0), d), now).select("ID", "message_name", "signal_name", "frames", "unique", "last")
 

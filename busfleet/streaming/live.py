@@ -355,17 +355,20 @@ def decoded(frames, dictionary):
     """Signals of a stream of frames, append mode; the dictionary is a plain table.
 
     A frame's message is looked up by its id masked to 29 bits (exact dictionaries) and by its group
-    (j1939 ones); the dictionary with the least priority wins, then the first message by name.
+    (j1939 ones); the dictionary with the least priority wins, then the first message by name. Frames stay where
+    they are: many have one group, and those without a group have one key, so a shuffle by these is one task's work.
     """
+    from busfleet.operators.decode import bounded
+
     d = dictionary.where("active")
     fitting = d.where(fits("start_bit", "length", "le"))  # others are parts of transport messages
     choice = F.struct("priority", "message_name", "dict_name")
     exact = d.where("mode = 'exact'").groupBy(F.col("frame_id").bitwiseAND(F.lit(ID_MASK)).alias("masked")).agg(F.min(choice).alias("by_id"))
     group = d.where("mode = 'j1939'").groupBy(F.col("pgn").alias("own_pgn")).agg(F.min(choice).alias("by_group"))
     words = frames.withColumns({"w": packed_le(), "v": packed_be(), "masked": F.col("id_int").bitwiseAND(F.lit(ID_MASK)), "own_pgn": pgn_of("id_int")})
-    matched = words.join(exact, "masked", "left").join(group, "own_pgn", "left").withColumn("m", F.least("by_id", "by_group")).where("m is not null")
+    matched = words.join(bounded(exact), "masked", "left").join(bounded(group), "own_pgn", "left").withColumn("m", F.least("by_id", "by_group")).where("m is not null")
     signals = fitting.select("dict_name", "message_name", "signal_name", "start_bit", "length", "le", "type", "scale", "offset", "unit", "mux_start", "mux_bytes", "mux_value").distinct()
-    rows = matched.select("*", F.col("m.dict_name").alias("dict_name"), F.col("m.message_name").alias("message_name")).join(signals, ["dict_name", "message_name"])
+    rows = matched.select("*", F.col("m.dict_name").alias("dict_name"), F.col("m.message_name").alias("message_name")).join(bounded(signals), ["dict_name", "message_name"])
     rows = rows.where(F.col("mux_value").isNull() | (mux_value("mux_start", "mux_bytes") == F.col("mux_value")))
     return rows.select("log_id", "ID", "TS", "seq", "message_name", "signal_name", physical(raw_bits("w", "v", "start_bit", "length", "le"), "length", "type", "scale", "offset").alias("value"), "unit")
 
