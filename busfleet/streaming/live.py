@@ -110,7 +110,7 @@ def _dealt(held, keys, new, hold):
     held["received"] += np.bincount(code[real], minlength=len(held))
     held["frames"] += np.bincount(code[shown], minlength=len(held))
     held["pn"] += np.bincount(code[timed], minlength=len(held))
-    held["psum"] += np.bincount(code[timed], gap[timed], len(held))
+    np.add.at(held["psum"], code[timed], gap[timed])  # one after the other, so parts of a stream round as the whole
     np.fmin.at(held["pmin"], code[timed], gap[timed])
     np.fmax.at(held["pmax"], code[timed], gap[timed])
     seen = held["seen"].reshape(-1).copy()
@@ -471,9 +471,11 @@ def refresh_matrix(history, path, points=400):
     Only ids with a byte that moves are made; see ``live_matrix`` for the present rows.
     """
     from busfleet.operators.summary import matrix
+    from busfleet.streaming.folders import stored
 
     def write(batch, number):
-        touched = batch.where("moves").select("log_id", "ID").distinct()
+        # stored: the plan of the matrix reads them several times, each of which would run the stream's step again
+        touched = stored(batch.where("moves").select("log_id", "ID").distinct(), "touched")
         frames = history(batch.sparkSession).join(touched, ["log_id", "ID"], "left_semi")
         _store(matrix(frames, points).select("log_id", "series_id", "bucket", "TS", "seq", "value", "has_movement"), path, number)
 
