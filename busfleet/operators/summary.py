@@ -144,14 +144,19 @@ def changed_bytes(frames, mux_bytes=(), *key):
 def matrix(frames, points=400):
     """Every byte of every id as a series of at most about 2 * points rows, and whether the byte moves.
 
-    Buckets of equal row counts keep their least and largest value in time order.
+    Buckets of equal row counts keep their least and largest value in time order. Frames are numbered once for
+    all of their bytes.
     """
-    from busfleet.operators.series import minmax_downsample
-
-    rows = byte_rows(frames).withColumn("series_id", F.concat_ws(":", "ID", "byte")).withColumn("value", F.col("value").cast("double"))
-    small = minmax_downsample(rows.select("log_id", "series_id", "TS", "seq", "value"), points)
-    moves = rows.groupBy("log_id", "series_id").agg((F.min("value") != F.max("value")).alias("has_movement"))
-    return small.join(moves, ["log_id", "series_id"])
+    from busfleet.operators.series import extremes
+
+    rows = frames.select(*KEY, "TS", "seq", *BYTES)
+    moves = rows.groupBy(*KEY).agg(F.array(*(F.min(c) != F.max(c) for c in BYTES)).alias("__moves"))
+    numbered = running(rows, KEY, total={"__r": F.lit(1)}, size="__n").join(moves, KEY)
+    place = F.floor((F.col("__r") - 1) / F.greatest(F.ceil(F.col("__n") / points), F.lit(1))).alias("bucket")
+    cells = F.posexplode(F.array(*BYTES)).alias("byte", "value")
+    long = numbered.select(*KEY, "TS", "seq", "__moves", place, cells).withColumn("has_movement", F.get("__moves", F.col("byte")))
+    small = extremes(long, [*KEY, "byte", "has_movement", "bucket"])
+    return small.select("log_id", F.concat_ws(":", "ID", "byte").alias("series_id"), "bucket", "TS", "seq", F.col("value").cast("double").alias("value"), "has_movement")
 
 
 def summary_text(frames):
