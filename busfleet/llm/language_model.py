@@ -27,10 +27,11 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from busfleet.llm._labels import held_out
-from busfleet.llm._text import stored
+from busfleet.llm._text import kept, pieces, release, stored
 
 #: Ways of a softmax.
 WAYS = 16
@@ -45,24 +46,39 @@ TOKENS = 8192
 RATE = 0.7
 #: Rows of weights that travel together.
 CHUNK_ROWS = 8192
-#: Bytes of text, and distinct words, of one chunk.
-CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 1_000_000
+#: Bytes of text of one chunk; a longer text is one of its own.
+CHUNK_BYTES = 32 << 20
 #: A document's round, by its hash modulo 16: shares of 2 and 14 sixteenths.
 ROUNDS = (2, 16)
 END = b"\n"  # not a word, as words have no white space
 
 
-def tokens(text):
-    """The words of a text in UTF-8, with A-Z in lower case, and the end."""
-    found = text.encode().lower().split()
-    found.append(END)
-    return found
+def tokens(texts):
+    """The tokens of some texts: how many each has, their numbers in a row, and each number's token in UTF-8.
 
-
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+    Tokens are the words, with A-Z in lower case, and the end.
+    """
+    # the empty words at a text's ends are left out; that of one more text has the end's number
+    texts = pa.concat_arrays([*texts, pa.array([""], texts[0].type)])
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    at = words.offsets.to_numpy()
+    found = words.values.dictionary_encode()
+    ids, distinct = found.indices.to_numpy().astype(np.uint32), found.dictionary.cast(pa.binary())
+    del words, found
+    end = ids[-1]
+    real = ids != end
+    sizes = np.diff(np.r_[0, np.cumsum(real)][at])[:-1] + 1
+    out = np.full(sizes.sum(), end)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out[word] = ids[real]
+    return sizes, out, pc.if_else(pc.equal(distinct, b""), pa.scalar(END), distinct)
+
+
+def _binary(sizes, numbers):
+    """Arrays of uint32, of these sizes and one after the other, as a binary column; all together less than 2 GB."""
+    offsets = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
 
 
 def split_chunks(docs, modulus, rest):
@@ -80,40 +96,36 @@ def split_chunks(docs, modulus, rest):
         filled = {"kind": pa.array(np.full(n, kind, np.int32)), "chunk": pa.array(np.full(n, chunk)), **given}
         return pa.RecordBatch.from_arrays([filled.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds)], names)
 
+    def finished(held):
+        chunk = int.from_bytes(os.urandom(8), "little") >> 1
+        doc, apart = (pa.concat_arrays([x.column(c) for x in held]) for c in ("doc_id", "held_out"))
+        sizes, ids, words = tokens([x.column("text") for x in held])
+        counts = np.bincount(ids[np.repeat(~apart.to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
+        at = np.r_[0, np.cumsum(sizes)]
+        for i in range(0, len(doc), 500):
+            part = slice(i, i + 500)
+            own = sizes[part]
+            yield batch(len(own), 1, chunk, doc_id=doc[part], held_out=apart[part], ids=_binary(own, ids[at[i] : at[i + len(own)]]))
+        for i in range(0, len(words), 100_000):
+            part = words[i : i + 100_000]
+            yield batch(len(part), 0, chunk, token=part, local=pa.array(np.arange(i, i + len(part), dtype=np.int32)), c=pa.array(counts[i : i + len(part)].astype(np.int64)))
+        yield batch(1, 2, chunk, c=pa.array([int(counts.sum())], pa.int64()))
+
     def run(batches):
-        def start():
-            return int.from_bytes(os.urandom(8), "little") >> 1, _Numbers(), [], 0
-
-        def finished():
-            counts = np.bincount(np.concatenate(trained), minlength=len(known)) if trained else np.zeros(len(known), np.int64)
-            words = list(known)
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                yield batch(len(part), 0, chunk, token=pa.array(part, pa.binary()), local=pa.array(np.arange(i, i + len(part), dtype=np.int32)), c=pa.array(counts[i : i + len(part)].astype(np.int64)))
-            yield batch(1, 2, chunk, c=pa.array([int(counts.sum())], pa.int64()))
-
-        chunk, known, trained, size = start()
+        held, size = [], 0
         for got in batches:
-            for i in range(0, got.num_rows, 500):
-                part = got.slice(i, 500)
-                out, number = [], known.__getitem__
-                for held, text in zip(part.column("held_out").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.fromiter(map(number, tokens(text)), np.uint32)
-                    out.append(ids.tobytes())
-                    size += len(text)
-                    if not held:
-                        trained.append(ids)
-                yield batch(part.num_rows, 1, chunk, doc_id=part.column("doc_id"), held_out=part.column("held_out"), ids=pa.array(out, pa.binary()))
-                if len(trained) > 4000:
-                    trained = [np.concatenate(trained)]
-                if size > CHUNK_BYTES or len(known) > CHUNK_WORDS:
-                    yield from finished()
-                    chunk, known, trained, size = start()
-        if known:
-            yield from finished()
+            for piece in pieces(got, rows=500):
+                own = piece.column("text").nbytes
+                if held and size + own > CHUNK_BYTES:
+                    yield from finished(held)
+                    held, size = [], 0
+                held.append(piece)
+                size += own
+        if held:
+            yield from finished(held)
 
     schema = "kind int, chunk long, token binary, local int, c long, doc_id long, held_out boolean, ids binary"
-    return stored(rows.mapInArrow(run, schema), "chunks", "kind")
+    return stored(rows.mapInArrow(run, schema), "chunks")
 
 
 def _tail_class():
@@ -175,12 +187,16 @@ class Groups:
         self.several = np.r_[np.bincount(kinds, minlength=CLASSES)[kinds] > 1, False]
         shares = _log(np.zeros((CLASSES, WAYS)))
         shares[kinds, self.place[:-1]] = _log(mass)
-        # all priors but those of groups' last digits: the root's, of frequent words, of classes, of full digits
+        # the priors of the root, of frequent words, of classes and of full digits
         self.priors = np.concatenate([root[None], head, shares, FULL])
         self.priors -= np.log(np.exp(self.priors - self.priors.max(1, keepdims=True)).sum(1, keepdims=True)) + self.priors.max(1, keepdims=True)
-        # digits of a place in its group, and ways of each digit
+        # digits of a place in its group, ways of each digit, and words on a way of the first
         self.digits = np.array([next(d for d in range(64) if WAYS**d >= n) for n in self.words.tolist()])
         self.base = np.array([next(b for b in range(1, WAYS + 1) if b**d >= n) for d, n in zip(self.digits.tolist(), self.words.tolist())])
+        self.width = self.base ** np.maximum(self.digits - 1, 0)
+        # the first digits' priors: one of each group
+        self.first = len(self.priors)
+        self.priors = np.concatenate([self.priors, _shared(self.words, self.width)])
         self.bits = min(max(14, math.ceil(math.log2(max(self.v, 2))) - 1), most_bits)
 
     def decisions(self, words):
@@ -198,20 +214,22 @@ class Groups:
         out.append((at, way[at], (kind[at] - 1) % WAYS, way[at]))
         at = np.flatnonzero(self.several[group])
         out.append((at, WAYS + kind[at], self.place[group[at]], 1 + HEADS + kind[at]))
-        base, digits, n = self.base[group], self.digits[group], self.words[group]
-        place, partial = words - self.starts[group], [self.priors]
-        for level in range(int(digits.max(initial=0))):
-            at = np.flatnonzero(digits > level)
-            b = base[at]
-            width = b ** (digits[at] - 1 - level)
-            below = width * b
-            first = place[at] // below * below
-            prior = 1 + HEADS + CLASSES + b
-            left = n[at] - first
+        partial, rows, level = [self.priors], len(self.priors), 0
+        at = np.flatnonzero(self.digits[group])
+        group, word = group[at], words[at]
+        base, width, end = self.base[group], self.width[group], self.starts[group + 1]
+        first, prior = self.starts[group], self.first + group  # the first word below a node
+        while len(at):
+            digit = (word - first) // width
+            out.append((at, (first + 2) * DIGITS + level, digit, prior))
+            first, level = first + digit * width, level + 1
+            more = np.flatnonzero(width > 1)
+            at, word, first, base, below, end = at[more], word[more], first[more], base[more], width[more], end[more]
+            width, prior, left = below // base, 1 + HEADS + CLASSES + base, end - first
             part = np.flatnonzero(left < below)  # at the group's end not all ways are full
-            prior[part] = sum(map(len, partial)) + np.arange(len(part))
-            partial.append(_log(np.clip(left[part, None] - np.arange(WAYS) * width[part, None], 0, width[part, None])) - np.log(left[part, None], dtype=np.float32))
-            out.append((at, (self.starts[group[at]] + first + 2) * DIGITS + level, (place[at] - first) // width, prior))
+            prior[part] = rows + np.arange(len(part))
+            rows += len(part)
+            partial.append(_shared(left[part], width[part]))
         token, node, way, prior = (np.concatenate(x) for x in zip(*out))
         return token, node, way, np.take(np.concatenate(partial), prior, 0)
 
@@ -230,6 +248,11 @@ def _log(x):
     return np.where(x > 0, np.log(np.maximum(x, 1), dtype=np.float32), NEVER)
 
 
+def _shared(left, width):
+    """The logs of the shares of some words on the ways of a digit, each way but the last ones with ``width``."""
+    return _log(np.clip(left[:, None] - np.arange(WAYS) * width[:, None], 0, width[:, None])) - np.log(left[:, None], dtype=np.float32)
+
+
 def packed(lookups):
     """(chunk, entries): what a chunk's texts need of each of its words, many words in a row.
 
@@ -305,10 +328,8 @@ def encoded(chunks, lookups, stats, parts):
                     sizes, ids = _arrays(piece.column("ids"))
                     first = np.cumsum(sizes) - sizes  # each text has its end, so none is empty
                     words = number[ids]
-                    offsets = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
-                    column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
                     sums = np.add.reduceat(known[ids].astype(np.int64), first), np.add.reduceat(base[ids], first)
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), column], names)
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), _binary(sizes, words)], names)
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words binary")
 
@@ -349,60 +370,71 @@ def node_rows(node, last, skip, bits):
 
 
 _ONES = np.ones(WAYS, np.float32)
+_ROW = np.dtype((np.void, 4 * WAYS))  # a row as one item
 
 
-def _logits(weights, rows, prior):
+def _logits(parts, prior):
     """Logits of some choices: the prior and the sum of their rows, within what exp can take."""
-    z = prior + np.take(weights, rows[0], 0)
-    for r in rows[1:]:
-        z[: len(r)] += np.take(weights, r, 0)
+    z = prior + next(parts)
+    for part in parts:
+        z[: len(part)] += part
     return np.clip(z, -80, 80, out=z)
 
 
-def log_taken(weights, rows, way, prior):
-    """The log probability of each choice's way."""
-    z = _logits(weights, rows, prior)
-    return z[np.arange(len(way)), way] - np.log(np.exp(z) @ _ONES)
+def _taken(way):
+    """The places of the taken ways among all ways of some choices."""
+    return np.arange(0, len(way) * WAYS, WAYS) + way
 
 
-def _order(r):
-    """The stable order of some numbers below 2 ** 32, by their two halves: short integers sort by radix."""
-    order = np.argsort(r.astype(np.uint16), kind="stable")
-    return order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
+def log_taken(weights, rows, way, prior):
+    """The log probability of each choice's way."""
+    z = _logits((np.take(weights, r, 0) for r in rows), prior)
+    taken = np.take(z, _taken(way))
+    return taken - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def summed(g, r):
-    """The distinct values of r, and for each the sum of its rows of g; most values occur once."""
-    order = _order(r)
-    r = r[order]
-    first = np.flatnonzero(np.diff(r, prepend=-1))
-    count = np.diff(first, append=len(r))
-    out = np.take(g, order[first], 0)
-    many = np.flatnonzero(count > 1)
-    if len(many):
-        n = count[many]
-        start = np.cumsum(n) - n
-        at = np.repeat(first[many] - start, n) + np.arange(n.sum())
-        out[many] = np.add.reduceat(np.take(g, order[at], 0), start, axis=0)
-    return r[first], out
+    """The distinct values of r, below 2 ** 31, and for each the sum of its rows of g."""
+    order = r.astype(np.int64)
+    order <<= 32
+    order |= np.arange(len(r))
+    order.sort()  # by value, then by place
+    values = order >> 32
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    order &= 0xFFFFFFFF
+    return values[first], np.add.reduceat(np.take(g, order, 0), first, axis=0) if len(r) else g[:0]
 
 
 def update(weights, squares, rows, way, prior):
     """One AdaGrad step on the log loss of some choices."""
     if not len(way):
         return
-    g = _logits(weights, rows, prior)
+    sizes = [len(r) for r in rows]
+    row, choice = np.concatenate(rows), np.concatenate([np.arange(n) for n in sizes])
+    held = np.take(weights, row, 0)
+    g = _logits(iter(np.split(held, np.cumsum(sizes)[:-1])), prior)
     np.exp(g, out=g)
     g *= (1 / (g @ _ONES))[:, None]
-    g[np.arange(len(way)), way] -= 1
-    whole = weights.view(np.dtype((np.void, 4 * WAYS))).reshape(-1)  # a row as one item
-    for r in rows:
-        own, step = summed(g[: len(r)], r)
-        s = squares[own] + np.einsum("ij,ij->i", step, step) / WAYS
-        squares[own] = s
-        step *= (-RATE / len(rows) / np.sqrt(s))[:, None]
-        step += np.take(weights, own, 0)
-        whole[own] = step.view(whole.dtype).reshape(-1)
+    g.reshape(-1)[_taken(way)] -= 1
+    # where each row occurs first; most occur once, and what later ones add is summed apart
+    place, slot = np.arange(len(row), dtype=np.int32), np.empty(len(weights), np.int32)
+    slot[row[::-1]] = place[::-1]
+    first = np.take(slot, row)
+    once = first == place
+    own, again = np.flatnonzero(once), np.flatnonzero(~once)
+    step = np.take(g, choice[own], 0)
+    items = step.view(_ROW).reshape(-1)
+    if len(again):
+        at, more = summed(np.take(g, choice[again], 0), first[again])
+        at = np.searchsorted(own, at)
+        more += np.take(step, at, 0)
+        items[at] = more.view(_ROW).reshape(-1)
+    row = row[own]
+    s = np.take(squares, row) + (step * step) @ _ONES / WAYS
+    squares[row] = s
+    step *= (-RATE / len(rows) / np.sqrt(s))[:, None]
+    step += np.take(held, own, 0)
+    weights.view(_ROW).reshape(-1)[row] = items
 
 
 def _token_batches(batches, most):
@@ -430,12 +462,14 @@ def _steps(words, starts, groups):
 
 def _trained(batches, groups, start):
     """Chunks (start, rows, w, n) of the weights that a replica has changed, as float16, and their sums of squared gradients."""
+    kept()
     n = 1 << groups.bits
     weights = np.zeros((n, WAYS), np.float32) if start is None else start.astype(np.float32)
     squares = np.ones(n, np.float32)
     for words, starts, _ in _token_batches(batches, 4 * TOKENS):
         for _, _, rows, way, prior in _steps(words, starts, groups):
             update(weights, squares, rows, way, prior)
+    release()
     for first in range(0, n, CHUNK_ROWS):
         part = slice(first, first + CHUNK_ROWS)
         if len(own := np.flatnonzero(squares[part] > 1)):
@@ -496,6 +530,7 @@ def scored(texts, groups, weights):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
+        kept()
         groups, weights = shared.value[0], shared.value[1].astype(np.float32)
         half = math.log(0.5) if groups.once else 0.0  # words seen once, and the unknown one
         for batch in batches:

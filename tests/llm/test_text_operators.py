@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,37 @@ def test_summed_adds_the_rows_of_each_value():
         assert np.allclose(step, [g[r == k].sum(0) for k in own] or np.zeros((0, 3)))
 
 
+def test_tokens_of_many_texts_at_once():
+    rng = random.Random(4)
+    letters = "aAbBzZ \t\n\x0b\x0c\r\x1c\x85\xa0\x00É𝄞,1"
+    texts = ["", " ", "\n", "no end ", *("".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(300))]
+    for cut in (0, 1, 150, len(texts)):
+        sizes, ids, words = language_model.tokens([x for x in (pa.array(texts[:cut], pa.string()), pa.array(texts[cut:], pa.string())) if len(x)])
+        words = words.to_pylist()
+        assert len(set(words)) == len(words) and sizes.sum() == len(ids)
+        assert [[words[i] for i in own] for own in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode().lower().split() + [b"\n"] for t in texts]
+
+
+def test_a_step_adds_what_all_features_of_a_row_ask_for():
+    rng = np.random.default_rng(3)
+    ways = language_model.WAYS
+    for n, top, most in ((400, 150, 64), (50, 50, 1 << 14), (1, 0, 2)):
+        weights, squares = rng.normal(size=(1 << 14, ways)).astype(np.float32), rng.uniform(1, 5, 1 << 14).astype(np.float32)
+        rows, way, prior = [rng.integers(0, most, k) for k in (n, n, top)], rng.integers(0, ways, n), rng.normal(size=(n, ways)).astype(np.float32)
+        z = prior.astype(float)
+        for r in rows:
+            z[: len(r)] += weights[r]
+        g = np.exp(z) / np.exp(z).sum(1, keepdims=True) - np.eye(ways)[way]
+        total, seen = np.zeros(weights.shape), np.zeros(len(weights), bool)
+        for r in rows:
+            np.add.at(total, r, g[: len(r)])
+            seen[r] = True
+        s = squares + np.where(seen, (total**2).mean(1), 0)
+        expected = weights - language_model.RATE / len(rows) * total / np.sqrt(s)[:, None]
+        language_model.update(weights, squares, rows, way, prior)
+        assert np.allclose(weights, expected, atol=1e-4) and np.allclose(squares, s, rtol=1e-4)
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     rng = np.random.default_rng(0)
     tails = language_model.HEAD + 1
