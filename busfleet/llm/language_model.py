@@ -125,7 +125,7 @@ def split_chunks(docs, modulus, rest):
             yield from finished(held)
 
     schema = "kind int, chunk long, token binary, local int, c long, doc_id long, held_out boolean, ids binary"
-    return stored(rows.mapInArrow(run, schema), "chunks")
+    return stored(rows.mapInArrow(run, schema), "chunks", "kind")
 
 
 def _tail_class():
@@ -207,25 +207,27 @@ class Groups:
         """
         words = words.astype(np.int64)
         group = np.searchsorted(self.starts, words, "right") - 1
-        kind = self.kinds[group]
-        way = self.way[kind]
+        kind = np.take(self.kinds, group)
+        way = np.take(self.way, kind)
         out = [(np.arange(len(words)), np.zeros(len(words), np.int64), way, np.zeros(len(words), np.int64))]
         at = np.flatnonzero((kind > 0) & (kind <= HEAD))
-        out.append((at, way[at], (kind[at] - 1) % WAYS, way[at]))
-        at = np.flatnonzero(self.several[group])
-        out.append((at, WAYS + kind[at], self.place[group[at]], 1 + HEADS + kind[at]))
+        own = np.take(way, at)
+        out.append((at, own, (np.take(kind, at) - 1) % WAYS, own))
+        at = np.flatnonzero(np.take(self.several, group))
+        own = np.take(kind, at)
+        out.append((at, WAYS + own, np.take(self.place, np.take(group, at)), 1 + HEADS + own))
         partial, rows, level = [self.priors], len(self.priors), 0
-        at = np.flatnonzero(self.digits[group])
-        group, word = group[at], words[at]
-        base, width, end = self.base[group], self.width[group], self.starts[group + 1]
-        first, prior = self.starts[group], self.first + group  # the first word below a node
+        at = np.flatnonzero(np.take(self.digits, group))
+        group, word = np.take(group, at), np.take(words, at)
+        base, width = np.take(self.base, group), np.take(self.width, group)
+        first, end, prior = np.take(self.starts, group), np.take(self.starts, group + 1), self.first + group  # first: the first word below a node
         while len(at):
-            digit = (word - first) // width
+            digit = ((word - first) / width).astype(np.int64)  # words and widths are below 2 ** 32, so that this is exact
             out.append((at, (first + 2) * DIGITS + level, digit, prior))
             first, level = first + digit * width, level + 1
             more = np.flatnonzero(width > 1)
-            at, word, first, base, below, end = at[more], word[more], first[more], base[more], width[more], end[more]
-            width, prior, left = below // base, 1 + HEADS + CLASSES + base, end - first
+            at, word, first, base, below, end = (np.take(x, more) for x in (at, word, first, base, width, end))
+            width, prior, left = (below / base).astype(np.int64), 1 + HEADS + CLASSES + base, end - first
             part = np.flatnonzero(left < below)  # at the group's end not all ways are full
             prior[part] = rows + np.arange(len(part))
             rows += len(part)
@@ -320,15 +322,15 @@ def encoded(chunks, lookups, stats, parts):
                     continue
                 if base is None:
                     c, number = _entries(held)
-                    held, known = [], c > 0
+                    held, known = [], (c > 0).astype(np.int64)
                     base = np.log10((c + 0.1) / (stats["n"] + 0.1 * (stats["v"] + 1)))
                 part = pa.RecordBatch.from_struct_array(part.column("doc"))
                 for start in range(0, part.num_rows, 500):
                     piece = part.slice(start, 500)
                     sizes, ids = _arrays(piece.column("ids"))
                     first = np.cumsum(sizes) - sizes  # each text has its end, so none is empty
-                    words = number[ids]
-                    sums = np.add.reduceat(known[ids].astype(np.int64), first), np.add.reduceat(base[ids], first)
+                    words = np.take(number, ids)
+                    sums = np.add.reduceat(np.take(known, ids), first), np.add.reduceat(np.take(base, ids), first)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), _binary(sizes, words)], names)
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words binary")
@@ -365,7 +367,8 @@ def node_rows(node, last, skip, bits):
         h = node[: len(seen)] + (seen * np.uint64(0x165667B19E3779F9) + np.uint64((i + 1) * 0x27D4EB2F165667C5 % 2**64))
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
+        h >>= np.uint64(64 - bits)
+        out.append(h.view(np.int64))
     return out
 
 
@@ -434,7 +437,7 @@ def update(weights, squares, rows, way, prior):
     squares[row] = s
     step *= (-RATE / len(rows) / np.sqrt(s))[:, None]
     step += np.take(held, own, 0)
-    weights.view(_ROW).reshape(-1)[row] = items
+    np.put(weights.view(_ROW).reshape(-1), row, items)
 
 
 def _token_batches(batches, most):
@@ -564,7 +567,9 @@ def score_documents(docs, modulus=10, rest=0, text="text", id="doc_id", most_bit
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_chunks, 1)
     words, rows = numbered(vocabulary, stats, parts)
     groups = Groups(rows, most_bits)
-    lookups = counts.select("chunk", "token", "local").join(words, "token").select("chunk", "local", "c", "number")
+    # a task's hash table has no more words than an average chunk, as there are as many tasks as chunks at least
+    words = words.repartition(parts, "token").hint("shuffle_hash")
+    lookups = counts.select("chunk", "token", "local").repartition(parts, "token").join(words, "token").select("chunk", "local", "c", "number")
     texts = stored(encoded(chunks, lookups, stats, parts), "encoded")
     weights = train(texts.where(~F.col("held_out")), groups, stats["n"], replica_tokens)
     return scored(texts, groups, weights).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")
