@@ -88,7 +88,12 @@ PER_DOCUMENT, PER_MESSAGE = 100_000_000, 1000
 
 def transport_frames(spark, sf_dir):
     """D: the whole text of each document as successive messages: an announcement and its packets each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 0)
+    return frames_of(table(spark, sf_dir, "documents"))
+
+
+def frames_of(documents):
+    """The transport frames of a table or a stream of documents."""
+    docs = documents.select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 0)
     count = F.ceil(F.length("b") / MESSAGE_BYTES).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("b", i * MESSAGE_BYTES + 1, F.lit(MESSAGE_BYTES)))
     m = docs.select("doc_id", F.posexplode(pieces).alias("message", "p"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from busfleet.operators import coverage, diff
 from busfleet.plans import oracle
-from busfleet.plans.frames import events_frames, transport_frames, transport_place
+from busfleet.plans.frames import events_frames, frames_of, table, transport_place
 from busfleet.plans.queries import dictionary, rules
 from busfleet.streaming import live
 from busfleet.streaming.folders import shared_folder, stored
@@ -24,12 +24,16 @@ THIRDS = f"parts as (select *, cast(least(floor((TS - a) * {PARTS} / (b - a)), {
 
 
 class Feed:
-    """Frames with ``part``, stored once; ``run`` brings the parts to a stream one after the other."""
+    """Frames with ``part``, stored once; ``run`` brings the parts to a stream one after the other.
 
-    def __init__(self, spark, frames):
-        self.spark, self.base = spark, shared_folder(spark, "live")
-        frames.write.partitionBy("part").parquet(f"{self.base}/all")
-        self.frames = spark.read.parquet(f"{self.base}/all")
+    With ``kept`` false they are not stored but made anew for each part, as suits rows of a given table for one stream.
+    """
+
+    def __init__(self, spark, frames, kept=True):
+        self.spark, self.base, self.frames = spark, shared_folder(spark, "live"), frames
+        if kept:
+            frames.write.partitionBy("part").parquet(f"{self.base}/all")
+            self.frames = spark.read.parquet(f"{self.base}/all")
         self.schema = self.frames.drop("part").schema
 
     def part(self, number):
@@ -168,9 +172,9 @@ def q_live_late(spark, sf):
 
 
 def q_live_bam(spark, sf):
-    frames = transport_frames(spark, sf).withColumn("part", F.floor(F.col("TS") / 1e8).cast("long") % PARTS)
-    f = Feed(spark, frames.withColumn("part", F.col("part").cast("int")))
-    out = f.run("bam", live.bam_messages, "append")
+    """Documents come in three parts, and the stream makes their frames, which would take many times the room of the texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % PARTS).cast("int").alias("part"))
+    out = Feed(spark, docs, kept=False).run("bam", lambda s: live.bam_messages(frames_of(s)), "append")
     rows = live.read_updates(spark, out, "log_id string, TS double, sa int, pgn long, data binary")
     return rows.select(*transport_place(), "sa", "pgn", F.lower(F.hex("data")).alias("data"))
 

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -489,30 +490,70 @@ def live_matrix(spark, path):
     return rows.join(last, ["log_id", "series_id", "batch"]).drop("batch")
 
 
+#: Of a packed frame: its time, its number, its eight bytes, whether it opens a session.
+PACKED = (np.dtype("<f8"), np.dtype("<i8"), np.dtype("<i8"), np.dtype("u1"))
+
+
+def packed(words):
+    """Transport words of each log and source in an Arrow batch as one row, byte place by byte place, which compress well."""
+
+    def pack(batches):
+        for batch in batches:
+            rows = {"log_id": [], "sa": [], "frames": []}
+            for (log, sa), g in batch.to_pandas().groupby(["log_id", "sa"], sort=False, dropna=False):
+                places = (np.ascontiguousarray(g[c].to_numpy(), k).view(np.uint8).reshape(-1, k.itemsize).T.tobytes() for c, k in zip(("TS", "seq", "word", "opens"), PACKED))
+                for c, x in zip(rows, (log, sa, b"".join(places))):
+                    rows[c].append(x)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("log_id", pa.string()), ("sa", pa.int32()), ("frames", pa.binary())]))
+
+    return words.select("log_id", F.col("sa").cast("int").alias("sa"), "TS", "seq", "word", F.col("opens").cast("byte").alias("opens")).mapInArrow(pack, "log_id string, sa int, frames binary")
+
+
+def _unpacked(data):
+    """The columns of packed frames: times, numbers, words, openings."""
+    raw, n, columns = np.frombuffer(data, np.uint8), len(data) // sum(k.itemsize for k in PACKED), []
+    for k in PACKED:
+        own, raw = raw[: n * k.itemsize], raw[n * k.itemsize :]
+        columns.append(np.ascontiguousarray(own.reshape(k.itemsize, n).T).view(k).ravel())
+    return columns
+
+
 def bam_messages(frames):
     """Streaming reassembly of transport messages, append mode; state per (log, source) is one open session.
 
-    The rules are those of the batch operator; frames are taken in order of time within each batch.
+    The rules are those of the batch operator; frames are taken in order of time within each batch. They move packed,
+    a row for each source of an Arrow batch. The state is the words of the open session: its announcement and the
+    last frame of each number.
     """
-    from busfleet.operators.transport import transport_rows
+    from busfleet.operators.transport import transport_words
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, packets, pgn, numbers, segments = state.get if state.exists else (0, 0, None, [], [])
-        held, done = dict(zip(numbers, segments)), []
-        for r in in_order(parts).itertuples(index=False):
-            if r.opens:
-                size, packets, pgn, held = int(r.size), int(r.packets), int(r.pgn), {}
-            elif packets > 0 and 1 <= r.number <= 255:
-                held[int(r.number)] = bytes.fromhex(r.part)
-                if len(held) == packets:
-                    data = b"".join(held.get(i, bytes(7)) for i in range(1, max(1, -(-size // 7)) + 1))[:size]
-                    done.append({"log_id": key[0], "TS": r.TS, "sa": int(key[1]), "pgn": pgn, "data": data})
-                    packets, held = 0, {}
-        state.update((size, packets, pgn, list(held), list(held.values())))
+        columns = [_unpacked(x) for p in parts for x in p["frames"]]
+        ts, seq, words, opens = (np.concatenate(c) for c in zip(*columns))
+        order = np.lexsort((seq, ts))
+        held = np.array(state.get[0] if state.exists else [], np.int64)
+        ts, words = np.append(np.full(len(held), np.nan), ts[order]), np.append(held, words[order])
+        opens = np.append((np.arange(len(held)) == 0).astype(np.uint8), opens[order])
+        octets = words.astype(">i8").view(np.uint8).reshape(-1, 8)
+        starts, done, left = np.flatnonzero(opens), [], []
+        for start, end in zip(starts, np.append(starts[1:], len(words))):
+            head = octets[start].astype(int)
+            size, packets, pgn = head[1] + 256 * head[2], head[3], head[5] + 256 * head[6] + 65536 * head[7]
+            own = start + 1 + np.flatnonzero(octets[start + 1 : end, 0])  # numbers from 1 on
+            _, firsts = np.unique(octets[own, 0], return_index=True)
+            segments = np.zeros((256, 7), np.uint8)
+            if 0 < packets <= len(firsts):
+                last = np.sort(firsts)[packets - 1]
+                segments[octets[own[: last + 1], 0]] = octets[own[: last + 1], 1:]  # a later one of a number overwrites
+                done.append((key[0], ts[own[last]], int(key[1]), int(pgn), segments[1:].tobytes()[:size].ljust(size, b"\0")))
+            elif packets and end == len(words):
+                newest = {int(octets[i, 0]): int(words[i]) for i in own}
+                left = [int(words[start]), *newest.values()]
+        state.update((left,))
         yield pd.DataFrame(done, columns=["log_id", "TS", "sa", "pgn", "data"])
 
     schema = "log_id string, TS double, sa int, pgn long, data binary"
-    return transport_rows(frames).groupBy("log_id", "sa").applyInPandasWithState(step, schema, "size long, packets long, pgn long, numbers array<int>, segments array<binary>", "append", GroupStateTimeout.NoTimeout)
+    return packed(transport_words(frames)).groupBy("log_id", "sa").applyInPandasWithState(step, schema, "words array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream, sink, checkpoint, mode):
