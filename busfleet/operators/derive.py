@@ -9,9 +9,11 @@ Sources: {'kind': 'signal', 'series_id'}; {'kind': 'raw', signal fields as in de
 'offset', 'dtype'}.
 """
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from busfleet.functions.bits import BYTES, float32, float64, packed_le, signed, unsigned_double
@@ -87,24 +89,50 @@ def formula(series, names, function, name="formula", sources=None, frames=None,
     return wide.select("log_id", F.lit(name).alias("series_id"), "TS", F.lit(0).cast("long").alias("seq"), value.cast("double").alias("value")).where("value is not null")
 
 
+class Payloads(Sequence):
+    """Payloads of messages, read one by one where they lie in the Arrow column, so that they are not copied whole."""
+
+    def __init__(self, column, rows):
+        self._column, self._rows = column, rows
+
+    def __len__(self):
+        return len(self._rows)
+
+    def __getitem__(self, at):
+        return Payloads(self._column, self._rows[at]) if isinstance(at, slice) else self._column[int(self._rows[at])].as_py()
+
+
 class Inputs(dict):
-    """What a grouped formula gets: series by name as (ts, values) arrays, raw frames and transport messages."""
+    """What a grouped formula gets: series by name as (ts, values) arrays, raw frames and transport messages.
 
-    def __init__(self, samples, frames):
-        own = samples[samples["series_id"].notna()]
-        # only what is asked for is brought in order, so that frames are not copied whole
-        ordered = ((n, g.sort_values(["TS", "seq"])) for n, g in own[["series_id", "TS", "seq", "value"]].groupby("series_id"))
+    ``reads``: what the formula may ask for, if this was said; all else is an error.
+    """
+
+    def __init__(self, samples, frames, data=None, reads=None):
+        own = samples.loc[samples["series_id"].notna(), ["series_id", "TS", "seq", "value"]]
+        # only what is asked for is brought in order, so that frames and payloads are not copied whole
+        ordered = ((n, g.sort_values(["TS", "seq"])) for n, g in own.groupby("series_id"))
         super().__init__({n: (g["TS"].to_numpy(), g["value"].to_numpy()) for n, g in ordered})
-        self._messages, self._frames = samples[samples["series_id"].isna()].sort_values(["TS", "seq"]), frames
+        self._samples, self._frames, self._data, self._reads = samples, frames, data, reads
+
+    def _ask(self, kind, name):
+        if self._reads is not None and name not in self._reads.get(kind, ()):
+            raise KeyError(f"{name!r} is not among the {kind} that the formula reads")
+
+    def get(self, name, default=None):
+        self._ask("series", name)
+        return super().get(name, default)
 
     def signal(self, name):
         """A series; an error that names those there are, if it is missing."""
+        self._ask("series", name)
         if name not in self:
             raise KeyError(f"no series {name!r} here; there are {sorted(self)}")
         return self[name]
 
     def raw_frames(self, id=None, pgn=None):
         """(ts, bytes of n frames as an (n, 8) array, their lengths) of an id or a group."""
+        self._ask(*(("ids", id) if id is not None else ("groups", pgn)))
         f = self._frames
         f = f[(f["id_int"] == id) if id is not None else (f["pgn"] == pgn)].sort_values(["TS", "seq"])
         data = np.ascontiguousarray(f["w"].to_numpy(np.int64)).astype("<i8").view(np.uint8).reshape(-1, 8)
@@ -112,21 +140,25 @@ class Inputs(dict):
 
     def messages(self, pgn, source=None):
         """(ts, payloads) of the transport messages of a group, of one source if given."""
-        m = self._messages
-        m = m[(m["pgn"] == pgn) & ((m["sa"] == source) if source is not None else True)]
-        return m["TS"].to_numpy(), list(m["data"])
+        self._ask("messages", pgn)
+        m = self._samples
+        rows = np.flatnonzero(m["series_id"].isna() & (m["pgn"] == pgn) & ((m["sa"] == source) if source is not None else True))
+        rows = rows[np.lexsort((m["seq"].to_numpy()[rows], m["TS"].to_numpy()[rows]))]
+        return m["TS"].to_numpy()[rows], Payloads(self._data, rows)
 
 
-def formula_grouped(series, function, name="formula", frames=None, messages=None, stretch=None, lead=0.0):
+def formula_grouped(series, function, name="formula", frames=None, messages=None, stretch=None, lead=0.0, reads=None):
     """A user's formula on whole arrays: function(Inputs) -> (ts, values).
 
     It sees a log's series and, if given, its frames and transport messages. With ``stretch`` it runs for
     each so many seconds of a log, in tasks of their own, on what lies there and ``lead`` seconds before;
     its results within the stretch count. A formula that looks back no further gives the same as on the
     whole log. Without it, a log is one task. Results of unequal lengths or other shapes fail.
-    """
-    import pandas as pd
 
+    ``reads`` says what the formula asks for: a dict of lists, series (names), ids and groups (of raw frames) and
+    messages (groups). Only that is sent to its task; to ask for anything else is an error. Stretches in which there is nothing of it have
+    no results.
+    """
     spark = series.sparkSession
     part = F.floor(F.col("TS") / stretch).cast("long") if stretch else F.lit(0).cast("long")
     reach = F.floor((F.col("TS") + lead) / stretch).cast("long") if stretch else part
@@ -138,16 +170,23 @@ def formula_grouped(series, function, name="formula", frames=None, messages=None
         frames = spark.createDataFrame([], "log_id string, TS double, seq long, id_int long, LEN int, " + ", ".join(f"{c} int" for c in BYTES))
     # a frame's bytes go as one word, which the inputs take apart for the frames asked for
     raw = frames.select("log_id", "TS", "seq", "id_int", pgn_of("id_int").cast("int").alias("pgn"), F.col("LEN").cast("byte").alias("LEN"), packed_le().alias("w"))
+    if reads is not None:
+        asked = lambda column, kind: F.col(column).isin(list(reads.get(kind, ())))
+        samples = samples.where(asked("series_id", "series") | (F.col("series_id").isNull() & asked("pgn", "messages")))
+        raw = raw.where(asked("id_int", "ids") | asked("pgn", "groups"))
 
     def run(key, samples, raw):
-        given = Inputs(samples, raw)
+        columns = samples.drop_columns(["log_id", "part", "data"]), raw.drop_columns(["log_id", "part"])
+        given = Inputs(*(t.to_pandas(split_blocks=True) for t in columns), samples["data"], reads)
         ts, values = (np.asarray(x, dtype=float) for x in function(given))
         if ts.ndim != 1 or ts.shape != values.shape:
             raise ValueError(f"a formula must return two arrays of one length, not {ts.shape} and {values.shape}")
         if stretch:
-            own = np.floor(ts / stretch) == key[1]
+            own = np.floor(ts / stretch) == key[1].as_py()
             ts, values = ts[own], values[own]
-        return pd.DataFrame({"log_id": key[0], "series_id": name, "TS": ts, "seq": range(len(ts)), "value": values})
+        texts = lambda x: pa.array([x] * len(ts), pa.string())
+        # a value that is NaN is a missing one, as it was from pandas
+        return pa.table({"log_id": texts(key[0].as_py()), "series_id": texts(name), "TS": pa.array(ts, from_pandas=True), "seq": np.arange(len(ts)), "value": pa.array(values, from_pandas=True)})
 
     grouped = cut(samples).groupBy("log_id", "part").cogroup(cut(raw).groupBy("log_id", "part"))
-    return grouped.applyInPandas(run, "log_id string, series_id string, TS double, seq long, value double")
+    return grouped.applyInArrow(run, "log_id string, series_id string, TS double, seq long, value double")

@@ -158,8 +158,12 @@ def reads_all(given):
     return ts, third + 1000.0 * count + np.where(fresh, np.append(values, 0.0)[last], 0.0)
 
 
+#: What ``reads_all`` asks for.
+ALL_READ = {"series": ["click"], "ids": [261], "messages": [0xFE00]}
+
+
 def q_formula_all(spark, sf):
-    out = derive.formula_grouped(kind_series(spark, sf), reads_all, frames=events_frames(spark, sf), messages=timed_messages(spark, sf), stretch=DAY, lead=LOOK_BACK)
+    out = derive.formula_grouped(kind_series(spark, sf), reads_all, frames=events_frames(spark, sf), messages=timed_messages(spark, sf), stretch=DAY, lead=LOOK_BACK, reads=ALL_READ)
     return out.select(F.round("TS", 6).alias("TS"), F.round("value", 6).alias("value"))
 
 
